@@ -1,0 +1,157 @@
+"""The file library: statistics, candidates, archive plans, clues."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from threadloom.functions import rules, scalars
+
+
+def ext_stats(files: DataFrame, k: int = 80) -> DataFrame:
+    return files.groupBy("ext").agg(F.count("*").alias("files"), F.sum("size").alias("bytes")).orderBy(F.desc("bytes"), "ext").limit(k)
+
+
+def root_summary(files: DataFrame) -> DataFrame:
+    return files.groupBy("root").agg(F.count("*").alias("files"), F.sum("size").alias("bytes"), F.max("modified").alias("newest"), F.min("modified").alias("oldest"))
+
+
+def library_counts(files: DataFrame, keywords: rules.Rules) -> DataFrame:
+    c = rules.classify_file(F.col("path"), keywords)
+    return files.groupBy(c["category"].alias("category"), rules.preview_for(F.col("path")).alias("preview")).agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
+
+
+def download_groups(files: DataFrame) -> DataFrame:
+    return files.groupBy("name").agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
+
+
+def latest_serial(files: DataFrame) -> DataFrame:
+    """Per folder and stem the file with the highest `(n)`; of equals the later one."""
+    s = rules.duplicate_stem(F.col("name"))
+    d = files.withColumn("folder", F.regexp_replace("path", r"/[^/]*$", "")).withColumn("stem", s)
+    w = Window.partitionBy("folder", "stem.key").orderBy(F.desc("stem.serial"), F.desc("file_id"))
+    return d.withColumn("n", F.row_number().over(w)).filter("n = 1").drop("n", "stem", "folder")
+
+
+def dedupe_candidates(cands: DataFrame) -> DataFrame:
+    w = Window.partitionBy("name", "size", "preview").orderBy(F.desc("modified"), "file_id")
+    return cands.withColumn("n", F.row_number().over(w)).filter("n = 1").drop("n")
+
+
+def unarchived(cands: DataFrame, archive: DataFrame) -> DataFrame:
+    """Candidates that the archive has neither by path, nor by hash, nor as another size of the same picture."""
+    key = lambda c: rules.media_variant_key(c)
+    a = archive.select(rules.path_key(F.col("path")).alias("pk")).distinct()
+    h = archive.filter("sha256 IS NOT NULL").select(F.col("sha256").alias("hk")).distinct()
+    v = archive.select(key(F.col("name")).alias("vk")).distinct()
+    left = cands.join(a, rules.path_key(F.col("path")) == F.col("pk"), "left_anti").join(h, F.col("sha256") == F.col("hk"), "left_anti")
+    return left.join(v, key(F.col("name")) == F.col("vk"), "left_anti")
+
+
+def value_score(name: Column, size: Column, ext: Column) -> Column:
+    return F.when(ext.isin(".pdf", ".docx", ".md"), 40).otherwise(0) + F.when(ext.isin(".py", ".ipynb"), 25).otherwise(0) + F.when(size > 2000, 20).otherwise(0) + F.when(name.rlike("(?i)report|plan|paper"), 15).otherwise(0) - F.when(ext.isin(".dat", ".tmp"), 60).otherwise(0)
+
+
+def value_candidates(files: DataFrame, k: int = 600) -> DataFrame:
+    """Scored, deduplicated candidates with their level and reasons, best first."""
+    c = files.withColumn("preview", rules.preview_for(F.col("path"))).withColumn("score", value_score(F.col("name"), F.col("size"), F.col("ext")))
+    why = F.array_join(F.array_compact(F.array(F.when(F.col("ext").isin(".pdf", ".docx", ".md"), F.lit("document")), F.when(F.col("ext").isin(".py", ".ipynb"), F.lit("code")), F.when(F.col("size") > 2000, F.lit("large")))), "+")
+    level = F.when(F.col("score") >= 60, "high").when(F.col("score") >= 30, "medium").otherwise("low")
+    return dedupe_candidates(c).withColumn("level", level).withColumn("reasons", why).orderBy(F.desc("score"), F.desc("modified"), "file_id").limit(k)
+
+
+def candidate_totals(cands: DataFrame) -> DataFrame:
+    return cands.groupBy("level", "preview").agg(F.count("*").alias("files"), F.count_if(F.col("reasons").contains("large")).alias("large"))
+
+
+def plan_archive(previous: DataFrame, cands: DataFrame, existing: DataFrame) -> DataFrame:
+    """cands (file_id, path, sha256, target), previous (sha256, archive_path), existing (archive_path, sha256) -> file_id, action, archive_path.
+
+    Only adds: content archived before is reused; the first candidate of a content wins, later ones are duplicates; a
+    target taken by other content gets a suffix of the hash. The order of candidates (file_id) settles everything.
+    """
+    first = Window.partitionBy("sha256").orderBy("file_id")
+    c = cands.withColumn("n", F.row_number().over(first))
+    p = previous.groupBy("sha256").agg(F.min("archive_path").alias("prev"))
+    c = c.join(p, "sha256", "left")
+    fresh = F.col("prev").isNull() & (F.col("n") == 1)
+    # Window over fresh ones only, so that reused content does not take a target.
+    per_target = Window.partitionBy("target", fresh).orderBy("file_id")
+    c = c.withColumn("m", F.row_number().over(per_target))
+    e = existing.select(F.col("archive_path").alias("target"), F.col("sha256").alias("esha")).dropDuplicates(["target"])
+    c = c.join(e, "target", "left")
+    suffixed = rules.append_hash8(F.col("target"), F.col("sha256"))
+    action = F.when(F.col("prev").isNotNull(), "reuse").when(F.col("n") > 1, "duplicate").when((F.col("m") > 1) | (F.col("esha").isNotNull() & (F.col("esha") != F.col("sha256"))), "copy_renamed").otherwise("copy")
+    path = F.when(F.col("prev").isNotNull(), F.col("prev")).when(action == "copy_renamed", suffixed).when(action == "copy", F.col("target"))
+    return c.select("file_id", action.alias("action"), path.alias("archive_path"))
+
+
+def source_text_index(docs: DataFrame, table: rules.Rules, k: int | None = None) -> DataFrame:
+    """doc_id, signals, quality (high, medium, low), excerpt."""
+    t = F.trim(F.regexp_replace(scalars.strip_html(F.col("text")), r"\s+", " "))
+    s = rules.signals(t, table, "none")
+    n = F.size(F.filter(s, lambda x: x != "none"))
+    quality = F.when((n >= 2) & (F.length(t) >= 400), "high").when((n >= 1) & (F.length(t) >= 80), "medium").otherwise("low")
+    out = docs.select("doc_id", F.array_join(s, "|").alias("signals"), quality.alias("quality"), F.substring(t, 1, 160).alias("excerpt"))
+    return out if k is None else out.orderBy("quality", "doc_id").limit(k)
+
+
+def signal_counts(df: DataFrame, col: str) -> DataFrame:
+    return df.select(F.explode(col).alias("signal")).groupBy("signal").agg(F.count("*").alias("rows"))
+
+
+def export_conversations(msgs: DataFrame, table: rules.Rules, highlights: int = 40) -> DataFrame:
+    """title -> messages, participants, signals (label:count, comma-joined), highlights kept."""
+    s = msgs.withColumn("s", rules.signals(F.col("text"), table, "none"))
+    g = s.groupBy("title").agg(F.count("*").alias("messages"), F.count_distinct("sender").alias("participants"))
+    sig = s.select("title", F.explode("s").alias("l")).groupBy("title", "l").agg(F.count("*").alias("n")).groupBy("title").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "l", F.col("n").cast("string")))), ",").alias("signals"))
+    return g.join(sig, "title").withColumn("highlights", F.least("messages", F.lit(highlights)))
+
+
+def accept_exports(per_file: DataFrame) -> DataFrame:
+    """per_file: path, messages, named (boolean), signals -> those that look like a chat: 20 messages under a telling name, 8 with two signals, or 50."""
+    return per_file.filter(((F.col("messages") >= 20) & F.col("named")) | ((F.col("messages") >= 8) & (F.col("signals") >= 2)) | (F.col("messages") >= 50))
+
+
+def cap_per_path(df: DataFrame, n: int = 2, order: str = "canonical_seq", path: str = "path") -> DataFrame:
+    return df.withColumn("n", F.row_number().over(Window.partitionBy(path).orderBy(order))).filter(F.col("n") <= n).drop("n")
+
+
+def clue_groups(snippets: DataFrame, excerpts: int = 8) -> DataFrame:
+    """(source_type, path, signal, excerpt) -> source_type, path, signals, excerpts (number kept), score, band."""
+    s = snippets.distinct()
+    w = Window.partitionBy("source_type", "path").orderBy("excerpt")
+    e = s.select("source_type", "path", "excerpt").distinct().withColumn("n", F.row_number().over(w)).filter(F.col("n") <= excerpts).groupBy("source_type", "path").agg(F.count("*").alias("excerpts"))
+    g = s.groupBy("source_type", "path").agg(F.array_join(F.array_sort(F.collect_set("signal")), "|").alias("signals"), F.count_distinct("signal").alias("k"))
+    score = F.col("k") * 10 + F.col("excerpts") * 2
+    return g.join(e, ["source_type", "path"]).select("source_type", "path", "signals", "excerpts", score.alias("score"), F.when(score >= 40, "high").when(score >= 25, "medium").otherwise("low").alias("band"))
+
+
+def clue_synthesis(groups: DataFrame, k: int = 24) -> DataFrame:
+    """section (band), rank, path: the best groups of every band, at most k each."""
+    w = Window.partitionBy("band").orderBy(F.desc("score"), "path", "source_type")
+    return groups.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select(F.col("band").alias("section"), "rank", "path", "score")
+
+
+def visible_text(files: DataFrame, least: int = 12) -> DataFrame:
+    """(path, content binary) -> path, encoding, run: printable runs of at least `least` characters, in UTF-8 and UTF-16LE."""
+    part = lambda enc, name: files.select("path", F.lit(name).alias("encoding"), F.explode(F.regexp_extract_all(F.decode("content", enc), F.lit(r"[\x20-\x7E\p{L}\p{IsHan}]{%d,}" % least), F.lit(0))).alias("run"))
+    return part("ISO-8859-1", "utf8").filter(~rules.noise_text(F.col("run"))).unionByName(part("UTF-16LE", "utf16le").filter(~rules.noise_text(F.col("run")))).distinct()
+
+
+def list_filter(df: DataFrame, fields: list[str], q: str, **equal) -> DataFrame:
+    for k, v in equal.items():
+        df = df.filter(F.col(k) == v)
+    return df.filter(F.lower(F.concat_ws(" ", *fields)).contains(q.lower()))
+
+
+def match_source(df: DataFrame, manifest: DataFrame) -> DataFrame:
+    m = manifest.select(F.lower("path").alias("k"), F.col("source")).dropDuplicates(["k"])
+    return df.join(m, F.lower("path") == F.col("k"), "left").drop("k")
+
+
+def merge_sections(sections: DataFrame, messages: DataFrame) -> DataFrame:
+    """(section, citation) -> section, citations (valid ones, distinct, sorted), dropped (number)."""
+    ok = messages.select(scalars.citation("message", F.col("message_uid")).alias("citation"), F.lit(True).alias("ok"))
+    j = sections.distinct().join(ok, "citation", "left")
+    return j.groupBy("section").agg(F.array_join(F.array_sort(F.collect_list(F.when(F.col("ok"), F.col("citation")))), " ").alias("citations"), F.count_if(F.col("ok").isNull()).alias("dropped"))
