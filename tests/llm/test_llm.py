@@ -185,7 +185,7 @@ def test_nearest_odd(spark):
     bad = [(50, None), (100, []), (150, [0.0] * 4), (200, [1.0, None, 0.0, 0.0]), (250, [float("nan"), 1.0, 0.0, 0.0]), (300, [float("inf"), 1.0, 0.0, 0.0]), (None, [1.0, 2.0, 3.0, 4.0]), (350, [1.0, 2.0])]
     same = [(i, [1.0, 2.0, 3.0, 4.0]) for i in range(1000, 1200)]
     other = [(i, [float(x) for x in g.normal(size=4)]) for i in range(1, 40)]
-    df = spark.createDataFrame(bad + same + other + same[:1], "vec_id long, embedding array<float>, ")
+    df = spark.createDataFrame(bad + same + other + same[:1], "vec_id long, embedding array<float>")
     got = rows(ann.nearest(df, F.col("vec_id") % 50 == 0).orderBy("query_id", "rank"))
     want = brute_nearest({i: np.array(v, dtype=np.float32) for i, v in same + other})
     assert [(q, i) for q, _, i, _ in got] == [(q, i) for q in sorted(want) for i, _ in want[q]]
