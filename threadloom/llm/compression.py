@@ -9,9 +9,9 @@ from .common import map_text
 #: (whole bytes from, least ratio, most ratio). A ratio is raw bytes over compressed bytes at
 #: LEVEL. Short texts hardly compress, and a long text has more earlier text to draw on, so the
 #: bands rise with length. Below the least the text is noise, above the most it repeats itself.
-BANDS = ((0, 0.0, 4.0), (256, 1.05, 4.5), (1024, 1.25, 5.0), (4096, 1.4, 6.0), (32768, 1.5, 8.0))
+BANDS = ((0, 0.0, 3.5), (256, 1.1, 3.0), (1024, 1.3, 3.2), (4096, 1.5, 3.6), (32768, 1.6, 4.5))
 #: The same for fixed chunks of CHUNK bytes; a text fails if over half of its chunks do.
-CHUNK, CHUNK_BAND = 4096, (1.25, 6.0)
+CHUNK, CHUNK_BAND = 4096, (1.3, 4.0)
 LEVEL = 3
 SYMBOLS = "#*$%&|<>"
 FIELDS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, ratio double, bad_chunks int, chunks int"

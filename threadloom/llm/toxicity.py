@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -9,12 +11,17 @@ from pyspark.sql import functions as F
 from .common import map_text
 
 #: Bytes that end a word; letters beyond ASCII stay.
-BREAK = bytes(c if c >= 0x80 or chr(c).isalnum() or c == 0x27 else 0x20 for c in range(256)).lower()
+BREAK = bytes(c if c >= 0x80 or chr(c).isalnum() or c == 0x27 else 0x20 for c in range(256))
 SHAPES = 6
 
 
+PREFIXES = (4, 5, 6)
+
+
 def words_of(text) -> set[bytes]:
-    return set((text or "").encode().translate(BREAK).split())
+    """The words of a text, lower-cased, and the beginnings of its longer ones, marked `^`: inflected and invented forms share these."""
+    words = set((text or "").encode().lower().translate(BREAK).split())
+    return words.union(*({b"^" + w[:n] for w in words if len(w) > n} for n in PREFIXES))
 
 
 def shape_of(text, words: set) -> list[float]:
@@ -22,10 +29,10 @@ def shape_of(text, words: set) -> list[float]:
     text = text or ""
     n = max(1, len(text))
     tokens = max(1, len(text.split()))
-    return [sum(map(str.isupper, text)) / n, min(1.0, 5 * text.count("!") / n), min(1.0, 5 * text.count("|") / n), sum(map(str.isdigit, text)) / n, len(words) / tokens, np.log1p(tokens) / 10]
+    return [sum(map(str.isupper, text)) / n, min(1.0, 5 * text.count("!") / n), min(1.0, 5 * text.count("|") / n), sum(map(str.isdigit, text)) / n, min(1.0, len(words) / (4 * tokens)), np.log1p(tokens) / 10]
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 12) -> np.ndarray:
+def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 8) -> np.ndarray:
     """Weights and, last, the intercept, by Newton's method."""
     x = np.hstack([x, np.ones((len(x), 1))])
     w = np.zeros(x.shape[1])
@@ -37,7 +44,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int =
         h = (x * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ x + np.diag(penalty)
         d = np.linalg.solve(h, x.T @ (y - p) - penalty * w)
         w += d
-        if np.abs(d).max() < 1e-6:
+        if np.abs(d).max() < 1e-3:
             break
     return w
 
@@ -67,7 +74,7 @@ class Chain:
             x[r, len(self.index) :] = shape_of(t, words)
         return x
 
-    def fit(self, x: np.ndarray, labels: np.ndarray, folds: int = 5, ridge: float = 1.0) -> None:
+    def fit(self, x: np.ndarray, labels: np.ndarray, folds: int = 5, ridge: float = 0.2) -> None:
         fold = np.arange(len(x)) % folds
         for k in range(len(self.categories)):
             y = labels[:, k].astype(float)
@@ -88,27 +95,23 @@ class Chain:
 
 
 def choose_vocabulary(texts: list, labels: np.ndarray, size: int, least: int) -> list[bytes]:
-    """The words most over-represented with any category, by their z score; at least `least` texts hold each."""
-    seen: dict[bytes, np.ndarray] = {}
-    unit = np.hstack([np.ones((len(texts), 1)), labels]).astype(np.int64)
-    for t, u in zip(texts, unit, strict=True):
-        for w in words_of(t):
-            got = seen.get(w)
-            seen[w] = u.copy() if got is None else got.__iadd__(u)
-    total, scored = unit.sum(0), []
-    for w, c in seen.items():
-        if c[0] < least:
-            continue
-        z = 0.0
-        for k in range(1, len(c)):
-            rate = total[k] / total[0]
-            z = max(z, (c[k] - c[0] * rate) / np.sqrt(c[0] * rate * (1 - rate) + 1e-9))
-        if z > 4:
-            scored.append((-z, w))
+    """The words and beginnings most over-represented with any category, by their z score; at least `least` texts hold each."""
+    every, per = Counter(), [Counter() for _ in range(labels.shape[1])]
+    for t, y in zip(texts, labels, strict=True):
+        words = words_of(t)
+        every.update(words)
+        for k in np.flatnonzero(y):
+            per[k].update(words)
+    rates, scored = labels.mean(0), []
+    for w, n in every.items():
+        if n >= least:
+            z = max((c[w] - n * r) / np.sqrt(n * r * (1 - r) + 1e-9) for c, r in zip(per, rates, strict=True))
+            if z > 4:
+                scored.append((-z, w))
     return [w for _, w in sorted(scored)[:size]]
 
 
-def train_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], max_rows: int = 6000, words: int = 200, least: int = 8) -> Chain | None:
+def train_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], max_rows: int = 6000, words: int = 256, least: int = 4) -> Chain | None:
     """A chain over categories (name -> boolean Column of labels, in order), fitted on the max_rows labelled
     documents of the smallest hash. Texts whose first and last 60 characters agree count as copies and train
     once, so that a copied text does not make its words look toxic. None if no labelled text is found."""
@@ -125,7 +128,7 @@ def train_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column
     return chain
 
 
-def score_toxicity(docs: DataFrame, chain: Chain | None, threshold: float = 0.5) -> DataFrame:
+def score_toxicity(docs: DataFrame, chain: Chain | None, threshold: float = 0.4) -> DataFrame:
     """doc_id, one probability per category of the chain (p_<name>), flagged (the last one reaches threshold).
 
     Whole texts are read. Null and empty texts have no words; they are scored by their
