@@ -446,3 +446,16 @@ def test_terms_that_disclose_are_found(spark):
     assert "hannibal" in marked and "owns" in marked and not any(x["k"] == 4 for x in got[5])
     clean = pii.sanitize(df).filter("doc_id = 0").first()["text"]
     assert "hannibal" not in clean and "me@x.org" not in clean and "[EMAIL]" in clean
+
+
+def test_bands_reject_repetition_and_noise(spark):
+    import base64
+
+    g = np.random.default_rng(3)
+    words = ["".join(chr(97 + int(c)) for c in g.integers(0, 26, int(g.integers(2, 9)))) for _ in range(400)]
+    prose = lambda n: " ".join(g.choice(words, n))
+    noise = " ".join(base64.b64encode(g.bytes(30)).decode() for _ in range(600))
+    same = [prose(8) for _ in range(3)]
+    loop = "\n".join(f"{same[i % 3]} {prose(1)}" for i in range(400))
+    df = spark.createDataFrame([(1, prose(200)), (2, prose(3000)), (3, noise), (4, loop)], "doc_id long, text string")
+    assert {r["doc_id"]: r["kept"] for r in compression.compression_quality(df).collect()} == {1: True, 2: True, 3: False, 4: False}

@@ -39,8 +39,9 @@ def repeated_lines(docs: DataFrame, width: int = 3) -> DataFrame:
     return later.select("place.doc_id", "place.th", F.explode("covers").alias("line")).distinct().groupBy("doc_id", "th").agg(F.array_sort(F.collect_list("line")).alias("gone"))
 
 
-def dedup_lines(docs: DataFrame, width: int = 3) -> DataFrame:
-    """Columns of docs, with text without its repeated lines and n_chars to match (if there is one), then n_lines and n_removed, which clash with nothing: they come packed as struct `line_dedup`.
+def dedup_lines(docs: DataFrame, width: int = 3, report: str = "line_dedup") -> DataFrame:
+    """Columns of docs, with text without its repeated lines and n_chars to match (if there is one), then a struct
+    with n_lines, n_removed and removed (line numbers), called `report`: line_dedup unless docs has such a column.
 
     Rows that repeat a doc_id and its text count as one occurrence: they keep and lose
     the same lines. Null texts stay null. A text that loses all lines becomes empty; the row stays.
@@ -57,4 +58,12 @@ def dedup_lines(docs: DataFrame, width: int = 3) -> DataFrame:
     fields["text"] = F.col("new")
     if "n_chars" in fields:
         fields["n_chars"] = F.length("new").cast(docs.schema["n_chars"].dataType)
-    return done.select(*[c.alias(n) for n, c in fields.items()], F.struct("n_lines", "n_removed", "removed").alias("line_dedup"))
+    return done.select(*[c.alias(n) for n, c in fields.items()], F.struct("n_lines", "n_removed", "removed").alias(report))
+
+
+def keep_new_lines(docs: DataFrame, width: int = 3) -> DataFrame:
+    """docs without repeated lines; a text that loses all of its lines has nothing left, and its row goes. Null and empty texts stay."""
+    report = "line_dedup" + "_" * max(map(len, docs.columns))
+    done = dedup_lines(docs, width, report)
+    gone = (F.length(F.trim("text")) == 0) & (F.col(report)["n_removed"] > 0)
+    return done.filter(~F.coalesce(gone, F.lit(False))).drop(report)
