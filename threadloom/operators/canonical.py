@@ -21,8 +21,23 @@ def canonical_order() -> list[Column]:
     return [F.col("occurred_at_epoch_s"), F.col("source_sort_seq"), F.when(F.col("source_adapter") == "regular", 0).otherwise(1), F.col("source_db"), F.col("local_id")]
 
 
-def with_canonical_seq(df: DataFrame) -> DataFrame:
-    return df.withColumn("canonical_seq", (F.row_number().over(Window.partitionBy("conv_id").orderBy(*canonical_order())) - 1).cast("long"))
+def before_bucket(df: DataFrame, bucket: str, value: Column, out: str) -> DataFrame:
+    """conv_id, bucket, out: the sum of value over a conversation's earlier buckets. One row per bucket, summed on every task before it moves."""
+    sums = df.groupBy("conv_id", bucket).agg(F.sum(value).alias("__v"))
+    w = Window.partitionBy("conv_id").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    return sums.select("conv_id", bucket, F.coalesce(F.sum("__v").over(w), F.lit(0)).alias(out))
+
+
+def with_canonical_seq(df: DataFrame, bucket_s: int = 86_400) -> DataFrame:
+    """Adds canonical_seq, from 0 per conversation.
+
+    Rows are numbered within (conversation, day) and start where the days before end, so a conversation
+    that holds much of the archive is spread over as many tasks as it has days.
+    """
+    d = df.withColumn("__day", F.floor(F.col("occurred_at_epoch_s") / bucket_s))
+    base = before_bucket(d, "__day", F.lit(1), "__base")
+    n = F.row_number().over(Window.partitionBy("conv_id", "__day").orderBy(*canonical_order()))
+    return d.join(base, ["conv_id", "__day"], "left").withColumn("canonical_seq", (F.coalesce("__base", F.lit(0)) + n - 1).cast("long")).drop("__day", "__base")
 
 
 def join_senders(raw: DataFrame, ids: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.functions import scalars
+from threadloom.operators import canonical
 
 PAGE, MOST = 120, 240
 
@@ -66,14 +67,18 @@ def same_second_order(df: DataFrame) -> DataFrame:
 
 
 def timeline_items(df: DataFrame, zone: str, gap: int = 300) -> DataFrame:
-    """conv_id, canonical_seq, new_day, breaks (new day, new sender or a gap of more than gap seconds), run (number of breaks so far)."""
-    w = _lagged()
-    day = scalars.archive_day(F.col("occurred_at_epoch_s"), zone)
-    d = df.withColumn("day", day).withColumn("who", sender_key(F.col("sender")))
-    new_day = ~F.col("day").eqNullSafe(F.lag("day").over(w))
+    """conv_id, canonical_seq, new_day, breaks (new day, new sender or a gap of more than gap seconds), run (number of breaks so far).
+
+    Every day breaks, so rows are compared within (conversation, day) only, and breaks of earlier days are added up per day.
+    """
+    d = df.withColumn("day", scalars.archive_day(F.col("occurred_at_epoch_s"), zone)).withColumn("who", sender_key(F.col("sender")))
+    w = Window.partitionBy("conv_id", "day").orderBy("canonical_seq")
+    new_day = F.row_number().over(w) == 1
     broke = new_day | (F.col("who") != F.lag("who").over(w)) | (F.col("occurred_at_epoch_s") - F.lag("occurred_at_epoch_s").over(w) > gap)
-    d = d.withColumn("new_day", new_day).withColumn("breaks", broke)
-    return d.select("conv_id", "canonical_seq", "new_day", "breaks", F.sum(F.col("breaks").cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("run"))
+    d = d.select("conv_id", "day", "canonical_seq", new_day.alias("new_day"), broke.alias("breaks"))
+    base = canonical.before_bucket(d, "day", F.col("breaks").cast("long"), "base")
+    inner = F.sum(F.col("breaks").cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return d.join(base, ["conv_id", "day"], "left").select("conv_id", "canonical_seq", "new_day", "breaks", (F.coalesce("base", F.lit(0)) + inner).alias("run"))
 
 
 @dataclass(frozen=True)
@@ -188,6 +193,13 @@ def transcripts(df: DataFrame, zone: str) -> DataFrame:
     return g.select("conv_id", F.concat_ws("\n", F.concat(F.lit("# "), "conv_id"), F.array_join(F.transform("ls", lambda x: x["l"]), "\n")).alias("transcript"))
 
 
+def write_transcripts(df: DataFrame, path: str, zone: str) -> None:
+    """Transcript lines as text files, a folder per conversation; files and lines are in canonical order, and a long conversation spreads over several files."""
+    line = F.concat(F.lit("["), scalars.archive_ts(F.col("occurred_at_epoch_s"), zone), F.lit("] "), sender_key(F.col("sender")), F.lit(": "), F.coalesce("text", F.lit("")))
+    rows = df.repartitionByRange("conv_id", "canonical_seq").sortWithinPartitions("conv_id", "canonical_seq")
+    rows.select("conv_id", line.alias("value")).write.partitionBy("conv_id").text(path)
+
+
 def write_daily_export(df: DataFrame, path: str, zone: str) -> None:
     """Messages as JSON lines, a folder per conversation and day."""
     df.withColumn("archive_day", scalars.archive_day(F.col("occurred_at_epoch_s"), zone)).repartition("conv_id", "archive_day").sortWithinPartitions("conv_id", "canonical_seq").write.partitionBy("conv_id", "archive_day").json(path)
