@@ -35,7 +35,7 @@ def repeated_lines(docs: DataFrame, width: int = 3) -> DataFrame:
     windows = materialize(line_windows(docs, width))
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "at")
     first = windows.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(place).alias("first")).filter("n > 1").select(F.struct("h1", "h2").alias("w"), "first")
-    later = windows.select(F.struct("h1", "h2").alias("w"), "covers", place.alias("place")).join(first, "w").filter(F.col("place") > F.col("first"))
+    later = windows.select(F.struct("h1", "h2").alias("w"), "covers", place.alias("place")).join(first.hint("merge"), "w").filter(F.col("place") > F.col("first"))
     return later.select("place.doc_id", "place.th", F.explode("covers").alias("line")).distinct().groupBy("doc_id", "th").agg(F.array_sort(F.collect_list("line")).alias("gone"))
 
 
@@ -46,7 +46,8 @@ def dedup_lines(docs: DataFrame, width: int = 3, report: str = "line_dedup") ->
     Rows that repeat a doc_id and its text count as one occurrence: they keep and lose
     the same lines. Null texts stay null. A text that loses all lines becomes empty; the row stays.
     """
-    gone = materialize(repeated_lines(docs, width)).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), "gone")
+    # Where many documents share lines, this side grows with the corpus; a merge join moves each text once at any size.
+    gone = materialize(repeated_lines(docs, width)).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), "gone").hint("merge")
     row = docs.select(F.struct("*").alias("row"))
     both = row.join(gone, F.col("row.doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("row.text") == F.col("__th")), "left")
     lines = F.split("row.text", "\n", -1)
