@@ -214,6 +214,19 @@ def search_tokens(c: Column) -> Column:
     return _weighed(c, r"\p{IsHan}\x{203C}\x{2049}\x{2122}\x{2139}\x{2194}-\x{21AA}\x{231A}-\x{23FF}\x{25AA}-\x{27BF}\x{2934}-\x{2B55}\x{1F000}-\x{1FAFF}", 0.25)
 
 
+def split_text(c: Column, most: int) -> Column:
+    """Pieces of at most `most` search tokens, cut between code points; nothing for an empty text."""
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("cur"), F.lit(0.0).alias("w"))
+
+    def step(acc: Column, ch: Column) -> Column:
+        n = F.when(ch.rlike(r"[\p{IsHan}\x{1F000}-\x{1FAFF}\x{25AA}-\x{27BF}]"), 1.0).otherwise(0.25)
+        full = (acc["cur"] != "") & (F.ceil(acc["w"] + n) > most)
+        done = F.when(full, F.concat(acc["done"], F.array(acc["cur"]))).otherwise(acc["done"])
+        return F.struct(done.alias("done"), F.when(full, ch).otherwise(F.concat(acc["cur"], ch)).alias("cur"), F.when(full, n).otherwise(acc["w"] + n).alias("w"))
+
+    return F.aggregate(F.regexp_extract_all(c, F.lit("(?s)."), F.lit(0)), start, step, lambda a: F.when(a["cur"] != "", F.concat(a["done"], F.array(a["cur"]))).otherwise(a["done"]))
+
+
 def prompt_tokens(c: Column) -> Column:
     n = F.length(F.regexp_replace(c, r"[^　-〿぀-ヿ㐀-䶿一-鿿豈-﫿＀-￯]", ""))
     return F.ceil(n + (F.length(c) - n) / F.lit(3.5)).cast("long")

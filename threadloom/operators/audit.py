@@ -49,14 +49,39 @@ def audit_duplicates(m: DataFrame) -> DataFrame:
     ])
 
 
-def audit_messages(m: DataFrame, zone: str) -> DataFrame:
-    """Provenance, types, encoding, days, duplicates and order of canonical messages."""
+def _blank(c: str) -> Column:
+    return scalars.blank_to_null(F.col(c).cast("string")).isNull()
+
+
+def _checks(zone: str) -> dict[str, dict[str, Column]]:
+    """Row conditions by family; one pass may take any of them together."""
     day = scalars.archive_day(F.col("occurred_at_epoch_s"), zone)
-    blank = lambda c: scalars.blank_to_null(F.col(c).cast("string")).isNull()
-    rows = _codes(m, {
-        "missing-provenance": blank("source_db") | blank("source_adapter") | blank("local_id"), "message-type-not-normalized": scalars.norm_type(F.col("raw_type")) != F.col("type"),
-        "replacement-character": F.col("text").contains("�") | F.col("sender").contains("�"), "archive-day-mismatch": ~F.col("archive_day").eqNullSafe(day),
-    })
+    return {
+        "provenance": {"missing-provenance": _blank("source_db") | _blank("source_adapter") | _blank("local_id")}, "types": {"message-type-not-normalized": scalars.norm_type(F.col("raw_type")) != F.col("type")},
+        "encoding": {"replacement-character": F.col("text").contains("�") | F.col("sender").contains("�")},
+        "canonical": {"archive-day-mismatch": ~F.col("archive_day").eqNullSafe(day), "canonical-message-fields-invalid": _blank("message_uid") | _blank("conv_id") | F.col("canonical_seq").isNull() | (F.col("canonical_seq") < 0)},
+    }
+
+
+def audit_provenance(m: DataFrame) -> DataFrame:
+    return _codes(m, _checks("UTC")["provenance"])
+
+
+def audit_types(m: DataFrame) -> DataFrame:
+    return _codes(m, _checks("UTC")["types"])
+
+
+def audit_encoding(m: DataFrame) -> DataFrame:
+    return _codes(m, _checks("UTC")["encoding"])
+
+
+def audit_canonical(m: DataFrame, zone: str) -> DataFrame:
+    return _all([_codes(m, _checks(zone)["canonical"]), _count(timeline.same_second_order(m), "same-second-source-order-mismatch", "rows")])
+
+
+def audit_messages(m: DataFrame, zone: str) -> DataFrame:
+    """Provenance, types, encoding, days, duplicates and order of canonical messages; all row conditions in one pass."""
+    rows = _codes(m, {k: c for family in _checks(zone).values() for k, c in family.items()})
     return _all([rows, audit_duplicates(m), _count(timeline.order_gaps(m), "message-order-not-monotonic", "rows"), _count(timeline.same_second_order(m), "same-second-source-order-mismatch", "rows")])
 
 

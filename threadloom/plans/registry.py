@@ -40,4 +40,4 @@ def query(name: str, sql: str | None = None):
     return put
 
 
-from threadloom.plans import q_library, q_messages, q_reports, q_search, q_streams  # noqa: E402, F401
+from threadloom.plans import q_library, q_messages, q_more, q_reports, q_search, q_streams  # noqa: E402, F401
