@@ -47,11 +47,15 @@ def worker_cache(name: str) -> dict:
     return holder.__dict__.setdefault(name, {})
 
 
+#: Rows that a Python function sees at once; long texts make Arrow batches of 10,000 rows too large to unpack whole.
+SLICE = 500
+
+
 def map_text(df: DataFrame, make: Callable[[], Callable[[list], dict]], schema: str, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
-    """Columns computed from a batch of texts by one function per task.
+    """Columns computed from texts, a slice of rows at a time, by one function per task.
 
-    make() returns f(list of str or None) -> {column: list or array}; schema
-    is the DDL of these columns. Columns in keep pass through untouched.
+    make() returns f(list of str or None) -> {column: list or array}; schema is the DDL of these
+    columns. Columns in keep pass through untouched. text is a column, or `column.field` of a struct in keep.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
@@ -59,17 +63,19 @@ def map_text(df: DataFrame, make: Callable[[], Callable[[list], dict]], schema:
     new = StructType.fromDDL(schema)
     out = StructType([f for k in keep for f in df.schema if f.name == k] + list(new))
     types_ = list(to_arrow_schema(new))
+    column, _, field = text.partition(".")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
         for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            got = f(batch.column(len(keep)).to_pylist())
-            cols = [batch.column(i) for i in range(len(keep))] + [pa.array(got[t.name], type=t.type) for t in types_]
-            yield pa.RecordBatch.from_arrays(cols, names=[*keep, *(t.name for t in types_)])
-
-    return df.select(*keep, text).mapInArrow(run, out)
+            for at in range(0, batch.num_rows, SLICE):
+                b = batch.slice(at, SLICE)
+                texts = b.column(keep.index(column)).field(field) if field else b.column(len(keep))
+                got = f(texts.to_pylist())
+                cols = [b.column(i) for i in range(len(keep))] + [pa.array(got[t.name], type=t.type) for t in types_]
+                yield pa.RecordBatch.from_arrays(cols, names=[*keep, *(t.name for t in types_)])
+
+    return df.select(*keep, *([] if field else [text])).mapInArrow(run, out)
 
 
 def text_key(c: Column) -> Column:

@@ -112,8 +112,10 @@ def train(docs: DataFrame, per_language: int = 1200, max_languages: int = 200, w
 
     Only text and lang of rows with both and with a doc_id that is not held out are used. None if there are none.
     """
-    rows = docs.select("doc_id", "text", "lang").filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()}
+    usable = docs.filter(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
+    rows = usable.select("doc_id", "text", "lang").filter(F.col("text").isNotNull())
+    # Counts only set the share to draw, so texts need not be read for them.
+    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()}
     if not counts:
         return None
     share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, 1.1 * per_language / n)))])
@@ -142,7 +144,7 @@ def train(docs: DataFrame, per_language: int = 1200, max_languages: int = 200, w
     return net
 
 
-def predict(docs: DataFrame, net: ByteConvNet | None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def predict(docs: DataFrame, net: ByteConvNet | None, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """keep + lang_pred, score: the windows' probabilities, averaged by their bytes over the whole text.
 
     Null texts and texts without a letter are `und` with score 0; so is everything if nothing was learned.
@@ -171,7 +173,7 @@ def predict(docs: DataFrame, net: ByteConvNet | None, keep: tuple[str, ...] = ("
 
         return run
 
-    return map_text(docs, make, "lang_pred string, score double", keep)
+    return map_text(docs, make, "lang_pred string, score double", keep, text)
 
 
 def identify(docs: DataFrame, **bounds) -> DataFrame:
@@ -187,6 +189,5 @@ def identify(docs: DataFrame, **bounds) -> DataFrame:
 def keep_identified(docs: DataFrame, least: float = 0.5, **bounds) -> DataFrame:
     """Rows of docs whose language is found with a score of least or more; `und` goes. Columns are those of docs."""
     net = train(docs, **bounds)
-    row = docs.select(F.struct("*").alias("row"), F.col("text"))
-    got = predict(row, net, keep=("row",))
+    got = predict(docs.select(F.struct("*").alias("row")), net, ("row",), "row.text")
     return got.filter((F.col("lang_pred") != "und") & (F.col("score") >= least)).select("row.*")
