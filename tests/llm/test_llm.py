@@ -271,6 +271,18 @@ def test_packing_odd(spark, odd, none):
     assert packing.pack_documents(none, queries.tokenizer_path()).count() == 0
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_ids_are_those_of_the_tokenizer(name, docs):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = str(public_tokenizers.path(name))
+    tok, words = Tokenizer.from_file(path), packing.WordIds(path)
+    assert words.by_word == name.startswith("word")
+    for t in [*list(docs.values())[:60], "a  b\tc", "<|endoftext|>x <|ENDOFTEXT|>"]:
+        assert list(memoryview(words.text(t)).cast("I")) == tok.encode(t, add_special_tokens=False).ids
+
+
 def test_packing_plans_hold_every_item():
     g = np.random.default_rng(5)
     for _ in range(200):

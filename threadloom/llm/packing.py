@@ -8,6 +8,7 @@ rank among the pieces of its length, which Spark counts in parallel.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from bisect import bisect_left, insort
@@ -22,14 +23,17 @@ from .common import hash_bucket, map_text, materialize, running_offsets, worker_
 CACHE_WORDS = 600_000
 #: Words that are one run of lower-case letters (composed, so NFC leaves them) and then ASCII marks.
 PLAIN = re.compile("([a-zß-öø-ÿ]+)([.,;:!?]*)")
+#: The splitting expression of tokenizers that drop white space and keep letter runs whole (fixed value, as their files have it).
+LETTER_RUNS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 class WordIds(dict):
     """word bytes -> its token ids as little-endian uint32 bytes.
 
-    The tokenizer drops white space before it splits, so the ids of a text are those of its
+    Where the tokenizer drops white space before it splits, the ids of a text are those of its
     words in a row. A plain letter run is one pre-token: it goes to the model at once, past the
-    normalizer and the splitting expression, which take most of the tokenizer's time.
+    normalizer and the splitting expression, which take most of the tokenizer's time. Texts of
+    other tokenizers are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -38,7 +42,10 @@ class WordIds(dict):
         from tokenizers.pre_tokenizers import ByteLevel
 
         self.tok = Tokenizer.from_file(path)
-        self.fast = path.endswith("word_bpe_49k.json")
+        with open(path) as f:
+            spec = json.load(f)
+        first = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [{}])[0]
+        self.by_word = first.get("behavior") == "Removed" and bool(first.get("invert")) and first["pattern"].get("Regex") == LETTER_RUNS
         step = ByteLevel(add_prefix_space=False, use_regex=False)
         self.table = {i: step.pre_tokenize_str(chr(i))[0][0] for i in [*range(0x61, 0x7B), *range(0xDF, 0x100)]}
 
@@ -50,7 +57,7 @@ class WordIds(dict):
         if len(self) >= CACHE_WORDS:
             self.clear()
         text = word.decode()
-        m = PLAIN.fullmatch(text) if self.fast and len(word) < 64 else None
+        m = PLAIN.fullmatch(text) if len(word) < 64 else None
         if m and m[2]:
             got = self[m[1].encode()] + self[m[2].encode()]
         elif m:
@@ -61,6 +68,8 @@ class WordIds(dict):
         return got
 
     def text(self, text: str) -> bytes:
+        if not self.by_word:
+            return self._pack(self.tok.encode(text, add_special_tokens=False).ids)
         raw = text.encode()
         # Special tokens are matched before case is folded, so their texts keep their case.
         return b"".join(map(self.__getitem__, (raw if b"<|" in raw else raw.lower()).split()))
