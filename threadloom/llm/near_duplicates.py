@@ -7,7 +7,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_text, materialize
+from .common import map_text, materialize, text_key
 
 
 def fingerprint_maker(shingle: int):
@@ -150,8 +150,10 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, distance: int = 2, b
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("th"), F.col("fingerprint"))).alias("w")
     # Distinct fingerprints of one component need not share a key but its component_id; null ids go by fingerprint.
     group = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("fp"), F.col("fingerprint")))
-    kept = found.groupBy(group.alias("g")).agg(first).select(F.col("w.doc_id").alias("__id"), F.col("w.th").alias("__th"))
-    row = docs.select(F.struct("*").alias("__row"))
-    joined = row.join(kept, F.col("__row.doc_id").eqNullSafe(F.col("__id")) & (F.coalesce(F.xxhash64("__row.text"), F.lit(0)) == F.col("__th")), "left_semi")
-    once = Window.partitionBy("__row.doc_id", F.xxhash64("__row.text")).orderBy(F.lit(0))
+    key = lambda doc_id, th: (text_key(doc_id).alias("__id"), th.alias("__th"))
+    kept = found.groupBy(group.alias("g")).agg(first).select(*key(F.col("w.doc_id"), F.col("w.th")))
+    rows = docs.select(F.struct("*").alias("__row"), *key(F.col("doc_id"), F.coalesce(F.xxhash64("text"), F.lit(0))))
+    # The window is over the join's own key, so texts move once.
+    once = Window.partitionBy("__id", "__th").orderBy(F.lit(0))
+    joined = rows.join(kept, ["__id", "__th"], "left_semi")
     return joined.withColumn("__n", F.row_number().over(once)).filter("__n = 1").select("__row.*")
