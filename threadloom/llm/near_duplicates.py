@@ -1,7 +1,8 @@
-"""SimHash near-duplicates: pigeonhole blocks, Hamming check, connected components."""
+"""Near-duplicates: SimHash with pigeonhole blocks and a Hamming check, or exact Jaccard of shingle sets; connected components."""
 
 from __future__ import annotations
 
+from fractions import Fraction
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,28 +11,40 @@ from pyspark.sql import functions as F
 from .common import map_text, materialize, text_key
 
 
+def shingle_hashes(shingle: int):
+    """f(text) -> XXH64 of every word shingle, repeats included; a text with fewer words is one shingle, a wordless one none."""
+    from functools import partial
+
+    import numpy as np
+    import xxhash
+
+    digest = partial(xxhash.xxh64_intdigest, seed=42)
+
+    def hashes(text):
+        # bytes.lower() touches A-Z only and bytes.split() cuts at ASCII white space only.
+        words = text.encode().lower().split() if text else []
+        if not words:
+            return np.zeros(0, dtype="<u8")
+        if len(words) < shingle:
+            grams = [b" ".join(words)]
+        else:
+            grams = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))
+        return np.fromiter(map(digest, grams), dtype="<u8")
+
+    return hashes
+
+
 def fingerprint_maker(shingle: int):
     """f(texts) -> {"fp": 64-bit SimHash as a signed long}. Null and wordless texts give 0."""
 
     def make():
-        from functools import partial
-
         import numpy as np
-        import xxhash
 
-        digest = partial(xxhash.xxh64_intdigest, seed=42)
+        hashes = shingle_hashes(shingle)
         step = 8192
 
         def one(text) -> int:
-            # bytes.lower() touches A-Z only and bytes.split() cuts at ASCII white space only.
-            words = text.encode().lower().split() if text else []
-            if not words:
-                return 0
-            if len(words) < shingle:
-                grams = [b" ".join(words)]
-            else:
-                grams = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))
-            h = np.fromiter(map(digest, grams), dtype="<u8")
+            h = hashes(text)
             ones = np.zeros(64, dtype=np.int64)
             for i in range(0, len(h), step):
                 ones += np.unpackbits(h[i : i + step].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -125,6 +138,14 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
+def _rooted_prints(docs: DataFrame, shingle: int, distance: int, blocks: int, crowd: int, keep: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """keep + fp of every row, and fp, low (its smallest doc_id), root (its component's smallest fingerprint)."""
+    prints = materialize(fingerprints(docs, shingle, keep))
+    points = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("low")))
+    found = components(close_links(points.select("fp"), distance, blocks, crowd))
+    return prints, points.join(found, points.fp == found.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicate_components(docs: DataFrame, shingle: int = 5, distance: int = 2, blocks: int = 4, crowd: int = 64, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """One row per row of docs: keep, fingerprint (16 hex digits), component_id.
 
@@ -133,27 +154,176 @@ def near_duplicate_components(docs: DataFrame, shingle: int = 5, distance: int =
     wordless texts have fingerprint zero and are linked like any other. Rows with one
     doc_id are separate rows. An empty table gives an empty result.
     """
-    prints = materialize(fingerprints(docs, shingle, keep))
-    points = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("low")))
-    found = components(close_links(points.select("fp"), distance, blocks, crowd))
-    rooted = points.join(found, points.fp == found.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    prints, rooted = _rooted_prints(docs, shingle, distance, blocks, crowd, keep)
     best = rooted.groupBy("root").agg(F.min("low").alias("component_id")).select(F.struct("root").alias("k"), "component_id")
     named = rooted.select("fp", F.struct("root").alias("k")).join(best, "k").select(F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
     return prints.select(*keep, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")).join(named, "fingerprint").select(*keep, "fingerprint", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, shingle: int = 5, distance: int = 2, blocks: int = 4, crowd: int = 64) -> DataFrame:
-    """docs without all but one document of each component: the smallest doc_id stays, and
-    of rows that share it the one with the smaller text hash. Columns are those of docs."""
-    marked = docs.select("doc_id", "text", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("th"))
-    found = near_duplicate_components(marked, shingle, distance, blocks, crowd, keep=("doc_id", "th"))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("th"), F.col("fingerprint"))).alias("w")
-    # Distinct fingerprints of one component need not share a key but its component_id; null ids go by fingerprint.
-    group = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("fp"), F.col("fingerprint")))
+def _text_hash() -> Column:
+    return F.coalesce(F.xxhash64("text"), F.lit(0))
+
+
+def _keep_first(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """One document of docs for each root of found (doc_id, th, root): the smallest doc_id, then the smaller text hash."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("th"))).alias("w")
     key = lambda doc_id, th: (text_key(doc_id).alias("__id"), th.alias("__th"))
-    kept = found.groupBy(group.alias("g")).agg(first).select(*key(F.col("w.doc_id"), F.col("w.th")))
-    rows = docs.select(F.struct("*").alias("__row"), *key(F.col("doc_id"), F.coalesce(F.xxhash64("text"), F.lit(0))))
+    kept = found.groupBy("root").agg(first).select(*key(F.col("w.doc_id"), F.col("w.th")))
+    rows = docs.select(F.struct("*").alias("__row"), *key(F.col("doc_id"), _text_hash()))
     # The window is over the join's own key, so texts move once.
     once = Window.partitionBy("__id", "__th").orderBy(F.lit(0))
     joined = rows.join(kept, ["__id", "__th"], "left_semi")
     return joined.withColumn("__n", F.row_number().over(once)).filter("__n = 1").select("__row.*")
+
+
+def drop_near_duplicates(docs: DataFrame, shingle: int = 5, distance: int = 2, blocks: int = 4, crowd: int = 64) -> DataFrame:
+    """docs without all but one document of each component of close fingerprints: the smallest doc_id
+    stays, and of rows that share it the one with the smaller text hash. Columns are those of docs."""
+    marked = docs.select("doc_id", "text", _text_hash().alias("th"))
+    prints, rooted = _rooted_prints(marked, shingle, distance, blocks, crowd, ("doc_id", "th"))
+    # A struct key hides the known partitioning, so AQE may split a fingerprint that many copies share.
+    roots = rooted.select(F.struct("fp").alias("k"), "root")
+    return _keep_first(docs, prints.select("doc_id", "th", F.struct("fp").alias("k")).join(roots, "k").select("doc_id", "th", "root"))
+
+
+def _set_maker(shingle: int):
+    """f(texts) -> node (a hash of the shingle set, signed) and h, the set, sorted."""
+
+    def make():
+        import numpy as np
+        import xxhash
+
+        hashes = shingle_hashes(shingle)
+
+        def one(text) -> tuple:
+            s = np.unique(hashes(text))
+            return np.uint64(xxhash.xxh64_intdigest(s.tobytes())).astype(np.int64), s.view("<i8")
+
+        return lambda texts: dict(zip(("node", "h"), zip(*map(one, texts)) if texts else ([], []), strict=True))
+
+    return make
+
+
+def _prefix_maker(shingle: int, least: Fraction, common: list[int]):
+    """f(texts) -> node, n (size of the shingle set) and pre, the first n - ceil(least * n) + 1 shingles in an order that all texts share:
+    by hash, but common shingles, given from the most frequent on, come last. Two sets of a Jaccard similarity of least share one of these."""
+
+    def make():
+        import numpy as np
+
+        sets = _set_maker(shingle)()
+        order = np.array(common, dtype="<i8").argsort()
+        keys, late = np.array(common, dtype="<i8")[order], len(common) - order
+
+        def prefix(s):
+            n = len(s)
+            if not n:
+                return s
+            rank = np.zeros(n, dtype=np.int64)
+            if len(keys):
+                at = np.minimum(np.searchsorted(keys, s), len(keys) - 1)
+                rank = np.where(keys[at] == s, late[at], 0)
+            return s[np.argsort(rank, kind="stable")[: n - -(-n * least.numerator // least.denominator) + 1]]
+
+        def f(texts):
+            got = sets(texts)
+            return {"node": got["node"], "n": [len(s) for s in got["h"]], "pre": [prefix(s) for s in got["h"]]}
+
+        return f
+
+    return make
+
+
+def common_shingles(docs: DataFrame, shingle: int, sample: int = 10_000, most: int = 200_000) -> list[int]:
+    """Hashes of the most frequent shingles of about sample documents, the most frequent first. They only order
+    the prefixes: a shingle that is missed makes groups larger, not the result another one."""
+    part = max(1, docs.count() // sample)
+    some = map_text(docs.filter(F.pmod(F.xxhash64("th"), F.lit(part)) == 0), _set_maker(shingle), "node long, h array<long>", ("th",))
+    counts = some.select(F.explode("h").alias("h")).groupBy("h").agg(F.count("*").alias("c")).filter("c > 2")
+    return [r["h"] for r in counts.orderBy(F.desc("c"), "h").limit(most).collect()]
+
+
+def _alike(n: Column, m: Column, least: Fraction) -> Column:
+    """Whether sets of n and m shingles can reach the similarity."""
+    return F.least(n, m) * least.denominator >= F.greatest(n, m) * least.numerator
+
+
+def _shared_at_least(n: Column, m: Column, least: Fraction) -> Column:
+    """How many prefix shingles two sets of that similarity share at least. They share `both` shingles, so n - both of the
+    one and m - both of the other can come before or between these; the rest of the shorter reach lies in both prefixes."""
+    up = lambda x, by: F.floor((x + by - 1) / by)
+    both = up((n + m) * least.numerator, least.numerator + least.denominator)
+    reach = lambda k: k - up(k * least.numerator, least.denominator) + 1 - (k - both)
+    return F.least(reach(n), reach(m))
+
+
+def similar_links(docs: DataFrame, points: DataFrame, shingle: int, least: Fraction, crowd: int = 64, hubs: int = 16) -> DataFrame:
+    """Links (a, b), a < b, between nodes: enough of them to connect exactly what all pairs of a Jaccard similarity of least or more would connect.
+
+    docs: th, text. points: distinct node, th (of one text that has the set), n > 0, pre. Sets that share as many prefix shingles
+    as the similarity asks for are candidates, and every link is verified on the whole sets. Groups of more than crowd sets are first verified
+    against hubs of their sets, which is linear; then only pairs that no links connect yet are verified one by one.
+    """
+    rows = points.select(F.explode("pre").alias("h"), "node", "n")
+    counted = rows.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1")
+    # A struct key hides the known partitioning, so both join sides are shuffled and AQE may split a hot key.
+    shared = materialize(counted.select(F.struct("h").alias("k"), "c"))
+    tagged = materialize(rows.select(F.struct("h").alias("k"), "node", "n").join(shared, "k"))
+    small, crowded = tagged.filter(F.col("c") <= crowd), tagged.filter(F.col("c") > crowd).select("k", "node", "n")
+    later = F.filter("g", lambda x: (x["node"] > F.col("x.node")) & _alike(x["n"], F.col("x.n"), least))
+    pairs = (
+        small.groupBy("k").agg(F.collect_list(F.struct("node", "n")).alias("g"))  # at most crowd entries each
+        .select(F.explode("g").alias("x"), "g")
+        .select(F.col("x.node").alias("a"), F.col("x.n").alias("na"), F.explode(later).alias("y")).select("a", "na", F.col("y.node").alias("b"), F.col("y.n").alias("nb"))
+    )
+    met = materialize(pairs.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("met")).withColumn("need", _shared_at_least(F.col("na"), F.col("nb"), least)))
+    # What two sets share in crowded groups is not counted, so it counts as far as it can be.
+    busy = materialize(crowded.groupBy("node").agg(F.count("*").alias("c")))
+    busy_of = lambda c: busy.select(F.col("node").alias(c), F.col("c").alias(f"c{c}"))
+    unsure = met.filter("met < need").join(busy_of("a"), "a").join(busy_of("b"), "b").filter(F.col("met") + F.least("ca", "cb") >= F.col("need"))
+    pairs = met.filter("met >= need").select("a", "b").union(unsure.select("a", "b"))
+    nth = Window.partitionBy("k").orderBy(F.xxhash64("node"), "node")
+    hub = materialize(crowded.withColumn("i", F.row_number().over(nth)).filter(F.col("i") <= hubs).select("k", F.col("node").alias("hub"), F.col("n").alias("m")))
+    spokes = crowded.join(hub, "k").filter((F.col("node") != F.col("hub")) & _alike(F.col("n"), F.col("m"), least)).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
+    tried = materialize(pairs.union(spokes).distinct())
+    need = tried.select(F.col("a").alias("node")).union(tried.select("b")).union(crowded.select("node")).distinct()
+    hashes = materialize(points.select("node", "th").join(need, "node", "left_semi").select("th").distinct())
+    sets = map_text(docs.join(hashes, "th", "left_semi"), _set_maker(shingle), "node long, h array<long>", ("th",))
+    sets = materialize(sets.groupBy("node").agg(F.first("h").alias("h")))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        side = lambda c: sets.select(F.struct(F.col("node").alias(c)).alias("k"), F.col("h").alias(f"h{c}"))
+        both = pairs.select(F.struct("a").alias("k"), "b").join(side("a"), "k").select(F.struct("b").alias("k"), F.col("k.a").alias("a"), "ha").join(side("b"), "k")
+        met = both.select("a", F.col("k.b").alias("b"), (F.size("ha") + F.size("hb")).alias("n"), F.size(F.array_intersect("ha", "hb")).alias("m"))
+        return materialize(met.filter(F.col("m") * least.denominator >= (F.col("n") - F.col("m")) * least.numerator).select("a", "b"))
+
+    links = verified(tried)
+    if hub.isEmpty():
+        return links
+    roots = components(links)
+    named = materialize(crowded.join(roots, "node", "left").select("k", "node", "n", F.coalesce("root", "node").alias("root")))
+    # The largest component of a group needs no pairs of its own; what lies outside it meets the whole group.
+    main = named.groupBy("k", "root").agg(F.count("*").alias("c")).groupBy("k").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("parts")).filter("parts > 1")
+    loose = materialize(named.join(materialize(main.select("k", "main")), "k"))
+    x, y = loose.filter("root <> main").select("k", "node", "n", "root").alias("x"), loose.alias("y")
+    apart = (F.col("x.root") != F.col("y.root")) & ((F.col("y.root") == F.col("y.main")) | (F.col("x.node") < F.col("y.node"))) & _alike(F.col("x.n"), F.col("y.n"), least)
+    rest = x.join(y, (F.col("x.k") == F.col("y.k")) & apart).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+    return links.union(verified(rest.join(tried, ["a", "b"], "left_anti")))
+
+
+def drop_similar(docs: DataFrame, shingle: int = 5, least: float = 0.8, crowd: int = 64, hubs: int = 16) -> DataFrame:
+    """docs without all but one document of each component of texts whose sets of word shingles have a Jaccard
+    similarity of least or more: the smallest doc_id stays, and of rows that share it the one with the smaller text hash.
+
+    A 64-bit fingerprint cannot decide this: at a similarity of 0.8 about 10 bits differ, give or take 3, and that close lie many
+    texts that have little in common. So candidates share a shingle of their prefixes, which no such pair fails to do.
+    Null, empty and wordless texts are one set. Columns are those of docs.
+    """
+    bound = Fraction(least).limit_denominator(1000)
+    marked = docs.select("doc_id", "text", _text_hash().alias("th"))
+    maker = _prefix_maker(shingle, bound, common_shingles(marked, shingle))
+    prints = materialize(map_text(marked, maker, "node long, n int, pre array<long>", ("doc_id", "th")))
+    points = materialize(prints.filter("n > 0").groupBy("node").agg(F.min("th").alias("th"), F.first("n").alias("n"), F.first("pre").alias("pre")))
+    found = components(similar_links(marked, points, shingle, bound, crowd, hubs)).select(F.struct("node").alias("k"), "root")
+    rooted = prints.select("doc_id", "th", "node", F.struct("node").alias("k")).join(found, "k", "left")
+    return _keep_first(docs, rooted.select("doc_id", "th", F.coalesce("root", "node").alias("root")))
