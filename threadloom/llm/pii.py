@@ -52,12 +52,13 @@ def _valid(kind: str, v: Column) -> Column:
     return F.lit(True)
 
 
-def located(text: Column, pattern: str) -> Column:
+def located(text: Column, pattern: str | Column) -> Column:
     """Every match as (s, e, v): start and end in code points, and the matched text.
 
     The texts between matches and the matches take turns, so positions are running sums of their lengths.
     """
-    gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    regex = F.lit(pattern) if isinstance(pattern, str) else pattern
+    gaps, found = F.split(text, regex, -1), F.regexp_extract_all(text, regex, F.lit(0))
     empty = F.struct(F.lit(0).alias("p"), F.array().cast("array<struct<s:int,e:int,v:string>>").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -125,25 +126,45 @@ def disclosing_terms(texts: DataFrame, near: DataFrame, threshold: float, suppor
     return known.select(F.concat_ws("\n", "ent", "term").alias("key"), share.alias("disclosure")).filter(F.col("disclosure") >= threshold)
 
 
+def _row(doc_id: Column, th: Column) -> Column:
+    return F.concat_ws(":", text_key(doc_id), th.cast("string"))
+
+
+def term_places(texts: DataFrame, terms: DataFrame) -> DataFrame:
+    """row, more: sorted array of (s, k, e, a) for every place of a disclosing term in the text, wherever it stands.
+
+    texts: row, text. terms: term (lower case), a. A row has the terms as it spells them first, then
+    their places, so words that disclose nothing are never located.
+    """
+    words = texts.select("row", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(TERM), F.lit(0)))).alias("v"))
+    # A struct key hides the known partitioning, so AQE may split a term that many rows have.
+    keyed = words.select("row", "v", F.struct(F.lower("v").alias("term")).alias("k")).join(terms.select(F.struct("term").alias("k"), "a"), "k")
+    hits = materialize(keyed.groupBy("row").agg(F.collect_set(F.struct("v", "a")).alias("hits")))
+    pattern = F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join(F.transform("hits", lambda x: x["v"]), "|"), F.lit(r")(?!\p{L})"))
+    known = texts.join(hits, "row").withColumn("pattern", pattern).withColumn("by", F.map_from_entries("hits"))
+    found = F.transform(located(F.col("text"), F.col("pattern")), lambda x: F.struct(x["s"].alias("s"), F.lit(4).alias("k"), x["e"].alias("e"), F.element_at("by", x["v"]).alias("a")))
+    return known.select("row", found.alias("more")).groupBy("row").agg(F.first("more").alias("more"))
+
+
 def find_personal_data(docs: DataFrame, threshold: float = 0.6, support: int = 2, reach: int = REACH) -> DataFrame:
     """doc_id, th (hash of the text), spans: sorted array of (s, k, e, a) for every row of docs.
 
-    Base spans stay as the patterns find them. Terms (k = 4) are added within reach of an entity that they disclose
-    with at least threshold: a, the disclosure, is then not null. Null texts are empty. Rows that repeat are
-    found alike. An empty table gives an empty result.
+    Base spans stay as the patterns find them. Terms (k = 4) that disclose an entity with at least threshold, by the words within
+    reach of its spans, are added at all their places in all documents that no base span covers: a, the largest disclosure of
+    the term, is then not null. Null texts are empty. Rows that repeat are found alike. An empty table gives an empty result.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     scan = docs.select("doc_id", F.xxhash64(text).alias("th"), text.alias("text"), base_spans(text).alias("spans"))
     scan = materialize(scan.withColumn("text", F.when(F.size("spans") > 0, F.col("text"))))
     near = materialize(context_terms(scan.filter("text IS NOT NULL"), reach))
-    terms = materialize(disclosing_terms(docs.select(text.alias("text")), near, threshold, support, reach))
-    keyed = near.select("doc_id", "th", "s", "e", F.concat_ws("\n", "ent", "term").alias("key")).join(terms, "key")
-    added = keyed.groupBy("doc_id", "th", "s", "e").agg(F.max("disclosure").alias("a"))
-    per_doc = added.groupBy(F.concat_ws(":", text_key(F.col("doc_id")), F.col("th").cast("string")).alias("row")).agg(F.collect_list(F.struct("s", F.lit(4).alias("k"), "e", F.col("a"))).alias("more"))
+    pairs = disclosing_terms(docs.select(text.alias("text")), near, threshold, support, reach)
+    terms = materialize(pairs.groupBy(F.substring_index("key", "\n", -1).alias("term")).agg(F.max("disclosure").alias("a")))
+    per_doc = term_places(docs.select(_row(F.col("doc_id"), F.xxhash64(text)).alias("row"), text.alias("text")), terms)
     base = F.transform("spans", lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"), F.lit(None).cast("double").alias("a")))
     none = F.array().cast("array<struct<s:int,k:int,e:int,a:double>>")
-    rows = scan.select("doc_id", "th", base.alias("base"), F.concat_ws(":", text_key(F.col("doc_id")), F.col("th").cast("string")).alias("row"))
-    return rows.join(per_doc, "row", "left").select("doc_id", "th", F.array_sort(F.concat("base", F.coalesce("more", none))).alias("spans"))
+    rows = scan.select("doc_id", "th", base.alias("base"), _row(F.col("doc_id"), F.col("th")).alias("row"))
+    free = F.filter(F.coalesce("more", none), lambda w: ~F.exists("base", lambda x: (x["s"] < w["e"]) & (x["e"] > w["s"])))
+    return rows.join(per_doc, "row", "left").select("doc_id", "th", F.array_sort(F.concat("base", free)).alias("spans"))
 
 
 def span_text(spans: Column) -> Column:
