@@ -216,6 +216,77 @@ def test_compression(spark, sf, docs, odd, none):
     assert compression.compression_quality(none).count() == 0
 
 
+def brute_bands(docs):
+    """doc_id -> (ratio, bad chunks, chunks, kept), one text at a time."""
+    import math
+
+    import zstandard
+
+    size = lambda b: len(zstandard.ZstdCompressor(level=3).compress(b))
+    seen = {}
+    for d, t in docs.items():
+        raw = (t or "").encode()
+        at = [*range(0, len(raw) - 4096, 4096), len(raw) - 4096] if len(raw) > 4096 else []
+        half = math.floor(2 * math.log2(max(1, len(raw))))
+        seen[d] = (len(raw), half, len(raw) / size(raw) if raw else 0.0, [4096 / size(raw[i : i + 4096]) for i in at])
+    passed = {d for d in docs if not brute_measures(docs[d])[5]}
+
+    def fence(values):
+        q = np.percentile(np.floor(np.array(values) * 1000 + 0.5) / 1000, [25, 50, 75])
+        side = [6 * max(abs(q[1] - q[k]) / 0.6745, 0.025 * q[1]) for k in (0, 2)]
+        return q[1] - side[0], q[1] + side[1]
+
+    once = {(n, r): (h, c) for d, (n, h, r, c) in seen.items() if d in passed}
+    per = {}
+    for (_, r), (h, _) in once.items():
+        per.setdefault(h, []).append(r)
+    per = {h: fence(v) for h, v in per.items() if len(v) >= 100}
+    chunks = [x for _, c in once.values() for x in c]
+    chunk_low, chunk_high = fence(chunks) if len(chunks) >= 100 else (1.3, 4.0)
+    out = {}
+    for d, (n, h, r, c) in seen.items():
+        least, most = [(lo, hi) for low, lo, hi in compression.OUTER if 2 ** ((h + 1) / 2) > low][-1]
+        shorter, longer = [k for k in per if k <= h], [k for k in per if k >= h]
+        low = max(least, per[max(shorter)][0]) if shorter else least
+        high = min(most, per[min(longer)][1]) if longer else most
+        bad = sum(not max(chunk_low, 1.3) <= x <= min(chunk_high, 4.0) for x in c)
+        out[d] = (r, bad, len(c), d in passed and (n < 256 or low <= r <= high) and 2 * bad <= len(c))
+    return out
+
+
+def test_compression_verdicts(spark):
+    """ratio, chunks and kept against brute force; beyond the base rule something is rejected, and it is junk."""
+    sf = "/root/testdata/sf0.01"
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = {r["doc_id"]: r for r in queries.op6_compression_bands(spark, sf).collect()}
+    want = brute_bands(texts)
+    for d, (ratio, bad, chunks, kept) in want.items():
+        r = got[d]
+        assert abs(r["ratio"] - ratio) < 1e-9 and (r["bad_chunks"], r["chunks"], r["kept"]) == (bad, chunks, kept), d
+    gone = [r for r in got.values() if not r["base_failed"] and not r["kept"]]
+    assert gone and all(20 * r["n_symbols"] > r["word_chars"] for r in gone)
+
+
+def test_compression_measures_every_byte(spark):
+    """The tail of a long text, and texts that hardly exceed a chunk, count like other chunks."""
+    g = np.random.default_rng(5)
+    good = " ".join("".join(chr(97 + int(c)) for c in g.integers(0, 12, int(g.integers(2, 9)))) for _ in range(4000)).encode()
+    noise = bytes(33 + int(x) for x in g.integers(0, 90, 8000))
+    cases = {0: good[:4096], 1: good[:4097], 2: good[:4000] + noise[:4192], 3: good[:4096] + noise[:7904], 4: good[:12300]}
+    df = spark.createDataFrame([(i, b.decode()) for i, b in cases.items()], "doc_id long, text string")
+    got = {r["doc_id"]: (r["bad_chunks"], r["chunks"]) for r in compression.compression_quality(df).collect()}
+    assert got == {0: (0, 0), 1: (0, 2), 2: (1, 2), 3: (2, 3), 4: (0, 4)}
+
+
+def test_copies_do_not_set_the_limits(spark):
+    """Two thirds of all rows are one text; the others, in its length class, stay."""
+    g = np.random.default_rng(6)
+    words = ["".join(chr(97 + int(c)) for c in g.integers(0, 26, int(g.integers(2, 9)))) for _ in range(2000)]
+    texts = [" ".join(g.choice(words, 200)) for _ in range(150)] + [" ".join(g.choice(words, 200))] * 300
+    got = compression.compression_quality(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert all(r["kept"] for r in got)
+
+
 # 7 URL filters
 
 def test_url_filters(spark):

@@ -144,7 +144,7 @@ def _tiles_of(s: Column, e: Column, reach: int) -> Column:
 
 
 def context_terms(risky: DataFrame, reach: int = REACH) -> DataFrame:
-    """ent, ctx, words: the different words, lower-cased, of each context of a base span.
+    """ent, ctx, words, n: the different words, lower-cased, of each context of a base span, and how often it occurs.
 
     risky: row, text, spans. Texts are cut into tiles of reach code points. The context of a span is the tile it starts
     in and the two beside it, and those about its end where that lies further on; so each side has reach code points
@@ -170,22 +170,28 @@ def context_terms(risky: DataFrame, reach: int = REACH) -> DataFrame:
     found = risky.select("row", F.explode(contexts).alias("x")).select("row", "x.at", "x.c")
     words = F.array_distinct(F.regexp_extract_all(F.lower("c"), F.lit(TERM), F.lit(0)))
     known = found.select("row", "at", F.xxhash64("c").alias("ctx"), words.alias("words")).dropDuplicates(["row", "at"])
-    return ents.join(known, ["row", "at"]).select("ent", "ctx", "words").dropDuplicates(["ent", "ctx"])
+    each = ents.join(known, ["row", "at"]).groupBy("ent", "ctx")
+    return each.agg(F.first("words").alias("words"), F.count("*").alias("n"))
 
 
-def disclosing_terms(texts: DataFrame, near: DataFrame, threshold: float, support: int, reach: int) -> DataFrame:
+def disclosing_terms(
+    texts: DataFrame, near: DataFrame, threshold: float, support: int, reach: int, least_share: float
+) -> DataFrame:
     """term, a: the terms that reveal some entity by corpus statistics, with the most they disclose of any.
 
     disclosure = PMI(term; entity) / IC(entity), the share of the entity's information that the term gives
     away: PMI = log2(p(term | context of the entity) / p(term)) and IC = -log2 p(entity), all per context
     window, p(term) from the counts of every word of every document. Evidence from fewer than `support`
-    different contexts counts for nothing; copies of a context are one.
+    different contexts counts for nothing; copies of a context are one. A term of which less than least_share of all
+    places, copies included, are in the entity's contexts does not point to it: it is a word of the language.
     """
     words = texts.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0))).alias("term"))
     counts = words.groupBy("term").agg(F.count("*").alias("tf"))
-    pairs = near.select("ent", F.explode("words").alias("term")).groupBy("ent", "term").agg(F.count("*").alias("both"))
+    pairs = near.select("ent", "n", F.explode("words").alias("term")).groupBy("ent", "term")
+    pairs = pairs.agg(F.count("*").alias("both"), F.sum("n").alias("beside"))
     contexts = near.groupBy("ent").agg(F.count("*").alias("seen"))
     held = pairs.filter(F.col("both") >= support).join(contexts, "ent").join(counts, "term", "left")
+    held = held.filter(F.col("beside") >= least_share * F.coalesce("tf", F.lit(0)))
     # All windows of the corpus are its code points over the width of a context, which is three tiles.
     windows = texts.agg(F.greatest(F.sum(F.length("text").cast("double")) / (3.0 * reach), F.lit(1.0)).alias("windows"))
     p = held.crossJoin(F.broadcast(windows))  # one row
@@ -219,11 +225,13 @@ def term_places(texts: DataFrame, terms: DataFrame, alternatives: int = 64) -> D
     return marked.groupBy("row").agg(F.sort_array(F.collect_set(place)).alias("more"))
 
 
-def find_personal_data(docs: DataFrame, threshold: float = 0.8, support: int = 2, reach: int = REACH) -> DataFrame:
+def find_personal_data(
+    docs: DataFrame, threshold: float = 0.6, support: int = 2, reach: int = REACH, least_share: float = 0.1
+) -> DataFrame:
     """doc_id, th (hash of the text), spans: sorted array of (s, k, e, a) for every row of docs.
 
     Base spans stay as the patterns find them. Terms (k = 4) that disclose an entity with at least threshold, by the
-    words about its spans, are added at all their places in all documents that no base span covers: a, the largest
+    words about its spans, and that have least_share of their places about it, are added at all their places in all documents that no base span covers: a, the largest
     disclosure of the term, is then not null. Beside an e-mail address a word begins where the address ends. Null texts
     are empty. Rows that repeat are found alike. An empty table gives an empty result. Work is in proportion to
     the text and, but for a factor of about the cube root in working out places, to the matches in it.
@@ -234,7 +242,7 @@ def find_personal_data(docs: DataFrame, threshold: float = 0.8, support: int = 2
     scan = docs.select("doc_id", th.alias("th"), key, text.alias("text"), base_spans(text).alias("spans"))
     scan = materialize(scan.withColumn("text", F.when(F.size("spans") > 0, F.col("text"))))
     near = materialize(context_terms(scan.filter("text IS NOT NULL").select("row", "text", "spans"), reach))
-    terms = materialize(disclosing_terms(docs.select(text.alias("text")), near, threshold, support, reach))
+    terms = materialize(disclosing_terms(docs.select(text.alias("text")), near, threshold, support, reach, least_share))
     per_doc = term_places(docs.select(key, without_emails(text).alias("text")), terms)
     none = F.lit(None).cast("double")
     plain = lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"), none.alias("a"))
