@@ -58,6 +58,36 @@ def test_toxicity_odd(odd, none, spark):
     assert toxicity.score_toxicity(none, chain).count() == 0
 
 
+def test_chain_passes_probabilities_on():
+    """Forward pass and out-of-fold inputs against plain loops."""
+    g = np.random.default_rng(2)
+    texts = [" ".join(g.choice(["vile", "scum", "rose", "lake", "tree", "moss"], 6)) for _ in range(60)]
+    y = np.array([["scum" in t, "vile" in t] for t in texts]).astype(int)
+    chain = toxicity.Chain(["a", "b"], [b"vile", b"scum"])
+    x, fold = chain.features(texts), np.arange(60) % 5
+    other = toxicity.Chain(["a", "b"], [b"rose", b"lake", b"scum"]).features(texts)
+    chain.fit(x, y, fold, [x, other, x, other, x])
+    out = np.zeros(60)
+    for f in range(5):
+        own = other if f % 2 else x
+        w = toxicity.fit_logistic(own[fold != f], y[fold != f, 0].astype(float), 0.2)
+        for i in np.flatnonzero(fold == f):
+            out[i] = 1 / (1 + math.exp(-min(30, max(-30, own[i] @ w[:-1] + w[-1]))))
+    assert np.allclose(chain.weights[1], toxicity.fit_logistic(np.hstack([x, out[:, None]]), y[:, 1].astype(float), 0.2))
+    for t, p in zip(texts, chain.predict(texts), strict=True):
+        v = chain.features([t])[0]
+        one = 1 / (1 + math.exp(-(v @ chain.weights[0][:-1] + chain.weights[0][-1])))
+        two = 1 / (1 + math.exp(-(v @ chain.weights[1][:-2] + one * chain.weights[1][-2] + chain.weights[1][-1])))
+        assert np.allclose(p, [one, two])
+
+
+def test_telling_words_leave_the_fold_out(spark):
+    rows_ = [(i % 2, [int(i < 20)], ["both"] + (["bad"] if i < 20 else []) + (["even"] if i < 20 and i % 2 == 0 else [])) for i in range(200)]
+    df = spark.createDataFrame([(f, y, [w.encode() for w in ws]) for f, y, ws in rows_], "fold int, y array<int>, words array<binary>")
+    got = toxicity.telling_words(df, 2, 1, 10, 3)
+    assert set(got[0]) == {b"bad"} and set(got[1]) == {b"bad", b"even"} and set(got[2]) == {b"bad", b"even"}
+
+
 # 2 mixing
 
 def brute_targets(sizes, cap=3):
@@ -158,6 +188,36 @@ def test_language_id_odd(odd, none):
     assert b"".join(w[: language_id.STEP].tobytes() for w in x[owner == 0]).rstrip(b"\0")[: len(whole)] == whole[: language_id.STEP * (owner == 0).sum()]
 
 
+def test_network_forward_pass():
+    """Embedding, filters of three widths, max, rectifier and softmax against plain loops over bytes."""
+    net = language_id.ByteConvNet(["a", "b", "c"], seed=1)
+    net.bias = np.linspace(-0.5, 0.5, len(net.bias)).astype(np.float32)
+    x, _, _ = language_id.windows_of(["Plain words, and more of them. " * 9, "été"])
+    got = net.predict(x)
+    for window, p in zip(x, got, strict=True):
+        h = np.zeros(language_id.FILTERS * 3)
+        for f in range(len(h)):
+            width = language_id.WIDTHS[f // language_id.FILTERS]
+            at = [
+                sum(float(net.embed[window[i + j]] @ net.conv[j * language_id.EMBED : (j + 1) * language_id.EMBED, f]) for j in range(width))
+                for i in range(language_id.STEP)
+            ]
+            h[f] = max(0.0, max(at) + float(net.bias[f]))
+        z = np.exp(h @ net.out + net.out_bias)
+        assert np.allclose(p, z / z.sum(), atol=1e-4)
+
+
+def test_language_is_learned_from_rows_that_share_an_id(spark):
+    """Rows without a doc_id and rows of one doc_id teach row by row; a hundred languages are all classes; copies do not break the bound."""
+    text = {f"l{i:03d}": " ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26)}{chr(97 + (i * 7 + j) % 26)}" for j in range(60)) for i in range(100)}
+    rows_ = [(None if k % 2 else 8, f"{t} {k}", lang) for lang, t in text.items() for k in range(4)] + [(None, "same same", "l000")] * 50
+    df = spark.createDataFrame(rows_, "doc_id long, text string, lang string")
+    net = language_id.train(df, per_language=10)
+    assert net.classes == sorted(text)
+    one = spark.createDataFrame([(8, "same same", "x")] * 30, "doc_id long, text string, lang string")
+    assert {r["lang_pred"] for r in language_id.identify(one, per_language=5).collect()} == {"x"}
+
+
 # 5 nearest neighbours
 
 def brute_nearest(v, k=5):
@@ -187,13 +247,41 @@ def test_nearest_odd(spark):
     other = [(i, [float(x) for x in g.normal(size=4)]) for i in range(1, 40)]
     df = spark.createDataFrame(bad + same + other + same[:1], "vec_id long, embedding array<float>")
     got = rows(ann.nearest(df, F.col("vec_id") % 50 == 0).orderBy("query_id", "rank"))
-    want = brute_nearest({i: np.array(v, dtype=np.float32) for i, v in same + other})
+    want = brute_nearest({i: np.array(v, dtype=np.float32) for i, v in same + other}) | brute_nearest({350: np.array([1.0, 2.0])})
     assert [(q, i) for q, _, i, _ in got] == [(q, i) for q in sorted(want) for i, _ in want[q]]
     assert ann.nearest(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
     few = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<float>")
     assert [r[:3] for r in rows(ann.nearest(few, F.col("vec_id") % 50 == 0))] == [(0, 1, 1)]
 
 
+def test_nearest_ties_and_lengths(spark):
+    """Equal cosines go to the smaller ids, however many tie; each length is searched on its own."""
+    g = np.random.default_rng(12)
+    base = g.normal(size=8).astype(np.float32)
+    tied = [(i, [float(x) for x in base * np.float32(2.0) ** (i % 20)]) for i in range(49, 0, -1)]
+    asks = [(0, [float(x) for x in base + g.normal(size=8) * 0.1])]
+    rest = [(i, [float(x) for x in g.normal(size=8)]) for i in range(101, 300)]
+    short = [(i, [float(x) for x in g.normal(size=3)]) for i in range(1000, 1060)] + [(1100, [1.0])]
+    df = spark.createDataFrame(asks + tied + rest + short, "vec_id long, embedding array<float>")
+    got = rows(ann.nearest(df, F.col("vec_id") % 50 == 0).orderBy("query_id", "rank"))
+    assert [i for q, _, i, _ in got if q == 0] == [1, 2, 3, 4, 5]
+    for part in (asks + tied + rest, short[:-1]):
+        want = brute_nearest({i: np.array(v, dtype=np.float32) for i, v in part})
+        assert {q: [i for a, _, i, _ in got if a == q] for q in want} == {q: [i for i, _ in w] for q, w in want.items()}
+    assert not any(q == 1100 for q, *_ in got)
+
+
+def test_shards_hold_every_leaf():
+    counts = {0: 5, 1: 9000, 2: 1, 4: 2048, 5: 2000}
+    got = ann.shards_of(counts, 7, 2048)
+    rows_of = Counter()
+    for leaf, s in got.items():
+        for x in s:
+            rows_of[x] += math.ceil(counts.get(leaf, 0) / len(s))
+    assert len(got) == 7 and len(got[1]) == 5 and max(rows_of.values()) <= 2048
+    assert not set(got[1]) & {x for leaf, s in got.items() if leaf != 1 for x in s}
+
+
 # 6 compression bands
 
 def brute_measures(t):

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import map_text
@@ -106,39 +106,45 @@ class ByteConvNet:
                     setattr(self, k, (getattr(self, k) - rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32))
 
 
-def train(docs: DataFrame, per_language: int = 1200, max_languages: int = 200, windows_each: int = 2) -> ByteConvNet | None:
-    """A network learned from a bounded sample: about per_language documents of each of the
-    max_languages most frequent languages, windows_each windows of each document.
+def train(docs: DataFrame, per_language: int = 1200, windows_each: int = 2) -> ByteConvNet | None:
+    """A network learned from a bounded sample: at most per_language documents of every language, windows_each windows
+    of each, spread over its text.
 
-    Only text and lang of rows with both and with a doc_id that is not held out are used. None if there are none.
+    Documents are drawn by a hash of doc_id and text, so rows that share or lack a doc_id are drawn one by one.
+    Only text and lang of rows with both that are not held out are used. The driver gets the windows drawn, which the
+    two bounds and the number of languages limit. None if there are no such rows.
     """
-    usable = docs.filter(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    rows = usable.select("doc_id", "text", "lang").filter(F.col("text").isNotNull())
-    # Counts only set the share to draw, so texts need not be read for them.
-    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()}
+    usable = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
+    rows = usable.select("lang", "text", F.xxhash64(F.lit("sample"), "doc_id", "text").alias("h"))
+    # Counts only set the share to draw: one row per language.
+    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return None
-    share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, 1.1 * per_language / n)))])
-    drawn = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30)
 
     def make():
         def run(texts: list) -> dict:
             x, owner, _ = windows_of(texts)
             first = np.searchsorted(owner, np.arange(len(texts)))
             many = np.bincount(owner, minlength=len(texts))
-            return {"windows": [[x[f + j * n // windows_each].tobytes() for j in range(min(windows_each, n))] for f, n in zip(first, many, strict=True)]}
+            picked = lambda f, n: [x[f + j * n // windows_each].tobytes() for j in range(min(windows_each, n))]
+            return {"windows": [picked(f, n) for f, n in zip(first, many, strict=True)]}
 
         return run
 
-    got = map_text(rows.filter(drawn), make, "windows array<binary>", keep=("lang", "doc_id")).orderBy(F.xxhash64("doc_id"), "doc_id").toArrow()
-    classes, seen, x, y = sorted(counts), {}, [], []
+    def drawn(factor: float):
+        share = [x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, factor * per_language / n)))]
+        some = rows.filter(F.pmod("h", F.lit(1 << 30)) < F.create_map(*share)[F.col("lang")] * (1 << 30))
+        got = map_text(some, make, "windows array<binary>", keep=("lang", "h"))
+        nth = Window.partitionBy("lang").orderBy("h", "windows")  # a little over per_language rows each
+        return got.withColumn("n", F.row_number().over(nth)).filter(F.col("n") <= per_language).orderBy("h", "lang", "windows").toArrow()
+
+    got = drawn(1.1)
+    if not got.num_rows:  # few rows, or copies of few
+        got = drawn(float("inf"))
+    classes, x, y = sorted(counts), [], []
     for lang, windows in zip(got["lang"].to_pylist(), got["windows"].to_pylist(), strict=True):
-        seen[lang] = seen.get(lang, 0) + 1
-        if seen[lang] <= per_language:
-            x += windows
-            y += [classes.index(lang)] * len(windows)
-    if not x:
-        return None
+        x += windows
+        y += [classes.index(lang)] * len(windows)
     net = ByteConvNet(classes)
     net.fit(np.frombuffer(b"".join(x), dtype=np.uint8).reshape(-1, WINDOW), np.array(y))
     return net
