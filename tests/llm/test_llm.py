@@ -127,7 +127,7 @@ def test_mixing_rows_are_in_position_order(spark, odd, none):
     assert mixing.mix_documents(none).count() == 0
     got = mixing.mix_documents(odd)
     assert got.columns == odd.columns
-    plan = mixing.plan_curriculum(odd.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size")), len(ODD))
+    plan = mixing.plan_curriculum(odd.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"), mixing.text_digest(F.col("text")).alias("th")), len(ODD))
     assert got.count() == plan.agg(F.sum("copies")).first()[0]
     x = spark.range(101).select((F.col("id") / 100).alias("u"))
     for i, knots in enumerate(mixing.SCHEDULES):
@@ -164,6 +164,9 @@ def test_line_dedup_small(spark, odd, none):
     assert got == brute_lines(t) and got[2] == "x\n\ny" and got[3] == "q"
     out = line_dedup.dedup_lines(odd)
     assert out.columns == [*odd.columns, "line_dedup"] and out.count() == len(ODD) and line_dedup.dedup_lines(none).count() == 0
+    clash = odd.withColumn("line_dedup", F.lit(1))
+    assert line_dedup.dedup_lines(clash).columns == [*clash.columns, "line_dedup_"]
+    assert line_dedup.keep_new_lines(clash).columns == clash.columns
 
 
 # 4 language ID
@@ -630,3 +633,19 @@ def test_bands_reject_repetition_and_noise(spark):
     loop = "\n".join(f"{same[i % 3]} {prose(1)}" for i in range(400))
     df = spark.createDataFrame([(1, prose(200)), (2, prose(3000)), (3, noise), (4, loop)], "doc_id long, text string")
     assert {r["doc_id"]: r["kept"] for r in compression.compression_quality(df).collect()} == {1: True, 2: True, 3: False, 4: False}
+
+
+def test_addresses_of_four_numbers_have_no_parents(spark):
+    hosts = ["1.2.3.4", "a.b.example.org", "org", ""]
+    got = spark.createDataFrame([(h,) for h in hosts], "h string").select(url_filter.domain_keys(F.col("h")).alias("k")).collect()
+    assert [r["k"] for r in got] == [["1.2.3.4"], ["a.b.example.org", "b.example.org", "example.org"], ["org"], [""]]
+
+
+def test_rows_without_an_id_spread_over_buckets(spark):
+    """Mixing and packing deal rows by what they hold, not by doc_id alone."""
+    df = spark.createDataFrame([(None, f"word {i}", "s") for i in range(400)], "doc_id long, text string, source string")
+    sizes = df.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"), mixing.text_digest(F.col("text")).alias("th"))
+    plan = mixing.mix_sizes(sizes, 400)
+    assert plan.agg(F.sum("taken")).first()[0] == 800 and plan.select("position").distinct().count() == 400
+    packed = packing.pack_documents(df, queries.tokenizer_path())
+    assert packed.count() == 400 and packed.groupBy("sequence_id", "offset").count().filter("count > 1").count() == 0

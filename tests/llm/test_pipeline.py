@@ -5,7 +5,8 @@ from collections import Counter
 import pytest
 
 import corpus_pipeline
-from tests.llm.test_llm import ODD, SCHEMA, brute_components, brute_lines, brute_pieces, brute_print, brute_targets, gapless
+from tests.llm.test_llm import ODD, SCHEMA, brute_lines, brute_pieces, brute_targets, gapless
+from tests.llm.test_similar import brute_kept
 from threadloom.llm import language_id
 from threadloom.llm.common import WORD, materialize  # noqa: F401
 from threadloom.llm.queries import pipeline, tokenizer_path  # noqa: F401
@@ -23,15 +24,14 @@ def test_stages(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     kept = materialize(stages["language ID"](spark, docs, sf))
     said = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.identify(docs).collect()}
-    assert set(texts(kept)) == {d for d, (p, s) in said.items() if p != "und" and s >= 0.3} and kept.columns == docs.columns
+    assert set(texts(kept)) == {d for d, (p, s) in said.items() if p != "und" and s >= 0.5} and kept.columns == docs.columns
     lines = materialize(stages["line dedup"](spark, kept, sf))
     want = brute_lines(texts(kept))
     old = texts(kept)
     assert texts(lines) == {d: t for d, t in want.items() if t.strip(" ") or t == old[d]} and lines.columns == docs.columns
     assert all(r["n_chars"] == len(r["text"]) for r in lines.collect())
     unique = materialize(stages["SimHash near-dedup"](spark, lines, sf))
-    prints = {d: brute_print(t, 5) for d, t in texts(lines).items()}
-    assert set(texts(unique)) == set(brute_components(prints).values()) and unique.columns == docs.columns
+    assert set(texts(unique)) == brute_kept(texts(lines))[0] and unique.columns == docs.columns
     mixed = materialize(stages["mixing"](spark, unique, sf))
     size = {r["doc_id"]: (r["source"], len(re.findall(WORD, r["text"]))) for r in unique.collect()}
     per = Counter()

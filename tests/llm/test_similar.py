@@ -8,7 +8,7 @@ from threadloom.llm import near_duplicates
 
 
 def shingles(text):
-    w = text.lower().split()
+    w = (text or "").lower().split()
     return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
 
 

@@ -21,13 +21,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or the warehouse where that is unset."""
+    """The folder that all executors share: spark.checkpoint.dir, or the context's checkpoint folder.
+
+    Where neither is set, the warehouse serves if it is in a store of its own or all executors run in this process,
+    as in tests; on a cluster a folder of one machine is refused.
+    """
+    context = spark.sparkContext._jsc.sc()
     base = spark.conf.get("spark.checkpoint.dir", None)
-    return base or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
+    if not base and context.getCheckpointDir().isDefined():
+        base = context.getCheckpointDir().get()
+    if base:
+        return base.rstrip("/")
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    local = warehouse.startswith(("/", "file:")) or "://" not in warehouse
+    if local and not context.isLocal():
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return warehouse + "/_shared"
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back.
+    """stored() for tables that live as long as the application."""
+    return stored(df)[0]
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a stored table that nothing reads any more."""
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+
+
+def stored(df: DataFrame) -> tuple[DataFrame, str]:
+    """Write df as Parquet into the shared folder and read it back: the table and its path.
 
     This cuts the lineage: a lost executor costs a re-read, not a re-run. The
     files go when the application ends. A re-read table has no known
@@ -38,7 +62,7 @@ def materialize(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def worker_cache(name: str) -> dict:

@@ -41,11 +41,14 @@ def repeated_lines(docs: DataFrame, width: int = 3) -> DataFrame:
 
 def dedup_lines(docs: DataFrame, width: int = 3, report: str = "line_dedup") -> DataFrame:
     """Columns of docs, with text without its repeated lines and n_chars to match (if there is one), then a struct
-    with n_lines, n_removed and removed (line numbers), called `report`: line_dedup unless docs has such a column.
+    with n_lines, n_removed and removed (line numbers), called `report`, with underscores added where docs has such
+    a column.
 
-    Rows that repeat a doc_id and its text count as one occurrence: they keep and lose
+    Rows that repeat a doc_id (or lack one) and its text count as one occurrence: they keep and lose
     the same lines. Null texts stay null. A text that loses all lines becomes empty; the row stays.
     """
+    while report in docs.columns:
+        report += "_"
     # Where many documents share lines, this side grows with the corpus; a merge join moves each text once at any size.
     gone = materialize(repeated_lines(docs, width)).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), "gone").hint("merge")
     row = docs.select(F.struct("*").alias("row"))
@@ -64,7 +67,7 @@ def dedup_lines(docs: DataFrame, width: int = 3, report: str = "line_dedup") ->
 
 def keep_new_lines(docs: DataFrame, width: int = 3) -> DataFrame:
     """docs without repeated lines; a text that loses all of its lines has nothing left, and its row goes. Null and empty texts stay."""
-    report = "line_dedup" + "_" * max(map(len, docs.columns))
-    done = dedup_lines(docs, width, report)
+    done = dedup_lines(docs, width)
+    report = done.columns[-1]
     gone = (F.length(F.trim("text")) == 0) & (F.col(report)["n_removed"] > 0)
     return done.filter(~F.coalesce(gone, F.lit(False))).drop(report)

@@ -18,6 +18,10 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.size(F.regexp_extract_all(text, F.lit(f"({WORD})"))), F.lit(0)).cast("long")
 
 
+def text_digest(text: Column) -> Column:
+    return F.md5(F.coalesce(text, F.lit("")))
+
+
 def source_targets(sizes: DataFrame, share: float = 1.0, cap: int = 3, weights: tuple = WEIGHTS) -> DataFrame:
     """g, source, source_size, nth (class of weight), target; one row per source.
 
@@ -63,14 +67,15 @@ def invert_demand(knots: Column, u: Column) -> Column:
 
 
 def plan_curriculum(docs: DataFrame, n_docs: int, share: float = 1.0, cap: int = 3, weights: tuple = WEIGHTS, schedules: tuple = SCHEDULES) -> DataFrame:
-    """docs (with row struct `row`, doc_id, source, size) + source_size, target, copies and positions (array of double, one per copy).
+    """docs (with doc_id, source, size, th: a hash of the text, as text) + source_size, target, copies and positions (array of double, one per copy).
 
-    A source's documents stand in a line in hash order and the line repeats; a
+    A source's documents stand in a line in the order of a hash of doc_id and th, so rows that share or lack a
+    doc_id spread too; rows equal in both may swap places, which changes no count. The line repeats; a
     copy is taken while its middle lies within the target, so what is taken differs
     from the target by half a document at most. The middle, as a share of the target,
     is the demand at which the copy is due; inverting the schedule's integral gives its position.
     """
-    h = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    h = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("/"), F.col("th")))
     keyed = docs.withColumn("g", text_key(F.col("source"))).withColumn("h", h).withColumn("b", hash_bucket(F.col("h"), n_docs))
     targets = source_targets(docs.groupBy("source").agg(F.sum("size").alias("size")), share, cap, weights).drop("source")
     line = running_offsets(keyed, "g", "b", ["h", "doc_id", "size"], "size", "start", targets)
@@ -80,16 +85,16 @@ def plan_curriculum(docs: DataFrame, n_docs: int, share: float = 1.0, cap: int =
     knots = F.element_at(_schedule_column(schedules), (F.col("nth") + 1).cast("int"))
     due = lambda i: invert_demand(F.col("knots"), (middle + i * F.col("source_size")) / F.col("target"))
     placed = line.withColumn("copies", copies).withColumn("knots", knots)
-    return placed.withColumn("positions", F.when(F.col("copies") > 0, F.transform(F.sequence(F.lit(0), F.col("copies") - 1), due)).otherwise(F.array().cast("array<double>"))).drop("g", "b", "h", "nth", "knots", "start")
+    return placed.withColumn("positions", F.when(F.col("copies") > 0, F.transform(F.sequence(F.lit(0), F.col("copies") - 1), due)).otherwise(F.array().cast("array<double>"))).drop("g", "b", "h", "th", "nth", "knots", "start")
 
 
 def mix_sizes(sizes: DataFrame, n_docs: int, **settings) -> DataFrame:
-    """doc_id, source, size -> doc_id, size, source_size, target, taken, copies, position (of the first copy), range-sorted by position.
+    """doc_id, source, size, th -> doc_id, size, source_size, target, taken, copies, position (of the first copy), range-sorted by position.
 
     A null source is a source of its own; documents without words have size 0 and are never
     taken; rows that repeat a doc_id are documents of their own. An empty table gives an empty one.
     """
-    got = plan_curriculum(sizes.select("doc_id", "source", "size"), n_docs, **settings)
+    got = plan_curriculum(sizes.select("doc_id", "source", "size", "th"), n_docs, **settings)
     out = got.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", F.round(F.try_element_at("positions", F.lit(1)), 9).alias("position"))
     return out.repartitionByRange(F.col("position").asc_nulls_last(), F.col("doc_id")).sortWithinPartitions(F.col("position").asc_nulls_last(), "doc_id")
 
@@ -99,7 +104,7 @@ def mix_documents(docs: DataFrame, **settings) -> DataFrame:
 
     Columns are those of docs. Documents that are not taken, as the targets have no room for them, are left out.
     """
-    rows = docs.select(F.struct("*").alias("row"), "doc_id", "source", word_count(F.col("text")).alias("size"))
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", "source", word_count(F.col("text")).alias("size"), text_digest(F.col("text")).alias("th"))
     got = plan_curriculum(rows, docs.count(), **settings)
     at = got.select("row", F.explode("positions").alias("position"))
     return at.repartitionByRange("position", "row.doc_id").sortWithinPartitions("position", "row.doc_id").select("row.*")

@@ -8,7 +8,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_text, materialize, text_key
+from .common import discard, map_text, materialize, stored, text_key
 
 
 def shingle_hashes(shingle: int):
@@ -111,30 +111,30 @@ def close_links(points: DataFrame, distance: int = 2, blocks: int = 4, crowd: in
     return pairs.union(stars).distinct()
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(node, root): the smallest node of each connected component, for nodes of links (a, b).
 
     Large-star and small-star steps in turn; each round is a join and a grouping on a
-    table written to the shared folder, until nothing changes. Depth falls by a constant factor a round.
+    table written to the shared folder, until nothing changes. Depth falls by a constant factor a round. A round's
+    tables go as soon as the next one has read them.
     """
     def mark(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
 
-    edges = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    last = mark(edges)
-    for _ in range(rounds):
+    spark = links.sparkSession
+    edges, path = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    last, before = mark(edges), None
+    while before != last:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.struct("u").alias("k"), F.least("u", "m").alias("m"))
         large = both.filter("v > u").select(F.struct("u").alias("k"), "v").join(low, "k").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        large = materialize(large)
+        large, middle = stored(large)
         low = large.groupBy("u").agg(F.min("v").alias("m")).select(F.struct("u").alias("k"), "m")
         step = large.select(F.struct("u").alias("k"), "v").join(low, "k").select(F.explode(F.array("v", "k.u")).alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        edges = materialize(step)
-        before, last = last, mark(edges)
-        if before == last:
-            break
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
+        edges, after = stored(step)
+        discard(spark, path)
+        discard(spark, middle)
+        path, before, last = after, last, mark(edges)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 

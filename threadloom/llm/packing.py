@@ -269,10 +269,11 @@ def place_maker(runs: list[tuple]):
     return run
 
 
-def pack(rows: DataFrame, capacity: int = 4096, key: tuple[str, ...] = ("doc_id", "piece")) -> DataFrame:
+def pack(rows: DataFrame, capacity: int = 4096, key: tuple[str, ...] = ("doc_id", "piece", "ids_crc32")) -> DataFrame:
     """rows (with length, 1 to capacity) + sequence_id, offset: as few sequences of at most capacity as the method finds.
 
-    Offsets are gapless from 0. Rows equal in key and length may swap places; nothing else depends on
+    Offsets are gapless from 0. Buckets are dealt by the hash of key, which tells rows that share or lack a doc_id
+    apart by what they hold. Rows equal in key and length may swap places; nothing else depends on
     the order of the input. rows should be a stored table: it is read twice. An empty table gives an empty one.
     """
     histogram = {r["length"]: r["n"] for r in rows.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most capacity rows

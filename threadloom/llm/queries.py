@@ -27,14 +27,15 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    sizes = materialize(docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size")))
+    size, th = mixing.word_count(F.col("text")).alias("size"), mixing.text_digest(F.col("text")).alias("th")
+    sizes = materialize(docs.select("doc_id", "source", size, th))
     return mixing.mix_sizes(sizes, sizes.count())
 
 
 OP2 = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-    md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+    md5(coalesce(CAST(doc_id AS VARCHAR), '') || '/' || md5(coalesce(text, ''))) AS h FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 n AS (SELECT *, [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3) + 1] AS w, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3) AS nth FROM s),
 f AS (SELECT *, source_size * 3 / w::DOUBLE AS fill, sum(source_size) OVER ()::BIGINT AS total, coalesce('=' || source, '') AS g FROM n),

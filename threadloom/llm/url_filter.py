@@ -16,9 +16,9 @@ def host_of(url: Column) -> Column:
 
 
 def domain_keys(host: Column) -> Column:
-    """The host and its parent domains of two labels or more."""
+    """The host and its parent domains of two labels or more; an address of four numbers has no parents."""
     labels = F.split(host, r"\.")
-    last = F.greatest(F.size(labels) - 1, F.lit(1))
+    last = F.when(host.rlike("^[0-9.]+$"), 1).otherwise(F.greatest(F.size(labels) - 1, F.lit(1)))
     return F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
 
 
@@ -85,7 +85,7 @@ WITH h AS (
     coalesce(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '\.$', ''), '') AS host
   FROM pages),
 k AS (
-  SELECT page_id, url, day, unnest(list_transform(range(1, greatest(len(string_split(host, '.')) - 1, 1) + 1),
+  SELECT page_id, url, day, unnest(list_transform(range(1, CASE WHEN regexp_matches(host, '^[0-9.]+$') THEN 2 ELSE greatest(len(string_split(host, '.')) - 1, 1) + 1 END),
     lambda i: array_to_string(string_split(host, '.')[i:], '.'))) AS key
   FROM h),
 d AS (SELECT key, md5(key) AS m FROM (SELECT DISTINCT key FROM k WHERE key <> '')),
