@@ -84,17 +84,27 @@ def test_components_that_share_an_id_stay_apart(spark):
         assert drop(df).count() == 3
 
 
-def test_prefixes_share_as_many_as_the_bound_says(spark):
+def test_parity_maps_turn_no_similar_pair_away(spark):
+    """Sets of all sizes, about the widths' borders too: what has the similarity passes, and most of what has not does not."""
     from fractions import Fraction
 
     from pyspark.sql import functions as F
 
-    t = Fraction(4, 5)
-    sizes = [(n, m) for n in range(1, 80) for m in range(n, n * 5 // 4 + 1)]
-    df = spark.createDataFrame(sizes, "n int, m int").withColumn("r", near_duplicates._shared_at_least(F.col("n"), F.col("m"), t))
-    prefix = lambda k: k - -(-k * 4 // 5) + 1
-    for n, m, r in (tuple(x) for x in df.collect()):
-        both = -(-(n + m) * 4 // 9)
-        assert r >= 1
-        # The worst order: all that only one of them has comes first.
-        assert r == min(max(prefix(n) - (n - both), 0), max(prefix(m) - (m - both), 0), both)
+    g = np.random.default_rng(3)
+    least, rows, truth = Fraction(4, 5), [], []
+    wide = lambda n: 8 * 4 ** sum(n > 1000 * 4**i for i in range(4))
+    for n in (1, 2, 5, 30, 300, 900, 1000, 1001, 1200, 3900, 4100, 9000):
+        for keep in (1.0, 0.95, 0.9, 0.89, 0.885, 0.8, 0.5, 0.0):
+            a = g.integers(-(2**63), 2**63 - 1, n)
+            b = np.concatenate([a[: int(n * keep)], g.integers(-(2**63), 2**63 - 1, n - int(n * keep))])
+            a, b = np.unique(a), np.unique(b)
+            both = len(np.intersect1d(a, b))
+            truth.append(5 * both >= 4 * (len(a) + len(b) - both))
+            side = lambda s: (len(s), near_duplicates.parity_map(s, wide(len(s))).tolist())
+            rows.append((len(truth) - 1, side(a), side(b)))
+            rows.append((len(truth) - 1, side(a), (len(b), near_duplicates.parity_map(b, 4 * wide(len(b))).tolist())))
+    one = "struct<n:int,parity:array<long>>"
+    df = spark.createDataFrame(rows, f"i int, x {one}, y {one}").select("i", near_duplicates._alike(F.col("x"), F.col("y"), least).alias("ok"))
+    got = df.collect()
+    assert all(r["ok"] for r in got if truth[r["i"]])
+    assert sum(r["ok"] for r in got if not truth[r["i"]]) <= 0.35 * sum(not truth[r["i"]] for r in got)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from fractions import Fraction
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
@@ -204,9 +205,22 @@ def _set_maker(shingle: int):
     return make
 
 
+#: Longs of the narrowest parity map, and the sets it is made for; four times the set takes four times the map.
+PARITY_LONGS, PARITY_SET = 8, 1000
+
+
+def parity_map(hashes, n_longs: int):
+    """Bit i tells whether an odd number of the hashes leave the remainder i. Two maps differ in no more bits than
+    their sets differ in elements, whatever the width; a wide map folds to a narrow one by the exclusive or of its parts."""
+    import numpy as np
+
+    odd = (np.bincount((hashes.view("<u8") % np.uint64(64 * n_longs)).astype(np.int64), minlength=64 * n_longs) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view("<i8")
+
+
 def _prefix_maker(shingle: int, least: Fraction, common: list[int]):
-    """f(texts) -> node, n (size of the shingle set) and pre, the first n - ceil(least * n) + 1 shingles in an order that all texts share:
-    by hash, but common shingles, given from the most frequent on, come last. Two sets of a Jaccard similarity of least share one of these."""
+    """f(texts) -> node, n (size of the shingle set), parity (its parity map) and pre, the first n - ceil(least * n) + 1 shingles in an order that
+    all texts share: by hash, but common shingles, given from the most frequent on, come last. Two sets of a Jaccard similarity of least share one of these."""
 
     def make():
         import numpy as np
@@ -225,9 +239,18 @@ def _prefix_maker(shingle: int, least: Fraction, common: list[int]):
                 rank = np.where(keys[at] == s, late[at], 0)
             return s[np.argsort(rank, kind="stable")[: n - -(-n * least.numerator // least.denominator) + 1]]
 
+        def parity(s):
+            width = PARITY_LONGS
+            while len(s) * PARITY_LONGS > PARITY_SET * width and width < PARITY_LONGS * 4**4:
+                width *= 4
+            return parity_map(s, width)
+
         def f(texts):
             got = sets(texts)
-            return {"node": got["node"], "n": [len(s) for s in got["h"]], "pre": [prefix(s) for s in got["h"]]}
+            return {
+                "node": got["node"], "n": [len(s) for s in got["h"]],
+                "parity": [parity(s) for s in got["h"]], "pre": [prefix(s) for s in got["h"]],
+            }
 
         return f
 
@@ -243,55 +266,57 @@ def common_shingles(docs: DataFrame, shingle: int, sample: int = 10_000, most: i
     return [r["h"] for r in counts.orderBy(F.desc("c"), "h").limit(most).collect()]
 
 
-def _alike(n: Column, m: Column, least: Fraction) -> Column:
-    """Whether sets of n and m shingles can reach the similarity."""
-    return F.least(n, m) * least.denominator >= F.greatest(n, m) * least.numerator
+def _folded(p: Column, size: Column) -> Column:
+    """A parity map of size longs, from one of that size or four times as large."""
+    quarter = lambda i: reduce(Column.bitwiseXOR, [F.get(p, i + k * size) for k in range(4)])
+    return F.when(F.size(p) == size, p).otherwise(F.transform(F.sequence(F.lit(0), size - 1), quarter))
 
 
-def _shared_at_least(n: Column, m: Column, least: Fraction) -> Column:
-    """How many prefix shingles two sets of that similarity share at least. They share `both` shingles, so n - both of the
-    one and m - both of the other can come before or between these; the rest of the shorter reach lies in both prefixes."""
-    up = lambda x, by: F.floor((x + by - 1) / by)
-    both = up((n + m) * least.numerator, least.numerator + least.denominator)
-    reach = lambda k: k - up(k * least.numerator, least.denominator) + 1 - (k - both)
-    return F.least(reach(n), reach(m))
+def _alike(x: Column, y: Column, least: Fraction) -> Column:
+    """Whether two sets (structs with n, parity) can have the similarity: by their sizes, and as the bits in which their
+    maps differ are at most the elements in which they do. Sets that have it are never turned away."""
+    n, m = x["n"], y["n"]
+    sizes = F.least(n, m) * least.denominator >= F.greatest(n, m) * least.numerator
+    size = F.least(F.size(x["parity"]), F.size(y["parity"]))
+    bits = F.zip_with(_folded(x["parity"], size), _folded(y["parity"], size), lambda a, b: F.bit_count(a.bitwiseXOR(b)))
+    differ = F.aggregate(bits, F.lit(0), lambda s, b: s + b)
+    # both >= (n + m) * least / (1 + least), and the difference is n + m - 2 * both
+    top, bottom = least.denominator - least.numerator, least.denominator + least.numerator
+    return sizes & (differ * bottom <= (n + m) * top)
 
 
 def similar_links(docs: DataFrame, points: DataFrame, shingle: int, least: Fraction, crowd: int = 64, hubs: int = 16) -> DataFrame:
     """Links (a, b), a < b, between nodes: enough of them to connect exactly what all pairs of a Jaccard similarity of least or more would connect.
 
-    docs: th, text. points: distinct node, th (of one text that has the set), n > 0, pre. Sets that share as many prefix shingles
-    as the similarity asks for are candidates, and every link is verified on the whole sets. Groups of more than crowd sets are first verified
-    against hubs of their sets, which is linear; then only pairs that no links connect yet are verified one by one.
+    docs: th, text. points: distinct node, th (of one text that has the set), n > 0, parity, pre. Sets that share a prefix shingle and whose
+    parity maps allow the similarity are candidates, and every link is verified on the whole sets. Groups of more than crowd sets first meet
+    hubs of their sets, which is linear; then only pairs that no links connect yet are tried one by one.
     """
-    rows = points.select(F.explode("pre").alias("h"), "node", "n")
+    rows = points.select(F.explode("pre").alias("h"), "node")
     counted = rows.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1")
     # A struct key hides the known partitioning, so both join sides are shuffled and AQE may split a hot key.
     shared = materialize(counted.select(F.struct("h").alias("k"), "c"))
-    tagged = materialize(rows.select(F.struct("h").alias("k"), "node", "n").join(shared, "k"))
-    small, crowded = tagged.filter(F.col("c") <= crowd), tagged.filter(F.col("c") > crowd).select("k", "node", "n")
-    later = F.filter("g", lambda x: (x["node"] > F.col("x.node")) & _alike(x["n"], F.col("x.n"), least))
+    tagged = rows.select(F.struct("h").alias("k"), "node").join(shared, "k").select("k", "c", F.struct("node").alias("at"))
+    of = points.select(F.struct("node").alias("at"), "n", "parity")
+    tagged = materialize(tagged.join(of, "at").select("k", "c", F.struct("at.node", "n", "parity").alias("x")))
+    small, crowded = tagged.filter(F.col("c") <= crowd), tagged.filter(F.col("c") > crowd).select("k", "x")
+    later = F.filter("g", lambda y: (y["node"] > F.col("x.node")) & _alike(F.col("x"), y, least))
     pairs = (
-        small.groupBy("k").agg(F.collect_list(F.struct("node", "n")).alias("g"))  # at most crowd entries each
+        small.groupBy("k").agg(F.collect_list("x").alias("g"))  # at most crowd entries each
         .select(F.explode("g").alias("x"), "g")
-        .select(F.col("x.node").alias("a"), F.col("x.n").alias("na"), F.explode(later).alias("y")).select("a", "na", F.col("y.node").alias("b"), F.col("y.n").alias("nb"))
+        .select(F.col("x.node").alias("a"), F.explode(F.transform(later, lambda y: y["node"])).alias("b"))
     )
-    met = materialize(pairs.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("met")).withColumn("need", _shared_at_least(F.col("na"), F.col("nb"), least)))
-    # What two sets share in crowded groups is not counted, so it counts as far as it can be.
-    busy = materialize(crowded.groupBy("node").agg(F.count("*").alias("c")))
-    busy_of = lambda c: busy.select(F.col("node").alias(c), F.col("c").alias(f"c{c}"))
-    unsure = met.filter("met < need").join(busy_of("a"), "a").join(busy_of("b"), "b").filter(F.col("met") + F.least("ca", "cb") >= F.col("need"))
-    pairs = met.filter("met >= need").select("a", "b").union(unsure.select("a", "b"))
-    nth = Window.partitionBy("k").orderBy(F.xxhash64("node"), "node")
-    hub = materialize(crowded.withColumn("i", F.row_number().over(nth)).filter(F.col("i") <= hubs).select("k", F.col("node").alias("hub"), F.col("n").alias("m")))
-    spokes = crowded.join(hub, "k").filter((F.col("node") != F.col("hub")) & _alike(F.col("n"), F.col("m"), least)).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
+    nth = Window.partitionBy("k").orderBy(F.xxhash64("x.node"), "x.node")
+    hub = materialize(crowded.withColumn("i", F.row_number().over(nth)).filter(F.col("i") <= hubs).select("k", F.col("x").alias("hub")))
+    near_hub = crowded.join(hub, "k").filter((F.col("x.node") != F.col("hub.node")) & _alike(F.col("x"), F.col("hub"), least))
+    spokes = near_hub.select(F.least("x.node", "hub.node").alias("a"), F.greatest("x.node", "hub.node").alias("b"))
     tried = materialize(pairs.union(spokes).distinct())
-    need = tried.select(F.col("a").alias("node")).union(tried.select("b")).union(crowded.select("node")).distinct()
-    hashes = materialize(points.select("node", "th").join(need, "node", "left_semi").select("th").distinct())
-    sets = map_text(docs.join(hashes, "th", "left_semi"), _set_maker(shingle), "node long, h array<long>", ("th",))
-    sets = materialize(sets.groupBy("node").agg(F.first("h").alias("h")))
 
     def verified(pairs: DataFrame) -> DataFrame:
+        need = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        hashes = materialize(points.select("node", "th").join(need, "node", "left_semi").select("th").distinct())
+        sets = map_text(docs.join(hashes, "th", "left_semi"), _set_maker(shingle), "node long, h array<long>", ("th",))
+        sets = materialize(sets.groupBy("node").agg(F.first("h").alias("h")))
         side = lambda c: sets.select(F.struct(F.col("node").alias(c)).alias("k"), F.col("h").alias(f"h{c}"))
         both = pairs.select(F.struct("a").alias("k"), "b").join(side("a"), "k").select(F.struct("b").alias("k"), F.col("k.a").alias("a"), "ha").join(side("b"), "k")
         met = both.select("a", F.col("k.b").alias("b"), (F.size("ha") + F.size("hb")).alias("n"), F.size(F.array_intersect("ha", "hb")).alias("m"))
@@ -301,14 +326,17 @@ def similar_links(docs: DataFrame, points: DataFrame, shingle: int, least: Fract
     if hub.isEmpty():
         return links
     roots = components(links)
-    named = materialize(crowded.join(roots, "node", "left").select("k", "node", "n", F.coalesce("root", "node").alias("root")))
+    named = crowded.join(roots, F.col("x.node") == F.col("node"), "left").select("k", "x", F.coalesce("root", "x.node").alias("root"))
+    named = materialize(named)
     # The largest component of a group needs no pairs of its own; what lies outside it meets the whole group.
     main = named.groupBy("k", "root").agg(F.count("*").alias("c")).groupBy("k").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("parts")).filter("parts > 1")
     loose = materialize(named.join(materialize(main.select("k", "main")), "k"))
-    x, y = loose.filter("root <> main").select("k", "node", "n", "root").alias("x"), loose.alias("y")
-    apart = (F.col("x.root") != F.col("y.root")) & ((F.col("y.root") == F.col("y.main")) | (F.col("x.node") < F.col("y.node"))) & _alike(F.col("x.n"), F.col("y.n"), least)
-    rest = x.join(y, (F.col("x.k") == F.col("y.k")) & apart).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-    return links.union(verified(rest.join(tried, ["a", "b"], "left_anti")))
+    x, y = loose.filter("root <> main").select("k", "x", "root").alias("p"), loose.alias("q")
+    apart = (F.col("p.root") != F.col("q.root")) & ((F.col("q.root") == F.col("q.main")) | (F.col("p.x.node") < F.col("q.x.node")))
+    met = x.join(y, (F.col("p.k") == F.col("q.k")) & apart & _alike(F.col("p.x"), F.col("q.x"), least))
+    rest = met.select(F.least("p.x.node", "q.x.node").alias("a"), F.greatest("p.x.node", "q.x.node").alias("b")).distinct()
+    rest = materialize(rest.join(tried, ["a", "b"], "left_anti"))
+    return links if rest.isEmpty() else links.union(verified(rest))
 
 
 def drop_similar(docs: DataFrame, shingle: int = 5, least: float = 0.8, crowd: int = 64, hubs: int = 16) -> DataFrame:
@@ -322,8 +350,8 @@ def drop_similar(docs: DataFrame, shingle: int = 5, least: float = 0.8, crowd: i
     bound = Fraction(least).limit_denominator(1000)
     marked = docs.select("doc_id", "text", _text_hash().alias("th"))
     maker = _prefix_maker(shingle, bound, common_shingles(marked, shingle))
-    prints = materialize(map_text(marked, maker, "node long, n int, pre array<long>", ("doc_id", "th")))
-    points = materialize(prints.filter("n > 0").groupBy("node").agg(F.min("th").alias("th"), F.first("n").alias("n"), F.first("pre").alias("pre")))
+    prints = materialize(map_text(marked, maker, "node long, n int, parity array<long>, pre array<long>", ("doc_id", "th")))
+    points = materialize(prints.filter("n > 0").groupBy("node").agg(F.min("th").alias("th"), F.first("n").alias("n"), F.first("parity").alias("parity"), F.first("pre").alias("pre")))
     found = components(similar_links(marked, points, shingle, bound, crowd, hubs)).select(F.struct("node").alias("k"), "root")
     rooted = prints.select("doc_id", "th", "node", F.struct("node").alias("k")).join(found, "k", "left")
     return _keep_first(docs, rooted.select("doc_id", "th", F.coalesce("root", "node").alias("root")))
