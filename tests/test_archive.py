@@ -237,3 +237,46 @@ def test_asset_scope_fails_closed(spark):
     for bad in ((("o", "u", "c", "d"), ("p", "v", "e", "d")), (("o", "u", "c", "d"), ("o", "u", "e", "d")), (("o", "u", "c", "lost"),)):
         with pytest.raises(ValueError):
             reports.asset_scope(m(*bad), inv)
+
+
+def test_visible_text_reads_both_encodings(spark):
+    """Han and Latin runs in UTF-8 and UTF-16LE, between bytes that are no text; noise and short runs stay out."""
+    import re
+
+    from threadloom.operators import library
+
+    han, latin = "项目会议的消息正文在这里写得很清楚", "meeting notes of the project, été"
+    rows = [
+        ("a", b"\xff\x00" + han.encode() + b"\x00\xfe" + latin.encode() + b"\x01"), ("b", (han + "\n" + latin).encode("utf-16-le")),
+        ("c", b"0123456789abcdef0123\x00short\x00" + b"z" * 40), ("d", b""), ("e", None),
+    ]
+    got = library.visible_text(spark.createDataFrame(rows, "path string, content binary")).collect()
+    utf8 = {(r.path, r.run) for r in got if r.encoding == "utf8"}
+    assert {("a", han), ("a", latin)} <= utf8 and not any(p in "cde" for p, _ in utf8)
+    assert {("b", han), ("b", latin)} <= {(r.path, r.run) for r in got if r.encoding == "utf16le"}
+    assert all(len(r.run) >= 12 and not re.search(r"[\n\x00]", r.run) for r in got)
+
+
+def test_search_in_scope(spark):
+    """Ids of first and last messages are found; scope holds for keywords, vectors and messages; ties go by conversation and from the last message back."""
+    from threadloom.operators import search
+
+    cols = "chunk_id string, conv_id string, first_uid string, last_uid string, sender_ids array<string>, start_time long, end_time long, last_sequence long, text string"
+    chunks = spark.createDataFrame([
+        ("z", "c1", "u1", "u4", ["a"], 0, 10, 4, "plan for spring"), ("y", "c1", "u4", "u9", ["b"], 10, 20, 9, "plan for autumn"),
+        ("x", "c2", "v1", "v2", ["a", "b"], 5, 15, 2, "nothing of it")], cols)
+    found = lambda q, **s: [r.chunk_id for r in search.exact_search(chunks, q, 5, **s).collect()]
+    assert found("u4") == ["y", "z"] and found("v2") == ["x"] and found("plan") == ["y", "z"] and found("plan", sender="a") == ["z"]
+    assert found("plan", after=15) == ["y"] and found("plan", before=5) == ["z"] and found("plan", conv="c2") == []
+    p = search.build_postings(chunks)
+    words = lambda **s: [r.chunk_id for r in search.keyword_search(chunks, p, "plan nothing", 5, **s).orderBy("rank").collect()]
+    assert words() == ["x", "y", "z"] and words(sender="b") == ["x", "y"] and words(conv="c1", before=5) == ["z"]
+    v = spark.createDataFrame([("z", [1.0, 0.0]), ("y", [0.8, 0.2]), ("x", [0.0, 1.0])], "chunk_id string, vector array<double>")
+    got, why = search.hybrid_search(chunks, p, "plan", 5, v, [1.0, 0.0], 2, conv="c1")
+    assert why is None and [r.chunk_id for r in got.collect()] == ["y", "z"]
+    assert search.hybrid_search(chunks, p, "plan", 5, v, [1.0], 2)[1] == "embedding_mismatch"
+    ranked = lambda ids: spark.createDataFrame([(i, n + 1) for n, i in enumerate(ids)], "chunk_id string, rank int")
+    assert [r.chunk_id for r in search.rrf([ranked("zx"), ranked("yx")], 5, chunks=chunks).collect()] == ["x", "y", "z"]
+    m = spark.createDataFrame([("c1", 1, "a", 5, "plan"), ("c1", 2, "b", 6, "plan"), ("c2", 1, "a", 9, "plan")], "conv_id string, canonical_seq long, sender string, occurred_at_epoch_s long, text string")
+    live = lambda **s: [(r.conv_id, r.canonical_seq) for r in search.live_search(m, "PLAN", 5, **s).collect()]
+    assert live() == [("c2", 1), ("c1", 2), ("c1", 1)] and live(sender="a", before=5) == [("c1", 1)] and live(conv="c1", after=6) == [("c1", 2)]

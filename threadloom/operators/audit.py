@@ -31,12 +31,42 @@ def audit_schema(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.sparkSession.createDataFrame([("schema-missing-column", 1, c) for c in missing], "code string, count long, detail string")
 
 
-def audit_run(receipt: DataFrame, messages: DataFrame) -> DataFrame:
-    """receipt: one row with status, discovered, parsed, deduplicated, excluded, messages."""
-    r = receipt.crossJoin(messages.agg(F.count("*").alias("have")))  # one row each
-    return _codes(r, {
-        "parse-run-record-count": F.col("discovered") != F.col("parsed") + F.col("deduplicated") + F.col("excluded"), "empty-output": F.col("have") == 0,
-        "parse-run-not-complete": F.col("status") != "complete", "parse-run-source-output-mismatch": F.col("parsed") != F.col("have"),
+def _totals(one: DataFrame, checks: dict[str, Column], detail: str = "facts") -> DataFrame:
+    """one: a single row. How many facts of each check are wrong there."""
+    rows = F.array(*[F.struct(F.lit(k).alias("code"), c.cast("long").alias("count")) for k, c in checks.items()])
+    return one.select(F.inline(rows)).filter("count > 0").withColumn("detail", F.lit(detail))
+
+
+def _wrong(*facts: Column) -> Column:
+    return reduce(lambda a, b: a + b, [F.coalesce(f, F.lit(True)).cast("int") for f in facts])
+
+
+RUN_COUNTS = (
+    "selected_snapshots", "selected_sources", "source_conversations", "source_messages",
+    "output_conversations", "output_messages", "output_texts", "deduplicated",
+)
+
+
+def audit_run(runs: DataFrame, messages: DataFrame, conversations: DataFrame) -> DataFrame:
+    """runs: the receipts of a store (status, completed_at and RUN_COUNTS), which should be one; null counts are 0.
+
+    A receipt must be complete and dated, its source counts positive and equal to what came out and what was
+    dropped as duplicates, and its output counts those of the store. These are judged only if there is one receipt.
+    """
+    held = runs.agg(F.count("*").alias("n"), F.max("status").alias("status"), F.max("completed_at").alias("completed_at"), *[F.coalesce(F.max(c), F.lit(0)).alias(c) for c in RUN_COUNTS])
+    have = messages.agg(F.count("*").alias("m"), F.count_if((F.col("type") == 1) & (F.length("text") > 0)).alias("t"))
+    one = held.crossJoin(have).crossJoin(conversations.agg(F.count("*").alias("c")))  # one row each
+    n, r = F.col("n"), F.col
+    only = lambda c: F.when(n == 1, c).otherwise(0)
+    positive = [r(c) <= 0 for c in ("selected_snapshots", "selected_sources", "source_conversations", "source_messages")]
+    return _totals(one, {
+        "parse-run-record-count": F.when(n == 1, 0).otherwise(F.greatest(F.lit(1), F.abs(n - 1))),
+        "empty-output": _wrong(r("c") == 0, r("m") == 0),
+        "parse-run-not-complete": only(F.greatest(_wrong(r("status") != "complete"), _wrong(F.trim("completed_at") == ""))),
+        "parse-run-source-output-mismatch": only(_wrong(
+            *positive, r("source_conversations") != r("output_conversations"), r("source_messages") != r("output_messages") + r("deduplicated"))),
+        "parse-run-database-count-mismatch": only(_wrong(
+            r("output_conversations") != r("c"), r("output_messages") != r("m"), r("output_texts") != r("t"))),
     })
 
 
@@ -92,22 +122,72 @@ def audit_senders(m: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def audit_conversations(m: DataFrame, convs: DataFrame) -> DataFrame:
-    have = m.groupBy("conv_id").agg(F.count("*").alias("have"))
-    j = convs.join(have, "conv_id", "full_outer")
-    return _codes(j, {"conversation-count-mismatch": ~F.coalesce("msg_count", F.lit(0)).eqNullSafe(F.coalesce("have", F.lit(0)))})
-
-
-def audit_inventory(inventory: DataFrame, zone: str, version: int, want: int) -> DataFrame:
-    """Counts per shard close, the zone is a region or UTC, the schema version is the expected one."""
-    bad_zone, bad_version = "/" not in zone and zone != "UTC", version != want
+    """convs: conv_id, msg_count, text_count, owner, account. m: conv_id, canonical_seq, occurred_at_epoch_s, type, text, sender, is_own.
+
+    Counters equal the rows, sequences have no gap and no step back in time, is_own is what the owner's id says
+    (nothing for rows without a sender), and an owner has one account.
+    """
+    texts = F.count_if((F.col("type") == 1) & (F.trim("text") != ""))
+    have = m.groupBy("conv_id").agg(F.count("*").alias("have"), texts.alias("texts"))
+    j = convs.join(have, "conv_id", "left")
+    off = lambda a, b: F.coalesce(a, F.lit(0)) != F.coalesce(b, F.lit(0))
+    sent = m.filter(F.trim("sender") != "").join(convs.select("conv_id", "owner"), "conv_id")
+    many = convs.groupBy("owner").agg(F.count_distinct("account").alias("n")).filter("n > 1")
     return _all([
-        _codes(inventory, {"source-inventory-count-mismatch": F.col("discovered") != F.col("parsed") + F.col("deduplicated") + F.col("excluded")}),
-        inventory.sparkSession.createDataFrame([(c, 1, d) for c, d, bad in (("archive-time-zone-invalid", zone, bad_zone), ("canonical-schema-version", str(version), bad_version)) if bad], "code string, count long, detail string"),
+        _codes(j, {"conversation-count-mismatch": off("msg_count", "have") | off("text_count", "texts")}),
+        _count(timeline.order_gaps(m), "message-order-not-monotonic", "rows"),
+        _codes(sent, {"is-own-mismatch": ~F.col("is_own").cast("boolean").eqNullSafe(F.col("sender") == F.col("owner"))}),
+        _count(many, "duplicate-owner-snapshot", "owners"),
     ])
 
 
-def audit_references(m: DataFrame, people: DataFrame, convs: DataFrame) -> DataFrame:
-    return _all([_codes(people, {"person-id-mismatch": F.col("person_id") != scalars.person_id(F.col("owner"), F.col("username"))}), _count(canonical.orphans(m, convs), "foreign-key-violation", "rows")])
+def audit_inventory(inventory: DataFrame, zone: str, version: int, want: int, run: DataFrame | None = None) -> DataFrame:
+    """Counts per shard close and are not negative, the zone is a region or UTC, the schema version is the expected one.
+
+    run: the receipt (one row: units, parsed, deduplicated, excluded) whose totals the inventory's must be.
+    """
+    bad_zone, bad_version = "/" not in zone and zone != "UTC", version != want
+    parts = ("parsed", "deduplicated", "excluded")
+    closed = F.col("discovered") == F.col("parsed") + F.col("deduplicated") + F.col("excluded")
+    rows = [(c, 1, d) for c, d, bad in (("archive-time-zone-invalid", zone, bad_zone), ("canonical-schema-version", str(version), bad_version)) if bad]
+    found = [
+        _codes(inventory, {"source-inventory-count-mismatch": ~closed | (F.least("discovered", *parts) < 0)}),
+        inventory.sparkSession.createDataFrame(rows, "code string, count long, detail string"),
+    ]
+    if run is not None:
+        total = inventory.agg(F.count("*").alias("units_"), *[F.coalesce(F.sum(c), F.lit(0)).alias(f"{c}_") for c in parts])
+        facts = _wrong(*[F.col(c) != F.col(f"{c}_") for c in ("units", *parts)])
+        found.append(_totals(total.crossJoin(run.select("units", *parts)), {"source-inventory-run-mismatch": facts}))  # one row each
+    return _all(found)
+
+
+def audit_references(
+    m: DataFrame, people: DataFrame, convs: DataFrame, run: DataFrame | None = None, metadata: DataFrame | None = None
+) -> DataFrame:
+    """m: conv_id, sender and person_id. people: person_id, owner, username. convs: conv_id and owner.
+
+    Person ids are hashes of owner and username; a row with a sender names the person of that owner and username, one
+    without names none; conversations and persons that rows name exist. run (one row: run_id, schema_version,
+    time_zone) must be what metadata (key, value) says.
+    """
+    hashed = F.col("person_id").eqNullSafe(scalars.person_id(F.col("owner"), F.col("username")))
+    p = people.select(F.col("person_id").alias("pid"), F.col("owner").alias("p_owner"), F.col("username").alias("p_name"))
+    j = m.join(convs.select("conv_id", "owner", F.lit(True).alias("known")), "conv_id", "left").join(p, F.col("person_id") == F.col("pid"), "left")
+    silent = F.trim(F.coalesce("sender", F.lit(""))) == ""
+    meant = F.col("pid").isNotNull() & F.col("p_owner").eqNullSafe(F.col("owner")) & (F.col("p_name") == F.col("sender"))
+    dangling = F.col("known").isNull().cast("int") + (F.col("person_id").isNotNull() & F.col("pid").isNull()).cast("int")
+    missing = j.agg(F.coalesce(F.sum(dangling), F.lit(0)).alias("n"))
+    parts = [
+        _codes(people, {"person-id-mismatch": ~hashed}),
+        _codes(j, {"message-person-reference-mismatch": F.when(silent, F.col("person_id").isNotNull()).otherwise(~meant)}),
+        _totals(missing, {"foreign-key-violation": F.col("n")}, "rows"),
+    ]
+    if run is not None and metadata is not None:
+        keys = ("run_id", "schema_version", "time_zone")
+        said = metadata.agg(*[F.max(F.when(F.col("key") == k, F.col("value"))).alias(f"{k}_") for k in keys])
+        facts = _wrong(*[~F.col(k).cast("string").eqNullSafe(F.col(f"{k}_")) for k in keys])
+        parts.append(_totals(said.crossJoin(run.select(*keys)), {"bundle-metadata-mismatch": facts}))  # one row each
+    return _all(parts)
 
 
 def audit_source(output: DataFrame, source: DataFrame, fields: tuple[str, ...]) -> DataFrame:
@@ -143,6 +223,10 @@ def audit_insights(nuggets: DataFrame, convs: DataFrame, categories: list[str])
 
 
 def audit_dependencies(children: DataFrame, parents: DataFrame) -> DataFrame:
-    """children: product, parent_kind, parent_digest; parents: kind, digest."""
-    p = parents.select(F.col("kind").alias("parent_kind"), F.col("digest").alias("parent_digest"))
-    return _count(children.join(p, ["parent_kind", "parent_digest"], "left_anti"), "dependency_mismatch", "products")
+    """children: product, parent_kind, parent_run, parent_version, parent_digest; parents: kind, run_id, schema_version, digest.
+
+    A product whose parent has no such run, schema version and digest, or that names no parent, is out of date.
+    """
+    of = {"parent_kind": "kind", "parent_run": "run_id", "parent_version": "schema_version", "parent_digest": "digest"}
+    p = parents.select(*[F.col(b).alias(a) for a, b in of.items()])
+    return _count(children.join(p, [*of], "left_anti"), "dependency_mismatch", "products")

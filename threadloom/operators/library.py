@@ -134,9 +134,20 @@ def clue_synthesis(groups: DataFrame, k: int = 24) -> DataFrame:
 
 
 def visible_text(files: DataFrame, least: int = 12) -> DataFrame:
-    """(path, content binary) -> path, encoding, run: printable runs of at least `least` characters, in UTF-8 and UTF-16LE."""
-    part = lambda enc, name: files.select("path", F.lit(name).alias("encoding"), F.explode(F.regexp_extract_all(F.decode("content", enc), F.lit(r"[\x20-\x7E\p{L}\p{IsHan}]{%d,}" % least), F.lit(0))).alias("run"))
-    return part("ISO-8859-1", "utf8").filter(~rules.noise_text(F.col("run"))).unionByName(part("UTF-16LE", "utf16le").filter(~rules.noise_text(F.col("run")))).distinct()
+    """(path, content binary) -> path, encoding, run: printable runs of at least `least` characters, in UTF-8 and UTF-16LE.
+
+    Bytes that are no UTF-8 end a run. As UTF-16LE every file is read as it stands, an odd last byte left out.
+    A run that only noise makes up is left out; one that a file holds twice is one row.
+    """
+    printable = F.lit(r"[\x20-\x7E\p{L}\p{N}\x{3000}-\x{303F}\x{FF00}-\x{FFEF}]{%d,}" % least)
+
+    def runs(text: Column, name: str) -> DataFrame:
+        found = files.select("path", F.lit(name).alias("encoding"), F.explode(F.regexp_extract_all(text, printable, F.lit(0))).alias("run"))
+        return found.filter(~rules.noise_text(F.col("run")))
+
+    even = F.expr("substring(content, 1, length(content) - length(content) % 2)")
+    as_bytes = F.make_valid_utf8(F.col("content").cast("string"))
+    return runs(as_bytes, "utf8").unionByName(runs(F.decode(even, "UTF-16LE"), "utf16le")).distinct()
 
 
 def list_filter(df: DataFrame, fields: list[str], q: str, **equal) -> DataFrame:

@@ -46,16 +46,21 @@ def build_postings(chunks: DataFrame) -> DataFrame:
     return rows.groupBy("term", "chunk_id", "field").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
 
 
-def exact_search(chunks: DataFrame, q: str, limit: int) -> DataFrame:
-    """Chunks that hold q as it stands, or one of whose ids or senders it is; the latest first."""
-    hit = F.lower("text").contains(q.lower()) | (F.col("chunk_id") == q) | (F.col("conv_id") == q) | F.array_contains("sender_ids", q)
-    return chunks.filter(hit).orderBy(F.desc("end_time"), "conv_id", F.desc("last_sequence"), "chunk_id").limit(candidates_of(limit))
+def exact_search(chunks: DataFrame, q: str, limit: int, **scope) -> DataFrame:
+    """Chunks that hold q as it stands, or one of whose ids (its own, its conversation's, its first or last message's) or
+    senders it is; the latest first. scope: see search_scope."""
+    ids = [c for c in ("chunk_id", "conv_id", "first_uid", "last_uid") if c in chunks.columns]
+    hit = F.lower("text").contains(q.lower()) | F.array_contains("sender_ids", q)
+    hit = reduce(lambda a, b: a | b, [F.col(c) == q for c in ids], hit)
+    found = search_scope(chunks, **scope).filter(F.coalesce(hit, F.lit(False)))
+    return found.orderBy(F.desc("end_time"), "conv_id", F.desc("last_sequence"), "chunk_id").limit(candidates_of(limit))
 
 
-def bm25(postings: DataFrame, terms: Sequence[str], n_chunks: int | None = None) -> DataFrame:
+def bm25(postings: DataFrame, terms: Sequence[str], n_chunks: int | None = None, within: DataFrame | None = None) -> DataFrame:
     """chunk_id, score: any of the terms, weights on the fields' frequencies, lengths over all fields.
 
-    Terms are few, so the postings are filtered before anything is joined.
+    Terms are few, so the postings are filtered before anything is joined. Only chunks of within (chunk_id) are
+    scored, if it is given; what is rare is counted over all chunks all the same.
     """
     weight = F.when(F.col("field") == "ngrams", NGRAM_WEIGHT).otherwise(1.0)
     length = postings.groupBy("chunk_id").agg(F.sum("tf").alias("len"))
@@ -65,16 +70,24 @@ def bm25(postings: DataFrame, terms: Sequence[str], n_chunks: int | None = None)
     n = F.col("n") if n_chunks is None else F.lit(n_chunks)
     idf = F.greatest(F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
     part = idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("len") / F.col("avg")))
+    if within is not None:
+        hits = hits.join(within.select("chunk_id"), "chunk_id", "left_semi")
     return hits.join(df, "term").join(length, "chunk_id").crossJoin(stats).groupBy("chunk_id").agg(F.sum(part).alias("score"))  # stats is one row
 
 
-def keyword_search(chunks: DataFrame, postings: DataFrame, q: str, limit: int) -> DataFrame:
-    """chunk_id, score, rank: exact hits score 2, term hits 1, however good their BM25, which only chooses the candidates."""
+def keyword_search(chunks: DataFrame, postings: DataFrame, q: str, limit: int, **scope) -> DataFrame:
+    """chunk_id, score, rank: exact hits score 2, term hits 1, however good their BM25, which only chooses the candidates.
+
+    scope (see search_scope) holds for both, before any candidates are cut.
+    """
     terms = [t for t in q.lower().split() if t]
-    exact = exact_search(chunks, q, limit).select("chunk_id", F.lit(2.0).alias("score"))
-    term = bm25(postings, terms).orderBy(F.desc("score"), "chunk_id").limit(candidates_of(limit)).select("chunk_id", F.lit(1.0).alias("score"))
-    best = exact.unionByName(term).groupBy("chunk_id").agg(F.max("score").alias("score")).orderBy(F.desc("score"), "chunk_id").limit(limit)
-    return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "chunk_id")))  # limit rows
+    exact = exact_search(chunks, q, limit, **scope).select("chunk_id", F.lit(2.0).alias("score"))
+    within = search_scope(chunks, **scope) if scope else None
+    best = bm25(postings, terms, within=within).orderBy(F.desc("score"), "chunk_id").limit(candidates_of(limit))
+    term = best.select("chunk_id", F.lit(1.0).alias("score"))
+    both = exact.unionByName(term).groupBy("chunk_id").agg(F.max("score").alias("score"))
+    ranked = Window.orderBy(F.desc("score"), "chunk_id")  # limit rows
+    return both.orderBy(F.desc("score"), "chunk_id").limit(limit).withColumn("rank", F.row_number().over(ranked))
 
 
 def validate_vectors(vectors: DataFrame, dims: int) -> DataFrame:
@@ -102,28 +115,49 @@ def vector_search(vectors: DataFrame, query: Sequence[float], limit: int, scope:
     return near.orderBy("d", "chunk_id").limit(limit).select("chunk_id", (1 - F.col("d")).alias("score"), F.row_number().over(Window.orderBy("d", "chunk_id")).alias("rank"))
 
 
-def rrf(lists: list[DataFrame], limit: int, k: int = 60) -> DataFrame:
-    """chunk_id, score, best: the sum of 1 / (k + rank) over ranked lists; ties go to the better best rank, then by chunk_id."""
+def rrf(lists: list[DataFrame], limit: int, k: int = 60, chunks: DataFrame | None = None) -> DataFrame:
+    """chunk_id, score, best: the sum of 1 / (k + rank) over ranked lists; ties go to the better best rank, then by
+    conversation and from the last message back, where chunks tell them, then by chunk_id."""
     both = reduce(DataFrame.unionByName, [x.select("chunk_id", "rank") for x in lists])
-    return both.groupBy("chunk_id").agg(F.sum(1 / (F.lit(float(k)) + F.col("rank"))).alias("score"), F.min("rank").alias("best")).orderBy(F.desc("score"), "best", "chunk_id").limit(limit)
+    fused = both.groupBy("chunk_id").agg(F.sum(1 / (F.lit(float(k)) + F.col("rank"))).alias("score"), F.min("rank").alias("best"))
+    ties = []
+    if chunks is not None:
+        fused = fused.join(chunks.select("chunk_id", "conv_id", "last_sequence"), "chunk_id", "left")
+        ties = [F.asc_nulls_last("conv_id"), F.desc_nulls_last("last_sequence")]
+    return fused.orderBy(F.desc("score"), "best", *ties, "chunk_id").limit(limit).select("chunk_id", "score", "best")
 
 
-def hybrid_search(chunks: DataFrame, postings: DataFrame, q: str, limit: int, vectors: DataFrame | None = None, query: Sequence[float] | None = None, dims: int | None = None) -> tuple[DataFrame, str | None]:
-    """Hits and, where only keywords could be searched, why: not_configured, vector_unavailable or embedding_mismatch."""
-    words = keyword_search(chunks, postings, q, limit)
-    why = "not_configured" if vectors is None else "vector_unavailable" if query is None else "embedding_mismatch" if dims is not None and len(query) != dims else None
+def hybrid_search(
+    chunks: DataFrame, postings: DataFrame, q: str, limit: int, vectors: DataFrame | None = None,
+    query: Sequence[float] | None = None, dims: int | None = None, **scope,
+) -> tuple[DataFrame, str | None]:
+    """Hits and, where only keywords could be searched, why: not_configured, vector_unavailable or embedding_mismatch.
+
+    scope (see search_scope) holds for the keywords and for the nearest vectors.
+    """
+    words = keyword_search(chunks, postings, q, limit, **scope)
+    wrong = dims is not None and query is not None and len(query) != dims
+    why = "not_configured" if vectors is None else "vector_unavailable" if query is None else "embedding_mismatch" if wrong else None
     if why:
-        return rrf([words], limit), why
-    return rrf([words, vector_search(vectors, query, limit)], limit), None
+        return rrf([words], limit, chunks=chunks), why
+    if scope:
+        vectors = vectors.join(search_scope(chunks, **scope).select("chunk_id"), "chunk_id", "left_semi")
+    return rrf([words, vector_search(vectors, query, limit)], limit, chunks=chunks), None
 
 
 def hydrate(hits: DataFrame, chunks: DataFrame) -> DataFrame:
     return chunks.join(F.broadcast(hits), "chunk_id")  # hits are limited
 
 
-def live_search(messages: DataFrame, q: str, limit: int) -> DataFrame:
-    """Search on messages themselves, while there is no valid index."""
-    return messages.filter(F.lower("text").contains(q.lower())).orderBy(F.desc("occurred_at_epoch_s"), "conv_id", F.desc("canonical_seq")).limit(limit)
+def live_search(
+    messages: DataFrame, q: str, limit: int, conv: str | None = None, sender: str | None = None,
+    after: int | None = None, before: int | None = None,
+) -> DataFrame:
+    """Search on messages themselves, while there is no valid index; within a conversation, of a sender, in a span of time."""
+    at, wanted = F.col("occurred_at_epoch_s"), F.lower("text").contains(q.lower())
+    for value, test in ((conv, F.col("conv_id") == conv), (sender, F.col("sender") == sender), (after, at >= after), (before, at <= before)):
+        wanted = wanted if value is None else wanted & test
+    return messages.filter(wanted).orderBy(F.desc("occurred_at_epoch_s"), "conv_id", F.desc("canonical_seq")).limit(limit)
 
 
 def index_status(chunks: DataFrame, vectors: DataFrame, meta: DataFrame, fingerprint: str) -> DataFrame:

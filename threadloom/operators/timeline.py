@@ -37,9 +37,26 @@ def timeline_scope(df: DataFrame, conv: str | None = None, sender: str | None =
 
 
 def participants(df: DataFrame, conv: str | None = None, q: str | None = None) -> DataFrame:
-    """conv_id, sender_key, messages, last_time, most messages first."""
+    """conv_id, sender_key, person_id, name, identity_source, messages, last_time; most messages first, then by name.
+
+    A sender without an id goes by the name the message shows, then by `?`. person_id is given only where all messages
+    of the key that have one agree. identity_source says what stands behind the key: person_id, sender, name_snapshot
+    or unknown. df may lack sender_name and person_id.
+    """
     scoped = timeline_scope(df, conv, None, q)
-    return scoped.groupBy("conv_id", sender_key(F.col("sender")).alias("sender_key")).agg(F.count("*").alias("messages"), F.max("occurred_at_epoch_s").alias("last_time")).orderBy("conv_id", F.desc("messages"), "sender_key")
+    have = lambda c: F.col(c).cast("string") if c in df.columns else F.lit(None).cast("string")
+    sender, shown = F.nullif(F.col("sender"), F.lit("")), F.nullif(have("sender_name"), F.lit(""))
+    rows = scoped.select("conv_id", "occurred_at_epoch_s", sender.alias("s"), shown.alias("n"), have("person_id").alias("p"))
+    keyed = rows.withColumn("sender_key", F.coalesce("s", "n", F.lit("?"))).groupBy("conv_id", "sender_key")
+    got = keyed.agg(
+        F.min("p").alias("low"), F.max("p").alias("high"), F.max("n").alias("n"), F.max("s").alias("s"),
+        F.count("*").alias("messages"), F.max("occurred_at_epoch_s").alias("last_time"),
+    )
+    person = F.when(F.col("low") == F.col("high"), F.col("high"))
+    source = F.when(person.isNotNull(), "person_id").when(F.col("s").isNotNull(), "sender").when(F.col("n").isNotNull(), "name_snapshot").otherwise("unknown")
+    name = F.coalesce("n", "s", F.lit("未知人物")).alias("name")
+    out = got.select("conv_id", "sender_key", person.alias("person_id"), name, source.alias("identity_source"), "messages", "last_time")
+    return out.orderBy("conv_id", F.desc("messages"), "name", "sender_key")
 
 
 def day_facet(df: DataFrame, zone: str) -> DataFrame:

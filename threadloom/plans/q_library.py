@@ -28,10 +28,10 @@ def metadata(spark, sf):
     return views.page_metadata(views.table(spark, sf, "pages")).drop("description")
 
 
-@query("r2_1_15_document_text", "SELECT doc_id, left(text, 200) AS text, length(text) > 200 AS truncated FROM documents")
+@query("r2_1_15_document_text", "SELECT doc_id, left(text, 24000) AS text, coalesce(length(text) > 24000, FALSE) AS truncated FROM documents")
 def document_text(spark, sf):
-    d = views.table(spark, sf, "documents").select(F.col("doc_id").alias("path"), F.encode("text", "UTF-8").alias("content"))
-    return views.document_text(d.withColumn("path", F.col("path").cast("string")), 200).select(F.col("path").cast("long").alias("doc_id"), "text", "truncated")
+    d = views.table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("path"), F.encode("text", "UTF-8").alias("content"))
+    return views.document_text(d).select(F.col("path").cast("long").alias("doc_id"), "text", "truncated")
 
 
 @query("r2_1_11_voice_budget", "SELECT count(*) AS rows, max(length(text)) AS largest FROM documents")
@@ -45,9 +45,9 @@ def fingerprint(spark, sf):
     return views.table(spark, sf, "nation").select("n_nationkey", scalars.fingerprint(F.col("n_name"), F.col("n_regionkey")).alias("fp"))
 
 
-@query("r2_3_16_clean_text", r"SELECT page_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script>|<style\b.*?</style>', ' ', 'g'), '(?i)<br\s*/?>|</(?:p|div|li|tr|h\d)>', chr(10), 'g'), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'), '(?i)&lt;', '<', 'g'), '(?i)&gt;', '>', 'g'), '(?i)&amp;', '&', 'g'))) AS h FROM pages WHERE NOT contains(html, '&nbsp;')")
+@query("r2_3_16_clean_text", r"SELECT page_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script>|<style\b.*?</style>', ' ', 'g'), '(?i)<br\s*/?>|</(?:p|div|li|tr|h\d)>', chr(10), 'g'), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'), '(?i)&nbsp;', ' ', 'g'), '(?i)&lt;', '<', 'g'), '(?i)&gt;', '>', 'g'), '(?i)&amp;', '&', 'g'))) AS h FROM pages")
 def clean(spark, sf):
-    p = views.table(spark, sf, "pages").filter(~F.col("html").contains("&nbsp;"))
+    p = views.table(spark, sf, "pages")
     return p.select("page_id", F.md5(scalars.clean_text(scalars.strip_html(F.col("html")))).alias("h"))
 
 
@@ -64,11 +64,17 @@ def signal_counts(spark, sf):
     return library.signal_counts(views.turns(spark, sf).select(rules.signals(F.col("text"), rules.LATIN_SIGNALS, "none").alias("s")), "s")
 
 
-@query("r2_3_21_extract_urls", "SELECT page_id, 1 AS n, url AS first FROM pages WHERE NOT regexp_matches(url, '[.,;:!?)\\]}]$')")
+URLS = r"""WITH u AS (SELECT page_id, list_transform(regexp_extract_all(
+  regexp_replace('see ' || replace(url, '&', '&amp;') || ', and ' || url || '.', '(?i)&amp;', '&', 'g'),
+  '(?i)https?://[^\s<>"''\x{3000}-\x{303f}\x{ff00}-\x{ffef}]+'), lambda x: regexp_replace(x, '[.,;:!?)\]}]+$', '')) AS us FROM pages)
+SELECT page_id, len(list_distinct(us))::INT AS n, us[1] AS first FROM u"""
+
+
+@query("r2_3_21_extract_urls", URLS)
 def urls(spark, sf):
-    p = views.table(spark, sf, "pages").filter(~F.col("url").rlike(r"[.,;:!?)\]}]$"))
+    p = views.table(spark, sf, "pages")
     u = scalars.extract_urls(F.concat(F.lit("see "), F.regexp_replace("url", "&", "&amp;"), F.lit(", and "), F.col("url"), F.lit("."))).alias("u")
-    return p.select("page_id", u).select("page_id", F.size("u").alias("n"), F.col("u")[0].alias("first"))
+    return p.select("page_id", u).select("page_id", F.size("u").alias("n"), F.get("u", F.lit(0)).alias("first"))
 
 
 @query("r2_3_22_artifact_category", f"WITH {FI} SELECT CASE WHEN ext IN ('.pdf', '.md', '.txt') THEN 'document' WHEN ext IN ('.zip', '.py') THEN 'work' ELSE 'chatText' END AS category, count(*) AS files FROM fi GROUP BY ALL")
@@ -92,9 +98,13 @@ def paths(spark, sf):
     return views.files(spark, sf).select("file_id", rules.safe_name(p).alias("safe"), rules.path_key(F.regexp_replace(p, "/", r"\\\\")).alias("pkey"), rules.append_hash8(p, F.col("sha256")).alias("hashed"))
 
 
-@query("r2_3_29_evidence", "SELECT c_custkey, 'asset:' || sha256('c' || chr(10) || sha256('[\"' || lower(c_mktsegment) || '\",\"' || lower(c_name) || '\"]')) AS asset_id FROM customer WHERE lower(c_mktsegment) < lower(c_name)")
+EVIDENCE = """SELECT c_custkey, 'asset:' || sha256('c' || chr(10) || sha256('["' ||
+  array_to_string(list_sort([lower(c_mktsegment), lower(c_name)]), '","') || '"]')) AS asset_id FROM customer"""
+
+
+@query("r2_3_29_evidence", EVIDENCE)
 def evidence(spark, sf):
-    c = views.table(spark, sf, "customer").filter("lower(c_mktsegment) < lower(c_name)")
+    c = views.table(spark, sf, "customer")
     return c.select("c_custkey", scalars.asset_id(F.lit("c"), F.array("c_name", "c_mktsegment", F.upper("c_name"), F.lit(" "))).alias("asset_id"))
 
 
@@ -120,11 +130,16 @@ def list_filter(spark, sf):
     return library.list_filter(views.files(spark, sf), ["name", "root"], "Report1", ext=".pdf").select("file_id")
 
 
-@query("r2_5_8_match_files", f"WITH {FI}, r AS (SELECT file_id AS resource_id, name, CASE WHEN file_id % 2 = 0 THEN size END AS size FROM fi WHERE file_id % 10 = 0), f AS (SELECT path, max(lower(name)) AS k, min(size) AS s FROM fi WHERE file_id < 200 GROUP BY path) SELECT resource_id, count(path) AS candidates FROM r LEFT JOIN f ON lower(r.name) = f.k GROUP BY resource_id")
+MATCH = f"""WITH {FI}, f AS (SELECT path, max(lower(name)) AS k FROM fi GROUP BY path)
+SELECT file_id AS resource_id, count(f.path) AS candidates FROM fi LEFT JOIN f ON lower(fi.name) = f.k GROUP BY file_id"""
+
+
+@query("r2_5_8_match_files", MATCH)
 def match(spark, sf):
     f = views.files(spark, sf)
-    r = f.filter("file_id % 10 = 0").select(F.col("file_id").alias("resource_id"), "name", F.when(F.col("file_id") % 2 == 0, F.col("size")).alias("size"), scalars.lookup_hashes(F.col("name")).alias("hashes"))
-    return assets.match_files(r, f.filter("file_id < 200")).select("resource_id", "candidates")
+    size = F.when(F.col("file_id") % 2 == 0, F.col("size")).alias("size")
+    r = f.select(F.col("file_id").alias("resource_id"), "name", size, scalars.lookup_hashes(F.col("name")).alias("hashes"))
+    return assets.match_files(r, f).select("resource_id", "candidates")
 
 
 @query("r2_5_14_unarchived", f"WITH {FI}, a AS (SELECT * FROM fi WHERE file_id % 4 = 0) SELECT file_id FROM fi WHERE lower(path) NOT IN (SELECT lower(path) FROM a) AND sha256 NOT IN (SELECT sha256 FROM a) AND lower(name) NOT IN (SELECT lower(name) FROM a)")
@@ -221,12 +236,16 @@ def synthesis(spark, sf):
     return library.clue_synthesis(library.clue_groups(snippets(spark, sf)))
 
 
-@query("r2_13_17_merge_sections", "SELECT o_orderstatus AS section, count(DISTINCT o_orderkey % 20) FILTER (o_orderkey % 20 % 2 = 0) AS kept, count(DISTINCT o_orderkey % 20) FILTER (o_orderkey % 20 % 2 = 1) AS dropped FROM orders GROUP BY o_orderstatus")
+SECTIONS = """WITH c AS (SELECT o_custkey::VARCHAR AS section, '[消息:' || o_orderkey || ']' AS c, o_orderstatus = 'O' AS ok FROM orders)
+SELECT section, coalesce(string_agg(c, ' ' ORDER BY c) FILTER (ok), '') AS citations, count(*) FILTER (NOT ok) AS dropped FROM c GROUP BY section"""
+
+
+@query("r2_13_17_merge_sections", SECTIONS)
 def sections(spark, sf):
-    k = (F.col("o_orderkey") % 20).cast("string")
-    s = views.table(spark, sf, "orders").select(F.col("o_orderstatus").alias("section"), scalars.citation("message", k).alias("citation"))
-    m = spark.range(0, 20, 2).select(F.col("id").cast("string").alias("message_uid"))
-    return library.merge_sections(s, m).select("section", F.size(F.filter(F.split("citations", " "), lambda x: x != "")).cast("long").alias("kept"), "dropped")
+    """A customer's orders are a section's citations; those of open orders are messages that exist."""
+    o = views.table(spark, sf, "orders").select(F.col("o_custkey").cast("string").alias("section"), F.col("o_orderkey").cast("string").alias("message_uid"), "o_orderstatus")
+    cited = o.select("section", scalars.citation("message", F.col("message_uid")).alias("citation"))
+    return library.merge_sections(cited, o.filter("o_orderstatus = 'O'").select("message_uid"))
 
 
 @query("r2_12_15_audit_files", f"WITH {FI}, f AS (SELECT path, min(file_id) AS i FROM fi GROUP BY path) SELECT 'file-missing' AS code, count(*) AS count FROM f WHERE i % 6 = 0 UNION ALL SELECT 'file-size', count(*) FROM f WHERE i % 6 <> 0 AND i % 5 = 0")

@@ -186,9 +186,21 @@ def rollup(spark, sf):
     return canonical.conversation_rollup(views.events(spark, sf).withColumn("type", scalars.norm_type(F.col("raw_type"))))
 
 
-@query("r2_6_2_participants", f"WITH {EV} SELECT conv_id, coalesce(nullif(sender, ''), '?') AS sender_key, count(*) AS messages, max(t) AS last_time FROM ev GROUP BY ALL")
+WHO = """who AS (SELECT conv_id, t, CASE WHEN local_id % 13 = 0 THEN '' ELSE sender END AS s, CASE WHEN local_id % 2 = 0 THEN 'name of ' || sender ELSE '' END AS n,
+  CASE WHEN local_id % 13 = 0 THEN NULL WHEN local_id % 170 = 1 THEN 'q' ELSE 'p' || sender END AS p FROM ev)"""
+
+
+@query("r2_6_2_participants", f"""WITH {EV}, {WHO}, g AS (SELECT conv_id, coalesce(nullif(s, ''), nullif(n, ''), '?') AS sender_key, count(DISTINCT p) AS ps, max(p) AS p,
+  nullif(max(n), '') AS n, nullif(max(s), '') AS s, count(*) AS messages, max(t) AS last_time FROM who GROUP BY ALL)
+SELECT conv_id, sender_key, CASE WHEN ps = 1 THEN p END AS person_id, coalesce(n, s, '未知人物') AS name,
+  CASE WHEN ps = 1 THEN 'person_id' WHEN s IS NOT NULL THEN 'sender' WHEN n IS NOT NULL THEN 'name_snapshot' ELSE 'unknown' END AS identity_source, messages, last_time FROM g""")
 def participants(spark, sf):
-    return timeline.participants(views.events(spark, sf))
+    i, s = F.col("local_id"), F.col("sender")
+    named = {
+        "sender": F.when(i % 13 == 0, "").otherwise(s), "sender_name": F.when(i % 2 == 0, F.concat(F.lit("name of "), s)).otherwise(""),
+        "person_id": F.when(i % 13 != 0, F.when(i % 170 == 1, "q").otherwise(F.concat(F.lit("p"), s))),
+    }
+    return timeline.participants(views.events(spark, sf).withColumns(named))
 
 
 @query("r2_6_3_chat_totals", f"WITH {EV} SELECT count(DISTINCT conv_id) AS conversations, count(*) AS messages, count(*) FILTER (length(text) > 0) AS texts FROM ev")
@@ -387,24 +399,56 @@ def audit_messages(spark, sf):
     return audit.audit_messages(broken(spark, sf), ZONE).select("code", "count")
 
 
-@query("r2_12_8_audit_conversations", f"WITH {EV} SELECT 'conversation-count-mismatch' AS code, count(*) AS count FROM (SELECT DISTINCT conv_id FROM ev WHERE CAST(conv_id AS BIGINT) % 10 = 0)")
-def audit_conversations(spark, sf):
-    r = rollup(spark, sf)
-    wrong = r.withColumn("msg_count", F.when(F.col("conv_id").cast("bigint") % 10 == 0, F.col("msg_count") + 1).otherwise(F.col("msg_count")))
-    return audit.audit_conversations(messages(spark, sf), wrong).select("code", "count")
+CONV = "CAST(conv_id AS BIGINT)"
 
 
-@query("r2_12_11_audit_references", "SELECT 'person-id-mismatch' AS code, count(*) AS count FROM customer WHERE c_custkey % 12 = 0 UNION ALL SELECT 'foreign-key-violation', count(*) FROM events WHERE user_id % 9 = 0")
+@query("r2_12_8_audit_conversations", f"""WITH {EV}, c AS (SELECT DISTINCT conv_id, {CONV} AS k FROM ev),
+ o AS (SELECT k % 4 AS owner FROM c GROUP BY ALL HAVING count(DISTINCT CASE WHEN k % 4 = 1 THEN k % 8 ELSE 0 END) > 1),
+ x AS (SELECT 'conversation-count-mismatch' AS code, count(*) AS count FROM c WHERE k % 10 IN (0, 3) UNION ALL SELECT 'message-order-not-monotonic', count(*) FROM c WHERE k % 10 = 5
+  UNION ALL SELECT 'is-own-mismatch', count(*) FROM ev WHERE local_id % 19 = 0 UNION ALL SELECT 'duplicate-owner-snapshot', count(*) FROM o)
+SELECT * FROM x WHERE count > 0""")
+def audit_conversations(spark, sf):
+    k = F.col("conv_id").cast("bigint")
+    owner = F.concat(F.lit("o"), (k % 4).cast("string"))
+    m = messages(spark, sf).withColumn("sender", F.when(F.col("local_id") % 3 == 0, owner).otherwise(F.col("sender")))
+    m = m.withColumn("is_own", (F.col("sender") == owner) != (F.col("local_id") % 19 == 0))
+    m = m.withColumn("canonical_seq", F.col("canonical_seq") + (k % 10 == 5).cast("int"))
+    more = lambda n: (k % 10 == n).cast("int")
+    convs = rollup(spark, sf).select(
+        "conv_id", (F.col("msg_count") + more(0)).alias("msg_count"), (F.col("text_count") + more(3)).alias("text_count"),
+        owner.alias("owner"), F.when(k % 4 == 1, k % 8).otherwise(0).alias("account"),
+    )
+    return audit.audit_conversations(m, convs).select("code", "count")
+
+
+@query("r2_12_11_audit_references", f"""WITH {EV}, x AS (SELECT 'person-id-mismatch' AS code, count(*) AS count FROM customer WHERE c_custkey % 12 = 0
+  UNION ALL SELECT 'message-person-reference-mismatch', count(*) FROM ev WHERE local_id % 5 = 1 OR local_id % 5 = 2 OR local_id % 5 = 4 OR (local_id % 5 = 0 AND {CONV} % 9 = 0)
+  UNION ALL SELECT 'foreign-key-violation', (SELECT count(*) FROM ev WHERE {CONV} % 9 = 0) + (SELECT count(*) FROM ev WHERE local_id % 5 = 4) UNION ALL SELECT 'bundle-metadata-mismatch', 2)
+SELECT * FROM x WHERE count > 0""")
 def audit_references(spark, sf):
-    n = F.col("c_name")
-    p = views.table(spark, sf, "customer").select(F.when(F.col("c_custkey") % 12 == 0, "x").otherwise(scalars.person_id(F.lit("me"), n)).alias("person_id"), F.lit("me").alias("owner"), n.alias("username"))
-    m = views.events(spark, sf)
-    return audit.audit_references(m, p, m.select("conv_id").distinct().filter("cast(conv_id as bigint) % 9 <> 0")).select("code", "count")
-
-
-@query("r2_12_17_audit_dependencies", "SELECT 'dependency_mismatch' AS code, count(*) AS count FROM nation WHERE n_nationkey % 5 = 0")
+    """Rows by local_id modulo 5: a person as it should be; a sender without one; one without a sender; neither; a person that is not there."""
+    n, i = F.col("c_name"), F.col("local_id") % 5
+    made = scalars.person_id(F.lit("me"), n)
+    p = views.table(spark, sf, "customer").select(F.when(F.col("c_custkey") % 12 == 0, F.concat(F.lit("x"), n)).otherwise(made).alias("person_id"), F.lit("me").alias("owner"), n.alias("username"))
+    one = F.lit("Customer#000000001")
+    person = scalars.person_id(F.lit("me"), one)
+    m = views.events(spark, sf).withColumns({
+        "sender": F.when(i.isin(2, 3), "").otherwise(one), "person_id": F.when(i.isin(0, 2), person).when(i == 4, "nobody")})
+    convs = m.select("conv_id").distinct().filter("cast(conv_id as bigint) % 9 <> 0").withColumn("owner", F.lit("me"))
+    run = spark.range(1).select(F.lit("r1").alias("run_id"), F.lit(2).alias("schema_version"), F.lit(ZONE).alias("time_zone"))
+    said = spark.createDataFrame([("run_id", "r0"), ("schema_version", "2")], "key string, value string")
+    return audit.audit_references(m, p, convs, run, said).select("code", "count")
+
+
+@query("r2_12_17_audit_dependencies", "SELECT 'dependency_mismatch' AS code, count(*) AS count FROM orders WHERE o_orderkey % 5 = 0 OR o_orderkey % 7 = 0 OR o_orderkey % 11 = 0 OR o_orderkey % 13 = 0")
 def audit_dependencies(spark, sf):
-    n = views.table(spark, sf, "nation")
-    parents = n.select(F.col("n_name").alias("kind"), F.md5("n_name").alias("digest"))
-    children = n.select(F.col("n_nationkey").cast("string").alias("product"), F.col("n_name").alias("parent_kind"), F.when(F.col("n_nationkey") % 5 == 0, "stale").otherwise(F.md5("n_name")).alias("parent_digest"))
+    """Products made of customers' bundles; some name an old digest, an old run, an old schema version or no parent."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey").cast("string")
+    fact = lambda name, key: F.concat(F.lit(name), key)
+    parents = views.table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("kind"))
+    parents = parents.select("kind", fact("run", F.col("kind")).alias("run_id"), F.lit(2).alias("schema_version"), F.md5("kind").alias("digest"))
+    children = views.table(spark, sf, "orders").select(
+        k.alias("product"), F.when(k % 13 != 0, c).alias("parent_kind"), F.when(k % 7 == 0, "old").otherwise(fact("run", c)).alias("parent_run"),
+        F.when(k % 11 == 0, 1).otherwise(2).alias("parent_version"), F.when(k % 5 == 0, "stale").otherwise(F.md5(c)).alias("parent_digest"),
+    )
     return audit.audit_dependencies(children, parents).select("code", "count")

@@ -77,12 +77,12 @@ def context(spark, sf):
     return timeline.message_context(q_messages.messages(spark, sf), "m50", 99).select("message_uid", scalars.citation("message", F.col("message_uid")).alias("citation"))
 
 
-@query("r2_13_16_texts_by_asset", "SELECT doc_id::VARCHAR AS asset_id, left(text, 300) AS text, length(text) > 300 AS truncated FROM documents WHERE doc_id % 10 = 0")
+@query("r2_13_16_texts_by_asset", "SELECT doc_id::VARCHAR AS asset_id, left(text, 24000) AS text, coalesce(length(text) > 24000, FALSE) AS truncated FROM documents")
 def texts(spark, sf):
     d = views.table(spark, sf, "documents")
-    ids = d.filter("doc_id % 10 = 0").select(F.col("doc_id").cast("string").alias("asset_id"), F.concat(F.lit("/x/"), F.col("doc_id").cast("string")).alias("path"))
-    files = d.select(F.concat(F.lit("/x/"), F.col("doc_id").cast("string")).alias("path"), F.encode("text", "UTF-8").alias("content"))
-    return views.document_text(files.join(ids, "path"), 300).join(ids, "path").select("asset_id", "text", "truncated")
+    path = F.concat(F.lit("/x/"), F.col("doc_id").cast("string")).alias("path")
+    ids = d.select(F.col("doc_id").cast("string").alias("asset_id"), path)
+    return views.document_text(d.select(path, F.encode("text", "UTF-8").alias("content"))).join(ids, "path").select("asset_id", "text", "truncated")
 
 
 @query("r2_14_6_stream_late_counts")

@@ -236,11 +236,18 @@ def receipt(spark, sf):
     return assets.run_receipt(views.table(spark, sf, "nation").agg(F.sum("n_regionkey").alias("b"), F.count("*").alias("a")))
 
 
-@query("r2_12_2_audit_run", f"WITH {EV} SELECT 'parse-run-record-count' AS code, 1::BIGINT AS count UNION ALL SELECT 'parse-run-source-output-mismatch', 1 WHERE (SELECT count(*) FROM ev) > 0")
+@query("r2_12_2_audit_run", f"WITH {EV}, n AS (SELECT count(*) AS n FROM ev) SELECT 'parse-run-not-complete' AS code, 1::BIGINT AS count UNION ALL SELECT 'parse-run-source-output-mismatch', 2 UNION ALL SELECT 'parse-run-database-count-mismatch', 2 FROM n WHERE n > 3")
 def audit_run(spark, sf):
-    m = views.events(spark, sf)
-    r = m.agg(F.count("*").alias("n")).select(F.lit("complete").alias("status"), F.col("n").alias("discovered"), (F.col("n") - 1).alias("parsed"), F.lit(0).alias("deduplicated"), F.lit(0).alias("excluded"))
-    return audit.audit_run(r, m).select("code", "count")
+    """A receipt without a date, of no snapshot, with three messages too many in its source, one conversation and one text less than the store has."""
+    m = q_messages.messages(spark, sf)
+    c = q_messages.rollup(spark, sf)
+    n = m.agg(F.count("*").alias("m"), F.count_if(F.length("text") > 0).alias("t")).crossJoin(c.agg(F.count("*").alias("c")))  # one row each
+    r = n.select(
+        F.lit("complete").alias("status"), F.lit(" ").alias("completed_at"), F.lit(0).alias("selected_snapshots"), F.lit(3).alias("selected_sources"),
+        (F.col("c") - 1).alias("source_conversations"), (F.col("m") + 3).alias("source_messages"), (F.col("c") - 1).alias("output_conversations"),
+        F.col("m").alias("output_messages"), (F.col("t") - 1).alias("output_texts"), F.lit(0).alias("deduplicated"),
+    )
+    return audit.audit_run(r, m, c).select("code", "count")
 
 
 @query("r2_12_5_audit_senders", f"WITH {EV} SELECT 'group-prefix-sender-mismatch' AS code, count(*) AS count FROM ev WHERE local_id % 2 = 0 AND local_id % 14 = 0 UNION ALL SELECT 'private-sender-outside-participants', count(*) FROM ev WHERE local_id % 2 = 1 AND sender = 'click'")
@@ -249,10 +256,13 @@ def audit_senders(spark, sf):
     return audit.audit_senders(m, m.filter("sender <> 'click'").select("conv_id", "sender").distinct()).select("code", "count")
 
 
-@query("r2_12_9_audit_inventory", f"WITH {SH} SELECT 'source-inventory-count-mismatch' AS code, 1::BIGINT AS count UNION ALL SELECT 'archive-time-zone-invalid', 1 UNION ALL SELECT 'canonical-schema-version', 1")
+@query("r2_12_9_audit_inventory", f"WITH {SH} SELECT 'source-inventory-count-mismatch' AS code, 1::BIGINT AS count UNION ALL SELECT 'archive-time-zone-invalid', 1 UNION ALL SELECT 'canonical-schema-version', 1 UNION ALL SELECT 'source-inventory-run-mismatch', 2")
 def audit_inventory(spark, sf):
-    inv = q_messages.inventory(spark, sf).withColumn("parsed", F.when(F.col("source_db") == "message_0.db", F.col("parsed") + 1).otherwise(F.col("parsed")))
-    return audit.audit_inventory(inv, "nowhere", 1, 2).select("code", "count")
+    """One shard says that it parsed a row more; the receipt is that of before, and knows of one shard less."""
+    good = q_messages.inventory(spark, sf)
+    run = good.agg((F.count("*") - 1).alias("units"), *[F.sum(c).alias(c) for c in ("parsed", "deduplicated", "excluded")])
+    inv = good.withColumn("parsed", F.when(F.col("source_db") == "message_0.db", F.col("parsed") + 1).otherwise(F.col("parsed")))
+    return audit.audit_inventory(inv, "nowhere", 1, 2, run).select("code", "count")
 
 
 @query("r2_12_12_audit_source", f"WITH {EV} SELECT 'source-sender-mismatch' AS code, count(*) AS count FROM ev WHERE local_id % 29 = 0")
@@ -280,10 +290,13 @@ def audit_insights(spark, sf):
     return audit.audit_insights(n, views.turns(spark, sf).select("conv_id").distinct(), ["table", "ask", "code"]).select("code", "count")
 
 
-@query("r2_13_5_visible_text", f"WITH {FI} SELECT name AS path, 'utf8' AS encoding, run FROM (SELECT DISTINCT name, 'payload text ' || file_id || ' here' AS run FROM fi)")
+@query("r2_13_5_visible_text")
 def visible(spark, sf):
-    f = views.files(spark, sf).select(F.col("name").alias("path"), F.concat(F.unhex(F.lit("000102")), F.encode(F.concat(F.lit("payload text "), F.col("file_id").cast("string"), F.lit(" here")), "UTF-8"), F.unhex(F.lit("0003"))).alias("content"))
-    return library.visible_text(f).filter("encoding = 'utf8'")
+    """The documents' own texts as binaries: every other one in UTF-16LE, all between bytes that are no text."""
+    d = views.table(spark, sf, "documents").filter("text IS NOT NULL")
+    body = F.when(F.col("doc_id") % 2 == 0, F.encode("text", "UTF-8")).otherwise(F.encode("text", "UTF-16LE"))
+    path = F.concat(F.lit("/x/"), F.col("doc_id").cast("string"), F.lit(".dat")).alias("path")
+    return library.visible_text(d.select(path, F.concat(F.unhex(F.lit("0001FFFE0000")), body, F.unhex(F.lit("0003"))).alias("content")))
 
 
 @query("r2_13_7_clue_dossier", f"WITH {q_library.CLUE} SELECT source_type, path, signals, excerpts, score, band FROM cb ORDER BY score DESC, path, source_type LIMIT 160")
@@ -298,10 +311,15 @@ def knowledge(spark, sf):
     return reports.knowledge_tables(c, q_search.nuggets(spark, sf), "ask")[0].drop("kind")
 
 
-@query("r2_13_12_search_messages", f"WITH {CH} SELECT chunk_id, left(text, 4000) AS text FROM ch WHERE list_contains(sender_ids, 'user') AND contains(lower(text), 'the') ORDER BY end_time DESC, conv_id, last_sequence DESC, chunk_id LIMIT 40")
+@query("r2_13_12_search_messages", f"""WITH {q_search.PO}, {q_search.COS}, {q_search.KEYWORDS.format(q=q_search.Q, scope=q_search.USER)}
+ {q_search.FUSED.format(near=f"chunk_id IN (SELECT chunk_id FROM ch WHERE {q_search.USER})")}, hits AS (SELECT fu.chunk_id, text FROM fu LEFT JOIN ch USING (chunk_id){q_search.TOP})
+ SELECT chunk_id, left(text, 4000) AS text FROM hits""")
 def search_messages(spark, sf):
-    c = search.search_scope(views.chunks(spark, sf), None, "user")
-    return search.public_hits(search.exact_search(c, "the", 10)).drop("citation")
+    c = views.chunks(spark, sf)
+    v, q = q_search.chunk_vectors(spark, sf), q_search.query_vector(spark, sf)
+    c = c.withColumn("start_time", F.col("first_sequence") * 60)
+    found, _ = search.hybrid_search(c, q_search.postings(spark, sf), q_search.Q, 10, v, q, 64, sender="user")
+    return search.public_hits(search.hydrate(found, c)).drop("citation")
 
 
 @query("r2_13_17_source_hash", f"WITH {MS} SELECT conv_id, sha256(string_agg(message_uid, chr(10) ORDER BY seq)) AS source_hash FROM ms GROUP BY conv_id")

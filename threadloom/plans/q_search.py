@@ -80,9 +80,11 @@ def rrf(spark, sf):
     return search.rrf([a, b], 30).select("chunk_id", F.round("score", 9).alias("score"), "best")
 
 
-@query("r2_10_10_live_search", f"WITH {MS} SELECT conv_id, seq AS canonical_seq, message_uid FROM ms WHERE contains(lower(text), '5') ORDER BY t DESC, conv_id, seq DESC LIMIT 50")
+@query("r2_10_10_live_search", f"WITH {MS} SELECT conv_id, seq AS canonical_seq, message_uid FROM ms WHERE contains(lower(text), '5') AND sender = 'click' AND t >= (SELECT min(t) + 86400 FROM ms) ORDER BY t DESC, conv_id, seq DESC LIMIT 50")
 def live(spark, sf):
-    return search.live_search(messages(spark, sf), "5", 50).select("conv_id", "canonical_seq", "message_uid")
+    m = messages(spark, sf)
+    after = m.agg(F.min("occurred_at_epoch_s")).first()[0] + 86400
+    return search.live_search(m, "5", 50, sender="click", after=after).select("conv_id", "canonical_seq", "message_uid")
 
 
 @query("r2_10_11_index_status", f"WITH {CH} SELECT CASE WHEN (SELECT count(*) FROM ch) <> (SELECT count(*) FROM embeddings) THEN 'invalid' ELSE 'ready' END AS status, 'hybrid' AS mode")
@@ -91,9 +93,9 @@ def status(spark, sf):
     return search.index_status(views.chunks(spark, sf), vectors(spark, sf), meta, "f")
 
 
-@query("r2_10_12_public_hits", f"WITH {CH} SELECT chunk_id, left(text, 40) AS text, '[消息:' || chunk_id || ']' AS citation FROM ch")
+@query("r2_10_12_public_hits", f"WITH {CH} SELECT chunk_id, left(text, 4000) AS text, '[消息:' || chunk_id || ']' AS citation FROM ch")
 def hits(spark, sf):
-    return search.public_hits(views.chunks(spark, sf), 40)
+    return search.public_hits(views.chunks(spark, sf))
 
 
 @query("r2_10_1_chunk_messages")
@@ -102,10 +104,29 @@ def chunk(spark, sf):
     return search.chunk_messages(t.withColumn("message_uid", F.concat_ws("-", "conv_id", F.col("canonical_seq").cast("string"))))
 
 
-@query("r2_10_9_hybrid_search", f"WITH {CH}, x AS (SELECT chunk_id FROM ch WHERE contains(lower(text), 'the') ORDER BY end_time DESC, conv_id, last_sequence DESC, chunk_id LIMIT 40), r AS (SELECT chunk_id, row_number() OVER (ORDER BY chunk_id) AS rank FROM x) SELECT chunk_id, round(1 / (60.0 + rank), 9) AS score FROM r WHERE rank <= 10")
+KEYWORDS = """ex AS (SELECT chunk_id, 2.0 AS score FROM ch WHERE contains(lower(text), '{q}') AND {scope} ORDER BY end_time DESC, conv_id, last_sequence DESC, chunk_id LIMIT 40),
+ tm AS (SELECT chunk_id, 1.0 AS score FROM bm WHERE chunk_id IN (SELECT chunk_id FROM ch WHERE {scope}) ORDER BY bm.score DESC, chunk_id LIMIT 40),
+ al AS (SELECT chunk_id, max(score) AS score FROM (SELECT * FROM ex UNION ALL SELECT * FROM tm) GROUP BY chunk_id),
+ kw AS (SELECT chunk_id, row_number() OVER (ORDER BY score DESC, chunk_id) AS rank FROM al ORDER BY score DESC, chunk_id LIMIT 10)"""
+FUSED = """, nn AS (SELECT cv.chunk_id // 3 || '-' || cv.chunk_id % 3 AS chunk_id, d FROM cv), nv AS (SELECT * FROM nn WHERE {near} ORDER BY d, chunk_id LIMIT 80),
+ vs AS (SELECT chunk_id, row_number() OVER (ORDER BY d, chunk_id) AS rank FROM nv ORDER BY d, chunk_id LIMIT 10),
+ fu AS (SELECT chunk_id, sum(1 / (60.0::DOUBLE + rank)) AS score, min(rank) AS best FROM (SELECT * FROM kw UNION ALL SELECT * FROM vs) GROUP BY chunk_id)"""
+TOP = " ORDER BY score DESC, best, conv_id NULLS LAST, last_sequence DESC NULLS LAST, chunk_id LIMIT 10"
+USER = "list_contains(sender_ids, 'user')"
+
+
+def chunk_vectors(spark, sf):
+    """The embeddings as the vectors of the first three chunks of conversations; some chunks have none, and some are of none."""
+    n = F.col("chunk_id")
+    name = F.concat_ws("-", F.floor(n / 3).cast("string"), (n % 3).cast("string"))
+    return vectors(spark, sf).select(name.alias("chunk_id"), "vector")
+
+
+@query("r2_10_9_hybrid_search", f"WITH {PO}, {COS}, {KEYWORDS.format(q=Q, scope='TRUE')} {FUSED.format(near='TRUE')} SELECT chunk_id, round(score, 9) AS score, best::INT AS best FROM fu LEFT JOIN ch USING (chunk_id){TOP}")
 def hybrid(spark, sf):
-    p = postings(spark, sf).filter("term <> 'the'")
-    return search.hybrid_search(views.chunks(spark, sf), p, "the", 10)[0].select("chunk_id", F.round("score", 9).alias("score"))
+    got, why = search.hybrid_search(views.chunks(spark, sf), postings(spark, sf), Q, 10, chunk_vectors(spark, sf), query_vector(spark, sf), 64)
+    assert why is None
+    return got.select("chunk_id", F.round("score", 9).alias("score"), "best")
 
 
 # Links and files.

@@ -25,7 +25,7 @@ FI = """fi AS (SELECT doc_id AS file_id, source AS root, n_chars AS size, 170000
   '/Data/' || source || '/' || lang || '/' || name AS path FROM documents)"""
 CO = """co AS (SELECT c_name AS username, CASE WHEN c_custkey % 4 = 0 THEN 'remark ' || c_mktsegment ELSE ' ' END AS remark, CASE WHEN c_custkey % 3 = 0 THEN 'nick ' || c_custkey ELSE '' END AS nick,
   CASE WHEN c_custkey % 5 = 0 THEN 'alias' END AS alias FROM customer)"""
-IM = "im AS (SELECT 'message_' || (c_custkey % 3) || '.db' AS source_db, c_custkey // 3 AS rowid, c_name AS user_name FROM customer WHERE c_custkey <= 30)"
+IM = "im AS (SELECT 'message_' || (c_custkey % 3) || '.db' AS source_db, c_custkey // 3 AS rowid, c_name AS user_name FROM customer)"
 
 
 def query(name: str, sql: str | None = None):
