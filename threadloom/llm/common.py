@@ -71,15 +71,22 @@ def worker_cache(name: str) -> dict:
     return holder.__dict__.setdefault(name, {})
 
 
+def drop_worker_caches(but: str | None = None) -> None:
+    """Free the caches that functions of another kind left in this Python worker."""
+    holder = sys.modules.get("__threadloom_worker__")
+    for name in [n for n, c in vars(holder).items() if isinstance(c, dict) and n != but] if holder else []:
+        del holder.__dict__[name]
+
+
 #: Rows that a Python function sees at once; long texts make Arrow batches of 10,000 rows too large to unpack whole.
 SLICE = 500
 
 
-def map_text(df: DataFrame, make: Callable[[], Callable[[list], dict]], schema: str, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
+def map_text(df: DataFrame, make: Callable[[], Callable[[list], dict]], schema: str, keep: tuple[str, ...] = ("doc_id",), text: str = "text", cache: str | None = None) -> DataFrame:
     """Columns computed from texts, a slice of rows at a time, by one function per task.
 
     make() returns f(list of str or None) -> {column: list or array}; schema is the DDL of these
-    columns. Columns in keep pass through untouched. text is a column, or `column.field` of a struct in keep.
+    columns. cache: the worker_cache() that f uses; others are freed. Columns in keep pass through untouched. text is a column, or `column.field` of a struct in keep.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
@@ -90,6 +97,7 @@ def map_text(df: DataFrame, make: Callable[[], Callable[[list], dict]], schema:
     column, _, field = text.partition(".")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_worker_caches(cache)
         f = make()
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
@@ -98,6 +106,8 @@ def map_text(df: DataFrame, make: Callable[[], Callable[[list], dict]], schema:
                 got = f(texts.to_pylist())
                 cols = [b.column(i) for i in range(len(keep))] + [pa.array(got[t.name], type=t.type) for t in types_]
                 yield pa.RecordBatch.from_arrays(cols, names=[*keep, *(t.name for t in types_)])
+        del f
+        pa.default_memory_pool().release_unused()
 
     return df.select(*keep, *([] if field else [text])).mapInArrow(run, out)
 

@@ -308,7 +308,8 @@ def similar_links(docs: DataFrame, points: DataFrame, shingle: int, least: Fract
     )
     nth = Window.partitionBy("k").orderBy(F.xxhash64("x.node"), "x.node")
     hub = materialize(crowded.withColumn("i", F.row_number().over(nth)).filter(F.col("i") <= hubs).select("k", F.col("x").alias("hub")))
-    near_hub = crowded.join(hub, "k").filter((F.col("x.node") != F.col("hub.node")) & _alike(F.col("x"), F.col("hub"), least))
+    # Hubs grow with the groups, and rows as small as theirs on disk are large in memory: they are never broadcast.
+    near_hub = crowded.join(hub.hint("merge"), "k").filter((F.col("x.node") != F.col("hub.node")) & _alike(F.col("x"), F.col("hub"), least))
     spokes = near_hub.select(F.least("x.node", "hub.node").alias("a"), F.greatest("x.node", "hub.node").alias("b"))
     tried = materialize(pairs.union(spokes).distinct())
 

@@ -101,7 +101,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: i
     Only documents longer than capacity are cut.
     """
     fields = "piece:int,start:long,length:long,ids_crc32:long" + ",ids:array<int>" * with_ids
-    rows = map_text(docs, pieces_maker(tokenizer_path, capacity, end_id, with_ids), f"pieces array<struct<{fields}>>", keep)
+    rows = map_text(docs, pieces_maker(tokenizer_path, capacity, end_id, with_ids), f"pieces array<struct<{fields}>>", keep, cache="word_ids")
     return rows.select(*keep, F.inline("pieces"))
 
 
