@@ -34,12 +34,44 @@ INSIGHT_CATEGORIES: Rules = (
 )
 OTHER = "其他"
 ADVICE = "建议|方法|注意|经验|原理|总结|复盘|决定|计划|需要"
+FILE_KEYWORDS: Rules = (
+    ("AI", r"(^|[^a-z])ai([^a-z]|$)|人工智能|机器学习|深度学习|llm|prompt|gpt|openai|claude|deepseek|大模型|神经网络|agent|多模态|stable\s?diffusion|comfyui"),
+    ("比赛", r"比赛|竞赛|挑战杯|互联网\+|大创|数学建模|建模|赛道|路演|答辩|赛|锦兰杯|创新创业大赛"),
+    ("创业", "创业|商业计划|bp|融资|商业|公司|产品|市场|运营|增长|获客|简历|resume|offer|求职|校招|实习|内推|生涯|职业规划|教培|项目计划"),
+    ("树林", "树林|forest|tree|植物|生态|自然|森林"),
+    ("专业", "解剖|生理|生化|组胚|病理|药理|临床|基础医学|医学|科研|论文|课题|实验报告|细胞|免疫|分子|病例"),
+    ("学业", "学业|课程|作业|考试|期末|期中|复习|资料|讲义|笔记|真题|基医|强基|hust|华科|高数|微积分|线代|英语|四六级|思政|概率|物理|化学|导论|体育|讲座"),
+    ("项目", "roadmap|需求|prd|迭代|架构|方案|里程碑|开发文档|接口文档"),
+    ("健康", "体检|病历|睡眠|健身|运动计划|饮食|心理|健康"),
+    ("财务", "账单|发票|报销|预算|收入|支出|合同|银行|付款|收款|财务"),
+    ("旅行", "旅行|旅游|机票|酒店|行程|车票|攻略"),
+    ("阅读", "读书|摘录|读后感|article|paper|book|epub|电子书"),
+    ("工具", "脚本|配置|安装|插件|workflow|自动化|教程|指南|手册|cheatsheet"),
+    ("人物", "名片|通讯录|联系人|导师|老师同学"),
+    ("生活", "照片|日常|家庭|聚会|回忆|生活"),
+)
+SUBCATEGORIES: Rules = (
+    ("聊天影像", r"Pic|Image|Thumb|Ori|\.(png|jpe?g|gif|webp)$"), ("视频", r"Video|\.(mp4|mov|mkv|webm)$"), ("语音", r"Ptt|Audio|Voice|\.(mp3|wav|ogg|silk|amr)$"),
+    ("文档/PDF", r"\.(pdf)$"), ("文档/网页", r"\.(html?)$"), ("文档/结构化数据", r"\.(json)$"), ("文档/文本", r"\.(docx?|md|txt)$"), ("文档/演示", r"\.(pptx?)$"), ("文档/表格", r"\.(xlsx?|csv)$"),
+    ("代码", r"\.(py|ipynb|js|ts|tsx|cpp|c|h|java|html|css)$"),
+)
+ARCHIVE_SUBCATEGORY = "压缩包"
 FILE_FALLBACK: Rules = (("学业", r"\.(pdf|docx?|pptx?|xlsx?|csv|txt|md)$"), ("过去", r"\.(png|jpe?g|gif|webp|bmp|mp4|mov|mkv|webm|mp3|wav|ogg|silk|amr)$"), ("素材", r"\.(zip|rar|7z)$"))
 PREVIEWS: Rules = (
+    ("database", r"\.(db|sqlite|sqlite3|db-wal|db-shm)$|/nt_db/"),
     ("image", r"\.(png|jpe?g|gif|webp|bmp|svg|ico|apng|avif)$"), ("video", r"\.(mp4|webm|mov|mkv)$"), ("voice", r"\.(amr|silk)$"), ("audio", r"\.(mp3|wav|ogg)$"),
     ("font", r"\.(ttf|otf|woff2?)$"), ("pdf", r"\.pdf$"), ("docx", r"\.docx$"), ("sheet", r"\.(xlsx?|csv)$"), ("html", r"\.html?$"), ("json", r"\.json$"), ("markdown", r"\.(md|markdown)$"),
-    ("text", r"\.(txt|log|xml|yml|yaml|toml|ini|cfg|conf|config|plist|pem|key|crt|cer|lic|manifest)$"), ("presentation", r"\.(pptx?|ppsx)$"), ("archive", r"\.(zip|rar|7z)$"), ("code", r"\.(effect|py|ipynb|js|ts|tsx|cpp|c|h|java|css|lua)$"),
+    ("text", r"(^|/)(log|log\.old|current|manifest-\d+)$"), ("text", r"\.(txt|log|xml|yml|yaml|toml|ini|cfg|conf|config|plist|pem|key|crt|cer|lic|manifest)$"), ("presentation", r"\.(pptx?|ppsx)$"), ("archive", r"\.(zip|rar|7z)$"), ("code", r"\.(effect|py|ipynb|js|ts|tsx|cpp|c|h|java|css|lua)$"),
+)
+ASSET_TYPES = {3: "image", 43: "video", 34: "voice"}
+ASSET_PREVIEWS: Rules = (
+    ("image", r"\.(?:png|jpe?g|gif|webp|bmp|svg|ico|apng|avif)$"), ("video", r"\.(?:mp4|webm|mov|mkv)$"), ("voice", r"\.(?:amr|silk)$"), ("audio", r"\.(?:mp3|wav|ogg|m4a)$"), ("pdf", r"\.pdf$"),
+    ("docx", r"\.(?:docx?)$"), ("sheet", r"\.(?:xlsx?|csv)$"), ("presentation", r"\.(?:pptx?|ppsx)$"), ("html", r"\.(?:html?)$"), ("markdown", r"\.(?:md|markdown)$"), ("json", r"\.json$"),
+    ("text", r"\.(?:txt|log|xml|ya?ml|toml|ini|cfg|conf)$"), ("archive", r"\.(?:zip|rar|7z)$"), ("code", r"\.(?:py|js|jsx|ts|tsx|css|vue|c|h|cpp|java)$"),
 )
+HEX_LIKE = r"^[0-9a-f_:\-./\\]{20,}$"
+EMPTY_WORDS = "^(true|false|null|undefined|nan|inf)+$"
+USEFUL = "message|chat|meeting|wechat|qq|content|http|课程|考试|项目|AI|prompt"
 
 #: A Latin table of the same shape, for tables without Han text.
 LATIN_SIGNALS: Rules = (("article", r"(^|\s)(the|der|la)(\s|$)"), ("link", r"(^|\s)(and|und|et)(\s|$)"), ("mail", "@"), ("number", r"\d{2,}"))
@@ -62,15 +94,30 @@ def extension(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"(\.[^./\\]+)$", 1))
 
 
+def slashed(path: Column) -> Column:
+    return F.replace(path, F.lit("\\"), F.lit("/"))
+
+
 def preview_for(path: Column) -> Column:
-    return first_match(path, PREVIEWS, "download")
+    return first_match(slashed(path), PREVIEWS, "download")
 
 
-def classify_file(path: Column, keywords: Rules, default: str = "未归类") -> Column:
-    """struct(category, subcategory): keyword rules on the whole path first, then the extension."""
+def preview_for_asset(name: Column, kind: Column) -> Column:
+    """What shows an asset: its message type settles it, else its extension."""
+    by_type = F.coalesce(*[F.when(kind == k, v) for k, v in ASSET_TYPES.items()])
+    return F.coalesce(by_type, first_match(name, ASSET_PREVIEWS, "download"))
+
+
+def classify_file(path: Column, keywords: Rules = FILE_KEYWORDS, default: str = "未归类") -> Column:
+    """struct(category, subcategory as a path): keyword rules on the whole path first, then the extension.
+
+    Archives that no keyword names have a subcategory of their own."""
+    path = slashed(path)
     by_ext = first_match(path, FILE_FALLBACK, default)
-    kind = first_match(path, (("影像", r"\.(png|jpe?g|gif|webp)$"), ("视频", r"\.(mp4|mov|mkv|webm)$"), ("语音", r"\.(mp3|wav|ogg|silk|amr)$"), ("文档", r"\.(pdf|html?|json|docx?|md|txt|pptx?|xlsx?|csv)$"), ("压缩包", r"\.(zip|rar|7z)$"), ("代码", r"\.(py|ipynb|js|ts|tsx|cpp|c|h|java|css)$")), OTHER)
-    return F.struct(F.coalesce(first_match(path, keywords, None), by_ext).alias("category"), kind.alias("subcategory"))
+    named = first_match(path, keywords, None)
+    packed = named.isNull() & path.rlike(r"(?i)\.(zip|rar|7z)$")
+    kind = F.when(packed, ARCHIVE_SUBCATEGORY).otherwise(first_match(path, SUBCATEGORIES, OTHER))
+    return F.struct(F.coalesce(named, by_ext).alias("category"), kind.alias("subcategory"))
 
 
 def duplicate_stem(name: Column) -> Column:
@@ -124,5 +171,11 @@ def distillable(text: Column) -> Column:
 
 
 def noise_text(c: Column) -> Column:
-    """Hex-like runs or one character over and over."""
-    return c.rlike("(?i)^[0-9a-f]{16,}$") | c.rlike(r"(.)\1{18,}")
+    """Under 12 characters without white space, hex-like, nothing but empty words, or one character over and over."""
+    t = F.regexp_replace(c, r"\s+", "")
+    return (F.length(t) < 12) | t.rlike(f"(?i){HEX_LIKE}") | t.rlike(f"(?i){EMPTY_WORDS}") | t.rlike(r"(.)\1{18,}")
+
+
+def useful_text(c: Column) -> Column:
+    """No noise, and written in Han or holding a telling word."""
+    return ~noise_text(c) & (c.rlike("[\u4e00-\u9fff]") | c.rlike(f"(?iu){USEFUL}"))

@@ -134,6 +134,15 @@ def select_snapshots(keys: DataFrame) -> DataFrame:
     return full.groupBy("owner", "snapshot").agg(F.min("by").alias("covered_by"))
 
 
+def text_rows(messages: DataFrame) -> DataFrame:
+    return messages.filter((F.col("type") == 1) & (F.length("text") > 0))
+
+
+def min_text(messages: DataFrame, least: int = 20) -> DataFrame:
+    """conv_id, texts: conversations with at least that many texts."""
+    return text_rows(messages).groupBy("conv_id").agg(F.count("*").alias("texts")).filter(F.col("texts") >= least)
+
+
 def duplicates(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("copies")).filter("copies > 1")
 

@@ -18,9 +18,10 @@ def exports(spark, sf):
     return views.export_candidates(views.files(spark, sf), "report1", 20).select("path")
 
 
-@query("r2_1_10_file_inventory", f"WITH {FI} SELECT path, count(*) AS copies FROM fi GROUP BY path")
+@query("r2_1_10_file_inventory", f"WITH {FI} SELECT path, '/Data' AS root, substr(path, 7) AS relative, max(ext) AS ext, max(modified) AS modified FROM fi GROUP BY path")
 def inventory(spark, sf):
-    return views.files(spark, sf).groupBy("path").agg(F.count("*").alias("copies"))
+    f = views.files(spark, sf).groupBy("path").agg(F.max("size").alias("length"), F.timestamp_seconds(F.max("modified")).alias("modificationTime"))
+    return views.inventory_rows(f.union(f), "/Data").drop("name", "size")
 
 
 @query("r2_1_14_page_metadata", r"SELECT page_id, left(trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1).replace('&amp;', '&'), '\s+', ' ', 'g')), 80) AS title, left(regexp_extract(url, '^[a-zA-Z]+://([^/?#:]+)', 1), 40) AS site FROM pages")
@@ -82,9 +83,10 @@ def category(spark, sf):
     return views.files(spark, sf).groupBy(assets.artifact_category(F.lit("text"), F.col("name"), F.lit("")).alias("category")).agg(F.count("*").alias("files"))
 
 
-@query("r2_3_23_preview", f"WITH {FI} SELECT {PRE} AS preview, count(*) AS files FROM fi GROUP BY ALL")
+@query("r2_3_23_preview", f"WITH {FI} SELECT {PRE} AS preview, CASE file_id % 5 WHEN 0 THEN 'image' WHEN 1 THEN 'video' WHEN 2 THEN 'voice' ELSE {PRE} END AS asset, count(*) AS files FROM fi GROUP BY ALL")
 def preview(spark, sf):
-    return views.files(spark, sf).groupBy(rules.preview_for(F.col("path")).alias("preview")).agg(F.count("*").alias("files"))
+    kind = F.element_at(F.array(*map(F.lit, (3, 43, 34, 1, 49))), (F.col("file_id") % 5 + 1).cast("int"))
+    return views.files(spark, sf).groupBy(rules.preview_for(F.col("path")).alias("preview"), rules.preview_for_asset(F.col("name"), kind).alias("asset")).agg(F.count("*").alias("files"))
 
 
 @query("r2_3_26_duplicate_stem", f"WITH {FI} SELECT file_id, k, serial FROM (SELECT *, {STEM} FROM fi)")
@@ -114,9 +116,12 @@ def hashes(spark, sf):
     return views.table(spark, sf, "documents").select("doc_id", F.array_join(h, ",").alias("hash"))
 
 
-@query("r2_4_6_useful_text", f"WITH {TU} SELECT conv_id, seq FROM tu WHERE length(text) >= 40 AND NOT regexp_matches(text, '^[0-9a-fA-F]{{16,}}$')")
+@query("r2_4_6_useful_text", f"""WITH {TU}, u AS (SELECT *, regexp_replace(text, '\\s+', '', 'g') AS c FROM tu)
+ SELECT conv_id, seq FROM u WHERE length(c) >= 12 AND NOT regexp_matches(c, '(?i)^[0-9a-f_:\\-./\\\\]{{20,}}$') AND NOT regexp_matches(c, '(?i)^(true|false|null|undefined|nan|inf)+$')
+ AND len(list_filter(list_distinct(string_split(c, '')), lambda x: contains(c, repeat(x, 19)))) = 0
+ AND (regexp_matches(text, '[\\x{{4e00}}-\\x{{9fff}}]') OR regexp_matches(text, '(?i)message|chat|meeting|wechat|qq|content|http|课程|考试|项目|AI|prompt'))""")
 def useful(spark, sf):
-    return views.turns(spark, sf).filter((F.length("text") >= 40) & ~F.col("text").rlike("(?i)^[0-9a-f]{16,}$")).select("conv_id", F.col("canonical_seq").alias("seq"))
+    return views.turns(spark, sf).filter(rules.useful_text(F.col("text"))).select("conv_id", F.col("canonical_seq").alias("seq"))
 
 
 @query("r2_4_8_accept_exports", f"WITH {TU}, p AS (SELECT conv_id AS path, count(*) AS messages, CAST(conv_id AS BIGINT) % 2 = 0 AS named, count(DISTINCT sender) AS signals FROM tu GROUP BY conv_id) SELECT path, messages FROM p WHERE (messages >= 20 AND named) OR (messages >= 8 AND signals >= 2) OR messages >= 50")

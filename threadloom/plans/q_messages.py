@@ -27,8 +27,7 @@ def source_domain(spark, sf):
 
 @query("r2_1_4_deferred_inventory", f"WITH {SH} SELECT source_db, count(*) AS discovered, 'deferred_domain' AS reason FROM sh WHERE source_db LIKE 'biz%' GROUP BY source_db")
 def deferred(spark, sf):
-    s = views.shards(spark, sf).filter(views.source_domain(F.col("source_db")) != "regular")
-    return s.groupBy("source_db").agg(F.count("*").alias("discovered")).withColumn("reason", F.lit("deferred_domain"))
+    return views.deferred_inventory(views.shards(spark, sf), ("regular",))
 
 
 @query("r2_1_5_contacts", f"WITH {CO}, r AS (SELECT 'Customer#' || s_suppkey || '@chatroom' AS username FROM supplier) SELECT username, coalesce(nullif(trim(remark), ''), nullif(trim(nick), ''), nullif(trim(alias), ''), username) AS display, FALSE AS is_group FROM co UNION ALL SELECT username, username, TRUE FROM r")
@@ -39,7 +38,8 @@ def contacts(spark, sf):
 
 @query("r2_1_6_sessions", f"WITH {EV} SELECT conv_id AS username, max(t) AS last_time FROM ev GROUP BY conv_id")
 def sessions(spark, sf):
-    return views.events(spark, sf).groupBy(F.col("conv_id").alias("username")).agg(F.max("occurred_at_epoch_s").alias("last_time"))
+    e = views.events(spark, sf).select(F.col("conv_id").alias("username"), F.col("occurred_at_epoch_s").alias("last_time"), F.col("text").alias("summary"))
+    return views.read_sessions(e).drop("summary")
 
 
 @query("r2_1_7_resolve_owner", "SELECT c_name AS owner FROM customer WHERE c_custkey = 7")
@@ -138,7 +138,7 @@ def scope(spark, sf):
 
 @query("r2_4_4_text_rows", f"WITH {MS} SELECT conv_id, count(*) AS texts FROM ms WHERE raw_type % 4294967296 = 1 AND length(text) > 0 GROUP BY conv_id HAVING count(*) >= 20")
 def text_rows(spark, sf):
-    return messages(spark, sf).filter("type = 1 AND length(text) > 0").groupBy("conv_id").agg(F.count("*").alias("texts")).filter("texts >= 20")
+    return canonical.min_text(messages(spark, sf), 20)
 
 
 @query("r2_5_1_join_senders", f"WITH {EV}, {IM} SELECT message_uid, user_name AS mapped_sender FROM ev LEFT JOIN im ON ev.source_db = im.source_db AND real_sender_id = rowid")

@@ -47,10 +47,13 @@ def locator(spark, sf):
     return views.table(spark, sf, "part").select("p_partkey", F.array_join(F.transform(e, lambda x: F.concat_ws("=", x["key"], x["value"])), ",").alias("evidence"))
 
 
-@query("r2_3_25_source_app", f"WITH {FI} SELECT file_id, CASE WHEN contains(path, 'src1') THEN 'first' WHEN contains(path, 'src2') THEN 'second' ELSE 'unknown' END AS app, 'candidate' AS focus FROM fi")
+@query("r2_3_25_source_app", """SELECT doc_id,
+ CASE doc_id % 13 WHEN 2 THEN '微信' WHEN 3 THEN 'QQ' WHEN 9 THEN '微信' WHEN 10 THEN 'QQ' WHEN 11 THEN '企业微信' ELSE '未知' END AS app,
+ ['聊天数据库/索引', '聊天数据库/索引', '聊天数据库/索引', 'QQ 应用数据/日志旁证', '腾讯会议组件', '聊天图片', '聊天视频', '语音', '文件附件', '新版微信数据', 'QQ 数据', '企业微信数据', '候选目录'][doc_id % 13 + 1] AS focus FROM documents""")
 def app(spark, sf):
-    p = F.col("path")
-    return views.files(spark, sf).select("file_id", reports.source_app(p, (("first", "src1"), ("second", "src2"))).alias("app"), reports.dir_focus(p).alias("focus"))
+    folders = (r"x\nt_db", r"roam\y", "x/WeChat", r"AppData\Roaming\QQ\z", "WeMeet/a", "Pic/a", "video", "Ptt", "dataline", "xwechat/a", "Tencent Files/a", "WXWork/a", "plain")
+    p = F.concat(F.lit("/"), F.col("source"), F.lit("/"), F.element_at(F.array(*map(F.lit, folders)), (F.col("doc_id") % 13 + 1).cast("int")))
+    return views.table(spark, sf, "documents").select("doc_id", reports.source_app(p).alias("app"), reports.dir_focus(p).alias("focus"))
 
 
 @query("r2_3_28_insight_scores", f"WITH {TU} SELECT conv_id, seq, least(length(text), 180) AS score, greatest(1, least(5, floor(least(length(text), 180) / 50.0 + 0.5)))::INT AS importance FROM tu")
@@ -70,12 +73,12 @@ def packed(spark, sf):
 STATES = "CASE p_size % 5 WHEN 0 THEN 'exact' WHEN 1 THEN 'missing' WHEN 2 THEN 'ambiguous' WHEN 3 THEN 'size_mismatch' ELSE 'filename_only' END"
 
 
-@query("r2_3_32_asset_state", f"SELECT p_partkey, CASE WHEN m = 'missing' THEN CASE WHEN p_size % 2 = 0 THEN 'cdn_only' ELSE 'source_missing' END WHEN m IN ('ambiguous', 'size_mismatch') OR p_partkey % 3 = 0 THEN 'not_attempted' ELSE 'ready' END AS state FROM (SELECT *, {STATES} AS m FROM part)")
+@query("r2_3_32_asset_state", f"SELECT p_partkey, CASE WHEN m = 'missing' THEN CASE WHEN p_size % 2 = 0 THEN 'cdn_only' ELSE 'source_missing' END WHEN m IN ('ambiguous', 'size_mismatch') OR p_partkey % 3 = 0 THEN 'not_attempted' ELSE 'ready' END AS state, CASE WHEN m = 'ambiguous' THEN 'multiple_local_candidates' WHEN m = 'size_mismatch' THEN 'local_candidate_size_mismatch' WHEN m = 'missing' THEN CASE WHEN p_size % 2 = 0 THEN 'remote_cdn_reference_without_local_cache' ELSE 'local_source_not_found' END WHEN p_partkey % 3 = 0 THEN 'encrypted_wechat_dat_requires_materialization' END AS reason FROM (SELECT *, {STATES} AS m FROM part)")
 def state(spark, sf):
     r = F.col("p_size") % 5
     m = F.when(r == 0, "exact").when(r == 1, "missing").when(r == 2, "ambiguous").when(r == 3, "size_mismatch").otherwise("filename_only")
     s = reports.asset_state(m, F.when(F.col("p_partkey") % 3 == 0, "a.dat").otherwise("a.pdf"), F.col("p_size") % 2 == 0, F.lit("pdf"))
-    return views.table(spark, sf, "part").select("p_partkey", s["state"].alias("state"))
+    return views.table(spark, sf, "part").select("p_partkey", s["state"].alias("state"), s["reason"].alias("reason"))
 
 
 @query("r2_3_33_availability", "SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 'ready' WHEN p_size % 3 = 1 AND p_partkey % 2 = 0 THEN 'source_missing' ELSE 'source_unavailable' END AS availability FROM part")
@@ -106,13 +109,19 @@ def artifact_scope(spark, sf):
     return assets.artifact_scope(f, "document", None, "PORT1", True).select("file_id")
 
 
-@query("r2_4_7_eligible_files", f"WITH {FI} SELECT file_id, CASE WHEN ext = '.dat' THEN 'noise' ELSE 'eligible' END AS verdict FROM fi WHERE ext <> '.dat' OR NOT contains(name, 'report7')")
+@query("r2_4_7_eligible_files", f"""WITH {FI}, k AS (SELECT file_id, ext, size, file_id % 6 AS k, file_id % 5 = 0 AS worth FROM fi)
+ SELECT file_id, 'eligible' AS verdict FROM k WHERE ext <> '.dat' AND k NOT IN (1, 4)
+ UNION ALL SELECT file_id, 'noise' FROM k WHERE size = 0 OR k = 2 OR (k IN (1, 3, 4) AND NOT worth)""")
 def eligible(spark, sf):
-    f = views.files(spark, sf)
-    return reports.eligible_files(f).select("file_id", F.lit("eligible").alias("verdict")).unionByName(reports.noise_files(f, "report7").select("file_id", F.lit("noise").alias("verdict")))
+    """Files in a media folder, two noisy ones, one of a program, one of resources and a plain one; every fifth has a valuable word in its name."""
+    n = F.col("file_id")
+    folders = ("Image", "avatar", r"AppData\Roaming\QQ\GPUCache", "resources", "log-cache", "plain")
+    folder = F.element_at(F.array(*map(F.lit, folders)), (n % 6 + 1).cast("int"))
+    f = views.files(spark, sf).withColumn("path", F.concat(F.lit("/D/"), folder, F.lit("/"), F.when(n % 5 == 0, "笔记").otherwise(""), "name"))
+    return reports.eligible_files(f).select("file_id", F.lit("eligible").alias("verdict")).unionByName(reports.noise_files(f).select("file_id", F.lit("noise").alias("verdict")))
 
 
-@query("r2_4_9_platform_noise", "SELECT page_id, regexp_matches(lower(html), 'useragent|httpdns|cookie|slotid|traceid|browser:|log_version|create table|message_loop|messagecenter|errmsg|errcode|beacon') AS noise FROM pages")
+@query("r2_4_9_platform_noise", "SELECT page_id, regexp_matches(lower(html), 'useragent|windowswechat|micromessenger|httpdns|cookie|slotid|traceid|browser:|log_version|create table|hookwx|getwechatinfo|message_loop|messagecenter|errmsg|errcode|beacon') AS noise FROM pages")
 def noise(spark, sf):
     return views.table(spark, sf, "pages").select("page_id", reports.platform_noise(F.col("html")).alias("noise"))
 

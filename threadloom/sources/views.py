@@ -132,10 +132,31 @@ def resolve_owner(contacts_: DataFrame, fragment: str) -> str:
 
 
 def file_inventory(spark: SparkSession, path: str) -> DataFrame:
-    """path, name, ext, size, modified of the files below path; contents are not read."""
+    """inventory_rows of the files below path; contents are not read."""
     f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return inventory_rows(f.select(F.regexp_replace("path", "^file:/*", "/").alias("path"), "length", "modificationTime"), path)
+
+
+def inventory_rows(found: DataFrame, root: str) -> DataFrame:
+    """(path, length, modificationTime) of files below root -> path, root, relative, name, ext, size, modified; one row a path."""
+    top = root.rstrip("/")
+    relative = F.when(F.col("path").startswith(top + "/"), F.substring("path", len(top) + 2, 1 << 30)).otherwise(F.col("path"))
     name = F.element_at(F.split("path", "/"), -1)
-    return f.select("path", name.alias("name"), rules.extension(F.col("path")).alias("ext"), F.col("length").alias("size"), F.unix_timestamp("modificationTime").alias("modified")).dropDuplicates(["path"])
+    return found.dropDuplicates(["path"]).select(
+        "path", F.lit(top).alias("root"), relative.alias("relative"), name.alias("name"), rules.extension(F.col("path")).alias("ext"),
+        F.col("length").alias("size"), F.unix_timestamp("modificationTime").alias("modified"),
+    )
+
+
+def read_sessions(rows: DataFrame | None) -> DataFrame | None:
+    """username, last_time, summary (of the latest row; of equals the greatest): one row a username. None where there is no such table."""
+    return None if rows is None else rows.groupBy("username").agg(F.max("last_time").alias("last_time"), F.max_by("summary", F.struct("last_time", "summary")).alias("summary"))
+
+
+def deferred_inventory(rows: DataFrame, parsed: tuple[str, ...] = ("regular", "biz")) -> DataFrame:
+    """source_db, discovered, reason: rows of the domains that are counted but not parsed."""
+    later = rows.filter(~source_domain(F.col("source_db")).isin(*parsed))
+    return later.groupBy("source_db").agg(F.count("*").alias("discovered")).withColumn("reason", F.lit("deferred_domain"))
 
 
 EXPORT_NAME = r"(?i)qq|(^|[^a-z])chat([^a-z]|$)|message|messages|msg|conversation|dialog|聊天|消息|群聊|好友"
