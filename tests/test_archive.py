@@ -280,3 +280,40 @@ def test_search_in_scope(spark):
     m = spark.createDataFrame([("c1", 1, "a", 5, "plan"), ("c1", 2, "b", 6, "plan"), ("c2", 1, "a", 9, "plan")], "conv_id string, canonical_seq long, sender string, occurred_at_epoch_s long, text string")
     live = lambda **s: [(r.conv_id, r.canonical_seq) for r in search.live_search(m, "PLAN", 5, **s).collect()]
     assert live() == [("c2", 1), ("c1", 2), ("c1", 1)] and live(sender="a", before=5) == [("c1", 1)] and live(conv="c1", after=6) == [("c1", 2)]
+
+
+def test_text_exports_drop_what_is_no_message(spark):
+    rows = ["2024-01-02 03:04 Ann: hi there", "more", "2024-01-02 03:05 Author: git", "2024/1/2 03:06 Bob: [图片]", "2024-01-03", "Cy 2024年1月4日 05:06： yes", "", "too"]
+    lines = spark.createDataFrame([("p", i, x) for i, x in enumerate(rows)], "path string, line_no int, line string")
+    got = sorted((r.seq, r.time, r.sender, r.content) for r in views.read_text_exports(lines).collect())
+    assert got == [(1, "2024-01-02 03:04:00", "Ann", "hi there more"), (2, "2024-01-04 05:06:00", "Cy", "yes too")]
+
+
+def test_synthesis_has_six_sections(spark):
+    rows = [
+        ("聊天导出", "/a", "学业", 40, "high", ["长期目标"]), ("聊天导出", "/b", "none", 5, "low", ["hello"]),
+        ("log", "/nt_msg/x", "技术", 30, "medium", ["API"]), ("log", "/c", "学业", 30, "medium", ["x"]), ("log", "/d", "none", 1, "low", ["x"]),
+    ]
+    g = spark.createDataFrame([(*r, len(r[5])) for r in rows], "source_type string, path string, signals string, score int, band string, texts array<string>, excerpts int")
+    g = g.withColumn("verdict", library.clue_verdict(F.col("source_type"), F.col("path"), F.col("signals")))
+    got = {}
+    for r in library.clue_synthesis(g).orderBy("section", "rank").collect():
+        got.setdefault(r.section, []).append(r.path)
+    assert got == {
+        "confirmed-conversations": ["/a", "/b"], "technical-value": ["/nt_msg/x"], "academic-material": ["/a", "/c"],
+        "philosophy-method": ["/a"], "source-boundaries": ["/nt_msg/x"], "high-value-review": ["/a"],
+    }
+
+
+def test_app_folders_keep_whole_pictures_only(spark):
+    at = "\\xwechat\\radium\\users\\u\\applet\\local\\k\\temp\\"
+    rows = [(at + "abc.png", 5), (at + "zed.png", 5), (at + "zed.png", 1 << 20), (at + "a@2x.png", 1 << 20), (at + "zed.pdf", 5), ("\\xwechat\\radium\\users\\u\\abc.pdf", 5), ("C:\\cache\\abc.pdf", 5)]
+    f = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, path string, size long")
+    assert sorted(r.i for r in reports.eligible_files(f).collect()) == [0, 2, 4]
+
+
+def test_inventory_of_a_folder(spark, tmp_path):
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "a.TXT").write_text("hello")
+    got = views.file_inventory(spark, str(tmp_path)).collect()
+    assert [(r.root, r.relative, r.name, r.ext, r.size) for r in got] == [(str(tmp_path), "d/a.TXT", "a.TXT", ".txt", 5)]

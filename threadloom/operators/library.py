@@ -22,7 +22,9 @@ def library_counts(files: DataFrame, keywords: rules.Rules) -> DataFrame:
 
 
 def download_groups(files: DataFrame) -> DataFrame:
-    return files.groupBy("name").agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
+    """by (ext or name), key, files, bytes."""
+    both = F.explode(F.array(*[F.struct(F.lit(c).alias("by"), F.col(c).alias("key")) for c in ("ext", "name")])).alias("g")
+    return files.select(both, "size").groupBy("g.by", "g.key").agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
 
 
 def latest_serial(files: DataFrame) -> DataFrame:
@@ -100,12 +102,15 @@ def signal_counts(df: DataFrame, col: str) -> DataFrame:
     return df.select(F.explode(col).alias("signal")).groupBy("signal").agg(F.count("*").alias("rows"))
 
 
-def export_conversations(msgs: DataFrame, table: rules.Rules, highlights: int = 40) -> DataFrame:
-    """title -> messages, participants, signals (label:count, comma-joined), highlights kept."""
-    s = msgs.withColumn("s", rules.signals(F.col("text"), table, "none"))
-    g = s.groupBy("title").agg(F.count("*").alias("messages"), F.count_distinct("sender").alias("participants"))
-    sig = s.select("title", F.explode("s").alias("l")).groupBy("title", "l").agg(F.count("*").alias("n")).groupBy("title").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "l", F.col("n").cast("string")))), ",").alias("signals"))
-    return g.join(sig, "title").withColumn("highlights", F.least("messages", F.lit(highlights)))
+def export_conversations(msgs: DataFrame, table: rules.Rules, highlights: int = 40, default: str = "none") -> DataFrame:
+    """(title, source, n, sender, text) -> title, messages, sources, participants (sorted arrays), signals (map of counts), highlights (the first texts, by source and n, that carry a signal)."""
+    s = msgs.withColumn("s", rules.signals(F.col("text"), table, default))
+    g = s.groupBy("title").agg(F.count("*").alias("messages"), F.array_sort(F.collect_set("source")).alias("sources"), F.array_sort(F.collect_set("sender")).alias("participants"))
+    counts = s.select("title", F.explode("s").alias("l")).groupBy("title", "l").agg(F.count("*").alias("k"))
+    sig = counts.groupBy("title").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("l", "k")))).alias("signals"))
+    top = s.filter(~F.array_contains("s", default)).withColumn("r", F.row_number().over(Window.partitionBy("title").orderBy("source", "n")))
+    top = top.filter(F.col("r") <= highlights).groupBy("title").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "text"))), lambda x: x["text"]).alias("highlights"))
+    return g.join(sig, "title").join(top, "title", "left").withColumn("highlights", F.coalesce("highlights", F.array().cast("array<string>")))
 
 
 def accept_exports(per_file: DataFrame) -> DataFrame:
@@ -118,19 +123,57 @@ def cap_per_path(df: DataFrame, n: int = 2, order: str = "canonical_seq", path:
 
 
 def clue_groups(snippets: DataFrame, excerpts: int = 8) -> DataFrame:
-    """(source_type, path, signal, excerpt) -> source_type, path, signals, excerpts (number kept), score, band."""
+    """(source_type, path, signal, excerpt) -> source_type, path, signals, excerpts (number kept), score, band, texts (the excerpts kept)."""
     s = snippets.distinct()
     w = Window.partitionBy("source_type", "path").orderBy("excerpt")
-    e = s.select("source_type", "path", "excerpt").distinct().withColumn("n", F.row_number().over(w)).filter(F.col("n") <= excerpts).groupBy("source_type", "path").agg(F.count("*").alias("excerpts"))
+    e = s.select("source_type", "path", "excerpt").distinct().withColumn("n", F.row_number().over(w)).filter(F.col("n") <= excerpts)
+    e = e.groupBy("source_type", "path").agg(F.count("*").alias("excerpts"), F.array_sort(F.collect_list("excerpt")).alias("texts"))
     g = s.groupBy("source_type", "path").agg(F.array_join(F.array_sort(F.collect_set("signal")), "|").alias("signals"), F.count_distinct("signal").alias("k"))
     score = F.col("k") * 10 + F.col("excerpts") * 2
-    return g.join(e, ["source_type", "path"]).select("source_type", "path", "signals", "excerpts", score.alias("score"), F.when(score >= 40, "high").when(score >= 25, "medium").otherwise("low").alias("band"))
-
-
-def clue_synthesis(groups: DataFrame, k: int = 24) -> DataFrame:
-    """section (band), rank, path: the best groups of every band, at most k each."""
-    w = Window.partitionBy("band").orderBy(F.desc("score"), "path", "source_type")
-    return groups.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select(F.col("band").alias("section"), "rank", "path", "score")
+    band = F.when(score >= 40, "high").when(score >= 25, "medium").otherwise("low")
+    return g.join(e, ["source_type", "path"]).select("source_type", "path", "signals", "excerpts", score.alias("score"), band.alias("band"), "texts")
+
+
+# What is said of a group of clues, by its path or its signals, and the sections of a synthesis.
+CHAT_EXPORT = "聊天导出"
+EXPORT_VERDICT = "可直接进入人物/群组级聊天总结。"
+PATH_VERDICTS: rules.Rules = (
+    ("QQ NT 重点消息库或索引候选；当前只能证明存在封装/索引线索，不能把片段当完整聊天正文。", "nt_msg|group_msg|buddy_msg|fts|file_assistant"),
+    ("微信/xwechat WebView、缓存或小程序数据线索；可作为访问痕迹和上下文旁证。", "xwechat|radium|weixin"),
+    ("企业微信/腾讯会议日志或数据库线索；多数是会议、WebView、邮箱或平台行为，不等同于私人聊天正文。", "WXWork|WeMeet"),
+)
+SIGNAL_VERDICTS = (
+    ("含学业相关可读线索，适合进入资料复核和课程行动整理。", ("学业",)),
+    ("含技术/API/配置线索，适合作为技术价值材料复核。", ("技术", "AI/技术")),
+)
+OTHER_VERDICT = "保留为聊天/内容候选线索，需结合源文件右侧预览继续复核。"
+TECHNICAL = "AI|技术|接口|代码|模型|算法|开发|架构|配置|api|prompt|llm|openai|claude|python|typescript|react"
+ACADEMIC = "学业|学习|课程|作业|考试|复习|基医|强基|医学|生物|化学|物理|高数|英语|思政|实验|资料"
+PHILOSOPHY = "哲理|方法|认知|复盘|原则|选择|长期|价值|意义|成长|判断|情绪|自律|行动|计划|目标"
+BOUNDARY = "会议|日程|平台线索|缓存|数据库|索引|日志|WebView|wemeet|meeting"
+
+
+def clue_verdict(source_type: Column, path: Column, signals: Column, export: str = CHAT_EXPORT) -> Column:
+    """What a group of clues is good for. Platform texts are taken out before groups are made, so no verdict is on them."""
+    has = F.split(signals, r"\|")
+    by_signal = F.coalesce(*[F.when(F.arrays_overlap(has, F.array(*map(F.lit, names))), text) for text, names in SIGNAL_VERDICTS])
+    return F.when(source_type == export, EXPORT_VERDICT).otherwise(F.coalesce(rules.first_match(path, PATH_VERDICTS, None), by_signal, F.lit(OTHER_VERDICT)))
+
+
+def clue_synthesis(groups: DataFrame, export: str = CHAT_EXPORT) -> DataFrame:
+    """section, rank, path, source_type, score: six sections of groups (with verdict), each its own filter and length, best first."""
+    whole = F.concat_ws("\n", F.replace("signals", F.lit("|"), F.lit(" ")), "verdict", F.array_join("texts", "\n"), "path")
+    exported = F.col("source_type") == export
+    says = lambda c, p: c.rlike(f"(?iu){p}")
+    sections = (
+        ("confirmed-conversations", exported, 24), ("technical-value", says(whole, TECHNICAL), 24), ("academic-material", says(whole, ACADEMIC), 18),
+        ("philosophy-method", exported & says(F.array_join("texts", "\n"), PHILOSOPHY), 18), ("source-boundaries", ~exported & says(whole, BOUNDARY), 18),
+        ("high-value-review", F.col("band") == "high", 24),
+    )
+    marks = F.array_compact(F.array(*[F.when(c, F.struct(F.lit(name).alias("section"), F.lit(k).alias("k"))) for name, c, k in sections]))
+    w = Window.partitionBy("section").orderBy(F.desc("score"), F.desc("excerpts"), "path", "source_type")
+    ranked = groups.select(F.explode(marks).alias("m"), "path", "source_type", "score", "excerpts").select("m.section", "m.k", "path", "source_type", "score", "excerpts")
+    return ranked.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= F.col("k")).select("section", "rank", "path", "source_type", "score")
 
 
 def visible_text(files: DataFrame, least: int = 12) -> DataFrame:

@@ -111,10 +111,11 @@ def board_rows(summary: DataFrame) -> DataFrame:
     return summary.select(F.inline(F.array(*[F.struct(F.lit(k).alias("board"), v.alias("line")) for k, v in lines])))
 
 
-def clue_dossier(sources: list[DataFrame], k: int = 160) -> DataFrame:
-    """Snippets of several sources (source_type, path, signal, excerpt), without platform texts, grouped, scored and ranked."""
+def clue_dossier(sources: list[DataFrame], k: int = 160, export: str = library.CHAT_EXPORT) -> DataFrame:
+    """Snippets of several sources (source_type, path, signal, excerpt), without platform texts, grouped, scored and ranked, with a verdict on each group."""
     s = reduce(DataFrame.unionByName, sources).filter(~platform_noise(F.col("excerpt")))
-    return library.clue_groups(s).orderBy(F.desc("score"), "path", "source_type").limit(k)
+    groups = library.clue_groups(s).withColumn("verdict", library.clue_verdict(F.col("source_type"), F.col("path"), F.col("signals"), export))
+    return groups.orderBy(F.desc("score"), "path", "source_type").limit(k)
 
 
 def knowledge_tables(courses: DataFrame, nuggets: DataFrame, category: str) -> tuple[DataFrame, DataFrame]:

@@ -24,9 +24,14 @@ def inventory(spark, sf):
     return views.inventory_rows(f.union(f), "/Data").drop("name", "size")
 
 
-@query("r2_1_14_page_metadata", r"SELECT page_id, left(trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1).replace('&amp;', '&'), '\s+', ' ', 'g')), 80) AS title, left(regexp_extract(url, '^[a-zA-Z]+://([^/?#:]+)', 1), 40) AS site FROM pages")
+@query("r2_1_14_page_metadata", r"SELECT page_id, left(trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1).replace('&amp;', '&'), '\s+', ' ', 'g')), 80) AS title, 'About page ' || page_id || ' & more' AS description, left(regexp_extract(url, '^[a-zA-Z]+://([^/?#:]+)', 1), 40) AS site, CASE page_id % 4 WHEN 0 THEN regexp_extract(url, '^[a-zA-Z]+://[^/?#]+') || '/i.png' WHEN 1 THEN 'https://cdn.example.org/i.png' WHEN 2 THEN '' ELSE '' END AS icon FROM pages")
 def metadata(spark, sf):
-    return views.page_metadata(views.table(spark, sf, "pages")).drop("description")
+    """Pages with a description, and with an icon that is named from the root, in full, as data, or not at all."""
+    k = F.col("page_id") % 4
+    href = F.when(k == 0, "/i.png").when(k == 1, "https://cdn.example.org/i.png").otherwise("data:,x")
+    link = F.when(k < 3, F.concat(F.lit("<link rel='stylesheet' href='/s.css'><link href='"), href, F.lit("' rel='shortcut icon'>"))).otherwise("")
+    head = F.concat(F.lit('<meta content="About  page '), F.col("page_id").cast("string"), F.lit(' &amp; more" name="description">'), link)
+    return views.page_metadata(views.table(spark, sf, "pages").withColumn("html", F.concat(head, "html")))
 
 
 @query("r2_1_15_document_text", "SELECT doc_id, left(text, 24000) AS text, coalesce(length(text) > 24000, FALSE) AS truncated FROM documents")
@@ -174,6 +179,11 @@ def counts(spark, sf):
     return library.library_counts(views.files(spark, sf), KEYS)
 
 
+@query("r2_6_12_download_groups", f"WITH {FI} SELECT 'ext' AS by, ext AS key, count(*) AS files, sum(size)::BIGINT AS bytes FROM fi GROUP BY ext UNION ALL SELECT 'name', name, count(*), sum(size)::BIGINT FROM fi GROUP BY name")
+def downloads(spark, sf):
+    return library.download_groups(views.files(spark, sf))
+
+
 @query("r2_6_5_artifact_counts", f"WITH {FI}, c AS (SELECT CASE WHEN ext IN ('.pdf', '.md', '.txt') THEN 'document' WHEN ext IN ('.zip', '.py') THEN 'work' ELSE 'chatText' END AS category FROM fi) SELECT count(*) AS \"all\", count(*) FILTER (category = 'work') AS work, count(*) FILTER (category = 'document') AS document, 0::BIGINT AS skill, 0::BIGINT AS link, count(*) FILTER (category = 'chatText') AS \"chatText\" FROM c")
 def artifact_counts(spark, sf):
     f = views.files(spark, sf).withColumn("category", assets.artifact_category(F.lit("text"), F.col("name"), F.lit("")))
@@ -218,13 +228,20 @@ def text_index(spark, sf):
     return library.source_text_index(views.table(spark, sf, "documents"), rules.LATIN_SIGNALS).drop("excerpt")
 
 
-@query("r2_6_9_export_conversations", f"WITH {TU} SELECT conv_id AS title, count(*) AS messages, count(DISTINCT sender) AS participants, least(count(*), 3)::BIGINT AS highlights FROM tu GROUP BY conv_id")
+@query("r2_6_9_export_conversations", f"""WITH {TU}, s AS (SELECT *, {SIG} AS s FROM tu), e AS (SELECT conv_id, unnest(CASE WHEN len(s) > 0 THEN s ELSE ['none'] END) AS l FROM s),
+ k AS (SELECT conv_id, string_agg(l || ':' || n, ',' ORDER BY l) AS signals FROM (SELECT conv_id, l, count(*) AS n FROM e GROUP BY ALL) GROUP BY conv_id),
+ h AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY seq % 2, seq) AS r FROM s WHERE len(s) > 0), t AS (SELECT conv_id, md5(string_agg(text, chr(10) ORDER BY r)) AS highlights FROM h WHERE r <= 3 GROUP BY conv_id)
+ SELECT conv_id AS title, count(*) AS messages, string_agg(DISTINCT 'f' || (seq % 2), ',' ORDER BY 'f' || (seq % 2)) AS sources, string_agg(DISTINCT sender, ',' ORDER BY sender) AS participants, any_value(signals) AS signals, coalesce(any_value(highlights), md5('')) AS highlights
+ FROM tu JOIN k USING (conv_id) LEFT JOIN t USING (conv_id) GROUP BY conv_id""")
 def export_conversations(spark, sf):
-    t = views.turns(spark, sf).withColumnRenamed("conv_id", "title")
-    return library.export_conversations(t, rules.LATIN_SIGNALS, 3).drop("signals").withColumn("highlights", F.col("highlights").cast("long"))
+    t = views.turns(spark, sf).withColumn("source", F.concat(F.lit("f"), (F.col("canonical_seq") % 2).cast("string")))
+    e = library.export_conversations(t.withColumnsRenamed({"conv_id": "title", "canonical_seq": "n"}), rules.LATIN_SIGNALS, 3)
+    sig = F.transform(F.array_sort(F.map_entries("signals")), lambda x: F.concat_ws(":", x["key"], x["value"].cast("string")))
+    return e.select("title", "messages", F.array_join("sources", ",").alias("sources"), F.array_join("participants", ",").alias("participants"), F.array_join(sig, ",").alias("signals"), F.md5(F.array_join("highlights", "\n")).alias("highlights"))
 
 
-CLUE = TU + f", sn AS (SELECT sender AS source_type, conv_id AS path, unnest(CASE WHEN len(s) > 0 THEN s ELSE ['none'] END) AS signal, left(text, 60) AS excerpt FROM (SELECT *, {SIG} AS s FROM tu)), cg AS (SELECT source_type, path, string_agg(DISTINCT signal, '|' ORDER BY signal) AS signals, least(count(DISTINCT excerpt), 8) AS excerpts, count(DISTINCT signal) * 10 + least(count(DISTINCT excerpt), 8) * 2 AS score FROM sn GROUP BY ALL), cb AS (SELECT *, CASE WHEN score >= 40 THEN 'high' WHEN score >= 25 THEN 'medium' ELSE 'low' END AS band FROM cg)"
+
+CLUE = TU + f", sn AS (SELECT sender AS source_type, conv_id AS path, unnest(CASE WHEN len(s) > 0 THEN s ELSE ['none'] END) AS signal, left(text, 60) AS excerpt FROM (SELECT *, {SIG} AS s FROM tu)), cg AS (SELECT source_type, path, string_agg(DISTINCT signal, '|' ORDER BY signal) AS signals, list_sort(list(DISTINCT excerpt))[1:8] AS texts, least(count(DISTINCT excerpt), 8) AS excerpts, count(DISTINCT signal) * 10 + least(count(DISTINCT excerpt), 8) * 2 AS score FROM sn GROUP BY ALL), cb AS (SELECT *, CASE WHEN score >= 40 THEN 'high' WHEN score >= 25 THEN 'medium' ELSE 'low' END AS band, CASE WHEN source_type = 'user' THEN '" + library.EXPORT_VERDICT + "' ELSE '" + library.OTHER_VERDICT + "' END AS verdict FROM cg)"
 
 
 def snippets(spark, sf):
@@ -233,12 +250,18 @@ def snippets(spark, sf):
 
 @query("r2_6_13_clue_groups", f"WITH {CLUE} SELECT source_type, path, signals, excerpts, score, band FROM cb")
 def clues(spark, sf):
-    return library.clue_groups(snippets(spark, sf))
+    return library.clue_groups(snippets(spark, sf)).drop("texts")
 
 
-@query("r2_13_8_clue_synthesis", f"WITH {CLUE}, r AS (SELECT *, row_number() OVER (PARTITION BY band ORDER BY score DESC, path, source_type) AS rank FROM cb) SELECT band AS section, rank::INT AS rank, path, score FROM r WHERE rank <= 24")
+@query("r2_13_8_clue_synthesis", f"""WITH {CLUE}, w AS (SELECT *, replace(signals, '|', ' ') || chr(10) || verdict || chr(10) || array_to_string(texts, chr(10)) || chr(10) || path AS whole FROM cb),
+ m AS (SELECT 'confirmed-conversations' AS section, 24 AS k, * FROM w WHERE source_type = 'user' UNION ALL SELECT 'technical-value', 24, * FROM w WHERE regexp_matches(whole, '(?i){library.TECHNICAL}')
+ UNION ALL SELECT 'academic-material', 18, * FROM w WHERE regexp_matches(whole, '{library.ACADEMIC}') UNION ALL SELECT 'philosophy-method', 18, * FROM w WHERE source_type = 'user' AND regexp_matches(array_to_string(texts, chr(10)), '{library.PHILOSOPHY}')
+ UNION ALL SELECT 'source-boundaries', 18, * FROM w WHERE source_type <> 'user' AND regexp_matches(whole, '(?i){library.BOUNDARY}') UNION ALL SELECT 'high-value-review', 24, * FROM w WHERE band = 'high'),
+ r AS (SELECT *, row_number() OVER (PARTITION BY section ORDER BY score DESC, excerpts DESC, path, source_type) AS rank FROM m) SELECT section, rank::INT AS rank, path, source_type, score FROM r WHERE rank <= k""")
 def synthesis(spark, sf):
-    return library.clue_synthesis(library.clue_groups(snippets(spark, sf)))
+    g = library.clue_groups(snippets(spark, sf))
+    return library.clue_synthesis(g.withColumn("verdict", library.clue_verdict(F.col("source_type"), F.col("path"), F.col("signals"), "user")), "user")
+
 
 
 SECTIONS = """WITH c AS (SELECT o_custkey::VARCHAR AS section, '[消息:' || o_orderkey || ']' AS c, o_orderstatus = 'O' AS ok FROM orders)

@@ -20,11 +20,18 @@ def schema_gate(spark, sf):
 
 @query("r2_1_8_text_exports", f"WITH {MS} SELECT conv_id AS path, seq + 1 AS seq, strftime(make_timestamp(t * 1000000), '%Y-%m-%d %H:%M:%S') AS time, sender, text || ' more' AS content FROM ms WHERE length(text) >= 2")
 def text_exports(spark, sf):
+    """Messages written in all three forms, with a second line, a header and a placeholder that are no messages, and a line that is a date alone."""
     m = q_messages.messages(spark, sf).filter("length(text) >= 2")
-    stamp = F.date_format(F.timestamp_seconds("occurred_at_epoch_s"), "yyyy-MM-dd HH:mm:ss")
-    head = F.concat(F.lit("["), stamp, F.lit("] "), "sender", F.lit(": "), "text")
-    lines = m.select(F.col("conv_id").alias("path"), "canonical_seq", F.posexplode(F.array(head, F.lit("more"))).alias("p", "line")).select("path", (F.col("canonical_seq") * 2 + F.col("p")).alias("line_no"), "line")
-    return views.read_text_exports(lines)
+    at = lambda p: F.date_format(F.timestamp_seconds("occurred_at_epoch_s"), p)
+    n = F.col("canonical_seq") % 3
+    head = (
+        F.when(n == 0, F.concat(F.lit("["), at("yyyy-MM-dd HH:mm:ss"), F.lit("] "), "sender", F.lit(": "), "text"))
+        .when(n == 1, F.concat(at("yyyy/MM/dd  HH:mm:ss"), F.lit(" "), "sender", F.lit("："), "text"))
+        .otherwise(F.concat("sender", F.lit(" "), at("yyyy年MM月dd日 HH:mm:ss"), F.lit(": "), "text"))
+    )
+    none = [F.concat(at("yyyy-MM-dd HH:mm:ss"), F.lit(" Author: somebody")), F.concat(at("yyyy-MM-dd HH:mm:ss"), F.lit(" "), "sender", F.lit(": [图片]")), at("yyyy-MM-dd")]
+    lines = m.select(F.col("conv_id").alias("path"), "canonical_seq", F.posexplode(F.array(head, F.lit("more"), *none)).alias("p", "line"))
+    return views.read_text_exports(lines.select("path", (F.col("canonical_seq") * 5 + F.col("p")).alias("line_no"), "line"))
 
 
 @query("r2_2_2_daily_export", f"WITH {MS} SELECT conv_id, day, count(*) AS messages, count(*) FILTER (local_id % 6 = 0) AS media FROM ms GROUP BY ALL")
@@ -308,10 +315,10 @@ def visible(spark, sf):
     return library.visible_text(d.select(path, F.concat(F.unhex(F.lit("0001FFFE0000")), body, F.unhex(F.lit("0003"))).alias("content")))
 
 
-@query("r2_13_7_clue_dossier", f"WITH {q_library.CLUE} SELECT source_type, path, signals, excerpts, score, band FROM cb ORDER BY score DESC, path, source_type LIMIT 160")
+@query("r2_13_7_clue_dossier", f"WITH {q_library.CLUE} SELECT source_type, path, signals, excerpts, score, band, verdict FROM cb ORDER BY score DESC, path, source_type LIMIT 160")
 def dossier(spark, sf):
     s = q_library.snippets(spark, sf)
-    return reports.clue_dossier([s.filter("source_type = 'user'"), s.filter("source_type <> 'user'")])
+    return reports.clue_dossier([s.filter(F.col("source_type") == t) for t in ("user", "assistant")] + [s.filter("source_type NOT IN ('user', 'assistant')")], export="user").drop("texts")
 
 
 @query("r2_13_10_knowledge", "SELECT p_name AS name, p_size AS credits FROM part WHERE p_partkey % 5 = 0")
@@ -320,6 +327,12 @@ def knowledge(spark, sf):
     return reports.knowledge_tables(c, q_search.nuggets(spark, sf), "ask")[0].drop("kind")
 
 
+@query("r2_13_10_nuggets", f"WITH {q_search.NU} SELECT conv_id, canonical_seq, importance, content FROM nu WHERE category = 'table'")
+def knowledge_nuggets(spark, sf):
+    c = views.table(spark, sf, "part").select(F.col("p_name").alias("name"), F.col("p_size").alias("credits"), F.lit("past").alias("kind"))
+    return reports.knowledge_tables(c, q_search.nuggets(spark, sf), "table")[1].select("conv_id", "canonical_seq", "importance", "content")
+
+
 @query("r2_13_12_search_messages", f"""WITH {q_search.PO}, {q_search.COS}, {q_search.KEYWORDS.format(q=q_search.Q, scope=q_search.USER)}
  {q_search.FUSED.format(near=f"chunk_id IN (SELECT chunk_id FROM ch WHERE {q_search.USER})")}, hits AS (SELECT fu.chunk_id, text FROM fu LEFT JOIN ch USING (chunk_id){q_search.TOP})
  SELECT chunk_id, left(text, 4000) AS text FROM hits""")

@@ -277,7 +277,8 @@ def slice_(spark, sf):
     return timeline.timeline_page(m, m.agg(F.min("conv_id")).first()[0], limit=12, sender="click").select("message_uid", "canonical_seq")
 
 
-@query("r2_13_9_chat_digests", f"WITH {MS} SELECT conv_id, count(*) AS messages, min(day) AS first_day FROM ms WHERE seq < 120 GROUP BY conv_id")
+@query("r2_13_9_chat_digests", f"""WITH {MS}, o AS (SELECT *, seq >= 20 AS late, coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY seq >= 20, CASE WHEN seq >= 20 THEN -length(text) ELSE seq END, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS so FROM ms)
+ SELECT conv_id, count(*) AS messages, min(day) AS first_day, sum(length(text))::BIGINT AS chars, sum(seq)::BIGINT AS places FROM o WHERE NOT late OR so < 800 GROUP BY conv_id""")
 def chat_digests(spark, sf):
-    d = timeline.sample_digest(messages(spark, sf), 120, 0).withColumn("day", scalars.archive_day(F.col("occurred_at_epoch_s"), ZONE))
-    return d.groupBy("conv_id").agg(F.count("*").alias("messages"), F.min("day").alias("first_day"))
+    d = timeline.sample_digest(messages(spark, sf), 20, 800).withColumn("day", scalars.archive_day(F.col("occurred_at_epoch_s"), ZONE))
+    return d.groupBy("conv_id").agg(F.count("*").alias("messages"), F.min("day").alias("first_day"), F.sum(F.length("text")).alias("chars"), F.sum("canonical_seq").alias("places"))

@@ -170,22 +170,47 @@ def export_candidates(files_: DataFrame, name_hint: str = EXPORT_NAME, most: int
     return files_.filter(ok & ~skip).orderBy("path").limit(most)
 
 
-LINE = r"^\[?(\d{4}[-/年]\d{1,2}[-/月]\d{1,2}日?[ T]+\d{1,2}[:：]\d{2}(?:[:：]\d{2})?)\]?\s+([^:：]{1,60}?)(?:[:：]\s*(.*))?$"
+# How a line opens a message, what sender and content that are none look like, and how long they may be.
+DATE, CLOCK = r"\d{4}[-/.年]\d{1,2}[-/.月]\d{1,2}(?:日)?", r"\d{1,2}[:：]\d{2}(?::\d{2})?"
+LINES = (
+    (rf"^\s*\[?({DATE}\s+{CLOCK})\]?\s+(.{{1,60}}?)[：:]\s*(.+)$", r"1", 2, 3),
+    (rf"^\s*({DATE})\s+({CLOCK})\s+(.{{1,60}}?)[：:]\s*(.+)$", r"1 2", 3, 4),
+    (rf"^\s*(.{{1,60}}?)\s+({DATE}\s+{CLOCK})\s*[：:]\s*(.+)$", r"2", 1, 3),
+)
+NO_SENDER = "(?i)^(date|author|subject|refs|body|commit|merged|files?|index)$"
+NO_CONTENT = r"(?i)^(图片|语音|表情|视频|文件|撤回了一条消息|\[图片]|\[表情]|\[语音]|\[视频])$"
+MAX_SENDER, MAX_CONTENT = 80, 4000
 
 
 def read_text_exports(lines: DataFrame) -> DataFrame:
-    """(path, line_no, line) -> path, seq, time, sender, content: a line that opens a message, and the lines that go on with it."""
-    hit = F.col("line").rlike(LINE)
+    """(path, line_no, line) -> path, seq, time, sender, content: a line that opens a message, in one of three forms, and the lines that go on with it.
+
+    Lines that open with header words, or hold nothing but a placeholder, are no messages; lines that start with a year go on with none.
+    """
+    line = F.trim("line")
+
+    def part(c: Column, pattern: str, groups) -> Column:
+        return F.concat_ws(" ", *[F.regexp_extract(c, pattern, int(g)) for g in str(groups).split()])
+
+    def first(at: int) -> Column:
+        return F.coalesce(*[F.when(line.rlike(x[0]), part(line, x[0], x[at])) for x in LINES])
+
+    sender = F.substring(F.regexp_replace(scalars.clean_text(first(2)), "[：:]+$", ""), 1, MAX_SENDER)
+    read = lines.select("path", "line_no", line.alias("line"), first(1).alias("time"), sender.alias("sender"), scalars.clean_text(first(3)).alias("body"))
+    opens = F.col("body").isNotNull()
+    hit = opens & (F.col("sender") != "") & ~F.col("sender").rlike(NO_SENDER) & (F.length("body") >= 2) & ~F.col("body").rlike(NO_CONTENT)
     upto = Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    marked = lines.withColumn("seq", F.count(F.when(hit, 1)).over(upto))
-    body = F.when(hit, F.regexp_extract("line", LINE, 3)).otherwise(F.col("line"))
-    g = marked.filter("seq > 0").groupBy("path", "seq").agg(
-        F.max(F.when(hit, scalars.norm_time(F.regexp_extract("line", LINE, 1)))).alias("time"), F.max(F.when(hit, F.trim(F.regexp_extract("line", LINE, 2)))).alias("sender"),
-        F.array_sort(F.collect_list(F.struct("line_no", body.alias("t")))).alias("parts"),
+    marked = read.withColumns({"hit": F.coalesce(hit, F.lit(False)), "opens": opens}).withColumn("seq", F.count(F.when(F.col("hit"), 1)).over(upto))
+    goes_on = ~F.col("opens") & (F.col("line") != "") & ~F.col("line").rlike(r"^\d{4}[-/.年]")
+    g = marked.filter((F.col("seq") > 0) & (F.col("hit") | goes_on)).groupBy("path", "seq").agg(
+        F.max(F.when(F.col("hit"), scalars.norm_time(F.col("time")))).alias("time"), F.max(F.when(F.col("hit"), F.col("sender"))).alias("sender"),
+        F.array_sort(F.collect_list(F.struct("line_no", F.when(F.col("hit"), F.col("body")).otherwise(F.col("line")).alias("t")))).alias("parts"),
     )
-    return g.select("path", "seq", "time", "sender", scalars.clean_text(F.array_join(F.transform("parts", lambda x: x["t"]), " ")).alias("content")).filter(F.length("content") >= 2)
+    text = scalars.clean_text(F.array_join(F.transform("parts", lambda x: x["t"]), " "))
+    return g.select("path", "seq", "time", "sender", F.substring(text, 1, MAX_CONTENT).alias("content"))
 
 
+# Other names of an export's fields.
 ALIASES = {"sender": ("sender", "from", "name", "nickname", "talker", "author"), "time": ("time", "date", "timestamp", "createtime", "create_time"), "content": ("content", "text", "message", "msg", "body")}
 
 
@@ -254,7 +279,25 @@ def page_metadata(pages: DataFrame) -> DataFrame:
     neat = lambda c, n: F.substring(F.trim(F.regexp_replace(decode_entities(c), r"\s+", " ")), 1, n)
     title, about = F.coalesce(_meta(h, "og:title"), _meta(h, "twitter:title"), plain), F.coalesce(_meta(h, "og:description"), _meta(h, "twitter:description"), _meta(h, "description"))
     site = F.coalesce(_meta(h, "og:site_name"), F.regexp_extract("url", r"^[a-zA-Z]+://([^/?#:]+)", 1))
-    return pages.select("page_id", F.coalesce(neat(title, 80), F.lit("")).alias("title"), F.coalesce(neat(about, 180), F.lit("")).alias("description"), F.coalesce(neat(site, 40), F.lit("")).alias("site"))
+    return pages.select(
+        "page_id", F.coalesce(neat(title, 80), F.lit("")).alias("title"), F.coalesce(neat(about, 180), F.lit("")).alias("description"),
+        F.coalesce(neat(site, 40), F.lit("")).alias("site"), page_icon(h, F.col("url")).alias("icon"),
+    )
+
+
+def page_icon(html: Column, url: Column) -> Column:
+    """Address of the first <link> whose rel names an icon, made absolute by the page's address; "" if it is no http one."""
+    tags = F.regexp_extract_all(html, F.lit(r"(?i)<link\b[^>]*>"), F.lit(0))
+    value = lambda t, name: F.regexp_extract(t, rf"(?is)(?:^|\s){name}\s*=\s*([\"'])(.*?)\1", 2)
+    icons = F.filter(tags, lambda t: value(t, "rel").rlike(r"(?i)(?:^|\s)icon(?:\s|$)"))
+    href = F.trim(value(F.get(icons, F.lit(0)), "href"))
+    origin, folder = F.regexp_extract(url, r"^([a-zA-Z]+://[^/?#]+)", 1), F.regexp_extract(url, r"^([a-zA-Z]+://[^/?#]+(?:/[^?#]*/|/)?)", 1)
+    base = F.when(folder.endswith("/"), folder).otherwise(F.concat(folder, F.lit("/")))
+    full = (
+        F.when(href.rlike("(?i)^https?://"), href).when(href.rlike("(?i)^[a-z][a-z0-9+.-]*:"), "").when(href.startswith("//"), F.concat(F.regexp_extract(url, "^([a-zA-Z]+:)", 1), href))
+        .when(href.startswith("/"), F.concat(origin, href)).otherwise(F.concat(base, href))
+    )
+    return F.coalesce(F.when(F.size(icons) > 0, full), F.lit(""))
 
 
 def document_text(files_: DataFrame, max_chars: int = 24_000) -> DataFrame:
