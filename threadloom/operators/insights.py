@@ -66,6 +66,9 @@ def insight_boards(nuggets: DataFrame, cap: int = 36) -> DataFrame:
 
 def delta_digests(delta: DataFrame, cap: int = 52_000) -> DataFrame:
     line = F.concat(F.coalesce("sender", F.lit("?")), F.lit(": "), "text")
+    # Lines that start beyond the cap are dropped before any array is made, so an array holds cap characters and one line at most.
+    before = Window.partitionBy("conv_id").orderBy("canonical_seq").rowsBetween(Window.unboundedPreceding, -1)
+    delta = delta.withColumn("__so", F.coalesce(F.sum(F.coalesce(F.length(line), F.lit(0)) + 1).over(before), F.lit(0))).filter(F.col("__so") <= cap)
     g = delta.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("canonical_seq", line.alias("l")))), lambda x: x["l"]), "\n").alias("d"))
     return g.select("conv_id", F.substring(F.concat_ws("\n", F.concat(F.lit("# "), "conv_id"), "d"), 1, cap).alias("digest"))
 

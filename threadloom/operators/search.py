@@ -115,6 +115,16 @@ def vector_search(vectors: DataFrame, query: Sequence[float], limit: int, scope:
     return near.orderBy("d", "chunk_id").limit(limit).select("chunk_id", (1 - F.col("d")).alias("score"), F.row_number().over(Window.orderBy("d", "chunk_id")).alias("rank"))
 
 
+def ranked(df: DataFrame, bucket: Column, *order) -> DataFrame:
+    """df with rank, from 1, by (bucket, order): rows are ranked within their bucket, and only bucket sizes are summed across buckets."""
+    d = df.withColumn("__b", bucket)
+    sizes = d.groupBy("__b").agg(F.count("*").alias("__c"))
+    earlier = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)  # one row a bucket
+    offsets = sizes.select("__b", F.coalesce(F.sum("__c").over(earlier), F.lit(0)).alias("__o"))
+    at = F.row_number().over(Window.partitionBy("__b").orderBy(*order))
+    return d.withColumn("__n", at).join(offsets, "__b").withColumn("rank", F.col("__n") + F.col("__o")).drop("__b", "__n", "__o")
+
+
 def rrf(lists: list[DataFrame], limit: int, k: int = 60, chunks: DataFrame | None = None) -> DataFrame:
     """chunk_id, score, best: the sum of 1 / (k + rank) over ranked lists; ties go to the better best rank, then by
     conversation and from the last message back, where chunks tell them, then by chunk_id."""

@@ -69,7 +69,7 @@ def scores(spark, sf):
     return views.turns(spark, sf).select("conv_id", F.col("canonical_seq").alias("seq"), s.cast("long").alias("score"), rules.importance(s).alias("importance"))
 
 
-@query("r2_3_31_packed_evidence")
+@query("r2_3_31_packed_evidence", "SELECT p_partkey AS resource_id, p_partkey % 5 <> 0 AS valid, CASE WHEN p_partkey % 5 <> 0 THEN md5(p_name) ELSE '' END AS hashes, CASE WHEN p_partkey % 5 <> 0 THEN lpad(p_partkey || '.pdf', 8, 'x') ELSE '' END AS names FROM part")
 def packed(spark, sf):
     h = F.md5("p_name")
     blob = F.concat(F.unhex(F.lit("0A20")), F.encode(h, "UTF-8"), F.unhex(F.lit("1208")), F.encode(F.lpad(F.concat(F.col("p_partkey").cast("string"), F.lit(".pdf")), 8, "x"), "UTF-8"))
@@ -327,10 +327,10 @@ def knowledge(spark, sf):
     return reports.knowledge_tables(c, q_search.nuggets(spark, sf), "ask")[0].drop("kind")
 
 
-@query("r2_13_10_nuggets", f"WITH {q_search.NU} SELECT conv_id, canonical_seq, importance, content FROM nu WHERE category = 'table'")
+@query("r2_13_10_nuggets", f"WITH {q_search.NU} SELECT conv_id, canonical_seq, importance, content FROM nu WHERE category = '其他'")
 def knowledge_nuggets(spark, sf):
     c = views.table(spark, sf, "part").select(F.col("p_name").alias("name"), F.col("p_size").alias("credits"), F.lit("past").alias("kind"))
-    return reports.knowledge_tables(c, q_search.nuggets(spark, sf), "table")[1].select("conv_id", "canonical_seq", "importance", "content")
+    return reports.knowledge_tables(c, q_search.nuggets(spark, sf), rules.OTHER)[1].select("conv_id", "canonical_seq", "importance", "content")
 
 
 @query("r2_13_12_search_messages", f"""WITH {q_search.PO}, {q_search.COS}, {q_search.KEYWORDS.format(q=q_search.Q, scope=q_search.USER)}

@@ -72,11 +72,9 @@ def vector(spark, sf):
 @query("r2_10_8_rrf", """WITH l AS (SELECT vec_id AS chunk_id, row_number() OVER (ORDER BY vec_id) AS rank FROM embeddings UNION ALL SELECT vec_id, row_number() OVER (ORDER BY (vec_id * 7919) % 1009, vec_id) FROM embeddings)
 SELECT chunk_id, round(sum(1 / (60.0 + rank)), 9) AS score, min(rank)::INT AS best FROM l GROUP BY chunk_id ORDER BY sum(1 / (60.0::DOUBLE + rank)) DESC, best, chunk_id LIMIT 30""")
 def rrf(spark, sf):
-    from pyspark.sql import Window
-
     v = vectors(spark, sf).select("chunk_id")
-    a = v.withColumn("rank", F.row_number().over(Window.orderBy("chunk_id")))
-    b = v.withColumn("rank", F.row_number().over(Window.orderBy(F.col("chunk_id") * 7919 % 1009, "chunk_id")))
+    a = search.ranked(v, F.floor(F.col("chunk_id") / 10_000), "chunk_id")
+    b = search.ranked(v, F.col("chunk_id") * 7919 % 1009, "chunk_id")
     return search.rrf([a, b], 30).select("chunk_id", F.round("score", 9).alias("score"), "best")
 
 
