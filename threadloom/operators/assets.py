@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -145,9 +147,30 @@ def artifacts_view(assets: DataFrame, links: DataFrame, sources: DataFrame, stat
 
 
 def asset_metrics(tables: dict[str, DataFrame]) -> DataFrame:
-    a = tables["asset_associations"].agg(F.count("*").alias("associations"), F.count_if(F.col("status") == "confirmed").alias("confirmed"), F.count_if(F.col("status") == "quarantined").alias("quarantined"), F.count_distinct("message_uid").alias("messages"))
-    s = tables["asset_materializations"].agg(*[F.count_if(F.col("state") == x).alias(x) for x in ("present", "missing", "failed")])
-    return a.crossJoin(s)  # one row each
+    """One row of a run's 17 counters.
+
+    tables: asset_sources (source_key, source_kind), assets, asset_associations (source_key, verdict, status, confirmed), asset_candidates,
+    asset_materializations (state). Alignments count distinct resources by verdict; ready states are those called ready.
+    """
+    n = F.count("*")
+    is_ = lambda c, v: F.count_if(F.col(c) == v)
+    sources, links = tables["asset_sources"], tables["asset_associations"]
+    resource = links.join(sources.filter("source_kind = 'resource'").select("source_key").distinct(), "source_key")
+    verdicts = {"exact": "exact_alignments", "partial": "partial_alignments", "missing": "missing_alignments", "conflict": "conflicting_alignments"}
+    # Distinct (verdict, resource) pairs first: one shuffle on the pair instead of four distinct counts.
+    pairs = resource.select("verdict", "source_key").distinct()
+    parts = [
+        sources.agg(n.alias("sources"), is_("source_kind", "resource").alias("resources"), is_("source_kind", "voice").alias("voice_attempts")),
+        tables["assets"].agg(n.alias("assets")), tables["asset_candidates"].agg(n.alias("candidates")),
+        links.agg(
+            n.alias("associations"), is_("status", "quarantined").alias("quarantined"),
+            F.count_if("confirmed").alias("confirmed_associations"), F.count_if(~F.col("confirmed")).alias("unconfirmed_associations")),
+        pairs.agg(*[is_("verdict", v).alias(c) for v, c in verdicts.items()]),
+        tables["asset_materializations"].agg(
+            n.alias("materializations"), is_("state", "ready").alias("ready"), is_("state", "not_attempted").alias("not_attempted"),
+            F.count_if(~F.col("state").isin("ready", "not_attempted")).alias("unavailable")),
+    ]
+    return reduce(DataFrame.crossJoin, parts)  # one row each
 
 
 def asset_state():

@@ -169,12 +169,24 @@ def totals(spark, sf):
     return library.candidate_totals(library.value_candidates(views.files(spark, sf)))
 
 
-@query("r2_6_15_asset_metrics", "SELECT count(*) AS associations, count(*) FILTER (doc_id % 3 = 0) AS confirmed, count(*) FILTER (doc_id % 3 <> 0) AS quarantined, count(*) FILTER (doc_id % 3 = 0) AS messages, count(*) FILTER (doc_id % 2 = 0) AS present, count(*) FILTER (doc_id % 2 = 1) AS missing, 0::BIGINT AS failed FROM documents")
+@query("r2_6_15_asset_metrics", """WITH d AS (SELECT doc_id AS i, doc_id % 3 AS v, doc_id % 4 <> 0 AS c FROM documents)
+ SELECT count(*) AS sources, count(*) FILTER (i % 5 <> 0) AS resources, count(*) FILTER (i % 5 = 0) AS voice_attempts, count(*) FILTER (v = 0 AND c) AS assets, 2 * count(*) AS candidates,
+ count(*) AS associations, count(*) FILTER (NOT (v = 0 AND c)) AS quarantined, count(*) FILTER (c) AS confirmed_associations, count(*) FILTER (NOT c) AS unconfirmed_associations,
+ count(DISTINCT i // 2) FILTER (v = 0 AND i % 5 <> 0) AS exact_alignments, count(DISTINCT i // 2) FILTER (v = 1 AND i % 5 <> 0) AS partial_alignments, 0::BIGINT AS missing_alignments, count(DISTINCT i // 2) FILTER (v = 2 AND i % 5 <> 0) AS conflicting_alignments,
+ count(*) AS materializations, count(*) FILTER (i % 2 = 0) AS ready, count(*) FILTER (i % 2 = 1 AND v = 0) AS not_attempted, count(*) FILTER (i % 2 = 1 AND v <> 0) AS unavailable FROM d""")
 def metrics(spark, sf):
-    d = F.col("doc_id")
+    """Two documents name one resource, every fifth is a voice row; every fourth is not confirmed."""
+    d, v = F.col("doc_id"), F.col("doc_id") % 3
+    confirmed = d % 4 != 0
+    key = F.concat(F.when(d % 5 == 0, "v").otherwise("r"), F.floor(d / 2).cast("string"))
     t = views.table(spark, sf, "documents")
-    a = t.select(F.when(d % 3 == 0, "confirmed").otherwise("quarantined").alias("status"), F.when(d % 3 == 0, d).alias("message_uid"))
-    return assets.asset_metrics({"asset_associations": a, "asset_materializations": t.select(F.when(d % 2 == 0, "present").otherwise("missing").alias("state"))})
+    verdict = F.when(v == 0, "exact").when(v == 1, "partial").otherwise("conflict")
+    good = (v == 0) & confirmed
+    return assets.asset_metrics({
+        "asset_sources": t.select(key.alias("source_key"), F.when(d % 5 == 0, "voice").otherwise("resource").alias("source_kind")), "assets": t.filter(good).select("doc_id"),
+        "asset_associations": t.select(key.alias("source_key"), verdict.alias("verdict"), confirmed.alias("confirmed"), F.when(good, "confirmed").otherwise("quarantined").alias("status")),
+        "asset_candidates": t.select(F.explode(F.array(d, d + 1)).alias("candidate")), "asset_materializations": t.select(F.when(d % 2 == 0, "ready").when(v == 0, "not_attempted").otherwise("failed").alias("state")),
+    })
 
 
 @query("r2_6_17_profile_tables", "SELECT 'conversations' AS \"table\", (SELECT count(*) FROM conversations) AS rows, 4 AS columns, 'messages' AS focus, TRUE AS suspected_message UNION ALL SELECT 'events', (SELECT count(*) FROM events), 6, 'account', FALSE UNION ALL SELECT 'region', (SELECT count(*) FROM region), 2, 'other', FALSE")
