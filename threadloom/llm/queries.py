@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, compression, language_id, line_dedup, mixing, near_duplicates, packing, pii, toxicity, url_filter
+from . import ann, compression, language_id, line_dedup, mixing, near_duplicates, packing, pieces, pii, toxicity, url_filter
 from .common import materialize, table
 
 
@@ -113,11 +113,28 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, range(4)), F.sha2(pii.span_text(base), 256).alias("base_sha256"), pii.span_text(F.col("spans")).alias("spans"))
 
 
+def piece_model() -> bytes:
+    import public_tokenizers
+
+    return pieces.model_bytes(public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = pieces.encode_decode(table(spark, sf_dir, "documents"), piece_model())
+    digest = lambda c: F.sha2(c, 256)
+    return got.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        digest(F.array_join(F.col("ids").cast("array<string>"), " ")).alias("ids_sha256"),
+        digest(F.col("decoded")).alias("decoded_sha256"),
+    )
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_line_dedup, op4_language_id, op5_nearest_neighbours, op6_compression_bands, op7_url_filters, op8_packing, op9_simhash, op10_personal_data, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_line_dedup, op4_language_id, op5_nearest_neighbours, op6_compression_bands, op7_url_filters, op8_packing, op9_simhash, op10_personal_data, op12_pieces, pipeline)}
 ORACLE_SQL = {"op2_mixing": OP2, "op3_line_dedup": OP3, "op7_url_filters": url_filter.ORACLE}
