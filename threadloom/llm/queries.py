@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, compression, language_id, line_dedup, mixing, near_duplicates, packing, pieces, pii, toxicity, url_filter
+from . import ann, compression, language_id, line_dedup, mixing, near_duplicates, packing, pieces, pii, spelling, toxicity, url_filter
 from .common import materialize, table
 
 
@@ -113,6 +113,36 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, range(4)), F.sha2(pii.span_text(base), 256).alias("base_sha256"), pii.span_text(F.col("spans")).alias("spans"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_spellings(table(spark, sf_dir, "documents"))
+
+
+#: crc32 as SQL: a table of 256 entries, and a fold over the bytes of a text of code points up to U+00FF.
+CRC = """b AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda y, z: xor(y >> 1, 3988292384 * (y & 1)))) AS crc)"""
+CRC_OF = """xor(4294967295, list_reduce(list_prepend(4294967295, flatten(list_transform(string_split({0}, ''), lambda c:
+    CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [192 + (unicode(c) >> 6), 128 + (unicode(c) & 63)] END))), lambda y, z: xor(y >> 8, crc[(xor(y, z) & 255) + 1])))"""
+
+OP11 = r"""
+WITH RECURSIVE """ + CRC + r""",
+r AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+d AS (SELECT id, run, count(*) AS times FROM r WHERE len(run) >= 5 GROUP BY ALL),
+h AS (SELECT run, times, """ + CRC_OF.format("id || ':' || run") + r""" AS h FROM d, b),
+w AS (SELECT CASE WHEN h % 97 = 0 THEN run[1:(h % len(run))] || run[(h % len(run)) + 2:] ELSE run END AS word, times FROM h),
+v AS MATERIALIZED (SELECT word, sum(times)::BIGINT AS n FROM w WHERE len(word) >= 5 GROUP BY word HAVING sum(times) >= 3),
+c AS MATERIALIZED (SELECT word, n, i, word[1:i - 1] || word[i + 1:] AS cut FROM (SELECT word, n, unnest(range(1, len(word) + 1)) AS i FROM v)),
+p AS (
+  SELECT a.word, b.word AS other, b.n AS m FROM c a JOIN c b ON a.i = b.i AND a.cut = b.cut AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM c a JOIN v b ON a.cut = b.word
+  UNION SELECT b.word, a.word, a.n FROM c a JOIN v b ON a.cut = b.word),
+k AS (SELECT word, other, m, count(*) OVER (PARTITION BY word) AS n_near, row_number() OVER (PARTITION BY word ORDER BY m DESC, other) AS nth FROM p),
+f AS MATERIALIZED (
+  SELECT v.word, v.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN m >= 2 * v.n THEN other END AS form, CASE WHEN m >= 2 * v.n THEN m END AS form_n
+  FROM v LEFT JOIN k ON v.word = k.word AND nth = 1),
+t AS (SELECT word, coalesce(form, word) AS root, form AS at FROM f UNION ALL SELECT t.word, coalesce(f.form, t.root), f.form FROM t JOIN f ON t.at = f.word WHERE t.at IS NOT NULL)
+SELECT f.word, f.form, t.root, f.n, f.n_near, f.form_n FROM f JOIN t ON f.word = t.word AND t.at IS NULL
+"""
+
+
 def piece_model() -> bytes:
     import public_tokenizers
 
@@ -136,5 +166,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_line_dedup, op4_language_id, op5_nearest_neighbours, op6_compression_bands, op7_url_filters, op8_packing, op9_simhash, op10_personal_data, op12_pieces, pipeline)}
-ORACLE_SQL = {"op2_mixing": OP2, "op3_line_dedup": OP3, "op7_url_filters": url_filter.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_line_dedup, op4_language_id, op5_nearest_neighbours, op6_compression_bands, op7_url_filters, op8_packing, op9_simhash, op10_personal_data, op11_spelling, op12_pieces, pipeline)}
+ORACLE_SQL = {"op2_mixing": OP2, "op3_line_dedup": OP3, "op7_url_filters": url_filter.ORACLE, "op11_spelling": OP11}
