@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, compression, language_id, line_dedup, mixing, near_duplicates, packing, pieces, pii, spelling, toxicity, url_filter
+from . import ann, compression, language_id, line_dedup, mixing, near_duplicates, packing, pieces, pii, prefix_trie, spelling, toxicity, url_filter
 from .common import materialize, table
 
 
@@ -160,11 +160,38 @@ def op12_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+OP13 = r"""
+WITH """ + CRC + r""",
+t AS (
+  SELECT conv_id AS c, md5(coalesce(role, '') || chr(0) || coalesce(text, '')) AS m, len(coalesce(text, '')) AS chars,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(coalesce(text, ''))) - 1 AS i FROM conversations WHERE conv_id IS NOT NULL),
+n AS (SELECT c, count(*) AS n FROM t GROUP BY c),
+k AS (SELECT c, c - c % 100 AS base, """ + CRC_OF.format("CAST(c AS VARCHAR)") + r""" % 6 AS h FROM n, b),
+s AS (SELECT k.c, base, h, least(h, coalesce(n.n, 0)) AS shared FROM k LEFT JOIN n ON k.base = n.c),
+r AS (SELECT s.c, t.i AS pos, m, chars FROM s JOIN t ON s.base = t.c AND t.i < s.h UNION ALL SELECT s.c, shared + t.i - h, m, chars FROM s JOIN t ON s.c = t.c AND t.i >= s.h),
+q AS (SELECT c, list(m ORDER BY pos) AS ms, list(chars ORDER BY pos) AS cs FROM r GROUP BY c),
+l AS (SELECT s.c, coalesce(ms, []) AS ms, coalesce(cs, []) AS cs FROM s LEFT JOIN q ON s.c = q.c),
+p AS (SELECT c, d, len(ms) AS n, array_to_string(ms[1:d], '') AS key, CASE WHEN d > 0 THEN cs[d] ELSE 0 END AS chars FROM (SELECT *, unnest(range(0, len(ms) + 1)) AS d FROM l)),
+v AS MATERIALIZED (
+  SELECT d, key, min(c) AS conv_id, count(*) AS n_convs, any_value(chars) AS chars,
+    sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (n = d), '')) AS ends_sha256 FROM p GROUP BY d, key),
+w AS MATERIALIZED (SELECT a.*, b.conv_id AS parent_conv_id, count(*) OVER (PARTITION BY a.d, left(a.key, 32 * (a.d - 1))) AS siblings FROM v a LEFT JOIN v b ON b.d = a.d - 1 AND b.key = left(a.key, 32 * (a.d - 1)) AND a.d > 0),
+x AS (SELECT DISTINCT d - 1 AS d, left(key, 32 * (d - 1)) AS key, siblings AS n_children FROM w WHERE d > 0),
+y AS (SELECT w.*, coalesce(x.n_children, 0) AS n_children FROM w LEFT JOIN x ON w.d = x.d AND w.key = x.key),
+z AS (SELECT e AS d, left(key, 32 * e) AS key, count(*) FILTER (n_children = 0) AS n_leaves, sum((n_convs - 1) * chars)::BIGINT AS saved_tokens FROM (SELECT *, unnest(range(0, d + 1)) AS e FROM y) GROUP BY ALL)
+SELECT conv_id, y.d AS depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256 FROM y JOIN z ON y.d = z.d AND y.key = z.key
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_line_dedup, op4_language_id, op5_nearest_neighbours, op6_compression_bands, op7_url_filters, op8_packing, op9_simhash, op10_personal_data, op11_spelling, op12_pieces, pipeline)}
-ORACLE_SQL = {"op2_mixing": OP2, "op3_line_dedup": OP3, "op7_url_filters": url_filter.ORACLE, "op11_spelling": OP11}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_line_dedup, op4_language_id, op5_nearest_neighbours, op6_compression_bands, op7_url_filters, op8_packing, op9_simhash, op10_personal_data, op11_spelling, op12_pieces, op13_prefix_trie, pipeline)}
+ORACLE_SQL = {"op2_mixing": OP2, "op3_line_dedup": OP3, "op7_url_filters": url_filter.ORACLE, "op11_spelling": OP11, "op13_prefix_trie": OP13}
