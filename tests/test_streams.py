@@ -1,11 +1,14 @@
 """Streams fed file by file against the batch result on the whole input."""
 
+import os
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from threadloom.functions import scalars
-from threadloom.operators import timeline
-from threadloom.plans.q_streams import drain
+from threadloom.operators import chunks, timeline
+from threadloom.plans.q_streams import drain, rocksdb
 from threadloom.streaming import streams
 
 
@@ -54,12 +57,36 @@ def test_delta_accumulates_small_growth(fed):
     assert got and all(r.g == r.t and r.low >= 8 and 0 <= whole[r.conv_id] - r.t < 8 for r in got)
 
 
-def test_chunks_are_numbered_through_across_triggers(fed):
-    e, stream = fed
-    a = drain(streams.stream_chunks(stream(1), 60, 10), "append")
-    last = a.groupBy("conv_id").agg(F.max("index").alias("i"), F.count("*").alias("n")).collect()
-    assert last and all(r.i + 1 == r.n for r in last)
-    assert all(len(r.text) / 4 <= 60 + 20 for r in a.collect())
+def test_chunks_equal_batch(spark, tmp_path):
+    """Five files out of order within the delay, null and blank texts, long ones, a row that is late, and a last time that closes all."""
+    rng = random.Random(8)
+    rows = []
+    for c in ("p", "q", None):
+        for i in range(60):
+            text = rng.choice(["深度学习 ", "plan_a ", "x"]) * rng.randrange(1, 12)
+            rows.append((c, i, f"{c}-{i}", rng.choice(["ann", "bob", None]), 1000 * i + 1000, rng.choice([text, text, None, " "])))
+    schema = "conv_id string, canonical_seq long, message_uid string, sender string, occurred_at_epoch_s long, text string"
+    df = spark.createDataFrame(rows, schema)
+    late = spark.createDataFrame([("p", 0, "late", "ann", 5, "never seen")], schema)
+    end = spark.createDataFrame([(None, 0, "end", None, 10**6, None)], schema)
+    wave = F.floor((F.col("occurred_at_epoch_s") + F.crc32(F.col("message_uid").cast("binary")) % 7000) / 15000)
+    parts = [df.filter(wave == i) for i in range(5)]
+    parts[4] = parts[4].union(late)
+    for i, part in enumerate([*parts, end]):
+        one = str(tmp_path / f"part{i}")
+        part.withColumn("ts", F.timestamp_seconds("occurred_at_epoch_s")).coalesce(1).write.parquet(one)
+        file = next(f for f in os.listdir(one) if f.endswith(".parquet"))
+        os.makedirs(tmp_path / "in", exist_ok=True)
+        os.rename(f"{one}/{file}", tmp_path / "in" / f"{i}.parquet")
+        os.utime(tmp_path / "in" / f"{i}.parquet", (1000 + i, 1000 + i))
+    stream = spark.readStream.schema(f"{schema}, ts timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    with rocksdb(spark):
+        dropped = []
+        got = drain(streams.stream_chunks(stream, "8000 seconds", 3600, 30, 6), "append", lambda q: dropped.append(streams.late_counts(q)))
+    assert dropped == [1]
+    want = chunks.chunk_messages(df, 30, 6).select(*got.columns)
+    assert want.count() > 20
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
 
 
 def test_items_equal_a_plain_fold(spark, sf):

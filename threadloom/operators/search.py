@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.functions import scalars
+from threadloom.operators.chunks import chunk_messages  # noqa: F401
 
 K1, B, NGRAM_WEIGHT, LEAST_IDF = 1.2, 0.75, 0.45, 1e-6
 TOKEN = r"[\p{L}\p{M}\p{N}]+"
@@ -180,76 +181,3 @@ def index_status(chunks: DataFrame, vectors: DataFrame, meta: DataFrame, fingerp
 
 def public_hits(hits: DataFrame, most: int = 4000) -> DataFrame:
     return hits.select("chunk_id", F.substring("text", 1, most).alias("text"), scalars.citation("message", F.col("chunk_id")).alias("citation"))
-
-
-def chunk_messages(messages: DataFrame, most: int = 800, overlap: int = 80, session_rows: int = 10_000) -> DataFrame:
-    """Search chunks of a conversation's messages in order: conv_id, index, chunk_id, first_uid, last_uid, first_seq, last_seq, token_count, text.
-
-    Units are messages, cut where they exceed most - overlap tokens. A chunk ends where the next unit would not fit; the
-    next one starts with its last units of up to overlap tokens. Rows of a conversation stream through
-    one task in order, with a chunk's worth of state, however long it is.
-    """
-    from collections.abc import Iterator
-
-    def run(batches: Iterator):
-        import hashlib
-        import math
-        import re
-
-        import pandas as pd
-
-        heavy = re.compile("[㐀-䶿一-鿿豈-﫿\U00020000-\U0003134f⌀-➿\U0001f300-\U0001faff]")
-        weigh = lambda t: (lambda n: n + (len(t) - n) / 4)(len(heavy.findall(t)))
-        conv, units, total, index, out = None, [], 0, 0, []
-
-        def pieces(text: str):
-            start, w = 0, 0.0
-            for i, c in enumerate(text):
-                x = 1.0 if heavy.match(c) else 0.25
-                if i > start and math.ceil(w + x) > most - overlap:
-                    yield text[start:i]
-                    start, w = i, 0.0
-                w += x
-            if start < len(text):
-                yield text[start:]
-
-        def emit() -> None:
-            nonlocal index
-            text = "\n".join(u[2] for u in units)
-            ident = hashlib.sha256("\0".join([str(conv), units[0][0], units[-1][0], str(index), text]).encode()).hexdigest()
-            out.append((conv, index, ident, units[0][0], units[-1][0], units[0][1], units[-1][1], total, text))
-            index += 1
-
-        fresh = 0
-        for b in batches:
-            for c, seq, uid, text in zip(b["conv_id"], b["canonical_seq"], b["message_uid"], b["text"], strict=True):
-                if c != conv:
-                    if fresh:
-                        emit()
-                    conv, units, total, index, fresh = c, [], 0, 0, 0
-                for p in pieces((text or "").strip()):
-                    n = math.ceil(weigh(p))
-                    if fresh and total + n > most:
-                        emit()
-                        tail, kept = [], 0
-                        for u in reversed(units):
-                            if kept + u[3] > overlap:
-                                break
-                            tail.insert(0, u)
-                            kept += u[3]
-                        units, total, fresh = tail, kept, 0
-                    if total + n > most:
-                        units, total = [], 0
-                    units.append((uid, int(seq), p, n))
-                    total += n
-                    fresh += 1
-            if out:
-                yield pd.DataFrame(out, columns=COLUMNS)
-                out = []
-        if fresh:
-            emit()
-        yield pd.DataFrame(out, columns=COLUMNS)
-
-    COLUMNS = ["conv_id", "index", "chunk_id", "first_uid", "last_uid", "first_seq", "last_seq", "token_count", "text"]
-    ordered = messages.select("conv_id", "canonical_seq", "message_uid", "text").repartition("conv_id").sortWithinPartitions("conv_id", "canonical_seq")
-    return ordered.mapInPandas(run, "conv_id string, index int, chunk_id string, first_uid string, last_uid string, first_seq long, last_seq long, token_count long, text string")

@@ -1,7 +1,5 @@
 """Queries on single checks, bounded reads by id, and late rows of streams."""
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from threadloom.functions import rules, scalars
@@ -9,6 +7,7 @@ from threadloom.operators import assets, audit, timeline
 from threadloom.plans import q_messages
 from threadloom.plans.registry import FI, MS, TU, query
 from threadloom.sources import views
+from threadloom.sources.shared import new_path
 from threadloom.streaming import streams
 
 
@@ -99,8 +98,7 @@ SELECT count(*) FILTER (t > cut) AS kept, count(*) FILTER (t <= cut) AS late FRO
 @query("r2_14_6_stream_late_counts", LATE)
 def late(spark, sf):
     """The later half of the events arrives first, so rows of the earlier half are late by the watermark; the stream says how many."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
-    path = f"{base}/threadloom/stream-{uuid.uuid4().hex}"
+    path = new_path(spark, "stream")
     e = views.table(spark, sf, "events").select(F.concat(F.lit("m"), F.col("event_id").cast("string")).alias("message_uid"), F.col("ts").cast("timestamp").alias("ts"))
     cut = F.lit(e.agg(F.floor(F.avg(F.unix_timestamp("ts")))).first()[0])
     # Late rows are told by the watermark of the batch before the last, hence two batches of the later half.

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from threadloom.functions import rules, scalars
 from threadloom.operators import assets, insights, search, timeline
+from threadloom.plans.folds import chunk_sql
 from threadloom.plans.q_messages import ZONE, messages
 from threadloom.plans.registry import CH, EV, MS, TU, query
 from threadloom.sources import views
@@ -96,10 +97,10 @@ def hits(spark, sf):
     return search.public_hits(views.chunks(spark, sf))
 
 
-@query("r2_10_1_chunk_messages")
+@query("r2_10_1_chunk_messages", chunk_sql("tu AS (SELECT CAST(conv_id AS VARCHAR) AS conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS seq, 60 * (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) AS clock, role AS sender, text FROM conversations)", "{conv} || '-' || {seq}", 800, 80))
 def chunk(spark, sf):
-    t = views.turns(spark, sf)
-    return search.chunk_messages(t.withColumn("message_uid", F.concat_ws("-", "conv_id", F.col("canonical_seq").cast("string"))))
+    t = views.turns(spark, sf).withColumns({"message_uid": F.concat_ws("-", "conv_id", F.col("canonical_seq").cast("string")), "occurred_at_epoch_s": F.col("canonical_seq") * 60})
+    return search.chunk_messages(t).withColumn("senders", F.array_join(F.array_sort("sender_ids"), ",")).drop("sender_ids")
 
 
 KEYWORDS = """ex AS (SELECT chunk_id, 2.0 AS score FROM ch WHERE contains(lower(text), '{q}') AND {scope} ORDER BY end_time DESC, conv_id, last_sequence DESC, chunk_id LIMIT 40),

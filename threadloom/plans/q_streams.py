@@ -1,10 +1,12 @@
 """Streams over the events table, run until the input is used up; each must equal its batch twin."""
 
-import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import functions as F
 
+from threadloom.plans.folds import chunk_sql
 from threadloom.plans.registry import EV, query
+from threadloom.sources.shared import new_path
 from threadloom.streaming import streams
 
 
@@ -12,20 +14,33 @@ def source(spark, sf):
     """The events file as a stream, as messages."""
     schema = spark.read.parquet(f"{sf}/events.parquet").schema
     e = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-    return e.select(F.col("user_id").cast("string").alias("conv_id"), F.concat(F.lit("m"), (F.col("event_id") - F.col("event_id") % 10 % 2).cast("string")).alias("message_uid"), F.col("event_id").alias("canonical_seq"), F.col("ts").cast("timestamp").alias("ts"), F.col("props").alias("text"))
+    return e.select(F.col("user_id").cast("string").alias("conv_id"), F.concat(F.lit("m"), (F.col("event_id") - F.col("event_id") % 10 % 2).cast("string")).alias("message_uid"), F.col("event_id").alias("canonical_seq"), F.col("event_type").alias("sender"), F.col("ts").cast("timestamp").alias("ts"), F.col("props").alias("text"))
 
 
-def drain(df, mode):
-    """The stream's result as a table in the shared folder. Complete mode keeps the last batch, append mode all of them."""
+def drain(df, mode, then=None):
+    """The stream's result as a table in the shared folder. Complete mode keeps the last batch, append mode all of them. then: called with the ended query."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
-    path = f"{base}/threadloom/stream-{uuid.uuid4().hex}"
+    path = new_path(spark, "stream")
     write = "overwrite" if mode == "complete" else "append"
     q = df.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{path}/checkpoint").foreachBatch(lambda b, _: b.write.mode(write).parquet(f"{path}/rows")).start()
     q.awaitTermination()
+    if then:
+        then(q)
     return spark.read.schema(df.schema).parquet(f"{path}/rows")
 
 
+@contextmanager
+def rocksdb(spark):
+    """Lists, timers and values of one state need RocksDB as their store."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    old = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, old) if old else spark.conf.unset(name)
+
+
 @query("r2_14_1_stream_dedup", f"WITH {EV} SELECT DISTINCT 'm' || (local_id - local_id % 10 % 2) AS message_uid FROM ev")
 def dedup(spark, sf):
     return drain(streams.stream_dedup(source(spark, sf), "60 days").select("message_uid"), "append")
@@ -46,6 +61,15 @@ def delta(spark, sf):
     return drain(streams.stream_delta(source(spark, sf)), "append")
 
 
-@query("r2_14_5_stream_chunks")
+@query("r2_14_5_stream_chunks", chunk_sql(EV + ", tu AS (SELECT conv_id, local_id AS seq, sender, t AS clock, text FROM ev)", "'m' || ({seq} - {seq} % 10 % 2)", 200, 20))
 def chunks(spark, sf):
-    return drain(streams.stream_chunks(source(spark, sf), 200, 20), "append")
+    """The events file, and a row without a text a year later, whose time closes the last chunks."""
+    e = source(spark, sf)
+    end = spark.read.parquet(f"{sf}/events.parquet").agg(F.max(F.col("ts").cast("timestamp")).alias("ts"))
+    beat = end.select(*[(F.col("ts") + F.expr("INTERVAL 366 DAYS") if f.name == "ts" else F.lit(None).cast(f.dataType)).alias(f.name) for f in e.schema])
+    path = new_path(spark, "beat")
+    beat.write.parquet(path)
+    both = e.union(spark.readStream.schema(beat.schema).parquet(path)).withColumn("occurred_at_epoch_s", F.unix_timestamp("ts"))
+    with rocksdb(spark):
+        got = drain(streams.stream_chunks(both, "60 days", 3600, 200, 20), "append")
+    return got.withColumn("senders", F.array_join(F.array_sort("sender_ids"), ",")).drop("sender_ids")
