@@ -129,7 +129,7 @@ def test_timeline(spark):
 
 def test_search_ties_and_fusion(spark):
     chunks = spark.createDataFrame([(c, "k", 1, 1, ["s"], "季度_计划% alpha") for c in "zyxwa"], "chunk_id string, conv_id string, end_time long, last_sequence long, sender_ids array<string>, text string")
-    p = search.build_postings(chunks)
+    p = search.build_index(chunks)
     assert [r.chunk_id for r in search.keyword_search(chunks, p, "alpha", 1).collect()] == ["a"]
     assert search.exact_search(chunks, "季度_计划%", 5).count() == 5 and search.exact_search(chunks, "季度x计划%", 5).count() == 0
     v = spark.createDataFrame([("a", [1.0, 0.0, 0.0]), ("b", [0.8, 0.2, 0.0]), ("c", [-1.0, 0.0, 0.0])], "chunk_id string, vector array<float>")
@@ -268,7 +268,7 @@ def test_search_in_scope(spark):
     found = lambda q, **s: [r.chunk_id for r in search.exact_search(chunks, q, 5, **s).collect()]
     assert found("u4") == ["y", "z"] and found("v2") == ["x"] and found("plan") == ["y", "z"] and found("plan", sender="a") == ["z"]
     assert found("plan", after=15) == ["y"] and found("plan", before=5) == ["z"] and found("plan", conv="c2") == []
-    p = search.build_postings(chunks)
+    p = search.build_index(chunks)
     words = lambda **s: [r.chunk_id for r in search.keyword_search(chunks, p, "plan nothing", 5, **s).orderBy("rank").collect()]
     assert words() == ["x", "y", "z"] and words(sender="b") == ["x", "y"] and words(conv="c1", before=5) == ["z"]
     v = spark.createDataFrame([("z", [1.0, 0.0]), ("y", [0.8, 0.2]), ("x", [0.0, 1.0])], "chunk_id string, vector array<double>")

@@ -68,7 +68,7 @@ def plain(messages, most, overlap):
     return sorted(out, key=repr)
 
 
-COLUMNS = ["conv_id", "index", "chunk_id", "first_uid", "last_uid", "first_seq", "last_seq", "start_time", "end_time", "sender_ids", "token_count", "text", "ngrams"]
+COLUMNS = ["conv_id", "index", "chunk_id", "first_uid", "last_uid", "first_sequence", "last_sequence", "start_time", "end_time", "sender_ids", "token_count", "text", "ngrams"]
 
 
 def got(df):

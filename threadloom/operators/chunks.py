@@ -154,7 +154,7 @@ def ending(piece: Column, keep: Column) -> Column:
 def chunk_columns(folded: DataFrame) -> DataFrame:
     """Chunks from conv_id, index and units, an ordered array of UNIT with keep.
 
-    conv_id, index, chunk_id, first_uid, last_uid, first_seq, last_seq, start_time, end_time, sender_ids, token_count, text, ngrams.
+    conv_id, index, chunk_id, first_uid, last_uid, first_sequence, last_sequence, start_time, end_time, sender_ids, token_count, text, ngrams.
     """
     cut = lambda u: F.when(u["keep"] > 0, ending(u["piece"], u["keep"])).otherwise(u["piece"])
     who = lambda u: F.coalesce(F.nullif(u["name"], F.lit("")), u["sender"], F.lit(""))
@@ -163,7 +163,7 @@ def chunk_columns(folded: DataFrame) -> DataFrame:
     senders = F.array_distinct(F.filter(F.transform("units", lambda u: u["sender"]), lambda s: s.isNotNull() & (s != "")))
     tokens = F.aggregate("units", F.lit(0).cast("long"), lambda s, u: s + F.when(u["keep"] > 0, u["keep"]).otherwise(u["n"]))
     rows = folded.select(
-        "conv_id", "index", one("uid").alias("first_uid"), end("uid").alias("last_uid"), one("seq").alias("first_seq"), end("seq").alias("last_seq"),
+        "conv_id", "index", one("uid").alias("first_uid"), end("uid").alias("last_uid"), one("seq").alias("first_sequence"), end("seq").alias("last_sequence"),
         one("at").alias("start_time"), end("at").alias("end_time"), senders.alias("sender_ids"), tokens.alias("token_count"), text.alias("text"),
     )
     plain = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))

@@ -10,9 +10,7 @@ from pyspark.sql import functions as F
 
 from threadloom.functions import scalars
 from threadloom.operators.chunks import chunk_messages  # noqa: F401
-
-K1, B, NGRAM_WEIGHT, LEAST_IDF = 1.2, 0.75, 0.45, 1e-6
-TOKEN = r"[\p{L}\p{M}\p{N}]+"
+from threadloom.operators.text_index import TextIndex, bm25, build_index, build_postings, query_phrases, read_index, write_index  # noqa: F401
 
 
 def candidates_of(limit: int) -> int:
@@ -34,19 +32,6 @@ def search_scope(df: DataFrame, conv: str | None = None, sender: str | None = No
     return df if before is None else df.filter(F.col("start_time") <= before)
 
 
-def tokens(c: Column) -> Column:
-    return F.transform(F.regexp_extract_all(F.lower(c), F.lit(TOKEN), F.lit(0)), lambda t: t)
-
-
-def build_postings(chunks: DataFrame) -> DataFrame:
-    """term, chunk_id, field, tf, positions."""
-    one = lambda name, c: chunks.select("chunk_id", F.lit(name).alias("field"), F.posexplode(tokens(c)).alias("pos", "term"))
-    rows = one("text", F.col("text"))
-    if "ngrams" in chunks.columns:
-        rows = rows.unionByName(one("ngrams", F.col("ngrams")))
-    return rows.groupBy("term", "chunk_id", "field").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
-
-
 def exact_search(chunks: DataFrame, q: str, limit: int, **scope) -> DataFrame:
     """Chunks that hold q as it stands, or one of whose ids (its own, its conversation's, its first or last message's) or
     senders it is; the latest first. scope: see search_scope."""
@@ -57,36 +42,22 @@ def exact_search(chunks: DataFrame, q: str, limit: int, **scope) -> DataFrame:
     return found.orderBy(F.desc("end_time"), "conv_id", F.desc("last_sequence"), "chunk_id").limit(candidates_of(limit))
 
 
-def bm25(postings: DataFrame, terms: Sequence[str], n_chunks: int | None = None, within: DataFrame | None = None) -> DataFrame:
-    """chunk_id, score: any of the terms, weights on the fields' frequencies, lengths over all fields.
+def keyword_search(chunks: DataFrame, index: TextIndex, q: str, limit: int = 20, **scope) -> DataFrame:
+    """chunk_id, score, rank: exact hits score 2, term hits 1, however good their BM25, which only chooses the candidates
+    (ties: by conversation, from the last message back, then chunk_id).
 
-    Terms are few, so the postings are filtered before anything is joined. Only chunks of within (chunk_id) are
-    scored, if it is given; what is rare is counted over all chunks all the same.
-    """
-    weight = F.when(F.col("field") == "ngrams", NGRAM_WEIGHT).otherwise(1.0)
-    length = postings.groupBy("chunk_id").agg(F.sum("tf").alias("len"))
-    stats = length.agg(F.count("*").alias("n"), F.avg("len").alias("avg"))
-    hits = postings.filter(F.col("term").isin(*terms)).groupBy("term", "chunk_id").agg(F.sum(F.col("tf") * weight).alias("f"))
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    n = F.col("n") if n_chunks is None else F.lit(n_chunks)
-    idf = F.greatest(F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
-    part = idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("len") / F.col("avg")))
-    if within is not None:
-        hits = hits.join(within.select("chunk_id"), "chunk_id", "left_semi")
-    return hits.join(df, "term").join(length, "chunk_id").crossJoin(stats).groupBy("chunk_id").agg(F.sum(part).alias("score"))  # stats is one row
-
-
-def keyword_search(chunks: DataFrame, postings: DataFrame, q: str, limit: int, **scope) -> DataFrame:
-    """chunk_id, score, rank: exact hits score 2, term hits 1, however good their BM25, which only chooses the candidates.
-
-    scope (see search_scope) holds for both, before any candidates are cut.
+    Terms are the query's n-grams and identifiers; one of several tokens, such as `plan_a`, is a phrase. A blank query, or one of more
+    than 500 UTF-16 units, finds nothing; limit is 1 to 100. scope (see search_scope) holds for both, before any candidates are cut.
     """
-    terms = [t for t in q.lower().split() if t]
-    exact = exact_search(chunks, q, limit, **scope).select("chunk_id", F.lit(2.0).alias("score"))
-    within = search_scope(chunks, **scope) if scope else None
-    best = bm25(postings, terms, within=within).orderBy(F.desc("score"), "chunk_id").limit(candidates_of(limit))
-    term = best.select("chunk_id", F.lit(1.0).alias("score"))
-    both = exact.unionByName(term).groupBy("chunk_id").agg(F.max("score").alias("score"))
+    spark, q, limit = chunks.sparkSession, q.strip(), max(1, min(limit, 100))
+    phrases = query_phrases(spark, q) if 0 < len(q.encode("utf-16-le")) <= 1000 else []
+    exact = exact_search(chunks, q, limit, **scope) if 0 < len(q.encode("utf-16-le")) <= 1000 else chunks.limit(0)
+    both = exact.select("chunk_id", F.lit(2.0).alias("score"))
+    if phrases:
+        inside = search_scope(chunks, **scope).select("chunk_id", "conv_id", "last_sequence")
+        scored = bm25(index, phrases, within=inside if scope else None).join(inside, "chunk_id")
+        best = scored.orderBy(F.desc("score"), "conv_id", F.desc("last_sequence"), "chunk_id").limit(candidates_of(limit))
+        both = both.unionByName(best.select("chunk_id", F.lit(1.0).alias("score"))).groupBy("chunk_id").agg(F.max("score").alias("score"))
     ranked = Window.orderBy(F.desc("score"), "chunk_id")  # limit rows
     return both.orderBy(F.desc("score"), "chunk_id").limit(limit).withColumn("rank", F.row_number().over(ranked))
 
@@ -139,14 +110,14 @@ def rrf(lists: list[DataFrame], limit: int, k: int = 60, chunks: DataFrame | Non
 
 
 def hybrid_search(
-    chunks: DataFrame, postings: DataFrame, q: str, limit: int, vectors: DataFrame | None = None,
+    chunks: DataFrame, index: TextIndex, q: str, limit: int, vectors: DataFrame | None = None,
     query: Sequence[float] | None = None, dims: int | None = None, **scope,
 ) -> tuple[DataFrame, str | None]:
     """Hits and, where only keywords could be searched, why: not_configured, vector_unavailable or embedding_mismatch.
 
     scope (see search_scope) holds for the keywords and for the nearest vectors.
     """
-    words = keyword_search(chunks, postings, q, limit, **scope)
+    words = keyword_search(chunks, index, q, limit, **scope)
     wrong = dims is not None and query is not None and len(query) != dims
     why = "not_configured" if vectors is None else "vector_unavailable" if query is None else "embedding_mismatch" if wrong else None
     if why:

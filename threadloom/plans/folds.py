@@ -14,7 +14,7 @@ def chunk_sql(source, uid, most, overlap):
  op AS (SELECT conv_id, i, min(upto - n) AS edge FROM pl WHERE i > 0 GROUP BY ALL),
  me AS (SELECT conv_id, i, pos, seq, sender, clock, piece, n FROM pl UNION ALL
   SELECT op.conv_id, op.i, pos, seq, sender, clock, CASE WHEN upto - n < edge - {overlap} THEN right(piece, CAST(4 * (upto - edge + {overlap} - 1) + 1 AS BIGINT)) ELSE piece END, least(n, upto - edge + {overlap}) FROM op JOIN pl ON op.conv_id = pl.conv_id AND upto <= edge AND upto > edge - {overlap}),
- ch AS (SELECT conv_id, i::INT AS "index", {first} AS first_uid, {last} AS last_uid, min(seq) AS first_seq, max(seq) AS last_seq, min(clock) AS start_time, max(clock) AS end_time,
+ ch AS (SELECT conv_id, i::INT AS "index", {first} AS first_uid, {last} AS last_uid, min(seq) AS first_sequence, max(seq) AS last_sequence, min(clock) AS start_time, max(clock) AS end_time,
   array_to_string(list_distinct(list(sender)).list_sort(), ',') AS senders, sum(n)::BIGINT AS token_count, string_agg(sender || ': ' || piece, chr(10) ORDER BY pos) AS text FROM me GROUP BY conv_id, i),
  ng AS (SELECT *, list_transform(regexp_extract_all(text, '(?i)[a-z0-9_:@.-]+'), lambda x: lower(x)) AS g FROM ch)
 SELECT * EXCLUDE (g), sha256(conv_id || chr(10) || first_uid || chr(10) || last_uid || chr(10) || "index" || chr(10) || text) AS chunk_id,

@@ -345,14 +345,14 @@ def knowledge_nuggets(spark, sf):
     return reports.knowledge_tables(c, q_search.nuggets(spark, sf), rules.OTHER)[1].select("conv_id", "canonical_seq", "importance", "content")
 
 
-@query("r2_13_12_search_messages", f"""WITH {q_search.PO}, {q_search.COS}, {q_search.KEYWORDS.format(q=q_search.Q, scope=q_search.USER)}
- {q_search.FUSED.format(near=f"chunk_id IN (SELECT chunk_id FROM ch WHERE {q_search.USER})")}, hits AS (SELECT fu.chunk_id, text FROM fu LEFT JOIN ch USING (chunk_id){q_search.TOP})
+@query("r2_13_12_search_messages", f"""WITH {q_search.PO}, {q_search.COS}, {q_search.keywords(q_search.USER, 10)}
+ {q_search.FUSED.format(near=f"chunk_id IN (SELECT chunk_id FROM hc WHERE {q_search.USER})")}, hits AS (SELECT fu.chunk_id, text FROM fu LEFT JOIN hc USING (chunk_id){q_search.TOP})
  SELECT chunk_id, left(text, 4000) AS text FROM hits""")
 def search_messages(spark, sf):
-    c = views.chunks(spark, sf)
+    c = views.han_chunks(spark, sf)
     v, q = q_search.chunk_vectors(spark, sf), q_search.query_vector(spark, sf)
     c = c.withColumn("start_time", F.col("first_sequence") * 60)
-    found, _ = search.hybrid_search(c, q_search.postings(spark, sf), q_search.Q, 10, v, q, 64, sender="user")
+    found, _ = search.hybrid_search(c, q_search.chunk_index(spark, sf), q_search.Q, 10, v, q, 64, sender="user")
     return search.public_hits(search.hydrate(found, c)).drop("citation")
 
 

@@ -6,19 +6,28 @@ from threadloom.functions import rules, scalars
 from threadloom.operators import assets, insights, search, timeline
 from threadloom.plans.folds import chunk_sql
 from threadloom.plans.q_messages import ZONE, messages
-from threadloom.plans.registry import CH, EV, MS, TU, query
+from threadloom.plans.registry import CH, EV, HC, MS, TU, query
 from threadloom.sources import views
+from threadloom.sources.shared import new_path
 
-TOK = "regexp_extract_all(lower(text), '[\\p{L}\\p{M}\\p{N}]+')"
-PO = CH + f""", tk AS (SELECT chunk_id, unnest({TOK}) AS term FROM ch), po AS (SELECT term, chunk_id, count(*) AS tf FROM tk GROUP BY ALL),
- ln AS (SELECT chunk_id, sum(tf) AS len FROM po GROUP BY chunk_id), st AS (SELECT count(*) AS n, avg(len) AS av FROM ln),
- ht AS (SELECT term, chunk_id, tf::DOUBLE AS f FROM po WHERE term IN ('please', 'table')), df AS (SELECT term, count(*) AS df FROM ht GROUP BY term),
- bm AS (SELECT chunk_id, sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len / av))) AS score FROM ht JOIN df USING (term) JOIN ln USING (chunk_id), st GROUP BY chunk_id)"""
-Q = "please table"
+#: Two phrases of two tokens, an identifier and a Han word, and the terms and phrases that the index makes of them.
+Q = "of_the please 度没习 Que.la"
+WANTED = "(0, 0, '度没', 1), (1, 0, '没习', 1), (2, 0, '度没习', 1), (3, 0, 'of', 2), (3, 1, 'the', 2), (4, 0, 'please', 1), (5, 0, 'que', 2), (5, 1, 'la', 2)"
+TOKENS = "regexp_extract_all(strip_accents(lower({0})), '[\\p{{L}}\\p{{M}}\\p{{N}}]+')"
+GRAMS = """array_to_string(list_transform(list_sort(list_transform(list_distinct(w), lambda x: [lpad(CAST(list_position(w, x) AS VARCHAR), 9, '0'), x])), lambda x: x[2]), ' ')"""
+PO = HC + f""", gr AS (SELECT chunk_id, text, list_concat(flatten(list_transform(regexp_extract_all(text, '\\p{{Han}}+'), lambda r: list_concat(
+   list_transform(range(1, len(r)), lambda i: r[i:i + 1]), list_transform(range(1, len(r) - 1), lambda i: r[i:i + 2])))), list_transform(regexp_extract_all(text, '(?i)[a-z0-9_:@.-]+'), lambda x: lower(x))) AS w FROM hc),
+ ft AS (SELECT chunk_id, 'text' AS field, {TOKENS.format('text')} AS ts FROM hc UNION ALL SELECT chunk_id, 'ngrams', {TOKENS.format(GRAMS)} FROM gr),
+ tk AS (SELECT chunk_id, field, unnest(ts) AS term, unnest(range(len(ts))) AS pos FROM ft), po AS (SELECT term, chunk_id, field, count(*) AS tf FROM tk GROUP BY ALL),
+ ln AS (SELECT chunk_id, count(*) AS len FROM tk GROUP BY chunk_id), st AS (SELECT (SELECT count(*) FROM hc) AS n, (SELECT count(*) FROM tk) AS total),
+ mt AS (SELECT phrase, chunk_id, field, size FROM tk JOIN (VALUES {WANTED}) AS w (phrase, o, term, size) USING (term) GROUP BY phrase, chunk_id, field, size, pos - o HAVING count(*) = size),
+ ht AS (SELECT phrase, chunk_id, sum(CASE WHEN field = 'ngrams' THEN 0.45::DOUBLE ELSE 1 END) AS f FROM mt GROUP BY phrase, chunk_id), df AS (SELECT phrase, count(*) AS df FROM ht GROUP BY phrase),
+ bm AS (SELECT chunk_id, sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len / (total / n)))) AS score FROM ht JOIN df USING (phrase) JOIN ln USING (chunk_id), st GROUP BY chunk_id)"""
+TERMS = "SELECT chunk_id, 1.0 AS score FROM bm JOIN hc USING (chunk_id) WHERE {scope} ORDER BY round(bm.score, 9) DESC, conv_id, last_sequence DESC, chunk_id LIMIT {most}"
 
 
-def postings(spark, sf):
-    return search.build_postings(views.chunks(spark, sf))
+def chunk_index(spark, sf):
+    return search.build_index(views.han_chunks(spark, sf))
 
 
 def vectors(spark, sf):
@@ -39,9 +48,9 @@ def scope(spark, sf):
     return search.search_scope(c, None, "user", 120, 600).select("chunk_id")
 
 
-@query("r2_10_2_postings", f"WITH {PO} SELECT term, chunk_id, 'text' AS field, tf FROM po")
+@query("r2_10_2_postings", f"WITH {PO} SELECT term, chunk_id, field, tf, len::INT AS len, positions FROM po JOIN ln USING (chunk_id) JOIN (SELECT term, chunk_id, field, array_to_string(list_sort(list(pos)), ' ') AS positions FROM tk GROUP BY ALL) USING (term, chunk_id, field)")
 def build(spark, sf):
-    return postings(spark, sf).drop("positions")
+    return search.build_postings(views.han_chunks(spark, sf)).withColumn("positions", F.array_join(F.col("positions").cast("array<string>"), " "))
 
 
 @query("r2_10_3_exact_search", f"WITH {CH} SELECT chunk_id, end_time FROM ch WHERE contains(lower(text), 'the') ORDER BY end_time DESC, conv_id, last_sequence DESC, chunk_id LIMIT 40")
@@ -51,12 +60,24 @@ def exact(spark, sf):
 
 @query("r2_10_4_bm25", f"WITH {PO} SELECT chunk_id, round(score, 6) AS score FROM bm")
 def bm25(spark, sf):
-    return search.bm25(postings(spark, sf), Q.split()).select("chunk_id", F.round("score", 6).alias("score"))
+    """On the stored index: written once, read by bucket."""
+    index = search.write_index(views.han_chunks(spark, sf), new_path(spark, "index"))
+    return search.bm25(index, search.query_phrases(spark, Q)).select("chunk_id", F.round("score", 6).alias("score"))
 
 
-@query("r2_10_5_keyword_search", f"WITH {PO}, ex AS (SELECT chunk_id, 2.0 AS score FROM ch WHERE contains(lower(text), '{Q}') ORDER BY end_time DESC, conv_id, last_sequence DESC, chunk_id LIMIT 80), tm AS (SELECT chunk_id, 1.0 AS score FROM bm ORDER BY bm.score DESC, chunk_id LIMIT 80), al AS (SELECT chunk_id, max(score)::DOUBLE AS score FROM (SELECT * FROM ex UNION ALL SELECT * FROM tm) GROUP BY chunk_id) SELECT chunk_id, score, row_number() OVER (ORDER BY score DESC, chunk_id)::INT AS rank FROM al ORDER BY score DESC, chunk_id LIMIT 20")
+KEYWORDS = """ex AS (SELECT chunk_id, 2.0 AS score FROM hc WHERE contains(lower(text), lower('{q}')) AND {scope} ORDER BY end_time DESC, conv_id, last_sequence DESC, chunk_id LIMIT {most}),
+ tm AS ({terms}),
+ al AS (SELECT chunk_id, max(score)::DOUBLE AS score FROM (SELECT * FROM ex UNION ALL SELECT * FROM tm) GROUP BY chunk_id),
+ kw AS (SELECT chunk_id, score, row_number() OVER (ORDER BY score DESC, chunk_id) AS rank FROM al ORDER BY score DESC, chunk_id LIMIT {limit})"""
+
+
+def keywords(scope, limit):
+    return KEYWORDS.format(q=Q, scope=scope, limit=limit, most=4 * limit, terms=TERMS.format(scope=scope, most=4 * limit))
+
+
+@query("r2_10_5_keyword_search", f"WITH {PO}, {keywords('TRUE', 20)} SELECT chunk_id, score, rank::INT AS rank FROM kw")
 def keyword(spark, sf):
-    return search.keyword_search(views.chunks(spark, sf), postings(spark, sf), Q, 20)
+    return search.keyword_search(views.han_chunks(spark, sf), chunk_index(spark, sf), Q, 20)
 
 
 @query("r2_10_6_validate_vectors", "SELECT vec_id AS chunk_id, CASE WHEN vec_id % 7 = 0 THEN 'dimension' ELSE 'zero' END AS problem FROM embeddings WHERE vec_id % 7 = 0 OR vec_id % 11 = 0")
@@ -103,13 +124,9 @@ def chunk(spark, sf):
     return search.chunk_messages(t).withColumn("senders", F.array_join(F.array_sort("sender_ids"), ",")).drop("sender_ids")
 
 
-KEYWORDS = """ex AS (SELECT chunk_id, 2.0 AS score FROM ch WHERE contains(lower(text), '{q}') AND {scope} ORDER BY end_time DESC, conv_id, last_sequence DESC, chunk_id LIMIT 40),
- tm AS (SELECT chunk_id, 1.0 AS score FROM bm WHERE chunk_id IN (SELECT chunk_id FROM ch WHERE {scope}) ORDER BY bm.score DESC, chunk_id LIMIT 40),
- al AS (SELECT chunk_id, max(score) AS score FROM (SELECT * FROM ex UNION ALL SELECT * FROM tm) GROUP BY chunk_id),
- kw AS (SELECT chunk_id, row_number() OVER (ORDER BY score DESC, chunk_id) AS rank FROM al ORDER BY score DESC, chunk_id LIMIT 10)"""
 FUSED = """, nn AS (SELECT cv.chunk_id // 3 || '-' || cv.chunk_id % 3 AS chunk_id, d FROM cv), nv AS (SELECT * FROM nn WHERE {near} ORDER BY d, chunk_id LIMIT 80),
  vs AS (SELECT chunk_id, row_number() OVER (ORDER BY d, chunk_id) AS rank FROM nv ORDER BY d, chunk_id LIMIT 10),
- fu AS (SELECT chunk_id, sum(1 / (60.0::DOUBLE + rank)) AS score, min(rank) AS best FROM (SELECT * FROM kw UNION ALL SELECT * FROM vs) GROUP BY chunk_id)"""
+ fu AS (SELECT chunk_id, sum(1 / (60.0::DOUBLE + rank)) AS score, min(rank) AS best FROM (SELECT chunk_id, rank FROM kw UNION ALL SELECT * FROM vs) GROUP BY chunk_id)"""
 TOP = " ORDER BY score DESC, best, conv_id NULLS LAST, last_sequence DESC NULLS LAST, chunk_id LIMIT 10"
 USER = "list_contains(sender_ids, 'user')"
 
@@ -121,9 +138,9 @@ def chunk_vectors(spark, sf):
     return vectors(spark, sf).select(name.alias("chunk_id"), "vector")
 
 
-@query("r2_10_9_hybrid_search", f"WITH {PO}, {COS}, {KEYWORDS.format(q=Q, scope='TRUE')} {FUSED.format(near='TRUE')} SELECT chunk_id, round(score, 9) AS score, best::INT AS best FROM fu LEFT JOIN ch USING (chunk_id){TOP}")
+@query("r2_10_9_hybrid_search", f"WITH {PO}, {COS}, {keywords('TRUE', 10)} {FUSED.format(near='TRUE')} SELECT chunk_id, round(score, 9) AS score, best::INT AS best FROM fu LEFT JOIN hc USING (chunk_id){TOP}")
 def hybrid(spark, sf):
-    got, why = search.hybrid_search(views.chunks(spark, sf), postings(spark, sf), Q, 10, chunk_vectors(spark, sf), query_vector(spark, sf), 64)
+    got, why = search.hybrid_search(views.han_chunks(spark, sf), chunk_index(spark, sf), Q, 10, chunk_vectors(spark, sf), query_vector(spark, sf), 64)
     assert why is None
     return got.select("chunk_id", F.round("score", 9).alias("score"), "best")
 

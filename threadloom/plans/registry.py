@@ -20,6 +20,8 @@ SH = EV + """, sh AS (SELECT * FROM ev UNION ALL SELECT conv_id, message_uid, t,
 TU = "tu AS (SELECT CAST(conv_id AS VARCHAR) AS conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS seq, role AS sender, text FROM conversations)"
 CH = TU + """, ch AS (SELECT conv_id || '-' || (seq // 2) AS chunk_id, conv_id, min(seq) AS first_sequence, max(seq) AS last_sequence, max(seq) * 60 AS end_time,
   list_sort(list(DISTINCT sender)) AS sender_ids, string_agg(text, chr(10) ORDER BY seq) AS text FROM tu GROUP BY conv_id, seq // 2)"""
+#: The chunks, those of every fifth conversation with six letters written in Han.
+HC = CH + """, hc AS (SELECT * REPLACE (CASE WHEN CAST(conv_id AS BIGINT) % 5 = 0 THEN translate(text, 'etaoin', '深度学习没有') ELSE text END AS text) FROM ch)"""
 FI = """fi AS (SELECT doc_id AS file_id, source AS root, n_chars AS size, 1700000000 + doc_id * 3600 AS modified, sha256(text) AS sha256, text,
   ['txt', 'md', 'pdf', 'py', 'png', 'zip', 'dat'][doc_id % 7 + 1] AS e, 'report' || (doc_id % 50) || CASE WHEN doc_id % 3 = 0 THEN '(' || (doc_id % 4) || ')' ELSE '' END || '.' || e AS name, '.' || e AS ext,
   '/Data/' || source || '/' || lang || '/' || name AS path FROM documents)"""

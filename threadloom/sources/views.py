@@ -77,6 +77,12 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select(F.concat_ws("-", "conv_id", F.col("pair").cast("string")).alias("chunk_id"), "conv_id", "first_sequence", "last_sequence", (F.col("last_sequence") * 60).alias("end_time"), "sender_ids", "text")
 
 
+def han_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """chunks(), those of every fifth conversation with six letters written in Han."""
+    han = F.when(F.col("conv_id").cast("long") % 5 == 0, F.translate("text", "etaoin", "深度学习没有")).otherwise(F.col("text"))
+    return chunks(spark, sf_dir).withColumn("text", han)
+
+
 # Readers.
 
 REQUIRED = ("local_id", "server_id", "local_type", "sort_seq", "real_sender_id", "create_time", "message_content")
