@@ -194,7 +194,7 @@ def test_archive_plan_cases(spark):
     prev = spark.createDataFrame([("h4", "/A/before.txt")], "sha256 string, archive_path string")
     have = spark.createDataFrame([("/A/old.txt", "zz")], "archive_path string, sha256 string")
     got = {r.file_id: (r.action, r.archive_path) for r in library.plan_archive(prev, c, have).collect()}
-    assert got == {1: ("copy", "/A/n.txt"), 2: ("copy_renamed", "/A/n-h2.txt"), 3: ("duplicate", None), 4: ("reuse", "/A/before.txt"), 5: ("copy_renamed", "/A/old-h5.txt")}
+    assert got == {1: ("copy", "/A/n.txt"), 2: ("copy", "/A/n-h2.txt"), 3: ("reuse", "/A/n.txt"), 4: ("reuse", "/A/before.txt"), 5: ("copy", "/A/old-h5.txt")}
 
 
 def test_export_readers(spark, tmp_path):

@@ -129,8 +129,18 @@ def duplicate_stem(name: Column) -> Column:
     return F.struct(key.alias("key"), F.when(serial != "", serial.cast("long")).otherwise(F.lit(0)).cast("long").alias("serial"))
 
 
-def media_variant_key(name: Column) -> Column:
-    return F.regexp_replace(F.lower(name), r"_\d{2,4}(?=\.[^.]+$)", "")
+# The kinds of media files, and the sizes in pixels that their variants' names end with.
+MEDIA_FILE = r"(?i)\.(png|jpe?g|gif|webp|bmp|mp4|mov|mkv|webm|mp3|wav|ogg|silk|amr)$"
+MEDIA_SIZE = r"(?i)_(0|360|480|720|750|1080)$"
+
+
+def media_variant_key(path: Column) -> Column:
+    """The file name that variants of one picture, video or sound share: without its size, .jpeg as .jpg; empty for other files."""
+    name = F.element_at(F.split(slashed(path), "/"), -1)
+    ext = F.regexp_extract(name, r"(\.[^.]*)$", 1)
+    stem = F.substring(name, F.lit(1), F.length(name) - F.length(ext))
+    key = F.concat(F.lower(F.regexp_replace(stem, MEDIA_SIZE, "")), F.replace(F.lower(ext), F.lit(".jpeg"), F.lit(".jpg")))
+    return F.when(name.rlike(MEDIA_FILE), key).otherwise("")
 
 
 def safe_name(name: Column) -> Column:

@@ -99,11 +99,26 @@ def link_artifacts(messages: DataFrame) -> DataFrame:
     return messages.select("message_uid", F.posexplode(scalars.extract_urls(F.col("text"))).alias("position", "url"))
 
 
-def artifact_category(kind, name, url):
-    """work, document, skill, link or chatText, by precedence."""
+# What marks an artifact as a skill, a document or a work.
+SKILL = r"(?iu)(?:^|[\s/_.-])skills?(?:[\s/_.-]|$)|skill\.md|技能包|技能工具"
+DOCUMENT_PREVIEWS = ("pdf", "docx", "sheet", "presentation", "markdown", "text", "json")
+WORK_PREVIEWS = ("image", "video", "audio", "voice", "html", "code")
+DOCUMENT = r"(?iu)\.(?:pdf|docx?|pptx?|ppsx|xlsx?|csv|md|markdown|txt|rtf)$"
+WORK = r"(?iu)\.(?:avif|bmp|gif|heic|jpe?g|png|svg|webp|mp4|mov|mkv|webm|mp3|wav|m4a|ogg|html?|css|jsx?|tsx?)$"
+
+
+def artifact_category(name: Column, preview: Column | None = None, url: Column | None = None, local: Column | None = None, chat: Column | None = None) -> Column:
+    """work, document, skill, link or chatText: what the preview or name says, then a local file, an address, or chat text; else a work.
+
+    A null name is empty; a null or blank preview or url says nothing.
+    """
+    name = F.trim(F.coalesce(name, F.lit("")))
+    kind = F.lower(F.trim(F.coalesce(F.lit("") if preview is None else preview, F.lit(""))))
+    said = lambda c: F.coalesce(F.lit(False) if c is None else c, F.lit(False))
+    linked = F.lit(False) if url is None else F.coalesce(F.trim(url) != "", F.lit(False))
     return (
-        F.when(name.rlike(r"(?i)skill\.md$|\.skill$"), "skill").when(name.rlike(r"(?i)\.(pdf|docx?|md|txt)$"), "document").when(name.rlike(r"(?i)\.(pptx?|xlsx?|csv|zip|rar|7z|py|ipynb)$"), "work")
-        .when(url.isNotNull() & (url != ""), "link").otherwise(F.when(kind == "text", "chatText").otherwise("work"))
+        F.when((kind == "skill") | name.rlike(SKILL), "skill").when(kind.isin(*DOCUMENT_PREVIEWS) | name.rlike(DOCUMENT), "document")
+        .when(kind.isin(*WORK_PREVIEWS) | name.rlike(WORK) | said(local), "work").when(linked, "link").when(said(chat), "chatText").otherwise("work")
     )
 
 
@@ -124,7 +139,8 @@ def artifact_scope(df: DataFrame, tab: str | None = None, conv: str | None = Non
 
 
 def artifact_counts(df: DataFrame, categories: tuple[str, ...] = ("work", "document", "skill", "link", "chatText")) -> DataFrame:
-    return df.agg(F.count("*").alias("all"), *[F.count_if(F.col("category") == c).alias(c) for c in categories])
+    """Artifacts by category, and all of them but chat texts."""
+    return df.agg(F.count_if(F.col("category") != "chatText").alias("all"), *[F.count_if(F.col("category") == c).alias(c) for c in categories])
 
 
 def split_assets(records: DataFrame) -> dict[str, DataFrame]:

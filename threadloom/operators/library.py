@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.functions import rules, scalars
+from threadloom.operators.archive import archive_issues, plan_archive  # noqa: F401
 
 
 def ext_stats(files: DataFrame, k: int = 80) -> DataFrame:
@@ -41,13 +42,12 @@ def dedupe_candidates(cands: DataFrame) -> DataFrame:
 
 
 def unarchived(cands: DataFrame, archive: DataFrame) -> DataFrame:
-    """Candidates that the archive has neither by path, nor by hash, nor as another size of the same picture."""
-    key = lambda c: rules.media_variant_key(c)
+    """Candidates that the archive has neither by path, nor by hash, nor, for pictures, videos and sound, as another size of the same file."""
     a = archive.select(rules.path_key(F.col("path")).alias("pk")).distinct()
     h = archive.filter("sha256 IS NOT NULL").select(F.col("sha256").alias("hk")).distinct()
-    v = archive.select(key(F.col("name")).alias("vk")).distinct()
+    v = archive.select(rules.media_variant_key(F.col("path")).alias("vk")).filter("vk <> ''").distinct()
     left = cands.join(a, rules.path_key(F.col("path")) == F.col("pk"), "left_anti").join(h, F.col("sha256") == F.col("hk"), "left_anti")
-    return left.join(v, key(F.col("name")) == F.col("vk"), "left_anti")
+    return left.join(v, rules.media_variant_key(F.col("path")) == F.col("vk"), "left_anti")
 
 
 def value_score(name: Column, size: Column, ext: Column) -> Column:
@@ -66,28 +66,6 @@ def candidate_totals(cands: DataFrame) -> DataFrame:
     return cands.groupBy("level", "preview").agg(F.count("*").alias("files"), F.count_if(F.col("reasons").contains("large")).alias("large"))
 
 
-def plan_archive(previous: DataFrame, cands: DataFrame, existing: DataFrame) -> DataFrame:
-    """cands (file_id, path, sha256, target), previous (sha256, archive_path), existing (archive_path, sha256) -> file_id, action, archive_path.
-
-    Only adds: content archived before is reused; the first candidate of a content wins, later ones are duplicates; a
-    target taken by other content gets a suffix of the hash. The order of candidates (file_id) settles everything.
-    """
-    first = Window.partitionBy("sha256").orderBy("file_id")
-    c = cands.withColumn("n", F.row_number().over(first))
-    p = previous.groupBy("sha256").agg(F.min("archive_path").alias("prev"))
-    c = c.join(p, "sha256", "left")
-    fresh = F.col("prev").isNull() & (F.col("n") == 1)
-    # Window over fresh ones only, so that reused content does not take a target.
-    per_target = Window.partitionBy("target", fresh).orderBy("file_id")
-    c = c.withColumn("m", F.row_number().over(per_target))
-    e = existing.select(F.col("archive_path").alias("target"), F.col("sha256").alias("esha")).dropDuplicates(["target"])
-    c = c.join(e, "target", "left")
-    suffixed = rules.append_hash8(F.col("target"), F.col("sha256"))
-    action = F.when(F.col("prev").isNotNull(), "reuse").when(F.col("n") > 1, "duplicate").when((F.col("m") > 1) | (F.col("esha").isNotNull() & (F.col("esha") != F.col("sha256"))), "copy_renamed").otherwise("copy")
-    path = F.when(F.col("prev").isNotNull(), F.col("prev")).when(action == "copy_renamed", suffixed).when(action == "copy", F.col("target"))
-    return c.select("file_id", action.alias("action"), path.alias("archive_path"))
-
-
 def source_text_index(docs: DataFrame, table: rules.Rules, k: int | None = None) -> DataFrame:
     """doc_id, signals, quality (high, medium, low), excerpt."""
     t = F.trim(F.regexp_replace(scalars.strip_html(F.col("text")), r"\s+", " "))

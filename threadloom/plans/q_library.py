@@ -83,9 +83,23 @@ def urls(spark, sf):
     return p.select("page_id", u).select("page_id", F.size("u").alias("n"), F.get("u", F.lit(0)).alias("first"))
 
 
-@query("r2_3_22_artifact_category", f"WITH {FI} SELECT CASE WHEN ext IN ('.pdf', '.md', '.txt') THEN 'document' WHEN ext IN ('.zip', '.py') THEN 'work' ELSE 'chatText' END AS category, count(*) AS files FROM fi GROUP BY ALL")
+#: The files, some renamed to slides, tables, pages and skills, half of the rest with an address or a chat text.
+AR = FI + """, ar AS (SELECT *, CASE file_id % 11 WHEN 0 THEN 'x.pptx' WHEN 1 THEN 'x.csv' WHEN 2 THEN 'x.HTML' WHEN 3 THEN 'my_skills.txt' WHEN 4 THEN 'SKILL.md.bak' ELSE name END AS title,
+  CASE WHEN file_id % 2 = 0 THEN 'http://a.b/' ELSE ' ' END AS url FROM fi),
+ cg AS (SELECT *, CASE WHEN file_id % 11 IN (3, 4) THEN 'skill' WHEN file_id % 11 IN (0, 1) THEN 'document' WHEN file_id % 11 = 2 THEN 'work'
+  WHEN ext IN ('.pdf', '.md', '.txt') THEN 'document' WHEN ext = '.png' OR file_id % 5 = 0 THEN 'work' WHEN file_id % 2 = 0 THEN 'link' WHEN file_id % 3 = 0 THEN 'chatText' ELSE 'work' END AS category FROM ar)"""
+
+
+def artifacts(spark, sf):
+    n = F.col("file_id")
+    renamed = F.get(F.array(*map(F.lit, ("x.pptx", "x.csv", "x.HTML", "my_skills.txt", "SKILL.md.bak"))), (n % 11).cast("int"))
+    f = views.files(spark, sf).withColumns({"title": F.coalesce(renamed, "name"), "url": F.when(n % 2 == 0, "http://a.b/").otherwise(" ")})
+    return f.withColumn("category", assets.artifact_category(F.col("title"), F.lit(" "), F.col("url"), n % 5 == 0, n % 3 == 0))
+
+
+@query("r2_3_22_artifact_category", f"WITH {AR} SELECT file_id, category FROM cg")
 def category(spark, sf):
-    return views.files(spark, sf).groupBy(assets.artifact_category(F.lit("text"), F.col("name"), F.lit("")).alias("category")).agg(F.count("*").alias("files"))
+    return artifacts(spark, sf).select("file_id", "category")
 
 
 @query("r2_3_23_preview", f"WITH {FI} SELECT {PRE} AS preview, CASE file_id % 5 WHEN 0 THEN 'image' WHEN 1 THEN 'video' WHEN 2 THEN 'voice' ELSE {PRE} END AS asset, count(*) AS files FROM fi GROUP BY ALL")
@@ -152,9 +166,18 @@ def match(spark, sf):
     return assets.match_files(r, f).select("resource_id", "candidates")
 
 
-@query("r2_5_14_unarchived", f"WITH {FI}, a AS (SELECT * FROM fi WHERE file_id % 4 = 0) SELECT file_id FROM fi WHERE lower(path) NOT IN (SELECT lower(path) FROM a) AND sha256 NOT IN (SELECT sha256 FROM a) AND lower(name) NOT IN (SELECT lower(name) FROM a)")
+VARIANTS = FI + """, fv AS (SELECT file_id, sha256, ext, CASE WHEN ext <> '.png' THEN replace(path, '.' || e, '_20' || (10 + file_id % 20) || '.' || e)
+  ELSE replace(path, '.png', ['_0.png', '_1080.PNG', '.jpeg', '_720.jpg', '_999.png'][file_id % 5 + 1]) END AS path FROM fi),
+ fk AS (SELECT *, lower(string_split(path, '/')[-1]) AS n FROM fv), fm AS (SELECT *, CASE WHEN ext = '.png' THEN replace(replace(replace(replace(n, '_0.', '.'), '_1080.', '.'), '_720.', '.'), '.jpeg', '.jpg') ELSE '' END AS k FROM fk)"""
+
+
+@query("r2_5_14_unarchived", f"WITH {VARIANTS}, a AS (SELECT * FROM fm WHERE file_id % 4 = 0) SELECT file_id FROM fm WHERE lower(path) NOT IN (SELECT lower(path) FROM a) AND sha256 NOT IN (SELECT sha256 FROM a) AND (k = '' OR k NOT IN (SELECT k FROM a))")
 def unarchived(spark, sf):
-    f = views.files(spark, sf)
+    """Pictures come in sizes and two spellings of one extension; other files end with a year, which is no size."""
+    n, p = F.col("file_id"), F.col("path")
+    sizes = F.element_at(F.array(*map(F.lit, ("_0.png", "_1080.PNG", ".jpeg", "_720.jpg", "_999.png"))), (n % 5 + 1).cast("int"))
+    year = F.concat(F.lit("_20"), (n % 20 + 10).cast("string"), F.col("ext"))
+    f = views.files(spark, sf).withColumn("path", F.when(F.col("ext") == ".png", F.replace(p, F.lit(".png"), sizes)).otherwise(F.replace(p, F.col("ext"), year)))
     return library.unarchived(f, f.filter("file_id % 4 = 0")).select("file_id")
 
 
@@ -184,10 +207,9 @@ def downloads(spark, sf):
     return library.download_groups(views.files(spark, sf))
 
 
-@query("r2_6_5_artifact_counts", f"WITH {FI}, c AS (SELECT CASE WHEN ext IN ('.pdf', '.md', '.txt') THEN 'document' WHEN ext IN ('.zip', '.py') THEN 'work' ELSE 'chatText' END AS category FROM fi) SELECT count(*) AS \"all\", count(*) FILTER (category = 'work') AS work, count(*) FILTER (category = 'document') AS document, 0::BIGINT AS skill, 0::BIGINT AS link, count(*) FILTER (category = 'chatText') AS \"chatText\" FROM c")
+@query("r2_6_5_artifact_counts", f"WITH {AR} SELECT count(*) FILTER (category <> 'chatText') AS \"all\", " + ", ".join(f"count(*) FILTER (category = '{c}') AS \"{c}\"" for c in ("work", "document", "skill", "link", "chatText")) + " FROM cg")
 def artifact_counts(spark, sf):
-    f = views.files(spark, sf).withColumn("category", assets.artifact_category(F.lit("text"), F.col("name"), F.lit("")))
-    return assets.artifact_counts(f)
+    return assets.artifact_counts(artifacts(spark, sf))
 
 
 @query("r2_7_12_latest_serial", f"WITH {FI}, s AS (SELECT *, {STEM} FROM fi) SELECT file_id FROM (SELECT *, row_number() OVER (PARTITION BY folder, k ORDER BY serial DESC, file_id DESC) AS n FROM s) WHERE n = 1")
@@ -208,16 +230,33 @@ def candidates(spark, sf):
     return library.value_candidates(views.files(spark, sf)).select("file_id", "score", "level")
 
 
-@query("r2_13_3_plan_archive", f"""WITH {FI}, c AS (SELECT *, '/Archive/' || name AS target, row_number() OVER (PARTITION BY sha256 ORDER BY file_id) AS n FROM fi),
- p AS (SELECT sha256, min('/Old/' || file_id) AS prev FROM fi WHERE file_id % 9 = 0 GROUP BY sha256), j AS (SELECT c.*, prev, prev IS NULL AND n = 1 AS fresh FROM c LEFT JOIN p USING (sha256)),
- m AS (SELECT *, row_number() OVER (PARTITION BY target, fresh ORDER BY file_id) AS m FROM j), x AS (SELECT *, CASE WHEN prev IS NOT NULL THEN 'reuse' WHEN n > 1 THEN 'duplicate' WHEN m > 1 OR contains(name, 'report7') THEN 'copy_renamed' ELSE 'copy' END AS action FROM m)
- SELECT file_id, action, CASE action WHEN 'reuse' THEN prev WHEN 'copy' THEN target WHEN 'copy_renamed' THEN regexp_replace(target, '\\.[^.]*$', '') || '-' || left(sha256, 8) || ext END AS archive_path FROM x""")
-def plan(spark, sf):
+PLAN = f"""WITH {FI}, c AS (SELECT *, '/Archive/' || name AS target, row_number() OVER (PARTITION BY sha256 ORDER BY file_id) AS n FROM fi),
+ p AS (SELECT sha256, min('/Old/' || file_id) AS prev FROM fi WHERE file_id % 9 = 0 GROUP BY sha256), j AS (SELECT c.*, prev FROM c LEFT JOIN p USING (sha256)),
+ m AS (SELECT *, row_number() OVER (PARTITION BY target, prev IS NULL AND n = 1 ORDER BY file_id) AS m FROM j),
+ x AS (SELECT *, CASE WHEN prev IS NOT NULL OR n > 1 THEN 'reuse' ELSE 'copy' END AS action,
+   CASE WHEN prev IS NOT NULL THEN prev WHEN n = 1 AND m = 1 AND NOT contains(name, 'report7') THEN target WHEN n = 1 THEN regexp_replace(target, '\\.[^.]*$', '') || '-' || left(sha256, 8) || ext END AS own FROM m),
+ pl AS (SELECT file_id, sha256, action, coalesce(own, first_value(own) OVER (PARTITION BY sha256 ORDER BY file_id)) AS archive_path FROM x)"""
+
+
+def archive_inputs(spark, sf):
     f = views.files(spark, sf)
     c = f.withColumn("target", F.concat(F.lit("/Archive/"), "name"))
     prev = f.filter("file_id % 9 = 0").select("sha256", F.concat(F.lit("/Old/"), F.col("file_id").cast("string")).alias("archive_path"))
-    have = c.filter(F.col("name").contains("report7")).select(F.col("target").alias("archive_path"), F.lit("other").alias("sha256")).distinct()
-    return library.plan_archive(prev, c, have)
+    have = c.filter(F.col("name").contains("report7")).select(F.upper("target").alias("archive_path"), F.lit("other").alias("sha256")).distinct()
+    old = f.filter("file_id % 9 = 0 AND file_id % 2 = 0").select(F.concat(F.lit("/Old/"), F.col("file_id").cast("string")).alias("archive_path"), F.when(F.col("file_id") % 4 == 0, F.col("sha256")).otherwise("rotten").alias("sha256"))
+    return prev, c, have.unionByName(old)
+
+
+@query("r2_13_3_plan_archive", f"{PLAN} SELECT * FROM pl")
+def plan(spark, sf):
+    return library.plan_archive(*archive_inputs(spark, sf)).drop("actual_sha256")
+
+
+@query("r2_13_3_archive_issues", f"""WITH {FI} SELECT CASE WHEN file_id % 2 = 1 THEN 'missing-previous-copy' ELSE 'changed-previous-copy' END AS kind, '/Old/' || file_id AS archive_path, sha256 AS expected_sha256,
+ CASE WHEN file_id % 2 = 0 THEN 'rotten' END AS actual_sha256 FROM fi WHERE file_id % 9 = 0 AND file_id % 4 <> 0""")
+def issues(spark, sf):
+    prev, c, have = archive_inputs(spark, sf)
+    return library.archive_issues(prev, have)
 
 
 TX = r"trim(regexp_replace(regexp_replace(text, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'))"

@@ -74,7 +74,7 @@ def canonical_fields(spark, sf):
 
 @query("r2_13_13_search_artifacts", f"WITH {FI} SELECT file_id, '[文件:' || file_id || ']' AS citation FROM fi WHERE ext IN ('.pdf', '.md', '.txt') AND contains(name, 'report2') ORDER BY modified DESC, file_id LIMIT 30")
 def search_artifacts(spark, sf):
-    f = views.files(spark, sf).withColumns({"verified": F.lit(True), "category": assets.artifact_category(F.lit("file"), F.col("name"), F.lit("")), "text": F.lit(""), "sender": F.lit(""), "url": F.lit("")})
+    f = views.files(spark, sf).withColumns({"verified": F.lit(True), "category": assets.artifact_category(F.col("name")), "text": F.lit(""), "sender": F.lit(""), "url": F.lit("")})
     return assets.artifact_scope(f, "document", None, "report2").orderBy(F.desc("modified"), "file_id").limit(30).select("file_id", scalars.citation("file", F.col("file_id").cast("string")).alias("citation"))
 
 

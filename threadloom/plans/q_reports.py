@@ -112,7 +112,7 @@ def citation(spark, sf):
 @query("r2_4_3_artifact_scope", f"WITH {FI} SELECT file_id FROM fi WHERE file_id % 2 = 0 AND file_id % 3 = 0 AND ext IN ('.pdf', '.md', '.txt') AND contains(name, 'port1')")
 def artifact_scope(spark, sf):
     n = F.col("file_id")
-    f = views.files(spark, sf).withColumns({"verified": n % 2 == 0, "library_ready": n % 3 == 0, "category": assets.artifact_category(F.lit("file"), F.col("name"), F.lit("")), "text": F.lit(""), "sender": F.lit(None).cast("string"), "url": F.lit("")})
+    f = views.files(spark, sf).withColumns({"verified": n % 2 == 0, "library_ready": n % 3 == 0, "category": assets.artifact_category(F.col("name")), "text": F.lit(""), "sender": F.lit(None).cast("string"), "url": F.lit("")})
     return assets.artifact_scope(f, "document", None, "PORT1", True).select("file_id")
 
 
