@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from threadloom.functions import rules, scalars
+from threadloom.functions import rules, scalars, urls
 from threadloom.operators import assets, audit, canonical, insights, library, reports, search, sinks, timeline
 from threadloom.sources import views
 
@@ -36,12 +36,12 @@ def test_types_and_content(spark):
 def test_text_helpers(spark):
     lit = F.lit
     r = one(
-        spark, grams=scalars.ngrams(lit("季度计划 Plan_A 季度")), tokens=scalars.search_tokens(lit("汉字abcd")), urls=scalars.extract_urls(lit("看 https://a.b/c?x=1&amp;y=2。 http://a.b, http://a.b")), time=scalars.norm_time(lit("2024年1月2日 3：04")),
+        spark, grams=scalars.ngrams(lit("季度计划 Plan_A 季度")), tokens=scalars.search_tokens(lit("汉字abcd")), urls=urls.extract_urls(lit("看 https://a.b/c?x=1。 http://a.b, HTTP://A.b:80"), lit("<u>https://a.b/c?x=1&amp;y=2</u>")), time=scalars.norm_time(lit("2024年1月2日 3：04")),
         raw=scalars.norm_time(lit("yesterday")), clean=scalars.clean_text(lit(" a&nbsp;b　 &lt;c&gt; ")), html=scalars.clean_text(scalars.strip_html(lit("<p>a<br>b</p><script>x()</script>c"))), stem=rules.duplicate_stem(lit("Report (3).PDF")),
         plain=rules.duplicate_stem(lit("a.txt")), safe=rules.safe_name(lit(' a<b>:"c" ')), none=rules.safe_name(lit("  ")), ts=scalars.archive_ts(lit(1720000000), "America/New_York"), title=rules.insight_title(lit("http://x.y 第一句。第二句")),
         signals=rules.signals(lit("学习 Python 和 哲学")), default=rules.signals(lit("zzz")), hashes=scalars.lookup_hashes(lit("a" * 32 + " " + "b" * 33)),
     )
-    assert r.grams == ["季度", "度计", "计划", "季度计", "度计划", "plan_a"] and r.tokens == 3 and r.urls == ["https://a.b/c?x=1&y=2", "http://a.b"]
+    assert r.grams == ["季度", "度计", "计划", "季度计", "度计划", "plan_a"] and r.tokens == 3 and r.urls == ["https://a.b/c?x=1", "http://a.b/", "https://a.b/c?x=1&y=2"]
     assert (r.time, r.raw, r.clean, r.html) == ("2024-01-02 03:04:00", "yesterday", "a b <c>", "a b c")
     assert (r.stem.key, r.stem.serial, r.plain.serial) == ("report.pdf", 3, 0) and r.safe == "a_b___c_" and r.none == "unnamed"
     assert r.ts == "2024-07-03 05:46:40 -04:00" and r.title == "第一句" and r.signals == ["AI/技术", "哲理/方法"] and r.default == ["一般内容"] and r.hashes == ["a" * 32]

@@ -15,7 +15,6 @@ EMPTY_APP, CARD, SYSTEM, EMPTY_SYSTEM = "[链接/应用消息]", "[名片]", "[
 GROUP_PREFIX = r"^([0-9A-Za-z_@.-]+):\n"
 #: Java's \s knows ASCII white space only; text may hold no-break and ideographic spaces too.
 SPACE = r"[\s   -     　﻿]"
-URL = r"https?://[^\s<>\"'　-〿＀-￯]+"
 SYSTEM_LIMIT = 300
 
 
@@ -251,12 +250,6 @@ def prompt_tokens(c: Column) -> Column:
     return F.ceil(n + (F.length(c) - n) / F.lit(3.5)).cast("long")
 
 
-def extract_urls(c: Column) -> Column:
-    """http(s) URLs with trailing marks cut off, XML ampersands decoded; distinct, in order."""
-    found = F.regexp_extract_all(F.regexp_replace(c, "(?i)&amp;", "&"), F.lit(f"(?i){URL}"), F.lit(0))
-    return F.array_distinct(F.transform(found, lambda u: F.regexp_replace(u, r"[.,;:!?)\]}，。；：！？）】》]+$", "")))
-
-
 def lookup_hashes(c: Column) -> Column:
     """Lower-case 32-digit hex runs that stand alone."""
     return F.array_distinct(F.transform(F.regexp_extract_all(c, F.lit(r"(?i)(?<![0-9a-f])[0-9a-f]{32}(?![0-9a-f])"), F.lit(0)), lambda h: F.lower(h)))

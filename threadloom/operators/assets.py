@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadloom.functions import scalars
+from threadloom.functions import scalars, urls
 
 FIELDS = ("message_uid", "chat_table", "local_id", "server_id", "normalized_type", "raw_type", "create_time")
 
@@ -95,8 +95,9 @@ def confirm_link(aligned: DataFrame) -> DataFrame:
 
 
 def link_artifacts(messages: DataFrame) -> DataFrame:
-    """message_uid, position, url: every URL of a message in order."""
-    return messages.select("message_uid", F.posexplode(scalars.extract_urls(F.col("text"))).alias("position", "url"))
+    """message_uid, position, url: every address of a message (text, and application_xml where there is one) in order, canonical and once."""
+    xml = F.col("application_xml") if "application_xml" in messages.columns else None
+    return messages.select("message_uid", F.posexplode(urls.extract_urls(F.col("text"), xml)).alias("position", "url"))
 
 
 # What marks an artifact as a skill, a document or a work.

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from threadloom.operators.digests import ordered_digest
+
 
 def bundle_files(spark: SparkSession, path: str) -> DataFrame:
     """path, size, sha256 of the files below a folder."""
@@ -13,10 +15,10 @@ def bundle_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def bundle_manifest(files: DataFrame) -> DataFrame:
-    """files + bundle_digest, the hash of all lines in path order. The digest needs a line per file in one row."""
+    """files + bundle_digest, the hash of all lines in path order."""
     line = F.concat_ws("\t", "path", F.col("size").cast("string"), "sha256")
-    d = files.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", line.alias("l")))), lambda x: x["l"]), "\n"), 256).alias("bundle_digest"))
-    return files.crossJoin(F.broadcast(d))  # one row
+    d = ordered_digest(files.withColumn("bundle", F.lit(0)), "bundle", ["path"], line, "bundle_digest")
+    return files.crossJoin(F.broadcast(d.select("bundle_digest")))  # one row
 
 
 def verify_bundle(want: DataFrame, have: DataFrame) -> DataFrame:

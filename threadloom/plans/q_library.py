@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from threadloom.functions import rules, scalars
+from threadloom.functions import rules, scalars, urls
 from threadloom.operators import assets, audit, library
 from threadloom.plans.registry import FI, TU, query
 from threadloom.sources import views
@@ -70,17 +70,18 @@ def signal_counts(spark, sf):
     return library.signal_counts(views.turns(spark, sf).select(rules.signals(F.col("text"), rules.LATIN_SIGNALS, "none").alias("s")), "s")
 
 
-URLS = r"""WITH u AS (SELECT page_id, list_transform(regexp_extract_all(
-  regexp_replace('see ' || replace(url, '&', '&amp;') || ', and ' || url || '.', '(?i)&amp;', '&', 'g'),
-  '(?i)https?://[^\s<>"''\x{3000}-\x{303f}\x{ff00}-\x{ffef}]+'), lambda x: regexp_replace(x, '[.,;:!?)\]}]+$', '')) AS us FROM pages)
-SELECT page_id, len(list_distinct(us))::INT AS n, us[1] AS first FROM u"""
+URLS = r"""WITH u AS (SELECT page_id, url || CASE WHEN regexp_matches(url, '^https?://[^/]+$') THEN '/' ELSE '' END AS c FROM pages)
+SELECT page_id, CASE page_id % 3 WHEN 0 THEN 3 ELSE 2 END AS n, c AS first, 'http://b.example/x?a=1&b=2' AS last FROM u"""
 
 
 @query("r2_3_21_extract_urls", URLS)
-def urls(spark, sf):
-    p = views.table(spark, sf, "pages")
-    u = scalars.extract_urls(F.concat(F.lit("see "), F.regexp_replace("url", "&", "&amp;"), F.lit(", and "), F.col("url"), F.lit("."))).alias("u")
-    return p.select("page_id", u).select("page_id", F.size("u").alias("n"), F.get("u", F.lit(0)).alias("first"))
+def urls_(spark, sf):
+    """Each page's address twice in spellings that are one, a second one in every third text, and one in the XML."""
+    u = F.col("url")
+    loud = F.concat(F.upper(F.regexp_extract(u, "^(https?)://", 1)), F.lit("://"), F.upper(F.regexp_extract(u, "^https?://([^/]*)", 1)), F.when(u.startswith("https"), ":443").otherwise(":80"), F.lit("/x/../."), F.regexp_extract(u, "^https?://[^/]*(.*)$", 1))
+    text = F.concat(F.lit("see "), loud, F.lit(", and "), u, F.when(F.col("page_id") % 3 == 0, "。HTTP://0x7f.1/é)").otherwise("."))
+    got = urls.extract_urls(text, F.lit("<url>http://B.example/a/../x?a=1&amp;b=2</url>"))
+    return views.table(spark, sf, "pages").select("page_id", F.size(got).alias("n"), got[0].alias("first"), F.element_at(got, -1).alias("last"))
 
 
 #: The files, some renamed to slides, tables, pages and skills, half of the rest with an address or a chat text.

@@ -4,8 +4,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from threadloom.functions import scalars
-from threadloom.operators import audit, canonical, sinks, timeline
-from threadloom.plans.registry import CO, EV, IM, MS, SH, TU, query
+from threadloom.operators import audit, canonical, digests, sinks, timeline
+from threadloom.plans.registry import CO, EV, FI, IM, MS, SH, TU, query
 from threadloom.sources import views
 
 ZONE = "Asia/Shanghai"
@@ -363,8 +363,23 @@ def index(spark, sf):
 
 @query("r2_2_6_bundle_manifest", f"WITH {EV}, f AS (SELECT source_db AS path, count(*) AS size, sha256(string_agg(message_uid, chr(10) ORDER BY message_uid)) AS sha256 FROM ev GROUP BY source_db) SELECT path, size, sha256, (SELECT sha256(string_agg(path || chr(9) || size || chr(9) || sha256, chr(10) ORDER BY path)) FROM f) AS bundle_digest FROM f")
 def manifest(spark, sf):
-    g = views.events(spark, sf).groupBy(F.col("source_db").alias("path")).agg(F.count("*").alias("size"), F.sha2(F.array_join(F.array_sort(F.collect_list("message_uid")), "\n"), 256).alias("sha256"))
-    return sinks.bundle_manifest(g)
+    e = views.events(spark, sf)
+    sizes = e.groupBy(F.col("source_db").alias("path")).agg(F.count("*").alias("size"))
+    hashes = digests.ordered_digest(e, "source_db", ["message_uid"], F.col("message_uid"), "sha256").withColumnRenamed("source_db", "path")
+    return sinks.bundle_manifest(sizes.join(hashes, "path"))
+
+
+#: The files of a bundle, and the same after one in seven is lost, grown or changed, and one in seven is new.
+VERIFY = FI + """ SELECT CASE WHEN file_id % 7 = 3 THEN '/new' ELSE '' END || path || file_id AS path,
+ CASE file_id % 7 WHEN 0 THEN 'missing' WHEN 1 THEN 'size' WHEN 2 THEN 'digest' WHEN 3 THEN 'unexpected' END AS problem FROM fi WHERE file_id % 7 < 4 UNION ALL SELECT path || file_id, 'missing' FROM fi WHERE file_id % 7 = 3"""
+
+
+@query("r2_2_6_verify_bundle", f"WITH {VERIFY}")
+def verify(spark, sf):
+    f = views.files(spark, sf).withColumn("path", F.concat("path", F.col("file_id").cast("string")))
+    n = F.col("file_id") % 7
+    have = f.filter(n != 0).withColumns({"size": F.when(n == 1, F.col("size") + 1).otherwise(F.col("size")), "sha256": F.when(n == 2, "other").otherwise(F.col("sha256")), "path": F.when(n == 3, F.concat(F.lit("/new"), "path")).otherwise(F.col("path"))})
+    return sinks.verify_bundle(f, have)
 
 
 @query("r2_13_1_build_canonical", f"WITH {SH} SELECT conv_id, source_db, local_id, row_number() OVER (PARTITION BY conv_id ORDER BY t, sort_seq, CASE adapter WHEN 'regular' THEN 0 ELSE 1 END, source_db, local_id) - 1 AS canonical_seq, strftime(make_timestamp((t + 28800) * 1000000), '%Y-%m-%d') AS archive_day FROM dd WHERE n = 1")

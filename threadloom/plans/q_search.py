@@ -188,7 +188,8 @@ def confirm(spark, sf):
     return assets.confirm_link(p).select("resource_id", "reason", "confirmed")
 
 
-@query("r2_11_4_link_artifacts", r"""WITH u AS (SELECT page_id, list_transform(regexp_extract_all(regexp_replace(html || ' ' || url || ', ' || url, '&amp;', '&', 'gi'), '(?i)https?://[^\s<>"''\x{3000}-\x{303f}\x{ff00}-\x{ffef}]+'), lambda x: regexp_replace(x, '[.,;:!?)\]}]+$', '')) AS us FROM pages), d AS (SELECT page_id, list_distinct(us) AS us FROM u) SELECT page_id, unnest(us) AS url FROM d""")
+@query("r2_11_4_link_artifacts", r"""WITH u AS (SELECT page_id, list_transform(regexp_extract_all(html || ' ' || url || ', ' || url, '(?i)https?://[^\s<>"''`，。！？；：、（）【】《》「」『』]+'), lambda x: regexp_replace(x, '[.,;:!?)\]}]+$', '')) AS us FROM pages),
+ d AS (SELECT page_id, list_distinct(list_transform(us, lambda x: x || CASE WHEN regexp_matches(x, '^https?://[^/]+$') THEN '/' ELSE '' END)) AS us FROM u) SELECT page_id, unnest(us) AS url FROM d""")
 def links(spark, sf):
     p = views.table(spark, sf, "pages").select(F.col("page_id").alias("message_uid"), F.concat("html", F.lit(" "), "url", F.lit(", "), "url").alias("text"))
     return assets.link_artifacts(p).select(F.col("message_uid").alias("page_id"), "url")
