@@ -200,8 +200,11 @@ def test_archive_plan_cases(spark):
 def test_export_readers(spark, tmp_path):
     j = spark.createDataFrame([("a", '{"x": [{"from": "p", "time": "1", "content": "hello"}, {"deep": {"sender": "q", "msg": "there"}}]}'), ("b", "{broken")], "path string, text string")
     assert [(r.sender, r.content) for r in views.read_json_exports(j).orderBy("n").collect()] == [("p", "hello"), ("q", "there")]
-    (tmp_path / "c.csv").write_text("Nickname,Date,Message\nann,2024/1/2 3:04,hi there\n")
-    assert [tuple(r) for r in views.read_csv_exports(spark, str(tmp_path / "c.csv")).collect()] == [("ann", "2024-01-02 03:04:00", "hi there")]
+    c = spark.createDataFrame([("c.csv", "Nickname,Date,Message\nann,2024/1/2 3:04,hi there, more\n\nbob,,[图片]\nAuthor,,zzz\n,,zzz\nbob"), ("d.csv", "时间\t发言人\t正文\r\nx\tann:\t a&lt;b \r\n"), ("e.csv", "a,b\n1,2"), ("f.csv", "")], "path string, text string")
+    assert [tuple(r) for r in views.read_csv_exports(c).orderBy("path", "n").collect()] == [("c.csv", 0, "ann", "2024-01-02 03:04:00", "hi there", False), ("d.csv", 0, "ann", "x", "a<b", False)]
+    h = spark.createDataFrame([("a.html", "<p>2024-01-02 03:04 ann: hi <b>there</b></p>\n<p>more</p>"), ("b.txt", "2024-01-02 03:04 bob: <p>")], "path string, text string")
+    assert [(r.path, r.sender, r.content) for r in views.read_text_exports(views.export_lines(h)).orderBy("path").collect()] == [("a.html", "ann", "hi there more"), ("b.txt", "bob", "<p>")]
+    (tmp_path / "c.csv").write_text("x")
     inv = views.file_inventory(spark, str(tmp_path)).first()
     assert (inv.name, inv.ext) == ("c.csv", ".csv")
     m = sinks.bundle_files(spark, str(tmp_path))

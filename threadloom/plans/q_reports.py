@@ -34,6 +34,39 @@ def text_exports(spark, sf):
     return views.read_text_exports(lines.select("path", (F.col("canonical_seq") * 5 + F.col("p")).alias("line_no"), "line"))
 
 
+#: Messages of conversations as exports hold them: their number among those with two characters or more.
+EX = TU + r""", ex AS (SELECT conv_id AS path, row_number() OVER (PARTITION BY conv_id ORDER BY seq) - 1 AS n, sender, CAST(seq * 60 AS VARCHAR) AS time, trim(regexp_replace(text, '\s+', ' ', 'g')) AS content FROM tu WHERE length(trim(regexp_replace(text, '\s+', ' ', 'g'))) >= 2)"""
+
+
+@query("r2_1_8_json_exports", f"WITH {EX} SELECT path, n, sender, time, left(content, 4000) AS content, n >= 20000 AS beyond FROM ex")
+def json_exports(spark, sf):
+    """Messages at three depths under three sets of names, between objects that lack a sender, name a header or hold a placeholder, and one too deep to be seen."""
+    t = views.turns(spark, sf)
+    c, at = F.col("conv_id").cast("long"), F.col("canonical_seq") * 60
+    one = F.when(c % 3 == 0, F.to_json(F.struct("sender", at.alias("time"), F.col("text").alias("content"))))
+    one = one.when(c % 3 == 1, F.to_json(F.struct(F.col("sender").alias("发送者"), at.cast("string").alias("日期"), F.col("text").alias("消息"))))
+    one = F.concat(F.lit('{"wrap": {"message": '), one.otherwise(F.to_json(F.struct(F.col("sender").alias("user"), at.alias("createTime"), F.col("text").alias("body")))), F.lit("}}"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("canonical_seq", one.alias("o")))), lambda x: x["o"]), ", ")
+    none = '{"content": "nobody"}, {"sender": "Author", "content": "header"}, {"sender": "a", "content": "[图片]"}, [[[[[[[[{"sender": "a", "content": "too deep"}]]]]]]]]'
+    whole = t.groupBy(F.col("conv_id").alias("path")).agg(body.alias("b"))
+    top = F.when(F.col("path").cast("long") % 2 == 0, F.concat(F.lit(f"[{none}, "), "b", F.lit("]"))).otherwise(F.concat(F.lit('{"k": 1, "list": ['), "b", F.lit(f", {none}]}}")))
+    broken = spark.range(1).select(F.lit("broken").alias("path"), F.lit('{"sender": "a", "content": "lost"').alias("text"))
+    return views.read_json_exports(whole.select("path", top.alias("text")).union(broken))
+
+
+@query("r2_1_8_csv_exports", f"WITH {EX} SELECT path, n, sender, CASE WHEN CAST(path AS BIGINT) % 2 = 0 THEN time END AS time, left(CASE WHEN CAST(path AS BIGINT) % 2 = 0 THEN content ELSE content || ' ;' END, 4000) AS content, n >= 9999 AS beyond FROM ex")
+def csv_exports(spark, sf):
+    """Files by tabs with Chinese headers and files by commas with a column more and no time, in either order of columns."""
+    t = views.turns(spark, sf)
+    even = F.col("conv_id").cast("long") % 2 == 0
+    flat = F.trim(F.regexp_replace("text", r"\s+", " "))
+    line = F.when(even, F.concat_ws("\t", (F.col("canonical_seq") * 60).cast("string"), F.concat("sender", F.lit("：")), flat)).otherwise(F.concat(F.lit("7,"), F.replace(flat, F.lit(","), F.lit("&comma;")), F.lit(" ;,"), "sender", F.lit(",rest")))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("canonical_seq", line.alias("l")))), lambda x: x["l"]), "\r\n")
+    head = F.when(F.col("path").cast("long") % 2 == 0, "时间\t发送者\t消息内容").otherwise("no,Message Body,Speaker,x")
+    got = views.read_csv_exports(t.filter(F.length(flat) >= 2).groupBy(F.col("conv_id").alias("path")).agg(body.alias("b")).select("path", F.concat(head, F.lit("\n\n"), "b").alias("text")))
+    return got.withColumn("content", F.replace("content", F.lit("&comma;"), F.lit(",")))
+
+
 @query("r2_2_2_daily_export", f"WITH {MS} SELECT conv_id, day, count(*) AS messages, count(*) FILTER (local_id % 6 = 0) AS media FROM ms GROUP BY ALL")
 def daily(spark, sf):
     m = q_messages.messages(spark, sf)

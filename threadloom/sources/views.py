@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from threadloom.functions import rules, scalars
+from threadloom.sources.exports import MAX_CONTENT, MAX_SENDER, NO_CONTENT, NO_SENDER, export_lines, read_csv_exports, read_json_exports  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -165,27 +166,31 @@ def deferred_inventory(rows: DataFrame, parsed: tuple[str, ...] = ("regular", "b
     return later.groupBy("source_db").agg(F.count("*").alias("discovered")).withColumn("reason", F.lit("deferred_domain"))
 
 
+# What the path of an export says, and how large and how many they may be.
 EXPORT_NAME = r"(?i)qq|(^|[^a-z])chat([^a-z]|$)|message|messages|msg|conversation|dialog|聊天|消息|群聊|好友"
 MAX_EXPORT_BYTES, MAX_EXPORT_FILES = 50 * 1024 * 1024, 5000
 
 
 def export_candidates(files_: DataFrame, name_hint: str = EXPORT_NAME, most: int = MAX_EXPORT_FILES) -> DataFrame:
-    """Files that may be chat exports, by extension, name, size and folder; at most `most`, by path."""
+    """Files that may be chat exports, by extension, name, size and folder; at most `most`, by path (count_export_candidates() tells how many there are)."""
     ok = F.col("ext").rlike(r"(?i)^\.(txt|md|csv|json|html?)$") & F.col("path").rlike(name_hint) & F.col("size").between(1, MAX_EXPORT_BYTES)
     skip = F.col("path").rlike(r"(?i)/(node_modules|\.git|dist|archive|cache|logs?)/")
     return files_.filter(ok & ~skip).orderBy("path").limit(most)
 
 
-# How a line opens a message, what sender and content that are none look like, and how long they may be.
+def count_export_candidates(files_: DataFrame, name_hint: str = EXPORT_NAME, most: int = MAX_EXPORT_FILES) -> DataFrame:
+    """One row: candidates, and how many of them export_candidates() leaves unread."""
+    n = export_candidates(files_, name_hint, 2**31 - 1).agg(F.count("*").alias("candidates"))
+    return n.withColumn("unread", F.greatest(F.col("candidates") - most, F.lit(0)))
+
+
+# How a line opens a message.
 DATE, CLOCK = r"\d{4}[-/.年]\d{1,2}[-/.月]\d{1,2}(?:日)?", r"\d{1,2}[:：]\d{2}(?::\d{2})?"
 LINES = (
     (rf"^\s*\[?({DATE}\s+{CLOCK})\]?\s+(.{{1,60}}?)[：:]\s*(.+)$", r"1", 2, 3),
     (rf"^\s*({DATE})\s+({CLOCK})\s+(.{{1,60}}?)[：:]\s*(.+)$", r"1 2", 3, 4),
     (rf"^\s*(.{{1,60}}?)\s+({DATE}\s+{CLOCK})\s*[：:]\s*(.+)$", r"2", 1, 3),
 )
-NO_SENDER = "(?i)^(date|author|subject|refs|body|commit|merged|files?|index)$"
-NO_CONTENT = r"(?i)^(图片|语音|表情|视频|文件|撤回了一条消息|\[图片]|\[表情]|\[语音]|\[视频])$"
-MAX_SENDER, MAX_CONTENT = 80, 4000
 
 
 def read_text_exports(lines: DataFrame) -> DataFrame:
@@ -216,56 +221,6 @@ def read_text_exports(lines: DataFrame) -> DataFrame:
     return g.select("path", "seq", "time", "sender", F.substring(text, 1, MAX_CONTENT).alias("content"))
 
 
-# Other names of an export's fields.
-ALIASES = {"sender": ("sender", "from", "name", "nickname", "talker", "author"), "time": ("time", "date", "timestamp", "createtime", "create_time"), "content": ("content", "text", "message", "msg", "body")}
-
-
-def read_csv_exports(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
-    """Rows of delimited exports under whatever alias their header uses for sender, time and content."""
-    raw = spark.read.option("header", True).option("sep", sep).csv(path)
-    by = {c.strip().lower(): c for c in raw.columns}
-    pick = {k: next((by[a] for a in names if a in by), None) for k, names in ALIASES.items()}
-    text = lambda k: F.col(f"`{pick[k]}`") if pick[k] else F.lit(None).cast("string")
-    return raw.select(F.coalesce(text("sender"), F.lit("")).alias("sender"), scalars.norm_time(text("time")).alias("time"), scalars.clean_text(text("content")).alias("content")).filter(F.length("content") >= 2)
-
-
-def read_json_exports(texts: DataFrame, depth: int = 8, most: int = 20_000) -> DataFrame:
-    """(path, text) of JSON files -> path, n, sender, time, content for every object, at any depth up to `depth`, that has a content key. Broken files give nothing."""
-
-    def run(batches):
-        import json
-
-        import pandas as pd
-
-        def walk(x, left):
-            if left < 0:
-                return
-            if isinstance(x, list):
-                for y in x:
-                    yield from walk(y, left - 1)
-            elif isinstance(x, dict):
-                low = {str(k).lower(): v for k, v in x.items()}
-                get = lambda k: next((low[a] for a in ALIASES[k] if isinstance(low.get(a), (str, int, float))), None)
-                if isinstance(c := get("content"), str) and c.strip():
-                    yield str(get("sender") or ""), str(get("time") or ""), c
-                else:
-                    for y in x.values():
-                        yield from walk(y, left - 1)
-
-        for b in batches:
-            out = []
-            for p, t in zip(b["path"], b["text"], strict=True):
-                try:
-                    found = walk(json.loads(t), depth)
-                except (ValueError, TypeError):
-                    continue
-                for n, row in zip(range(most), found, strict=False):
-                    out.append((p, n, *row))
-            yield pd.DataFrame(out, columns=["path", "n", "sender", "time", "content"])
-
-    return texts.select("path", "text").mapInPandas(run, "path string, n int, sender string, time string, content string")
-
-
 def _meta(html: Column, name: str) -> Column:
     """Content of the first <meta> with that property or name, whichever attribute comes first."""
     tag = F.regexp_extract(html, rf"(?is)<meta\b[^>]*\b(?:property|name)\s*=\s*[\"']{name}[\"'][^>]*>", 0)
