@@ -129,6 +129,18 @@ def duplicate_stem(name: Column) -> Column:
     return F.struct(key.alias("key"), F.when(serial != "", serial.cast("long")).otherwise(F.lit(0)).cast("long").alias("serial"))
 
 
+# What marks paths (with forward slashes) as chat media, program resources, noise or valuable.
+CHAT_MEDIA = r"(?i)/(FileRecv|Image|Pic|Video|Ptt|Audio|Voice|cdn/download|nt_data/Video|nt_data/File|MsgAttach)/"
+HARD_NOISE = r"(?i)/(avatar|emoji|baseemojisyastems|emoji-recv|emojirecv|emojirelated|thumbtemp|oritemp|cache|cachestorage|code cache|service worker|local storage|session storage|indexeddb|xplugin|xworker|publiclib|offlineresource|dynamicresource|dynamicresourcepackage|upgrade|patch|crash|caton_dump|logs?|log-cache|tbs|tzdata|qzone|webview|cef_|hpModule)/"
+APP_RESOURCE = r"(?i)/(resources?|themes?|locales?|compatible_web|raw|shader|shaders|aekit|node_modules|_next/static|static/chunks|wxdrive|wemeet|virtualaudio)/"
+NOISE_FILE = r"(?i)\.(dll|exe|pak|bin|dmp|wmc|gft|cur|cat|inf|mmap3|stk|tk|tv|sst|ldb|db|db-shm|db-wal|xlog|qqxlog|log|old|ini|map)$"
+PROGRAM_FILE = r"(?i)\.(dll|exe|pak|bin|dmp)$"
+VALUABLE = "(^|[^a-z])ai([^a-z]|$)|(^|[^a-z])bp([^a-z]|$)|llm|prompt|openai|claude|创业|商业|项目|方案|课程|学业|作业|考试|复习|基医|强基|医学|生物|化学|物理|高数|英语|思政|专业|科研|论文|实验|比赛|竞赛|森林|树林|笔记|资料|简历|合同|发票|报销|预算|课题|需求|prd|roadmap"
+QQ_PROGRAM = r"(?i)/AppData/Roaming/QQ/(arks|blob_storage|cache|code cache|crashpad|dawngraphitecache|dawnwebgpucache|dictionaries|dynamic_module|dynamic_package|gpucache|local storage|miniapp|network|packages|partitions|qqex|session storage|shared dictionary)/"
+TENCENT_PROGRAM = r"(?i)/Tencent/(Androws/context_menu|WeMail/cache|WXWork/wwmapp/userdata/Global/Data/AudioModel)/"
+PROGRAM_RESOURCE = f"{QQ_PROGRAM}|{TENCENT_PROGRAM[4:]}"
+
+
 # The kinds of media files, and the sizes in pixels that their variants' names end with.
 MEDIA_FILE = r"(?i)\.(png|jpe?g|gif|webp|bmp|mp4|mov|mkv|webm|mp3|wav|ogg|silk|amr)$"
 MEDIA_SIZE = r"(?i)_(0|360|480|720|750|1080)$"

@@ -50,20 +50,65 @@ def unarchived(cands: DataFrame, archive: DataFrame) -> DataFrame:
     return left.join(v, rules.media_variant_key(F.col("path")) == F.col("vk"), "left_anti")
 
 
-def value_score(name: Column, size: Column, ext: Column) -> Column:
-    return F.when(ext.isin(".pdf", ".docx", ".md"), 40).otherwise(0) + F.when(ext.isin(".py", ".ipynb"), 25).otherwise(0) + F.when(size > 2000, 20).otherwise(0) + F.when(name.rlike("(?i)report|plan|paper"), 15).otherwise(0) - F.when(ext.isin(".dat", ".tmp"), 60).otherwise(0)
-
-
-def value_candidates(files: DataFrame, k: int = 600) -> DataFrame:
-    """Scored, deduplicated candidates with their level and reasons, best first."""
-    c = files.withColumn("preview", rules.preview_for(F.col("path"))).withColumn("score", value_score(F.col("name"), F.col("size"), F.col("ext")))
-    why = F.array_join(F.array_compact(F.array(F.when(F.col("ext").isin(".pdf", ".docx", ".md"), F.lit("document")), F.when(F.col("ext").isin(".py", ".ipynb"), F.lit("code")), F.when(F.col("size") > 2000, F.lit("large")))), "+")
-    level = F.when(F.col("score") >= 60, "high").when(F.col("score") >= 30, "medium").otherwise("low")
-    return dedupe_candidates(c).withColumn("level", level).withColumn("reasons", why).orderBy(F.desc("score"), F.desc("modified"), "file_id").limit(k)
+# Kinds of previews, what each thing a file is or is not counts, and the levels and bucket of what is left.
+VALUED = ("pdf", "docx", "sheet", "presentation", "archive", "markdown", "text", "code", "json", "image", "video", "audio", "voice")
+DOCUMENTS = ("pdf", "docx", "sheet", "presentation", "archive", "markdown")
+MEDIA, STRUCTURED = ("image", "video", "audio", "voice"), ("text", "code", "json")
+USER_DATA, WORK_DATA = "(?i)Tencent Files|WeChat Files|xwechat", "(?i)WXWork"
+PLUS = (("document", 45, "文档/表格/压缩包"), ("chat_media", 38, "聊天媒体目录"), ("archive", 12, "可打开压缩包目录"), ("readable", 12, "可读文本/结构化数据"), ("keyword", 30, "路径命中价值关键词"), ("user_data", 8, "微信/QQ 用户数据路径"), ("work_data", 4, "企业微信路径"), ("large", 4, "文件体积较大"))
+MINUS = (("hard_noise", 30), ("app_resource", 18), ("program", 42), ("tencent_program", 42), ("noisy_kind", 20))
+LEAST, MEDIUM, HIGH, REVIEW = 24, 42, 70, "复核"
+
+
+def file_traits(files: DataFrame) -> dict[str, Column]:
+    """What counts for or against a file (path, relative_path, size, preview), each as a condition."""
+    p, preview, size = rules.slashed(F.col("path")), F.col("preview"), F.col("size")
+    shown = F.concat_ws("\n", F.coalesce("relative_path", F.lit("")), F.element_at(F.split(p, "/"), -1))
+    return {
+        "document": preview.isin(*DOCUMENTS), "media": preview.isin(*MEDIA), "chat_media": p.rlike(rules.CHAT_MEDIA) & preview.isin(*MEDIA), "archive": preview == "archive",
+        "readable": preview.isin(*STRUCTURED) & size.between(4096, 2 * 1024 * 1024), "keyword": shown.rlike(f"(?iu){rules.VALUABLE}"), "user_data": p.rlike(USER_DATA), "work_data": p.rlike(WORK_DATA),
+        "large": size >= 1024 * 1024, "hard_noise": p.rlike(rules.HARD_NOISE), "app_resource": p.rlike(rules.APP_RESOURCE), "program": p.rlike(rules.QQ_PROGRAM),
+        "tencent_program": p.rlike(rules.TENCENT_PROGRAM), "noisy_kind": p.rlike(rules.NOISE_FILE), "program_file": p.rlike(rules.PROGRAM_FILE),
+    }
+
+
+def noise_of(t: dict[str, Column]) -> Column:
+    """Whether a file of these traits is noise: empty, a program's resource, or in a noisy place or of a noisy kind without a valuable word. Chat media are not."""
+    worth = t["keyword"] & ~t["program_file"]
+    return (F.col("size") == 0) | (~t["chat_media"] & (t["program"] | t["tencent_program"] | (~worth & (t["hard_noise"] | (~t["keyword"] & (t["app_resource"] | t["noisy_kind"]))))))
+
+
+def scored_candidates(files: DataFrame, archive: DataFrame) -> DataFrame:
+    """files (path, root, relative_path, size, modified, sha256) that archive (path, sha256) does not hold, scored by what they are and where:
+    with preview, score (LEAST or more), level, bucket, reasons and action; copies of one name, size and preview once, the newest (ties: the last by path)."""
+    f = files.withColumn("preview", rules.preview_for(F.col("path"))).filter(F.col("preview").isin(*VALUED))
+    # Traits are columns, so that each pattern is looked for once.
+    traits = F.struct(*[F.coalesce(c, F.lit(False)).alias(k) for k, c in file_traits(f).items()])
+    f = f.withColumn("__t", traits)
+    t = {k.name: F.col("__t")[k.name] for k in f.schema["__t"].dataType.fields}
+    f = unarchived(f.filter(~F.coalesce(noise_of(t), F.lit(False))), archive)
+    points = [F.when(t[k], n).otherwise(0) for k, n, _ in PLUS] + [F.when(t[k], -n).otherwise(0) for k, n in MINUS]
+    f = f.withColumn("score", sum(points[1:], points[0])).filter(F.col("score") >= LEAST)
+    name = F.element_at(F.split(rules.slashed(F.col("path")), "/"), -1)
+    newest = Window.partitionBy("__name", "size", "preview").orderBy(F.desc("modified"), F.desc("path"))
+    f = f.withColumn("__name", F.lower(F.regexp_replace(name, r"(?i)(?:\((\d+)\))?(\.[^.]+)$", "$2")))
+    f = f.withColumn("__n", F.row_number().over(newest)).filter("__n = 1").drop("__n", "__name")
+    # What only describes a candidate is made for those that are left.
+    level = F.when(F.col("score") >= HIGH, "high").when(F.col("score") >= MEDIUM, "medium").otherwise("low")
+    action = F.when(F.col("preview").isin(*DOCUMENTS) | (F.col("score") >= HIGH), "archive_candidate").otherwise("review")
+    reasons = F.array_compact(F.array(*[F.when(t[k], F.lit(why)) for k, _, why in PLUS]))
+    bucket = F.replace(rules.classify_file(F.col("path"))["category"], F.lit("未归类"), F.lit(REVIEW))
+    return f.withColumns({"level": level, "action": action, "reasons": reasons, "bucket": bucket}).drop("__t")
+
+
+def value_candidates(files: DataFrame, archive: DataFrame, k: int = 600) -> DataFrame:
+    """The k best of scored_candidates(): by score, then size, then path."""
+    return scored_candidates(files, archive).orderBy(F.desc("score"), F.desc("size"), "path").limit(k)
 
 
 def candidate_totals(cands: DataFrame) -> DataFrame:
-    return cands.groupBy("level", "preview").agg(F.count("*").alias("files"), F.count_if(F.col("reasons").contains("large")).alias("large"))
+    """bucket, preview, level, files."""
+    return cands.groupBy("bucket", "preview", "level").agg(F.count("*").alias("files"))
 
 
 def source_text_index(docs: DataFrame, table: rules.Rules, k: int | None = None) -> DataFrame:

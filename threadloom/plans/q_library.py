@@ -223,12 +223,38 @@ def cap(spark, sf):
     return library.cap_per_path(views.files(spark, sf), 2, "file_id").select("file_id")
 
 
-VAL = "CASE WHEN ext IN ('.pdf', '.md') THEN 40 ELSE 0 END + CASE WHEN ext = '.py' THEN 25 ELSE 0 END + CASE WHEN size > 2000 THEN 20 ELSE 0 END + 15 - CASE WHEN ext = '.dat' THEN 60 ELSE 0 END"
+#: Folders of every kind, and what each is: chat media, a valuable word, user data, work data, noise, a resource, one of two programs'.
+FOLDERS = (
+    ("/Tencent Files/1/FileRecv", "chat user"), ("/AppData/Roaming/QQ/cache", "hard program"), ("/Tencent/WeMail/cache", "hard tencent"), ("/x/cache/a", "hard"), ("/x/resources/a", "app"), ("/课程/a", "word"),
+    ("/WXWork/File", "work"), ("/xwechat/课程/cache", "word user hard"), ("/plain/a", ""), ("/xwechat/Image/a", "chat user"), ("/课程/node_modules/a", "word app"),
+)
+KINDS = ("chat", "word", "user", "work", "hard", "app", "program", "tencent")
+VALUE = FI + f""", fo AS (SELECT * FROM (VALUES {", ".join(f"({i}, '{f}', {', '.join(str(k in w.split()) for k in KINDS)})" for i, (f, w) in enumerate(FOLDERS))}) AS t (i, folder, {", ".join(f"is_{k}" for k in KINDS)})),
+ vf AS (SELECT file_id, folder || '/' || name AS path, modified, sha256, name, ext, is_word, is_user, is_work, is_hard, is_app, is_program, is_tencent, ext = '.log' AS is_noisy,
+   CASE WHEN file_id % 13 = 0 THEN 0 ELSE fi.size * (1 + file_id % 3 * 1000) END AS size, {PRE} AS preview, is_chat AND ext = '.png' AS is_media FROM fi JOIN fo ON fo.i = file_id % {len(FOLDERS)}),
+ va AS (SELECT * FROM vf WHERE file_id % 17 = 0),
+ vs AS (SELECT *, CASE WHEN preview IN ('pdf', 'markdown', 'archive') THEN 45 ELSE 0 END + CASE WHEN is_media THEN 38 ELSE 0 END + CASE WHEN preview = 'archive' THEN 12 ELSE 0 END
+   + CASE WHEN preview IN ('text', 'code') AND size BETWEEN 4096 AND 2097152 THEN 12 ELSE 0 END + CASE WHEN is_word THEN 30 ELSE 0 END + CASE WHEN is_user THEN 8 ELSE 0 END + CASE WHEN is_work THEN 4 ELSE 0 END + CASE WHEN size >= 1048576 THEN 4 ELSE 0 END
+   - CASE WHEN is_hard THEN 30 ELSE 0 END - CASE WHEN is_app THEN 18 ELSE 0 END - CASE WHEN is_program THEN 42 ELSE 0 END - CASE WHEN is_tencent THEN 42 ELSE 0 END AS score,
+   array_to_string(list_filter([CASE WHEN preview IN ('pdf', 'markdown', 'archive') THEN '文档/表格/压缩包' END, CASE WHEN is_media THEN '聊天媒体目录' END, CASE WHEN preview = 'archive' THEN '可打开压缩包目录' END,
+    CASE WHEN preview IN ('text', 'code') AND size BETWEEN 4096 AND 2097152 THEN '可读文本/结构化数据' END, CASE WHEN is_word THEN '路径命中价值关键词' END, CASE WHEN is_user THEN '微信/QQ 用户数据路径' END, CASE WHEN is_work THEN '企业微信路径' END, CASE WHEN size >= 1048576 THEN '文件体积较大' END], lambda x: x IS NOT NULL), '+') AS reasons,
+   CASE WHEN is_word THEN '学业' WHEN ext IN ('.pdf', '.md', '.txt') THEN '学业' WHEN ext = '.png' THEN '过去' WHEN ext = '.zip' THEN '素材' ELSE '复核' END AS bucket FROM vf
+   WHERE preview <> 'download' AND size > 0 AND (is_media OR NOT (is_program OR is_tencent OR (NOT is_word AND (is_hard OR is_app))))
+   AND lower(path) NOT IN (SELECT lower(path) FROM va) AND sha256 NOT IN (SELECT sha256 FROM va) AND (ext <> '.png' OR lower(name) NOT IN (SELECT lower(name) FROM va WHERE ext = '.png'))),
+ vd AS (SELECT *, row_number() OVER (PARTITION BY lower(regexp_replace(name, '(\\(\\d+\\))?(\\.[^.]+)$', '\\2')), size, preview ORDER BY modified DESC, path DESC) AS n FROM vs WHERE score >= 24),
+ vk AS (SELECT *, CASE WHEN score >= 70 THEN 'high' WHEN score >= 42 THEN 'medium' ELSE 'low' END AS level, CASE WHEN preview IN ('pdf', 'markdown', 'archive') OR score >= 70 THEN 'archive_candidate' ELSE 'review' END AS action FROM vd WHERE n = 1)"""
+
+
+def candidate_files(spark, sf):
+    n = F.col("file_id")
+    folder = F.get(F.array(*[F.lit(f) for f, _ in FOLDERS]), (n % len(FOLDERS)).cast("int"))
+    f = views.files(spark, sf).withColumns({"path": F.concat_ws("/", folder, "name"), "size": F.when(n % 13 == 0, 0).otherwise(F.col("size") * (1 + n % 3 * 1000))}).withColumn("relative_path", F.substring("path", 2, 10_000))
+    return f, f.filter(n % 17 == 0)
 
 
-@query("r2_13_6_value_candidates", f"WITH {FI}, d AS (SELECT *, {VAL} AS score, row_number() OVER (PARTITION BY name, size, {PRE} ORDER BY modified DESC, file_id) AS n FROM fi) SELECT file_id, score, CASE WHEN score >= 60 THEN 'high' WHEN score >= 30 THEN 'medium' ELSE 'low' END AS level FROM d WHERE n = 1 ORDER BY score DESC, modified DESC, file_id LIMIT 600")
+@query("r2_13_6_value_candidates", f"WITH {VALUE} SELECT file_id, score, level, bucket, action, reasons FROM vk ORDER BY score DESC, size DESC, path LIMIT 600")
 def candidates(spark, sf):
-    return library.value_candidates(views.files(spark, sf)).select("file_id", "score", "level")
+    return library.value_candidates(*candidate_files(spark, sf)).select("file_id", "score", "level", "bucket", "action", F.array_join("reasons", "+").alias("reasons"))
 
 
 PLAN = f"""WITH {FI}, c AS (SELECT *, '/Archive/' || name AS target, row_number() OVER (PARTITION BY sha256 ORDER BY file_id) AS n FROM fi),

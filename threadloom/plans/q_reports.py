@@ -197,9 +197,9 @@ def overview(spark, sf):
     return reports.overview(q_messages.rollup(spark, sf), views.contacts(spark, sf), f.filter("ext = '.pdf'"), f, views.turns(spark, sf))
 
 
-@query("r2_6_14_candidate_totals", f"WITH {FI}, d AS (SELECT *, {q_library.VAL} AS score, {q_library.PRE} AS preview, row_number() OVER (PARTITION BY name, size, {q_library.PRE} ORDER BY modified DESC, file_id) AS n FROM fi), k AS (SELECT * FROM d WHERE n = 1 ORDER BY score DESC, modified DESC, file_id LIMIT 600) SELECT CASE WHEN score >= 60 THEN 'high' WHEN score >= 30 THEN 'medium' ELSE 'low' END AS level, preview, count(*) AS files, count(*) FILTER (size > 2000) AS large FROM k GROUP BY ALL")
+@query("r2_6_14_candidate_totals", f"WITH {q_library.VALUE}, k AS (SELECT * FROM vk ORDER BY score DESC, size DESC, path LIMIT 600) SELECT bucket, preview, level, count(*) AS files FROM k GROUP BY ALL")
 def totals(spark, sf):
-    return library.candidate_totals(library.value_candidates(views.files(spark, sf)))
+    return library.candidate_totals(library.value_candidates(*q_library.candidate_files(spark, sf)))
 
 
 @query("r2_6_15_asset_metrics", """WITH d AS (SELECT doc_id AS i, doc_id % 3 AS v, doc_id % 4 <> 0 AS c FROM documents)
@@ -222,9 +222,10 @@ def metrics(spark, sf):
     })
 
 
-@query("r2_6_17_profile_tables", "SELECT 'conversations' AS \"table\", (SELECT count(*) FROM conversations) AS rows, 4 AS columns, 'messages' AS focus, TRUE AS suspected_message UNION ALL SELECT 'events', (SELECT count(*) FROM events), 6, 'account', FALSE UNION ALL SELECT 'region', (SELECT count(*) FROM region), 2, 'other', FALSE")
+@query("r2_6_17_profile_tables", """SELECT 'conversations' AS "table", (SELECT count(*) FROM conversations) AS rows, 4 AS columns, '疑似聊天/消息' AS focus, TRUE AS suspected_message UNION ALL SELECT 'events', (SELECT count(*) FROM events), 6, '用户/登录配置', FALSE
+ UNION ALL SELECT 'region', (SELECT count(*) FROM region), 2, '其他结构化数据', FALSE""")
 def profile(spark, sf):
-    return reports.profile_tables(spark, {n: views.table(spark, sf, n) for n in ("conversations", "events", "region")})
+    return reports.profile_tables(spark, {n: views.table(spark, sf, n) for n in ("conversations", "events", "region")}).drop("samples")
 
 
 COVER = FI + ", s AS (SELECT (SELECT count(*) FROM fi) AS files, (SELECT sum(size)::BIGINT FROM fi) AS bytes, (SELECT count(DISTINCT ext) FROM fi) AS kinds, (SELECT count(*) FROM labels WHERE quality = 1) AS high_texts, (SELECT count(*) FROM labels WHERE quality = 0) AS medium_texts, 0::BIGINT AS low_texts, (SELECT count(*) FROM nation) AS databases, (SELECT count(*) FROM nation WHERE n_nationkey % 2 = 0) AS readable)"
