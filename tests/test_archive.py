@@ -70,9 +70,26 @@ def test_conflicting_copies_fail(spark):
         canonical.dedup_messages(spark.createDataFrame(rows, MSG))
 
 
+def test_private_chats_exclusions_and_no_conversation(spark):
+    cols = "conv_id string, source_db string, local_id long, server_id string, occurred_at_epoch_s long, source_sort_seq long, source_adapter string, raw_type long, real_sender_id long, sender string, text string, is_own boolean, exclusion_reason string"
+    row = lambda conv, n, own=None, why=None, sender=None: (conv, "message_0.db", n, str(n), 86_400 * n, n, "regular", 1, 9, sender, "x", own, why)
+    raw = spark.createDataFrame([row("ann", 1, True), row("ann", 2, False), row("ann", 3), row("g@chatroom", 4, True, None, "bob"), row("g@chatroom", 5, True), row("ann", 6, True, "missing_columns"), *[row(None, n, False) for n in (7, 8, 9)], row("ann", 2, False)], cols)
+    ids = spark.createDataFrame([("message_0.db", 1, "zoe")], "source_db string, rowid long, user_name string")
+    out = canonical.build_canonical(raw, ids, "me")
+    got = {(r.conv_id, r.local_id): (r.sender, r.sender_source, r.canonical_seq) for r in out["messages"].collect()}
+    assert got == {
+        ("ann", 1): ("me", "private_self", 0), ("ann", 2): ("ann", "private_peer", 1), ("ann", 3): (None, "unknown", 2), ("g@chatroom", 4): ("bob", "group_prefix", 0), ("g@chatroom", 5): (None, "unknown", 1),
+        (None, 7): (None, "private_peer", 0), (None, 8): (None, "private_peer", 1), (None, 9): (None, "private_peer", 2),
+    }
+    assert [tuple(r) for r in out["inventory"].collect()] == [("message_0.db", 10, 8, 1, 1)]
+    runs = timeline.timeline_items(out["messages"], "UTC").filter("conv_id IS NULL").orderBy("canonical_seq").collect()
+    assert [r.run for r in runs] == [1, 2, 3]
+
+
 def test_build_canonical_closes(spark):
     ids = spark.createDataFrame([("message_0.db", 1, "x"), ("message_1.db", 1, "y")], "source_db string, rowid long, user_name string")
-    out = canonical.build_canonical(spark.createDataFrame(ROWS, MSG).withColumn("real_sender_id", F.lit(1).cast("long")), ids, "me")
+    rows = spark.createDataFrame(ROWS, MSG).withColumns({"real_sender_id": F.lit(1).cast("long"), "conv_id": F.concat("conv_id", F.lit("@chatroom"))})
+    out = canonical.build_canonical(rows, ids, "me")
     r = out["receipt"].first()
     assert (r.discovered, r.parsed, r.deduplicated, r.messages) == (5, 4, 1, 4)
     who = {m.text: (m.sender, m.sender_source) for m in out["messages"].collect()}

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.functions import scalars
+from threadloom.sources.shared import stored
 
 ORDER = ("occurred_at_epoch_s", "source_sort_seq")
 
@@ -16,6 +17,10 @@ class ConflictError(ValueError):
     """Rows that claim one identity and differ in meaning."""
 
 
+class ClosureError(ValueError):
+    """Rows of a shard are neither parsed, nor copies, nor excluded, or more than one of these."""
+
+
 def canonical_order() -> list[Column]:
     """Time, sort key, regular before biz, shard, local id: a total order within a conversation's source rows."""
     return [F.col("occurred_at_epoch_s"), F.col("source_sort_seq"), F.when(F.col("source_adapter") == "regular", 0).otherwise(1), F.col("source_db"), F.col("local_id")]
@@ -28,16 +33,22 @@ def before_bucket(df: DataFrame, bucket: str, value: Column, out: str) -> DataFr
     return sums.select("conv_id", bucket, F.coalesce(F.sum("__v").over(w), F.lit(0)).alias(out))
 
 
+def never_null(c: Column) -> Column:
+    """A key that joins null to null: rows without a conversation are one conversation of their own."""
+    return F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit(""))
+
+
 def with_canonical_seq(df: DataFrame, bucket_s: int = 86_400) -> DataFrame:
-    """Adds canonical_seq, from 0 per conversation.
+    """Adds canonical_seq, from 0 per conversation; rows without a conversation or a time are numbered too.
 
     Rows are numbered within (conversation, day) and start where the days before end, so a conversation
     that holds much of the archive is spread over as many tasks as it has days.
     """
-    d = df.withColumn("__day", F.floor(F.col("occurred_at_epoch_s") / bucket_s))
-    base = before_bucket(d, "__day", F.lit(1), "__base")
-    n = F.row_number().over(Window.partitionBy("conv_id", "__day").orderBy(*canonical_order()))
-    return d.join(base, ["conv_id", "__day"], "left").withColumn("canonical_seq", (F.coalesce("__base", F.lit(0)) + n - 1).cast("long")).drop("__day", "__base")
+    d = df.withColumns({"__day": F.coalesce(F.floor(F.col("occurred_at_epoch_s") / bucket_s), F.lit(-(2**40))), "__key": never_null(F.col("conv_id"))})
+    base = before_bucket(d, "__day", F.lit(1), "__base").withColumn("__key", never_null(F.col("conv_id"))).drop("conv_id")
+    n = F.row_number().over(Window.partitionBy("__key", "__day").orderBy(*canonical_order()))
+    numbered = d.join(base, ["__key", "__day"], "left").withColumn("canonical_seq", (F.coalesce("__base", F.lit(0)) + n - 1).cast("long"))
+    return numbered.select(*df.columns, "canonical_seq")
 
 
 def join_senders(raw: DataFrame, ids: DataFrame) -> DataFrame:
@@ -56,20 +67,27 @@ def join_tables(raw: DataFrame, usernames: DataFrame) -> DataFrame:
     return raw.join(usernames.select("username", scalars.msg_table(F.col("username")).alias("source_table")), "source_table", "left")
 
 
-def dedup_messages(df: DataFrame, meaning: tuple[str, ...] = ("sender", "raw_type", "text")) -> DataFrame:
-    """Of rows of one conversation with one server id, the first in canonical order; rows without an id all stay.
+def marked_copies(df: DataFrame, meaning: tuple[str, ...]) -> DataFrame:
+    """df, written out once, with __first: whether a row is the first in canonical order of those of one conversation with one server id.
 
-    Raises ConflictError if copies differ in meaning. One shuffle serves the check and the choice.
+    Raises ConflictError if copies differ in meaning. Rows without a server id have no copies.
     """
     sid = scalars.clean_server_id(F.col("server_id"))
     key = F.when(sid.isNotNull(), F.concat(F.lit("s:"), sid)).otherwise(F.concat_ws(":", F.lit("l"), "source_db", F.col("local_id").cast("string")))
     w = Window.partitionBy("conv_id", "__key")
     fp = scalars.fingerprint(*[F.col(c) for c in meaning])
-    seen = df.withColumn("__key", key).withColumn("__n", F.row_number().over(w.orderBy(*canonical_order()))).withColumn("__fp", fp)
-    clash = seen.groupBy("conv_id", "__key").agg(F.min("__fp").alias("lo"), F.max("__fp").alias("hi")).filter("lo <> hi").limit(3).collect()
+    alike = F.min("__fp").over(w) == F.max("__fp").over(w)
+    seen = df.withColumns({"__key": key, "__fp": fp}).withColumns({"__first": F.row_number().over(w.orderBy(*canonical_order())) == 1, "__alike": alike})
+    seen = stored(seen.drop("__fp"))
+    clash = seen.filter("NOT __alike").select("conv_id", "__key").distinct().limit(3).collect()
     if clash:
-        raise ConflictError(f"copies differ in meaning: {[(r['conv_id'], r['__key']) for r in clash]}")
-    return seen.filter("__n = 1").drop("__key", "__n", "__fp")
+        raise ConflictError(f"copies differ in meaning: {[tuple(r) for r in clash]}")
+    return seen.drop("__key", "__alike")
+
+
+def dedup_messages(df: DataFrame, meaning: tuple[str, ...] = ("sender", "raw_type", "text")) -> DataFrame:
+    """Of rows of one conversation with one server id, the first in canonical order; rows without an id all stay. See marked_copies()."""
+    return marked_copies(df, meaning).filter("__first").drop("__first")
 
 
 def union_shards(parts: list[DataFrame]) -> DataFrame:
@@ -108,14 +126,29 @@ def people(messages: DataFrame, owner: str) -> DataFrame:
 
 
 def build_canonical(raw: DataFrame, ids: DataFrame, owner: str, zone: str = "UTC") -> dict[str, DataFrame]:
-    """Raw shard rows to messages, people, conversations, inventory and a receipt; counts close or it fails."""
-    typed = join_senders(raw, ids).withColumn("type", scalars.norm_type(F.col("raw_type")))
-    who = scalars.resolve_sender(F.lit(True), F.col("mapped_sender"), F.col("sender"), F.lit(owner), F.col("conv_id"), F.lit(None).cast("boolean"))
+    """Raw shard rows to messages, people, conversations, inventory and a receipt.
+
+    A conversation is a group by its name (`...@chatroom`); in private ones is_own, where raw has it, tells the owner's messages from the peer's, and
+    senders that neither the id map nor that settles stay unresolved with a reason. Rows that raw gives an exclusion_reason
+    are left out and counted by shard. Messages are made once and stored; ClosureError if parsed, deduplicated (counted
+    on their own) and excluded rows do not add up to those discovered in every shard.
+    """
+    reason = F.col("exclusion_reason") if "exclusion_reason" in raw.columns else F.lit(None).cast("string")
+    own = F.col("is_own").cast("boolean") if "is_own" in raw.columns else F.lit(None).cast("boolean")
+    units = raw.groupBy("source_db").agg(F.count("*").alias("discovered"), F.count(reason).alias("excluded"))
+    typed = join_senders(raw.filter(reason.isNull()), ids).withColumn("type", scalars.norm_type(F.col("raw_type")))
+    who = scalars.resolve_sender(F.coalesce(F.col("conv_id").endswith("@chatroom"), F.lit(False)), F.col("mapped_sender"), F.col("sender"), F.lit(owner), F.col("conv_id"), own)
     named = typed.withColumn("who", who).drop("sender", "mapped_sender").select("*", "who.sender", "who.sender_source", "who.sender_audit").drop("who")
-    kept = with_canonical_seq(dedup_messages(named, ("raw_type", "text"))).withColumn("archive_day", scalars.archive_day(F.col("occurred_at_epoch_s"), zone))
-    units = raw.groupBy("source_db").agg(F.count("*").alias("discovered"))
+    marked = marked_copies(named, ("raw_type", "text"))
+    copies = marked.filter("NOT __first").groupBy("source_db").agg(F.count("*").alias("deduplicated"))
+    first = marked.filter("__first").drop("__first")
+    kept = stored(with_canonical_seq(first).withColumn("archive_day", scalars.archive_day(F.col("occurred_at_epoch_s"), zone)))
     parsed = kept.groupBy("source_db").agg(F.count("*").alias("parsed"))
-    inv = units.join(parsed, "source_db", "left").fillna(0, ["parsed"]).withColumn("deduplicated", F.col("discovered") - F.col("parsed")).withColumn("excluded", F.lit(0).cast("long"))
+    inv = units.join(parsed, "source_db", "left").join(copies, "source_db", "left").fillna(0, ["parsed", "deduplicated"])
+    inv = stored(inv.select("source_db", "discovered", "parsed", "deduplicated", "excluded"))
+    open_ = inv.filter("discovered <> parsed + deduplicated + excluded").limit(3).collect()
+    if open_:
+        raise ClosureError(f"rows of these shards do not add up: {[r['source_db'] for r in open_]}")
     return {"messages": kept, "people": people(kept, owner), "conversations": conversation_rollup(kept), "inventory": inv, "receipt": run_receipt_row(inv, kept)}
 
 

@@ -93,9 +93,11 @@ def timeline_items(df: DataFrame, zone: str, gap: int = 300) -> DataFrame:
     new_day = F.row_number().over(w) == 1
     broke = new_day | (F.col("who") != F.lag("who").over(w)) | (F.col("occurred_at_epoch_s") - F.lag("occurred_at_epoch_s").over(w) > gap)
     d = d.select("conv_id", "day", "canonical_seq", new_day.alias("new_day"), broke.alias("breaks"))
-    base = canonical.before_bucket(d, "day", F.col("breaks").cast("long"), "base")
-    inner = F.sum(F.col("breaks").cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return d.join(base, ["conv_id", "day"], "left").select("conv_id", "canonical_seq", "new_day", "breaks", (F.coalesce("base", F.lit(0)) + inner).alias("run"))
+    key = canonical.never_null
+    base = canonical.before_bucket(d, "day", F.col("breaks").cast("long"), "base").withColumn("key", key(F.col("conv_id"))).drop("conv_id")
+    d = d.withColumns({"key": key(F.col("conv_id")), "day": F.coalesce("day", F.lit(""))})
+    inner = F.sum(F.col("breaks").cast("long")).over(Window.partitionBy("key", "day").orderBy("canonical_seq").rowsBetween(Window.unboundedPreceding, 0))
+    return d.join(base.withColumn("day", F.coalesce("day", F.lit(""))), ["key", "day"], "left").select("conv_id", "canonical_seq", "new_day", "breaks", (F.coalesce("base", F.lit(0)) + inner).alias("run"))
 
 
 @dataclass(frozen=True)
