@@ -649,3 +649,11 @@ def test_rows_without_an_id_spread_over_buckets(spark):
     assert plan.agg(F.sum("taken")).first()[0] == 800 and plan.select("position").distinct().count() == 400
     packed = packing.pack_documents(df, queries.tokenizer_path())
     assert packed.count() == 400 and packed.groupBy("sequence_id", "offset").count().filter("count > 1").count() == 0
+
+
+def test_languages_of_copies_are_all_learned(spark):
+    """Thousands of rows that repeat one document each, without an id: every language is drawn from and found."""
+    words = {"de": "straße größe über müßig", "fr": "été où garçon naïve", "en": "the which through", "es": "niño mañana ¿qué", "xx": "zzq qqz zqz"}
+    rows = [(None, f"{t} " * 20, lang) for lang, t in words.items() for _ in range(2000)]
+    got = language_id.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), per_language=50)
+    assert {r["lang_pred"] for r in got.select("lang_pred").distinct().collect()} == set(words) and got.count() == 10_000

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
 import sys
 import types
@@ -78,6 +79,14 @@ def drop_worker_caches(but: str | None = None) -> None:
         del holder.__dict__[name]
 
 
+def release_memory() -> None:
+    """Give memory that this Python worker has freed back to the system; workers of other stages share it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 #: Rows that a Python function sees at once; long texts make Arrow batches of 10,000 rows too large to unpack whole.
 SLICE = 500
 
@@ -107,7 +116,7 @@ def map_text(df: DataFrame, make: Callable[[], Callable[[list], dict]], schema:
                 cols = [b.column(i) for i in range(len(keep))] + [pa.array(got[t.name], type=t.type) for t in types_]
                 yield pa.RecordBatch.from_arrays(cols, names=[*keep, *(t.name for t in types_)])
         del f
-        pa.default_memory_pool().release_unused()
+        release_memory()
 
     return df.select(*keep, *([] if field else [text])).mapInArrow(run, out)
 

@@ -110,14 +110,15 @@ def train(docs: DataFrame, per_language: int = 1200, windows_each: int = 2) -> B
     """A network learned from a bounded sample: at most per_language documents of every language, windows_each windows
     of each, spread over its text.
 
-    Documents are drawn by a hash of doc_id and text, so rows that share or lack a doc_id are drawn one by one.
+    Documents are drawn by a hash of doc_id and text. Rows that repeat both are one document, drawn once, so every language is
+    drawn from however often its documents are repeated.
     Only text and lang of rows with both that are not held out are used. The driver gets the windows drawn, which the
     two bounds and the number of languages limit. None if there are no such rows.
     """
     usable = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     rows = usable.select("lang", "text", F.xxhash64(F.lit("sample"), "doc_id", "text").alias("h"))
     # Counts only set the share to draw: one row per language.
-    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = {r["lang"]: r["n"] for r in rows.select("lang", "h").distinct().groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return None
 
@@ -131,16 +132,13 @@ def train(docs: DataFrame, per_language: int = 1200, windows_each: int = 2) -> B
 
         return run
 
-    def drawn(factor: float):
-        share = [x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, factor * per_language / n)))]
-        some = rows.filter(F.pmod("h", F.lit(1 << 30)) < F.create_map(*share)[F.col("lang")] * (1 << 30))
-        got = map_text(some, make, "windows array<binary>", keep=("lang", "h"))
-        nth = Window.partitionBy("lang").orderBy("h", "windows")  # a little over per_language rows each
-        return got.withColumn("n", F.row_number().over(nth)).filter(F.col("n") <= per_language).orderBy("h", "lang", "windows").toArrow()
-
-    got = drawn(1.1)
-    if not got.num_rows:  # few rows, or copies of few
-        got = drawn(float("inf"))
+    # A little over per_language documents each; all of them where there are no more.
+    share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, 1.1 * per_language / n)))])
+    some = rows.filter(F.pmod("h", F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
+    once = some.groupBy("lang", "h").agg(F.min("text").alias("text"))
+    nth = Window.partitionBy("lang").orderBy("h", "windows")
+    got = map_text(once, make, "windows array<binary>", keep=("lang", "h"))
+    got = got.withColumn("n", F.row_number().over(nth)).filter(F.col("n") <= per_language).orderBy("h", "lang", "windows").toArrow()
     classes, x, y = sorted(counts), [], []
     for lang, windows in zip(got["lang"].to_pylist(), got["windows"].to_pylist(), strict=True):
         x += windows

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import hash_bucket, map_text, materialize, running_offsets, worker_cache
 
 #: Entries of a worker's word cache; it is emptied when full.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 150_000
 #: Words that are one run of lower-case letters (composed, so NFC leaves them) and then ASCII marks.
 PLAIN = re.compile("([a-zß-öø-ÿ]+)([.,;:!?]*)")
 #: The splitting expression of tokenizers that drop white space and keep letter runs whole (fixed value, as their files have it).
