@@ -22,3 +22,9 @@ def test_titles_keep_entities_as_they_are_written(spark, tmp_path):
     got, want = both(spark, tmp_path, "r2_1_14_page_metadata", "pages", rows, "page_id long, url string, html string")
     assert got == want
     assert [r[1] for r in got] == ['a &quot;b&quot; &lt;c&gt;', "&quot; &amp; &AMP; & x", "it&#39;s&nbsp;&apos;", ""]
+
+
+def test_packed_names_of_large_keys(spark, tmp_path):
+    keys = [*range(1, 12), 9999, 10001, 99999, 123456, *range(999_995, 1_000_012), 1_200_001, 8_000_001, 10_000_001, 123_456_789, 10**15 + 1]
+    got, want = both(spark, tmp_path, "r2_3_31_packed_evidence", "part", [(k, f"part {k}") for k in keys], "p_partkey long, p_name string")
+    assert got == want
