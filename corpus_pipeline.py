@@ -20,7 +20,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: sets of five-word shingles with a Jaccard similarity of 0.8 or more."""
+    """One document of each near-duplicate group stays: sets of five-word shingles with a Jaccard similarity of 0.8 or more. SimHash
+    fingerprints in pigeonhole blocks with a Hamming check link what they can, each link verified; what they leave apart is joined on prefix shingles."""
     return near_duplicates.drop_similar(docs, shingle=5, least=0.8)
 
 

@@ -69,6 +69,26 @@ def test_stage_finds_all_near_copies(spark, copies):
     assert kept == want
 
 
+def test_stage_links_by_fingerprints_first(spark, copies, monkeypatch):
+    """Every pair of fingerprints within two bits whose texts are alike is linked by the SimHash step, and the stage takes it."""
+    texts, want, linked = copies
+    make = near_duplicates.fingerprint_maker(5)()
+    ids = sorted(texts)
+    fp = dict(zip(ids, make([texts[i] for i in ids])["fp"], strict=True))
+    near = {(a, b) for a, b in linked if ((fp[a] ^ fp[b]) & (2**64 - 1)).bit_count() <= 2}
+    assert near
+    nodes = near_duplicates._set_maker(5)()([texts[i] for i in ids])["node"]
+    node = {i: int(n) for i, n in zip(ids, nodes, strict=True)}
+    points = spark.createDataFrame(sorted({node[i]: fp[i] for i in ids}.items()), "node long, fp long")
+    got = {(r["a"], r["b"]) for r in near_duplicates.simhash_pairs(points).collect()}
+    assert {tuple(sorted((node[a], node[b]))) for a, b in near if node[a] != node[b] and fp[a] != fp[b]} <= got
+    seen, real = [], near_duplicates.simhash_pairs
+    monkeypatch.setattr(near_duplicates, "simhash_pairs", lambda *a, **k: seen.append(real(*a, **k)) or seen[-1])
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r["doc_id"] for r in dict(corpus_pipeline.STAGES)["SimHash near-dedup"](spark, df, "").collect()} == want
+    assert len(seen) == 1
+
+
 @pytest.mark.parametrize("crowd, hubs", [(2, 1), (8, 2)])
 def test_crowded_groups_lose_nothing(spark, copies, crowd, hubs):
     texts, want, _ = copies

@@ -35,23 +35,23 @@ def shingle_hashes(shingle: int):
     return hashes
 
 
+def simhash(h) -> int:
+    """The 64-bit SimHash of hashes as a signed long; 0 of none. A bit is set if it is set in over half of them."""
+    import numpy as np
+
+    step = 8192
+    ones = np.zeros(64, dtype=np.int64)
+    for i in range(0, len(h), step):
+        ones += np.unpackbits(h[i : i + step].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(h), bitorder="little").view("<i8")[0])
+
+
 def fingerprint_maker(shingle: int):
     """f(texts) -> {"fp": 64-bit SimHash as a signed long}. Null and wordless texts give 0."""
 
     def make():
-        import numpy as np
-
         hashes = shingle_hashes(shingle)
-        step = 8192
-
-        def one(text) -> int:
-            h = hashes(text)
-            ones = np.zeros(64, dtype=np.int64)
-            for i in range(0, len(h), step):
-                ones += np.unpackbits(h[i : i + step].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-            return int(np.packbits(2 * ones > len(h), bitorder="little").view("<i8")[0])
-
-        return lambda texts: {"fp": [one(t) for t in texts]}
+        return lambda texts: {"fp": [simhash(hashes(t)) for t in texts]}
 
     return make
 
@@ -187,8 +187,8 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, distance: int = 2, b
     return _keep_first(docs, prints.select("doc_id", "th", F.struct("fp").alias("k")).join(roots, "k").select("doc_id", "th", "root"))
 
 
-def _set_maker(shingle: int):
-    """f(texts) -> node (a hash of the shingle set, signed) and h, the set, sorted."""
+def _set_maker(shingle: int, prints: bool = False):
+    """f(texts) -> node (a hash of the shingle set, signed) and h, the set, sorted; with prints fp, the SimHash of the shingles, too."""
 
     def make():
         import numpy as np
@@ -197,10 +197,13 @@ def _set_maker(shingle: int):
         hashes = shingle_hashes(shingle)
 
         def one(text) -> tuple:
-            s = np.unique(hashes(text))
-            return np.uint64(xxhash.xxh64_intdigest(s.tobytes())).astype(np.int64), s.view("<i8")
+            every = hashes(text)
+            s = np.unique(every)
+            node = np.uint64(xxhash.xxh64_intdigest(s.tobytes())).astype(np.int64)
+            return (node, s.view("<i8"), simhash(every)) if prints else (node, s.view("<i8"))
 
-        return lambda texts: dict(zip(("node", "h"), zip(*map(one, texts)) if texts else ([], []), strict=True))
+        names = ("node", "h", "fp") if prints else ("node", "h")
+        return lambda texts: dict(zip(names, zip(*map(one, texts)) if texts else ([],) * len(names), strict=True))
 
     return make
 
@@ -219,13 +222,13 @@ def parity_map(hashes, n_longs: int):
 
 
 def _prefix_maker(shingle: int, least: Fraction, common: list[int]):
-    """f(texts) -> node, n (size of the shingle set), parity (its parity map) and pre, the first n - ceil(least * n) + 1 shingles in an order that
+    """f(texts) -> node, n (size of the shingle set), fp (the SimHash of the shingles), parity (the set's parity map) and pre, the first n - ceil(least * n) + 1 shingles in an order that
     all texts share: by hash, but common shingles, given from the most frequent on, come last. Two sets of a Jaccard similarity of least share one of these."""
 
     def make():
         import numpy as np
 
-        sets = _set_maker(shingle)()
+        sets = _set_maker(shingle, prints=True)()
         order = np.array(common, dtype="<i8").argsort()
         keys, late = np.array(common, dtype="<i8")[order], len(common) - order
 
@@ -248,7 +251,7 @@ def _prefix_maker(shingle: int, least: Fraction, common: list[int]):
         def f(texts):
             got = sets(texts)
             return {
-                "node": got["node"], "n": [len(s) for s in got["h"]],
+                "node": got["node"], "n": [len(s) for s in got["h"]], "fp": got["fp"],
                 "parity": [parity(s) for s in got["h"]], "pre": [prefix(s) for s in got["h"]],
             }
 
@@ -285,22 +288,49 @@ def _alike(x: Column, y: Column, least: Fraction) -> Column:
     return sizes & (differ * bottom <= (n + m) * top)
 
 
+def simhash_pairs(points: DataFrame, distance: int = 2, blocks: int = 4, crowd: int = 64) -> DataFrame:
+    """Pairs (a, b) of nodes, a < b, that fingerprints within the distance suggest: sets of one fingerprint with its smallest node, and the smallest
+    nodes of fingerprints that share a block and pass the Hamming check. points: distinct node, fp."""
+    low = materialize(points.groupBy("fp").agg(F.min("node").alias("low")))
+    named = low.select(F.struct("fp").alias("k"), "low")
+    same = points.select(F.struct("fp").alias("k"), "node").join(named, "k").filter("node <> low").select(F.col("low").alias("x"), F.col("node").alias("y"))
+    links = close_links(low.select("fp"), distance, blocks, crowd)
+    first = links.select(F.struct("a").alias("k"), "b").join(named, "k").select(F.struct("b").alias("k"), F.col("low").alias("x"))
+    close = first.join(named, "k").select("x", F.col("low").alias("y"))
+    return same.union(close).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
+def verified_links(docs: DataFrame, points: DataFrame, pairs: DataFrame, shingle: int, least: Fraction) -> DataFrame:
+    """Those pairs (a, b) of nodes whose whole sets have a Jaccard similarity of least or more."""
+    need = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    hashes = materialize(points.select("node", "th").join(need, "node", "left_semi").select("th").distinct())
+    sets = map_text(docs.join(hashes, "th", "left_semi"), _set_maker(shingle), "node long, h array<long>", ("th",))
+    sets = materialize(sets.groupBy("node").agg(F.first("h").alias("h")))
+    side = lambda c: sets.select(F.struct(F.col("node").alias(c)).alias("k"), F.col("h").alias(f"h{c}"))
+    both = pairs.select(F.struct("a").alias("k"), "b").join(side("a"), "k").select(F.struct("b").alias("k"), F.col("k.a").alias("a"), "ha").join(side("b"), "k")
+    met = both.select("a", F.col("k.b").alias("b"), (F.size("ha") + F.size("hb")).alias("n"), F.size(F.array_intersect("ha", "hb")).alias("m"))
+    return materialize(met.filter(F.col("m") * least.denominator >= (F.col("n") - F.col("m")) * least.numerator).select("a", "b"))
+
+
 def similar_links(docs: DataFrame, points: DataFrame, shingle: int, least: Fraction, crowd: int = 64, hubs: int = 16) -> DataFrame:
     """Links (a, b), a < b, between nodes: enough of them to connect exactly what all pairs of a Jaccard similarity of least or more would connect.
 
-    docs: th, text. points: distinct node, th (of one text that has the set), n > 0, parity, pre. Sets that share a prefix shingle and whose
-    parity maps allow the similarity are candidates, and every link is verified on the whole sets. Groups of more than crowd sets first meet
+    docs: th, text. points: distinct node, th (of one text that has the set), n > 0, fp, parity, pre. Every link is verified on the whole sets. First
+    come pairs whose fingerprints are close: pigeonhole blocks and a Hamming check find them. Of sets that these links leave apart, those that share a
+    prefix shingle and whose parity maps allow the similarity are candidates. Groups of more than crowd sets first meet
     hubs of their sets, which is linear; then only pairs that no links connect yet are tried one by one.
     """
+    close = verified_links(docs, points, materialize(simhash_pairs(points, crowd=crowd)), shingle, least)
+    joined = components(close).select(F.struct("node").alias("at"), "root")
     rows = points.select(F.explode("pre").alias("h"), "node")
     counted = rows.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1")
     # A struct key hides the known partitioning, so both join sides are shuffled and AQE may split a hot key.
     shared = materialize(counted.select(F.struct("h").alias("k"), "c"))
     tagged = rows.select(F.struct("h").alias("k"), "node").join(shared, "k").select("k", "c", F.struct("node").alias("at"))
-    of = points.select(F.struct("node").alias("at"), "n", "parity")
-    tagged = materialize(tagged.join(of, "at").select("k", "c", F.struct("at.node", "n", "parity").alias("x")))
+    of = points.select(F.struct("node").alias("at"), "n", "parity").join(joined, "at", "left").select(F.struct("at.node").alias("at"), "n", "parity", F.coalesce("root", "at.node").alias("part"))
+    tagged = materialize(tagged.join(of, "at").select("k", "c", F.struct("at.node", "n", "parity", "part").alias("x")))
     small, crowded = tagged.filter(F.col("c") <= crowd), tagged.filter(F.col("c") > crowd).select("k", "x")
-    later = F.filter("g", lambda y: (y["node"] > F.col("x.node")) & _alike(F.col("x"), y, least))
+    later = F.filter("g", lambda y: (y["node"] > F.col("x.node")) & (y["part"] != F.col("x.part")) & _alike(F.col("x"), y, least))
     pairs = (
         small.groupBy("k").agg(F.collect_list("x").alias("g"))  # at most crowd entries each
         .select(F.explode("g").alias("x"), "g")
@@ -309,21 +339,11 @@ def similar_links(docs: DataFrame, points: DataFrame, shingle: int, least: Fract
     nth = Window.partitionBy("k").orderBy(F.xxhash64("x.node"), "x.node")
     hub = materialize(crowded.withColumn("i", F.row_number().over(nth)).filter(F.col("i") <= hubs).select("k", F.col("x").alias("hub")))
     # Hubs grow with the groups, and rows as small as theirs on disk are large in memory: they are never broadcast.
-    near_hub = crowded.join(hub.hint("merge"), "k").filter((F.col("x.node") != F.col("hub.node")) & _alike(F.col("x"), F.col("hub"), least))
+    near_hub = crowded.join(hub.hint("merge"), "k").filter((F.col("x.part") != F.col("hub.part")) & _alike(F.col("x"), F.col("hub"), least))
     spokes = near_hub.select(F.least("x.node", "hub.node").alias("a"), F.greatest("x.node", "hub.node").alias("b"))
     tried = materialize(pairs.union(spokes).distinct())
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        need = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        hashes = materialize(points.select("node", "th").join(need, "node", "left_semi").select("th").distinct())
-        sets = map_text(docs.join(hashes, "th", "left_semi"), _set_maker(shingle), "node long, h array<long>", ("th",))
-        sets = materialize(sets.groupBy("node").agg(F.first("h").alias("h")))
-        side = lambda c: sets.select(F.struct(F.col("node").alias(c)).alias("k"), F.col("h").alias(f"h{c}"))
-        both = pairs.select(F.struct("a").alias("k"), "b").join(side("a"), "k").select(F.struct("b").alias("k"), F.col("k.a").alias("a"), "ha").join(side("b"), "k")
-        met = both.select("a", F.col("k.b").alias("b"), (F.size("ha") + F.size("hb")).alias("n"), F.size(F.array_intersect("ha", "hb")).alias("m"))
-        return materialize(met.filter(F.col("m") * least.denominator >= (F.col("n") - F.col("m")) * least.numerator).select("a", "b"))
-
-    links = verified(tried)
+    links = close.union(verified_links(docs, points, tried, shingle, least))
     if hub.isEmpty():
         return links
     roots = components(links)
@@ -337,22 +357,23 @@ def similar_links(docs: DataFrame, points: DataFrame, shingle: int, least: Fract
     met = x.join(y, (F.col("p.k") == F.col("q.k")) & apart & _alike(F.col("p.x"), F.col("q.x"), least))
     rest = met.select(F.least("p.x.node", "q.x.node").alias("a"), F.greatest("p.x.node", "q.x.node").alias("b")).distinct()
     rest = materialize(rest.join(tried, ["a", "b"], "left_anti"))
-    return links if rest.isEmpty() else links.union(verified(rest))
+    return links if rest.isEmpty() else links.union(verified_links(docs, points, rest, shingle, least))
 
 
 def drop_similar(docs: DataFrame, shingle: int = 5, least: float = 0.8, crowd: int = 64, hubs: int = 16) -> DataFrame:
     """docs without all but one document of each component of texts whose sets of word shingles have a Jaccard
     similarity of least or more: the smallest doc_id stays, and of rows that share it the one with the smaller text hash.
 
-    A 64-bit fingerprint cannot decide this: at a similarity of 0.8 about 10 bits differ, give or take 3, and that close lie many
-    texts that have little in common. So candidates share a shingle of their prefixes, which no such pair fails to do.
+    Texts whose SimHash fingerprints differ in 2 bits or fewer are linked first, each link verified. Fingerprints alone cannot decide the rest: at a
+    similarity of 0.8 about 10 bits differ, give or take 3, and that close lie many texts that have little in common. So what
+    the fingerprints leave apart is tried where it shares a shingle of its prefixes, which no such pair fails to do.
     Null, empty and wordless texts are one set. Columns are those of docs.
     """
     bound = Fraction(least).limit_denominator(1000)
     marked = docs.select("doc_id", "text", _text_hash().alias("th"))
     maker = _prefix_maker(shingle, bound, common_shingles(marked, shingle))
-    prints = materialize(map_text(marked, maker, "node long, n int, parity array<long>, pre array<long>", ("doc_id", "th")))
-    points = materialize(prints.filter("n > 0").groupBy("node").agg(F.min("th").alias("th"), F.first("n").alias("n"), F.first("parity").alias("parity"), F.first("pre").alias("pre")))
+    prints = materialize(map_text(marked, maker, "node long, n int, fp long, parity array<long>, pre array<long>", ("doc_id", "th")))
+    points = materialize(prints.filter("n > 0").groupBy("node").agg(F.min("th").alias("th"), F.first("n").alias("n"), F.min("fp").alias("fp"), F.first("parity").alias("parity"), F.first("pre").alias("pre")))
     found = components(similar_links(marked, points, shingle, bound, crowd, hubs)).select(F.struct("node").alias("k"), "root")
     rooted = prints.select("doc_id", "th", "node", F.struct("node").alias("k")).join(found, "k", "left")
     return _keep_first(docs, rooted.select("doc_id", "th", F.coalesce("root", "node").alias("root")))
