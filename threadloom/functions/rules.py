@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from threadloom.functions.scalars import let
+
 Rules = Sequence[tuple[str, str]]
 
 # Labels and patterns of the archive's rule sets. Patterns ignore case.
@@ -87,7 +89,7 @@ def first_match(c: Column, rules: Rules, default: str | None) -> Column:
 def signals(c: Column, rules: Rules = SIGNALS, default: str = NO_SIGNAL) -> Column:
     """Every label whose pattern occurs, in rule order; the default alone if none does."""
     found = F.array_compact(F.array(*[F.when(c.rlike(f"(?iu){p}"), F.lit(label)) for label, p in rules]))
-    return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(default)))
+    return let(found, lambda s: F.when(F.size(s) > 0, s).otherwise(F.array(F.lit(default))))
 
 
 def extension(path: Column) -> Column:

@@ -113,11 +113,12 @@ def candidate_totals(cands: DataFrame) -> DataFrame:
 
 def source_text_index(docs: DataFrame, table: rules.Rules, k: int | None = None) -> DataFrame:
     """doc_id, signals, quality (high, medium, low), excerpt."""
-    t = F.trim(F.regexp_replace(scalars.strip_html(F.col("text")), r"\s+", " "))
-    s = rules.signals(t, table, "none")
-    n = F.size(F.filter(s, lambda x: x != "none"))
-    quality = F.when((n >= 2) & (F.length(t) >= 400), "high").when((n >= 1) & (F.length(t) >= 80), "medium").otherwise("low")
-    out = docs.select("doc_id", F.array_join(s, "|").alias("signals"), quality.alias("quality"), F.substring(t, 1, 160).alias("excerpt"))
+    # Each step is a column of its own, so that a text is stripped once and searched once.
+    plain = docs.select("doc_id", F.trim(scalars.single_spaced(scalars.strip_html(F.col("text")))).alias("t"))
+    s = plain.select("*", rules.signals(F.col("t"), table, "none").alias("s"))
+    counted = s.select("*", F.size(F.filter("s", lambda x: x != "none")).alias("n"), F.length("t").alias("size"))
+    quality = F.when((F.col("n") >= 2) & (F.col("size") >= 400), "high").when((F.col("n") >= 1) & (F.col("size") >= 80), "medium").otherwise("low")
+    out = counted.select("doc_id", F.array_join("s", "|").alias("signals"), quality.alias("quality"), F.substring("t", 1, 160).alias("excerpt"))
     return out if k is None else out.orderBy("quality", "doc_id").limit(k)
 
 
