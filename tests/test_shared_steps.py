@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from threadloom.functions import rules, scalars, urls
 from threadloom.operators import library
+from threadloom.sources import views
 
 
 def plan(df):
@@ -26,3 +27,10 @@ def test_single_spaces(spark):
     texts = ["", None, " a  b ", "a\n\tb", "a \n", "\n a", "x\x0b\f\ry", "a\u00a0 b", "  "]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     assert df.filter(~scalars.single_spaced(F.col("t")).eqNullSafe(F.regexp_replace("t", r"\s+", " "))).count() == 0
+
+
+def test_line_forms_are_told_once(spark):
+    lines = spark.createDataFrame([("p", 1, " [2024-01-02 03:04:05] ann: hello ")], "path string, line_no long, line string")
+    df = views.read_text_exports(lines)
+    assert plan(df).count("RLIKE " + views.LINES[0][0]) <= 1
+    assert [tuple(r) for r in df.collect()] == [("p", 1, "2024-01-02 03:04:05", "ann", "hello")]
