@@ -115,3 +115,16 @@ def test_weights_are_those_of_the_unicode_properties(spark):
     fixed = {i for a, b in regex.findall(r"\\x\{(\w+)\}(?:-\\x\{(\w+)\})?", scalars.PICTOGRAPHS) for i in range(int(a, 16), int(b or a, 16) + 1)}
     other = {i for i in heavy | want if not regex.match(r"\p{Script=Han}", chr(i))}  # how many characters are Han depends on the JDK's Unicode
     assert want & other <= heavy & other <= fixed <= heavy
+
+
+def test_light_texts_and_short_conversations_equal_a_plain_fold(spark):
+    """Texts without heavy characters, whose ends are counted, not weighed; conversations of one chunk, which no fold sees."""
+    rng = random.Random(3)
+    words = ["Plan_A ", "x", "no ", "\n", "12:30 ", "é", "É", "ß"]
+    rows = [(c, i, f"{c}-{i}", "ann", None, i, "".join(rng.choice(words[: 5 if c % 2 else 8]) for _ in range(rng.randrange(n)))) for c, n in enumerate([30, 30, 3, 3, 2, 12, 12, 60]) for i in range(1 + 3 * c)]
+    rows = [(str(r[0]), *r[1:]) for r in rows]
+    df = spark.createDataFrame(rows, SCHEMA)
+    for most, overlap in ((20, 4), (12, 11), (9, 0), (70_000, 80)):
+        assert got(chunks.chunk_messages(df, most, overlap)) == plain(rows, most, overlap)
+    plan = chunks.chunk_messages(df, 20, 4)._jdf.queryExecution().optimizedPlan().toString()
+    assert "<= 20)" in plan and "> 20)" in plan

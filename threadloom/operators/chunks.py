@@ -22,7 +22,6 @@ from threadloom.sources.shared import stored
 #: Messages that one task numbers, and tokens of a block.
 MESSAGES, TOKENS = 4096, 65_536
 UNIT = "seq long, part int, uid string, sender string, name string, at long, piece string, n int"
-SPACE = r"[\s\x{FEFF}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 
 
 def key_of(c: Column) -> Column:
@@ -36,7 +35,7 @@ def message_units(messages: DataFrame, most: int, overlap: int, *keep: str, blan
     def given(c: str, t: str) -> Column:
         return (F.col(c) if c in messages.columns else F.lit(None)).cast(t)
 
-    clean = F.regexp_replace("text", f"^{SPACE}|{SPACE}$", "")
+    clean = scalars.trim_all(F.col("text"))
     rows = messages.select(
         "conv_id", F.col("canonical_seq").cast("long").alias("seq"), F.col("message_uid").cast("string").alias("uid"), given("sender", "string").alias("sender"),
         given("sender_name", "string").alias("name"), given("occurred_at_epoch_s", "long").alias("at"), F.nullif(clean, F.lit("")).alias("clean"), *keep,
@@ -51,11 +50,11 @@ def message_units(messages: DataFrame, most: int, overlap: int, *keep: str, blan
 
 
 def placed_units(units: DataFrame) -> DataFrame:
-    """units with key, c (tokens of the conversation before the unit) and block (c in TOKENS); sums go over runs of messages first."""
+    """units with key, total (tokens of the conversation), c (those before the unit) and block (c in TOKENS); sums go over runs of messages first."""
     run = F.floor(F.coalesce("seq", F.lit(-1)) / MESSAGES)
     rows = units.select(key_of(F.col("conv_id")).alias("key"), run.alias("run"), "*")
     before = Window.partitionBy("key").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
-    base = rows.groupBy("key", "run").agg(F.sum("n").alias("sum")).select("key", "run", F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("base"))
+    base = rows.groupBy("key", "run").agg(F.sum("n").alias("sum")).select("key", "run", F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("base"), F.sum("sum").over(Window.partitionBy("key")).alias("total"))
     inner = Window.partitionBy("key", "run").orderBy("seq", "uid", "part").rowsBetween(Window.unboundedPreceding, -1)
     at = rows.withColumn("own", F.coalesce(F.sum("n").over(inner), F.lit(0))).join(base, ["key", "run"]).withColumn("c", F.col("base") + F.col("own"))
     return at.withColumn("block", F.floor(F.col("c") / TOKENS)).drop("run", "base", "own")
@@ -143,12 +142,14 @@ def deal_block(table: pa.Table, most: int, overlap: int) -> tuple[np.ndarray, np
 
 
 def ending(piece: Column, keep: Column) -> Column:
-    """The shortest end of a piece that weighs keep tokens."""
-    points = F.reverse(F.regexp_extract_all(F.substring(piece, -4 * keep, 4 * keep), F.lit("(?s)."), F.lit(0)))
+    """The shortest end of a piece that weighs keep tokens: of light characters, that many quarters of which the last three round up; others are weighed one by one."""
+    tail = F.substring(piece, -4 * keep, 4 * keep)
+    points = F.reverse(F.regexp_extract_all(tail, F.lit("(?s)."), F.lit(0)))
     zero = F.struct(F.lit(0.0).alias("w"), F.lit(0).alias("k"))
     more = lambda s, p: F.struct((s["w"] + scalars.point_weight(p)).alias("w"), (s["k"] + 1).alias("k"))
-    size = F.aggregate(points, zero, lambda s, p: F.when(F.ceil(s["w"]) < keep, more(s, p)).otherwise(s), lambda s: s["k"])
-    return F.substring(piece, -size, size)
+    each = F.aggregate(points, zero, lambda s, p: F.when(F.ceil(s["w"]) < keep, more(s, p)).otherwise(s), lambda s: s["k"])
+    size = F.when(scalars.may_be_heavy(tail), each).otherwise(F.least(F.length(tail), 4 * keep - 3))
+    return scalars.let(size, lambda k: F.substring(piece, -k, k))
 
 
 def chunk_columns(folded: DataFrame) -> DataFrame:
@@ -181,7 +182,9 @@ def chunk_messages(messages: DataFrame, most: int = 800, overlap: int = 80) -> D
     """
     if not 0 <= overlap < most:
         raise ValueError("overlap must be at least 0 and below most")
-    placed = stored(placed_units(message_units(messages, most, overlap)))
+    every = stored(placed_units(message_units(messages, most, overlap)))
+    # A conversation that one chunk holds has nothing to fold.
+    placed = every.filter(F.col("total") > most).drop("total")
     starts = stored(block_starts(placed, most, overlap))
     # The last `overlap` tokens of a block are wanted by the next one too.
     sizes = placed.groupBy("key", "block").agg(F.max(F.col("c") + F.col("n")).alias("end"))
@@ -199,7 +202,8 @@ def chunk_messages(messages: DataFrame, most: int = 800, overlap: int = 80) -> D
         got = t.take(pa.array(at)).drop_columns(["index"])
         return got.append_column("index", pa.array(number, pa.int32())).append_column("keep", pa.array(keep, pa.int32())).select(names)
 
-    dealt = rows.groupBy("key", "block").applyInArrow(deal, schema)
+    whole = every.filter(F.col("total") <= most).withColumns({"index": F.lit(0), "keep": F.lit(0)}).select(names)
+    dealt = rows.groupBy("key", "block").applyInArrow(deal, schema).unionByName(whole)
     fields = [*StructType.fromDDL(UNIT).names, "keep"]
     gathered = dealt.groupBy("key", "index").agg(F.first("conv_id").alias("conv_id"), F.sort_array(F.collect_list(F.struct("c", *fields))).alias("units"))
     return chunk_columns(gathered.select("conv_id", "index", F.transform("units", lambda u: F.struct(*[u[f].alias(f) for f in fields])).alias("units")))
