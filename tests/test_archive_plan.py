@@ -2,10 +2,12 @@
 
 import random
 
+import duckdb
 from pyspark.sql import functions as F
 
 from threadloom.functions import rules
 from threadloom.operators import assets, library
+from threadloom.plans import registry
 
 
 def suffixed(path, sha):
@@ -77,6 +79,20 @@ def test_plans_of_nothing_and_of_copies(spark):
     assert library.plan_archive(p, c.limit(0), h).count() == 0
 
 
+def test_the_query_equals_its_sql_where_hashes_share_eight_digits(spark, tmp_path):
+    """Two texts whose hashes open with b30a892c under one name that is taken, a later copy of the second under a free name, and what comes after it there."""
+    texts = {1: "first", 2101: "text 859", 4201: "text 4460", 4204: "text 4460", 6304: "another", 8404: "text 4460", 10504: "one more"}
+    rows = [(i, t, "en", "src1", len(t)) for i, t in texts.items()]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.sql(registry.ORACLE_SQL["r2_13_3_plan_archive"]).fetchall()
+    got = registry.QUERIES["r2_13_3_plan_archive"](spark, str(tmp_path)).select("file_id", "sha256", "action", "archive_path").collect()
+    assert sorted(map(tuple, got)) == sorted(want) and len({r[3] for r in want if r[0] in (2101, 4201)}) == 1
+    actions = {r["file_id"]: r["action"] for r in library.plan_archive(*registry.q_library.archive_inputs(spark, str(tmp_path))).collect()}
+    assert actions == {1: "copy", 2101: "copy", 4201: "conflict", 4204: "copy", 6304: "copy", 8404: "reuse", 10504: "copy"}
+
+
 def test_media_variants(spark):
     names = {"/a/p_0.jpg": "p.jpg", "C:\\x\\P.JPEG": "p.jpg", "/a/p_1080.mp4": "p.mp4", "/a/p_999.png": "p_999.png", "/a/scan_2024.pdf": "", "/a/b_480": "", "q_720.Amr": "q.amr"}
     df = spark.createDataFrame([(n,) for n in names], "path string")

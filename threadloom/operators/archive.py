@@ -37,14 +37,15 @@ def archive_issues(previous: DataFrame, existing: DataFrame, plan: DataFrame | N
     return out.unionByName(plan.filter("action = 'conflict'").select(F.lit("target-conflict").alias("kind"), "archive_path", F.col("sha256").alias("expected_sha256"), "actual_sha256"))
 
 
-def plan_archive(previous: DataFrame, cands: DataFrame, existing: DataFrame) -> DataFrame:
+def plan_archive(previous: DataFrame, cands: DataFrame, existing: DataFrame, again: bool = True) -> DataFrame:
     """cands (file_id, sha256, target), previous (sha256, archive_path), existing (archive_path, sha256) ->
     file_id, sha256, action, archive_path, actual_sha256; one row per candidate.
 
     In order of file_id (equal rows in any order): content that the archive records is reused (`reuse`, with its path); else the target is
     taken if it is vacant (`copy`) or holds this very content unrecorded (`reuse_copy`). Paths of the previous archive are reserved, present or not,
     paths are compared without regard to case, and a taken one gets a suffix of the hash; if that is taken too, the candidate is a `conflict` with
-    what is there, and a later one of its content may still be copied. Nothing is ever copied onto other content.
+    what is there, and a later one of its content may still be copied; without again, a content is planned once, and later ones are `reuse` with
+    the path of the conflict. Nothing is ever copied onto other content.
     Candidates without a hash or a target cannot be archived: `skip`.
     """
     was = previous.select("sha256", normal_path(F.col("archive_path")).alias("path"), F.col("archive_path").alias("as_written"))
@@ -88,7 +89,7 @@ def plan_archive(previous: DataFrame, cands: DataFrame, existing: DataFrame) ->
             break
         settled = new.select(F.col("want").alias("key"), F.col("sha256").alias("there"), F.lit(True).alias("recorded"))
         taken = stored(taken.join(settled.select("key"), "key", "left_anti").unionByName(settled))
-        known = stored(known.unionByName(new.select("sha256", F.col("archive_path").alias("known"))))
+        known = stored(known.unionByName((new if again else done).select("sha256", F.col("archive_path").alias("known"))))
         left = rest
     result = out[0]
     for part in out[1:]:
