@@ -195,6 +195,27 @@ def test_packed_strings(spark):
     assert got == {1: (True, ["0123456789abcdef" * 2], ["a.pdf"]), 2: (False, [], []), 3: (False, [], [])}
 
 
+def test_packed_strings_of_any_depth_and_length(spark):
+    def field(n, part):
+        size, out = len(part), b""
+        while size > 127:
+            size, out = size >> 7, out + bytes([size & 127 | 128])
+        return bytes([n << 3 | 2]) + out + bytes([size]) + part
+
+    h, rows, want = "0123456789abcdef" * 2, [], {}
+    for depth in (0, 4, 5, 6, 7, 60, 2000, 20_000):
+        b = field(1, h.encode()) + field(2, f"depth{depth}.pdf".encode())
+        for _ in range(depth):
+            b = field(3, b)
+        rows += [(depth, b + b"\x18\x01"), (-1 - depth, b + b"\x0a\xff")]
+        want |= {depth: (True, [h], [f"depth{depth}.pdf"]), -1 - depth: (False, [h], [f"depth{depth}.pdf"])}
+    called = ["n" * k + ".pdf" for k in (200, 201, 255, 100_000)] + ["site.photoslibrary", "注" * 300 + ".docx"]
+    rows += [(10**6, b"".join(field(1, x.encode()) for x in [*called, "a/b.pdf", "no name", "x" * 300]))]
+    df = spark.createDataFrame([(i, bytearray(b)) for i, b in rows], "resource_id int, packed binary")
+    got = {r.resource_id: (r.valid, r.hashes, r.names) for r in assets.packed_strings(df).collect()}
+    assert got == want | {10**6: (True, [], sorted(called))}
+
+
 def test_insight_refresh_checks_its_growth(spark):
     m = spark.createDataFrame([("c", i, f"u{i}", "s", "please review the plan number %d" % i) for i in range(10)], "conv_id string, canonical_seq long, message_uid string, sender string, text string")
     conv = spark.createDataFrame([("c", 10)], "conv_id string, text_count long")

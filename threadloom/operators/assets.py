@@ -205,6 +205,7 @@ def packed_strings(df: DataFrame, least: int = 6) -> DataFrame:
     """(resource_id, packed binary) -> resource_id, valid, hashes, names: the strings that length-delimited fields hold.
 
     Fields are walked to any depth that parses; a blob that does not parse is marked and gives what it held as far as it went.
+    Names have any length; an extension of letters and digits and no slash tell them from other strings.
     """
 
     def run(batches):
@@ -212,55 +213,70 @@ def packed_strings(df: DataFrame, least: int = 6) -> DataFrame:
 
         import pyarrow as pa
 
-        hexes, named = re.compile("(?<![0-9a-f])[0-9a-f]{32}(?![0-9a-f])", re.IGNORECASE), re.compile(r"^[^\x00-\x1f/\\]{1,200}\.[A-Za-z0-9]{1,8}$")
+        hexes, named = re.compile("(?<![0-9a-f])[0-9a-f]{32}(?![0-9a-f])", re.IGNORECASE), re.compile(r"^[^\x00-\x1f/\\]+\.[A-Za-z0-9]+$")
 
-        def varint(b, i):
+        def varint(b, i, end):
             n = s = 0
-            while i < len(b) and s < 70:
+            while i < end and s < 70:
                 n |= (b[i] & 127) << s
                 s, i = s + 7, i + 1
                 if b[i - 1] < 128:
                     return n, i
             return None, i
 
-        def walk(b, depth, out):
-            i = 0
-            while i < len(b):
-                tag, i = varint(b, i)
+        def fields(b, i, end):
+            """Spans of the length-delimited fields of b[i:end] as far as it parses, and whether that is to its end."""
+            spans: list = []
+            while i < end:
+                tag, i = varint(b, i, end)
                 if not tag:
-                    return False
+                    return spans, False
                 wire = tag & 7
                 if wire == 0:
-                    n, i = varint(b, i)
+                    n, i = varint(b, i, end)
                     if n is None:
-                        return False
+                        return spans, False
                 elif wire in (1, 5):
                     i += 8 if wire == 1 else 4
                 elif wire == 2:
-                    n, i = varint(b, i)
-                    if n is None or i + n > len(b):
-                        return False
-                    part, i = b[i : i + n], i + n
-                    inner: list = []
-                    if depth and len(part) > 1 and walk(part, depth - 1, inner):
-                        out += inner
-                    try:
-                        out.append(part.decode())
-                    except UnicodeDecodeError:
-                        pass
+                    n, i = varint(b, i, end)
+                    if n is None or i + n > end:
+                        return spans, False
+                    spans.append((i, i + n))
+                    i += n
                 else:
-                    return False
-                if i > len(b):
-                    return False
-            return True
+                    return spans, False
+                if i > end:
+                    return spans, False
+            return spans, True
+
+        def strings(b, spans):
+            """The strings of spans and of the fields in them; a list of open spans and no recursion, which a deep blob would exhaust."""
+            view = memoryview(b)
+            while spans:
+                i, end = spans.pop()
+                if end - i > 1:
+                    inner, whole = fields(b, i, end)
+                    if whole:
+                        spans += inner
+                try:
+                    yield str(view[i:end], "utf-8")
+                except UnicodeDecodeError:
+                    pass
 
         for batch in batches:
             valid, hashes, names = [], [], []
             for blob in batch.column(1).to_pylist():
-                out: list = []
-                valid.append(bool(blob) and walk(blob, 4, out))
-                hashes.append(sorted({h.lower() for s in out for h in hexes.findall(s)}))
-                names.append(sorted({s for s in out if len(s) >= least and named.match(s)}))
+                blob = blob or b""
+                spans, whole = fields(blob, 0, len(blob))
+                valid.append(blob != b"" and whole)
+                held, called = set(), set()
+                for s in strings(blob, spans):
+                    held.update(hexes.findall(s))
+                    if len(s) >= least and named.match(s):
+                        called.add(s)
+                hashes.append(sorted({h.lower() for h in held}))
+                names.append(sorted(called))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(valid), pa.array(hashes, pa.list_(pa.string())), pa.array(names, pa.list_(pa.string()))], names=["resource_id", "valid", "hashes", "names"])
 
     kind = df.schema["resource_id"].dataType.simpleString()
